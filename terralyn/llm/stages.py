@@ -17,6 +17,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep(docs, model)
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: lines that repeat an earlier one, all but word for word, go; documents stay."""
+    from . import lines
+
+    return lines.without_repeats(docs)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: one document of each group of near copies stays, the one with the smallest id."""
+    from . import near
+
+    return near.without_copies(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: passages that stand earlier in the corpus go; documents stay."""
+    from . import repeats
+
+    return repeats.without_repeats(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: the kept documents as padded token sequences' pieces."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))

@@ -103,25 +103,40 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(grades, t, weights)
 
 
+def _judge(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Expected grade and P(grade >= 1) of each text; zeros where nothing could be fitted."""
+    gaps = np.diff(model.grades).astype(float)
+    data, offsets = utf8(column)
+    severity, toxic = np.zeros(len(column)), np.zeros(len(column))
+    for i, j in steps(offsets):
+        if len(gaps):
+            row, feature = _features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            sums = np.bincount(row, model.weights[feature], j - i)
+            reach = 1 / (1 + np.exp(np.clip(model.thresholds[None, :] - sums[:, None], -40, 40)))
+            severity[i:j], toxic[i:j] = (reach * gaps[None, :]).sum(axis=1), reach[:, 0]
+    return severity, toxic
+
+
 def score(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
     """doc_id, expected_severity, grade (the expected one, rounded) and toxic (P(grade >= 1) of at least cut)."""
 
     def run(batches):
-        gaps = np.diff(model.grades).astype(float)
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for i, j in steps(offsets):
-                sums = np.zeros(j - i)
-                if len(model.thresholds):
-                    row, feature = _features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    sums = np.bincount(row, model.weights[feature], j - i)
-                reach = 1 / (1 + np.exp(np.clip(model.thresholds[None, :] - sums[:, None], -40, 40)))
-                severity = (reach * gaps[None, :]).sum(axis=1) if len(gaps) else np.zeros(j - i)
-                toxic = reach[:, 0] >= cut if len(gaps) else np.zeros(j - i, bool)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(severity), pa.array(np.floor(severity + 0.5).astype(np.int32)), pa.array(toxic)], ["doc_id", "expected_severity", "grade", "toxic"])
+            severity, toxic = _judge(batch.column("text"), model)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(severity), pa.array(np.floor(severity + 0.5).astype(np.int32)), pa.array(toxic >= cut)], ["doc_id", "expected_severity", "grade", "toxic"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, expected_severity double, grade int, toxic boolean")
 
 
+def keep(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns as they are, that are not toxic."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_judge(batch.column("text").cast(pa.string()), model)[1] < cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, fit(docs, labels))
