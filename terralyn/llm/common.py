@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: White space between words: space and the ASCII controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
@@ -151,11 +150,3 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def top_two(df: DataFrame) -> None:  # pragma: no cover - kept for interactive use
-    df.show(2, truncate=False)
-
-
-def window_by(*keys: str):
-    return Window.partitionBy(*keys)
