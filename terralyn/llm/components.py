@@ -1,0 +1,28 @@
+"""Connected components of a table of links, by minimum labels with pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpoint
+
+
+def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
+    """(id, component): each linked id with the smallest id that it reaches.
+
+    A round gives every id the smallest label among its neighbours and then the label of its label, so chains shrink by
+    more than half. Labels are aggregated on the map side; nothing comes to the driver but a count of changes.
+    """
+    edges = links.select(F.col(left).alias("id"), F.col(right).alias("to")).where("id <> to")
+    edges = checkpoint(edges.unionByName(edges.select(F.col("to").alias("id"), F.col("id").alias("to"))).distinct())
+    labels = checkpoint(edges.groupBy("id").agg(F.least("id", F.min("to")).alias("component")))
+    while True:
+        heard = edges.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("component").alias("heard"))
+        nearer = labels.join(heard, "id").select("id", F.col("component").alias("was"), F.least("component", "heard").alias("component"))
+        jump = nearer.select(F.col("id").alias("component"), F.col("component").alias("root"))
+        now = checkpoint(nearer.join(jump, "component").select("id", "was", F.col("root").alias("component")))
+        changed = now.where("component <> was").limit(1).count()
+        labels = now.select("id", "component")
+        if not changed:
+            return labels
