@@ -85,7 +85,12 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, seed: int = 1, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of some texts in order, and each text's n + 1 offsets into them.
+    """64-bit hashes of all words of some texts in order, and each text's n + 1 offsets into them."""
+    return placed_words(data, offsets, seed, lower)[:2]
+
+
+def placed_words(data: np.ndarray, offsets: np.ndarray, seed: int = 1, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_hashes, and where in data each word starts.
 
     A word is a run of bytes that are not white space; words never cross texts.
     """
@@ -102,10 +107,10 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, seed: int = 1, lower: boo
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     bounds = np.searchsorted(starts, offsets)
     if not len(starts):
-        return np.zeros(0, U64), bounds
+        return np.zeros(0, U64), bounds, starts
     total = np.zeros(len(data) + 1, U64)
     np.cumsum(byte_table(seed, lower)[data] * powers(_BASE, len(data)), out=total[1:])
-    return mix64((total[ends] - total[starts]) * powers(_BASE_INV, len(data) + 1)[starts] + (ends - starts).astype(U64)), bounds
+    return mix64((total[ends] - total[starts]) * powers(_BASE_INV, len(data) + 1)[starts] + (ends - starts).astype(U64)), bounds, starts
 
 
 def array_of_longs(values: np.ndarray, offsets: np.ndarray) -> pa.Array:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, toxicity
+from . import lines, near, packing, repeats, toxicity
 from .queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -19,22 +19,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: lines that repeat an earlier one, all but word for word, go; documents stay."""
-    from . import lines
-
     return lines.without_repeats(docs)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: one document of each group of near copies stays, the one with the smallest id."""
-    from . import near
-
     return near.without_copies(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: passages that stand earlier in the corpus go; documents stay."""
-    from . import repeats
-
     return repeats.without_repeats(docs)
 
 
