@@ -272,6 +272,20 @@ def _scan(data: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray
             stack.append((h, start))
 
 
+def _merged(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans as the runs that they cover: nested and overlapping repeats of a place leave the task once."""
+    order = np.lexsort((start, doc))
+    doc, start, stop = doc[order], start[order], (start + size)[order]
+    _, number = np.unique(doc, return_inverse=True)
+    lift = number * (int(stop.max(initial=0)) + 1)  # so that the running end of one document lies under the next one's starts
+    ends = np.maximum.accumulate(stop + lift)
+    new = np.ones(len(doc), bool)
+    new[1:] = (start + lift)[1:] > ends[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1
+    return doc[first], start[first], (ends - lift)[last] - start[first]
+
+
 def _compared(texts: DataFrame, every: bool = False) -> DataFrame:
     """(_doc, start, size) of occurrences that go; with every, all occurrences as (repeat, size, _doc, start, first)."""
 
@@ -297,8 +311,8 @@ def _compared(texts: DataFrame, every: bool = False) -> DataFrame:
         if every:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([x[3] for x in out]), counts)), pa.array(size), pa.array(ids), pa.array(at), pa.array(head)], ["repeat", "size", "_doc", "start", "first"])
         else:
-            keep = np.unique(np.stack([ids[~head], at[~head], size[~head]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keep[:, k])) for k in range(3)], ["_doc", "start", "size"])
+            columns = _merged(ids[~head], at[~head], size[~head])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["_doc", "start", "size"])
 
     def run(batches):
         held = None
