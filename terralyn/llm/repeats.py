@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, U64, byte_table, mix64, powers, shared_folder, shuffle_parts, steps, utf8, _BASE, _BASE_INV
+from .common import STEP_BYTES, U64, byte_table, checkpoint, mix64, powers, shared_folder, shuffle_parts, steps, utf8, _BASE, _BASE_INV
 
 LENGTH = 100
 KGRAM = 32
@@ -132,6 +132,7 @@ def common_anchors(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([names, pa.array([*counts[own].tolist(), len(blocks.anchor)], pa.int64())], ["anchor", "n"])
 
     sums = keyed(docs).select("_doc", F.col("text").cast("string")).mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    sums = checkpoint(sums)
     total = sums.where("anchor is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     got = sums.where((F.col("anchor").isNotNull()) & (F.col("n") >= share * total / 2)).select("anchor").collect()
     return np.sort(np.array([r[0] for r in got], np.int64).view(U64))
