@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import profiles
+from . import field_queries, profiles, series_queries
 
-_PLANS = [profiles]
+_PLANS = [profiles, series_queries, field_queries]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
