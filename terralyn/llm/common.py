@@ -155,3 +155,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def wrapped(docs: DataFrame, last: int) -> DataFrame:
+    """(_doc, text, row): the id with null as last, the text, and the whole row, whose names then clash with nothing."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("_doc"), F.col("text").cast("string").alias("text"), row)
+
+
+def retexted(batch: pa.RecordBatch, names: list[str], texts: list[str]) -> pa.RecordBatch:
+    """The rows of a batch with other texts; n_chars, where there is one, follows."""
+    columns = dict(zip(names, batch.column("row").flatten(), strict=True)) | {"text": pa.array(texts, pa.string())}
+    if "n_chars" in columns:
+        columns["n_chars"] = pa.array([len(t) for t in texts], pa.int64())
+    return pa.RecordBatch.from_arrays(list(columns.values()), names)
+
+
+def retexted_schema(docs: DataFrame) -> str:
+    kinds = {"text": "string", "n_chars": "bigint"}
+    return ", ".join(f"`{f.name}` {kinds.get(f.name, f.dataType.simpleString())}" for f in docs.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, checkpoint, mix64, placed_words, shared_folder, shuffle_parts, steps, utf8
+from .common import U64, checkpoint, mix64, placed_words, retexted, retexted_schema, shared_folder, shuffle_parts, steps, utf8, wrapped
 
 MIN_TOKENS = 5
 COUNTER_BITS = 23
@@ -263,8 +263,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def _with_lines(docs: DataFrame) -> DataFrame:
-    own = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
-    return own.join(repeated_lines(docs), "_doc", "left")
+    return wrapped(docs, _LAST).join(repeated_lines(docs), "_doc", "left")
 
 
 def _kept(batch: pa.RecordBatch):
@@ -283,10 +282,11 @@ def line_dedup(docs: DataFrame) -> DataFrame:
             rows = [(n, gone, len(text), hashlib.sha256(text.encode()).hexdigest()) for n, gone, text in _kept(batch)]
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", "n_lines", "n_removed", "kept_chars", "kept_sha256"])
+            ids = [None if d == _LAST else d for d in batch.column("_doc").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", "n_lines", "n_removed", "kept_chars", "kept_sha256"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _with_lines(own).select("doc_id", "text", "_lines").mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_chars long, kept_sha256 string")
+    own = docs.select("doc_id", "text")
+    return _with_lines(own).select("_doc", "text", "_lines").mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_chars long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -295,14 +295,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [text for _, _, text in _kept(batch)]
-            columns = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
-            if "n_chars" in columns:
-                columns["n_chars"] = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
-
-    schema = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else 'bigint' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in docs.schema)
-    return _with_lines(docs).select(*names, "_lines").mapInArrow(run, schema)
+            yield retexted(batch, names, [text for _, _, text in _kept(batch)])
+
+    return _with_lines(docs).select("text", "row", "_lines").mapInArrow(run, retexted_schema(docs))
 
 
 SQL = r"""

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, U64, byte_table, checkpoint, mix64, powers, shared_folder, shuffle_parts, steps, utf8, _BASE, _BASE_INV
+from .common import STEP_BYTES, U64, byte_table, checkpoint, mix64, powers, retexted, retexted_schema, shared_folder, shuffle_parts, steps, utf8, wrapped, _BASE, _BASE_INV
 
 LENGTH = 100
 KGRAM = 32
@@ -101,8 +101,8 @@ def _segments(offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """The documents with _doc, an order of ids in which null comes last."""
-    return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
+    """(_doc, text): an order of ids in which null comes last, and the text."""
+    return wrapped(docs, _LAST).select("_doc", "text")
 
 
 def _rows(batch: pa.RecordBatch, common: np.ndarray | None) -> Iterator[tuple[Blocks, np.ndarray, np.ndarray]]:
@@ -131,7 +131,7 @@ def common_anchors(docs: DataFrame) -> np.ndarray:
                 names = pa.array([*anchors[own].view(np.int64).tolist(), None], pa.int64())
                 yield pa.RecordBatch.from_arrays([names, pa.array([*counts[own].tolist(), len(blocks.anchor)], pa.int64())], ["anchor", "n"])
 
-    sums = keyed(docs).select("_doc", F.col("text").cast("string")).mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    sums = keyed(docs).mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     sums = checkpoint(sums)
     total = sums.where("anchor is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     got = sums.where((F.col("anchor").isNotNull()) & (F.col("n") >= share * total / 2)).select("anchor").collect()
@@ -185,7 +185,7 @@ def _settled(docs: DataFrame, common: np.ndarray) -> DataFrame:
             yield batch_of(*part)
 
     parts = shuffle_parts(docs.sparkSession)
-    blocks = keyed(docs).select("_doc", F.col("text").cast("string")).mapInArrow(cut, "anchor long, content long, _doc long, at long")
+    blocks = keyed(docs).mapInArrow(cut, "anchor long, content long, _doc long, at long")
     dealt = blocks.repartition(parts, "anchor").sortWithinPartitions("anchor", "content", "_doc", "at")
     return dealt.mapInArrow(settle, "_doc long, at long, anchor long")
 
@@ -337,16 +337,15 @@ def _compared(texts: DataFrame, every: bool = False) -> DataFrame:
     return dealt.mapInArrow(run, "repeat long, size long, _doc long, start long, first boolean" if every else "_doc long, start long, size long")
 
 
-def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The keyed documents and the (_doc, start, size) spans that go from them."""
+def _spans(docs: DataFrame) -> DataFrame:
+    """(_doc, start, size): the spans that go."""
     spark = docs.sparkSession
     folder = shared_folder(spark, "repeats")
     _settled(docs, common_anchors(docs)).write.parquet(folder)
     marks = spark.read.parquet(folder)
-    own = keyed(docs)
     whole = marks.where("anchor is null").select("_doc", F.shiftright("at", 7).alias("start"), (F.col("at").bitwiseAND(127) + LENGTH - 1).alias("size"))
-    texts = _texts(own.select("_doc", F.col("text").cast("string").alias("text")), marks.where("anchor is not null").select("_doc", "at", "anchor"))
-    return own, whole.unionByName(_compared(texts))
+    texts = _texts(keyed(docs), marks.where("anchor is not null").select("_doc", "at", "anchor"))
+    return whole.unionByName(_compared(texts))
 
 
 def repeat_groups(docs: DataFrame) -> DataFrame:
@@ -355,7 +354,7 @@ def repeat_groups(docs: DataFrame) -> DataFrame:
     folder = shared_folder(spark, "repeats")
     _settled(docs, common_anchors(docs)).write.parquet(folder)
     compare = spark.read.parquet(folder).where("anchor is not null")
-    return _compared(_texts(keyed(docs).select("_doc", F.col("text").cast("string").alias("text")), compare), every=True)
+    return _compared(_texts(keyed(docs), compare), every=True)
 
 
 def _kept(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, int, int]:
@@ -386,7 +385,6 @@ def _cut(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, int, int]]:
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
-    own, spans = _spans(docs)
 
     def run(batches):
         for batch in batches:
@@ -396,8 +394,7 @@ def digests(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = _with_spans(own.select("_doc", F.col("text").cast("string").alias("text")), spans)
-    return joined.select("_doc", "text", "_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(keyed(docs), _spans(docs)).select("_doc", "text", "_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -405,18 +402,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     n_chars, where there is one, is the new text's length.
     """
-    own, spans = _spans(docs)
-    place = docs.columns.index("text")
+    names = docs.columns
 
     def run(batches):
         for batch in batches:
-            texts = [bytes(kept).decode("utf-8", "ignore") for _, kept, _, _ in _cut(batch)]
-            columns = [batch.column(c) for c in docs_columns]
-            columns[place] = pa.array(texts, pa.string())
-            if "n_chars" in docs_columns:
-                columns[docs_columns.index("n_chars")] = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays(columns, docs_columns)
-
-    docs_columns = docs.columns
-    schema = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else 'bigint' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in docs.schema)
-    return _with_spans(own, spans).select(*docs_columns, "_spans").mapInArrow(run, schema)
+            yield retexted(batch, names, [bytes(kept).decode("utf-8", "ignore") for _, kept, _, _ in _cut(batch)])
+
+    return _with_spans(wrapped(docs, _LAST), _spans(docs)).select("text", "row", "_spans").mapInArrow(run, retexted_schema(docs))

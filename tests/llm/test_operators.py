@@ -1,0 +1,388 @@
+"""The training-data operators against brute force, the public libraries, SQL, and odd inputs."""
+
+import base64
+import gzip
+import hashlib
+import io
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers as vocab
+import pytest
+from pyspark.sql import functions as F
+
+from terralyn.llm import bpe, components, exact, lines, near, packing, quality, queries, repeats, stages, toxicity, warc, wordpiece
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def texts_of(spark, sf):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty, blank and very long texts, ties, repeated rows."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(400)]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    passage, base = say(40), say(120)
+    rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, base), (6, base), (6, base), (7, base.upper()), (8, f"{say(30)}\n{passage}\n{say(30)}"), (9, f"{passage} {say(20)}"), (10, say(30_000)), (None, base), (None, None), (11, "ab " * 4000), (12, "日本語 テスト😀 " * 60), (13, base + " more words here"), (14, f"{passage}\n{passage} x"), (15, "\x00a\x1fb\x85c d"), (16, " ".join(["same"] * 500))]
+    return spark.createDataFrame([(i, t, None if k % 4 == 0 else "en", None if k % 3 == 0 else f"s{k % 2}", len(t or "")) for k, (i, t) in enumerate(rows)], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def clashing(docs):
+    names = ["_doc", "_salt", "row", "_spans", "_lines", "n", "norm", "id", "kept", "line", "size", "at", "grade", "set"]
+    return docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_sql(name, same):
+    same(queries.QUERIES[name], queries.ORACLE_SQL[name])
+
+
+# 1 and 8: tokens
+
+
+def reference_ids(path):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    return tiktoken.Encoding("own", pat_str=vocab.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def test_bpe_equals_the_library_and_decodes(spark, sf, odd):
+    encode = reference_ids(vocab.path("byte_bpe_50k.tiktoken"))
+    for docs in (spark.read.parquet(f"{sf}/documents.parquet"), clashing(odd)):
+        got = sorted(map(tuple, bpe.digests(docs, vocab.path("byte_bpe_50k.tiktoken"), vocab.PATTERN).collect()), key=repr)
+        want = []
+        for row in docs.collect():
+            ids = encode(row.text or "")
+            want.append((row.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((row.text or "").encode()).hexdigest()))
+        assert got == sorted(want, key=repr)
+
+
+def test_bpe_offsets_and_round_trip(odd):
+    path = vocab.path("byte_bpe_50k.tiktoken")
+    rows = bpe.encode(odd.where("doc_id is not null").dropDuplicates(["doc_id"]), path, vocab.PATTERN, offsets=True)
+    texts = {r.doc_id: r.text or "" for r in odd.collect()}
+    for r in rows.collect():
+        assert all(0 <= a < b <= len(texts[r.doc_id]) for a, b in zip(r.char_start, r.char_end, strict=True))
+        assert r.char_end[-1:] in ([], [len(texts[r.doc_id])])
+    assert {r.doc_id: bytes(r.decoded).decode() for r in bpe.decode(rows, path, vocab.PATTERN).collect()} == {k: v for k, v in texts.items() if k is not None}
+
+
+def test_tokens_of_the_json_file_equal_the_tokenizers_library(spark, sf):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocab.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    encode = packing._encoder(vocab.path("byte_bpe_50k.json"))
+    for text in [*texts_of(spark, sf).values(), "<|endoftext|> a  b\n\n c", "", "\u0085  x y"]:
+        assert encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_packing_places_each_id_once(spark, sf, odd):
+    encode = packing._encoder(vocab.path("byte_bpe_50k.json"))
+    for docs in (spark.read.parquet(f"{sf}/documents.parquet"), clashing(odd.where("doc_id is not null").dropDuplicates(["doc_id"]))):
+        rows = packing.pack(docs, vocab.path("byte_bpe_50k.json")).collect()
+        ids = {r.doc_id: np.frombuffer(encode(r.text or ""), "<u4").tolist() + [1] for r in docs.collect()}
+        by_doc, by_sequence = {}, {}
+        for r in rows:
+            by_doc.setdefault(r.doc_id, []).append(r)
+            by_sequence.setdefault(r.sequence_id, []).append(r)
+        assert by_doc.keys() == ids.keys()
+        for doc, parts in by_doc.items():
+            at = 0
+            for r in sorted(parts, key=lambda r: r.start):
+                assert r.start == at and r.doc_tokens == len(ids[doc])
+                assert r.ids_crc32 == zlib.crc32(np.array(ids[doc][at : at + r.length], "<u4").tobytes())
+                at += r.length
+            assert at == len(ids[doc])
+        for parts in by_sequence.values():
+            at = 0
+            for r in sorted(parts, key=lambda r: r.offset):
+                assert r.offset == at
+                at += r.length
+            assert at <= packing.LENGTH and at & (at - 1) == 0  # no padding
+
+
+def test_hilbert_neighbours_touch():
+    bits = 3
+    grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * 3, indexing="ij"), -1).reshape(-1, 3)
+    keys = packing.hilbert(grid, bits)
+    assert sorted(keys) == list(range(1 << 3 * bits))
+    path = grid[np.argsort(keys)]
+    assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+# 2: repeats
+
+
+def brute_repeats(rows, size=repeats.LENGTH):
+    seen, out = set(), []
+    for doc, text in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        data = (text or "").encode()
+        gone = bytearray(len(data))
+        for i in range(len(data) - size + 1):
+            if data[i : i + size] in seen:
+                gone[i : i + size] = b"\1" * size
+            seen.add(data[i : i + size])
+        kept = bytes(b for b, g in zip(data, gone, strict=True) if not g)
+        out.append((doc, len(data), sum(gone), sum(1 for k, g in enumerate(gone) if g and not (k and gone[k - 1])), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_repeats_equal_brute_force(spark, sf, odd):
+    for docs in (spark.read.parquet(f"{sf}/documents.parquet"), clashing(odd.dropDuplicates(["doc_id"]))):
+        want = brute_repeats([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+        assert sorted(map(tuple, repeats.digests(docs).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_repeats_with_common_anchors_demoted(spark, monkeypatch):
+    """The same rows whatever list of common anchors the blocks avoid."""
+    rng = random.Random(5)
+    passage = "".join(rng.choices("abc ", k=300))
+    docs = spark.createDataFrame([(k, "".join(rng.choices("defgh", k=rng.randint(0, 150))) + passage[rng.randint(0, 40) :] + "".join(rng.choices("xyz", k=80))) for k in range(60)], "doc_id long, text string")
+    want = sorted(map(tuple, repeats.digests(docs).collect()))
+    every = np.unique(np.concatenate([repeats.Blocks(np.frombuffer(r.text.encode(), np.uint8), np.array([0, len(r.text)])).anchor for r in docs.collect()]))
+    monkeypatch.setattr(repeats, "common_anchors", lambda _: every)
+    assert sorted(map(tuple, repeats.digests(docs).collect())) == want == sorted(brute_repeats([(r.doc_id, r.text) for r in docs.collect()]))
+
+
+def test_maximal_repeats_have_all_occurrences():
+    rng = random.Random(1)
+    core = "".join(rng.choices("abcd", k=120))
+    blocks = [f"{x}{core}{y}".encode() for x, y in (("p", "q"), ("r", "q"), ("s", "t"))]
+    data = np.frombuffer(b"".join(blocks), np.uint8)
+    size = np.array([len(b) for b in blocks])
+    found = {(tuple(sorted(p.tolist())), n) for p, n in repeats.maximal_repeats(np.zeros(3, np.int64), data, np.cumsum(size) - size, size)}
+    starts = np.cumsum(size) - size + 1
+    assert found == {(tuple(starts.tolist()), 120), (tuple(starts[:2].tolist()), 121)}
+
+
+# 3: near copies
+
+
+def brute_components(rows):
+    sets, reach = {}, {}
+    for doc, text in rows:
+        words = (text or "").translate({c: c + 32 for c in range(65, 91)}).encode().split()
+        sets[doc] = {tuple(words)} if len(words) == 1 else set(zip(words, words[1:], strict=False))
+        reach[doc] = doc
+
+    def root(x):
+        while reach[x] != x:
+            x = reach[x]
+        return x
+
+    docs = [d for d in sorted(sets) if sets[d]]
+    for i, a in enumerate(docs):
+        for b in docs[:i]:
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                reach[max(x, y)] = min(x, y)
+    return sorted((d, len(sets[d]), root(d), root(d) == d) for d in sets)
+
+
+def test_near_copies_equal_brute_force(spark, odd):
+    rng = random.Random(7)
+    docs = [(r.doc_id, r.text) for r in odd.where("doc_id is not null").dropDuplicates(["doc_id"]).collect()]
+    for group in range(6):
+        base = [f"w{group}_{rng.randint(0, 99)}" for _ in range(120)]
+        for _ in range(45):
+            own = [w if rng.random() > 0.04 else f"z{rng.randint(0, 10**6)}" for w in base]
+            docs.append((len(docs) + 100, " ".join(own)))
+    got = near.near_dedup(clashing(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert sorted(map(tuple, got.collect())) == brute_components(docs)
+
+
+def test_dense_regions_are_compared_without_a_cap(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 4)
+    sig = np.arange(72, dtype=np.uint8)
+    rows = [(i, b"k", bytes((sig + (i % 3) * 100) % 251)) for i in range(30)]
+    dense = spark.createDataFrame(rows, "a long, key binary, hashes binary")
+    labels = spark.createDataFrame([(i, i) for i in range(30)], "id long, component long")
+    got = {tuple(r) for r in near._between(dense, labels).distinct().collect()}
+    assert got == {(a, b) for a in range(30) for b in range(a + 1, 30) if a % 3 == b % 3}
+
+
+def test_components_of_a_long_chain(spark):
+    order = list(range(200))
+    random.Random(2).shuffle(order)
+    links = spark.createDataFrame(list(zip(order, order[1:], strict=False)) + [(500, 501)], "a long, b long")
+    got = dict(map(tuple, components.components(links).collect()))
+    assert got == {**dict.fromkeys(range(200), 0), 500: 500, 501: 500}
+
+
+# 5: lines
+
+
+def brute_lines(rows):
+    seen, out = [], []
+    for doc, text in sorted(rows):
+        kept = []
+        own = (text or "").split("\n")
+        for line in own:
+            words = set(line.translate({c: c + 32 for c in range(65, 91)}).encode().split())
+            if len(words) < lines.MIN_TOKENS:
+                kept.append(line)
+                continue
+            if not any(9 * len(words & s) >= 4 * (len(words) + len(s)) for s in seen):
+                kept.append(line)
+            seen.append(words)
+        text = "\n".join(kept)
+        out.append((doc, len(own), len(own) - len(kept), len(text), hashlib.sha256(text.encode()).hexdigest()))
+    return sorted(out)
+
+
+def test_lines_equal_brute_force(spark, odd, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{int(rng.paretovariate(0.6))}" for _ in range(3000)]
+    base = [" ".join(rng.choices(words, k=rng.randint(3, 25))) for _ in range(60)]
+
+    def vary(line):
+        return " ".join(w.upper() if rng.random() < 0.2 else w if rng.random() > 0.08 else rng.choice(words) for w in line.split())
+
+    docs = [(r.doc_id, r.text) for r in odd.where("doc_id is not null").dropDuplicates(["doc_id"]).collect()]
+    docs += [(100 + k, "\n".join(vary(rng.choice(base)) for _ in range(8))) for k in range(60)]
+    df = clashing(spark.createDataFrame(docs, "doc_id long, text string"))
+    want = brute_lines(docs)
+    assert sorted(map(tuple, lines.line_dedup(df).collect())) == want
+    monkeypatch.setattr(lines, "COMMON", 3)  # nearly every token sends pairs
+    assert sorted(map(tuple, lines.line_dedup(df).collect())) == want
+
+
+# 4, 6, 7, 9, 10
+
+
+def test_exact_copies(odd):
+    rows = exact.exact_dedup(clashing(odd)).collect()
+    by_text = {}
+    for r in odd.collect():
+        norm = (r.text or "").translate(dict.fromkeys([32, 9, 10, 11, 12, 13]))
+        by_text.setdefault(norm, []).append((-len(r.text or ""), r.doc_id is None, r.doc_id))
+    assert len(rows) == odd.count()
+    for norm, group in by_text.items():
+        own = [r for r in rows if r.text_sha256 == hashlib.sha256(norm.encode()).hexdigest()]
+        assert len(own) == len(group) and {(r.keep_id, r.group_size) for r in own} == {(min(group)[2], len(group))}
+        assert all(r.kept == (r.doc_id == r.keep_id) for r in own)
+
+
+def greedy(word, entries):
+    n, at = 0, 0
+    while at < len(word):
+        at += next(k for k in range(len(word) - at, 0, -1) if word[at : at + k] in entries)
+        n += 1
+    return n
+
+
+def test_token_counts_equal_greedy_matching(spark, sf, odd):
+    path = vocab.path("byte_bpe_50k.tiktoken")
+    entries = {base64.b64decode(x.split()[0]) for x in open(path, "rb")}
+    for docs in (spark.read.parquet(f"{sf}/documents.parquet").limit(60), clashing(odd)):
+        want = sorted(((r.doc_id, len(w := (r.text or "").encode().split()), sum(greedy(b" " + x, entries) for x in w)) for r in docs.collect()), key=repr)
+        assert sorted(map(tuple, wordpiece.token_counts(docs, path).collect()), key=repr) == want
+
+
+def test_automaton_on_hard_words():
+    entries = [bytes([b]) for b in range(256)] + [b"ab", b"abcd", b"bcde", b"cde", b"abcdefx", b"efg"]
+    machine = wordpiece.Automaton(entries)
+    rng = random.Random(4)
+    for _ in range(3000):
+        word = bytes(rng.choices(b"abcdefgx", k=rng.randint(0, 12)))
+        assert machine.count(word) == greedy(word, set(entries))
+
+
+def test_toxicity_on_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    test = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    model = toxicity.fit(docs, labels.where(~test))
+    got = toxicity.score(docs, model).withColumnRenamed("toxic", "said").join(labels.where(test), "doc_id")
+    counts = {(r.said, r.toxic): r["count"] for r in got.groupBy("said", "toxic").count().collect()}
+    hit, miss, false = (counts.get(k, 0) for k in ((True, 1), (False, 1), (True, 0)))
+    assert hit / (hit + miss) > 0.9 and hit / (hit + false) > 0.9
+
+
+def test_toxicity_of_odd_inputs(spark, odd, none):
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = toxicity.toxicity(clashing(odd), labels).collect()
+    assert len(rows) == odd.count() and {(r.expected_severity, r.toxic) for r in rows} == {(0.0, False)}
+    assert toxicity.toxicity(none, labels).count() == 0
+    both = spark.createDataFrame([(k, 1, int(k % 2 == 0)) for k in range(5, 17)], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity(odd, both).count() == odd.count()
+
+
+def test_warc_is_plain_gzip_and_splits_anywhere(spark, sf, tmp_path):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    extra = [(900, None, None), (901, "u", "x" * 99), (902, "u", "x" * 99), (903, "u", "y" * 100), (904, "u\nv", "y" * 100), (None, "u", "y" * 100), (905, "u", "zé" * 70_000)]
+    pages = pages.unionByName(spark.createDataFrame(extra, "page_id long, url string, html string")).withColumn("refers_to", F.lit("clash"))
+    folder = str(tmp_path / "w")
+    whole = sorted(map(tuple, warc.round_trip(pages.drop("refers_to"), folder).collect()), key=repr)
+    assert sorted(map(tuple, warc.read(spark, folder, 997).collect()), key=repr) == whole
+    assert sum(gzip.open(io.BytesIO(p.read_bytes())).read().count(b"WARC/1.1\r\n") for p in (tmp_path / "w").glob("part-*")) == len(whole) == pages.count()
+    rows = {r[0]: r[1:] for r in whole}
+    assert rows[902][2:] == ("response", None) and rows[904][2:] == ("revisit", 903) and rows[900][0] == 0
+
+
+def brute_quality(text):
+    words = (text or "").encode().split()
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    twice = {w for w in windows if windows.count(w) > 1}
+    hit = {k for i, w in enumerate(windows) if w in twice for k in range(i, i + 8)}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if line.encode().split():
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(len(w.decode()) for w in words), sum((text or "").count(c) for c in "#*$%&|<>"), dup, len(hit)
+
+
+def test_quality_measures_equal_brute_force(spark, sf, odd):
+    for docs in (spark.read.parquet(f"{sf}/documents.parquet"), odd.where("doc_id is null or doc_id <> 10")):
+        texts = docs.withColumn("doc_id", F.xxhash64("text")).dropDuplicates(["doc_id"]).where("length(text) < 40000 or text is null")
+        want = {r.doc_id: brute_quality(r.text) for r in texts.collect()}
+        for r in quality.quality(texts).collect():
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want[r.doc_id]
+            assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
+            assert not (r.base_failed and r.kept)
+
+
+def test_empty_tables(spark, none):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    path = vocab.path("byte_bpe_50k.tiktoken")
+    for df in (bpe.digests(none, path, vocab.PATTERN), repeats.digests(none), near.near_dedup(none), exact.exact_dedup(none), lines.line_dedup(none), wordpiece.token_counts(none, path), toxicity.toxicity(none, labels), packing.pack(none, vocab.path("byte_bpe_50k.json")), warc.round_trip(pages), quality.quality(none)):
+        assert df.count() == 0
+
+
+# the pipeline
+
+
+def test_stages_on_odd_documents(spark, odd, sf):
+    docs = clashing(odd)
+    cut = lines.without_repeats(docs)
+    assert cut.columns == docs.columns and cut.count() == docs.count()
+    cut = repeats.without_repeats(docs)
+    assert cut.columns == docs.columns and cut.count() == docs.count()
+    want = {r[0]: r[4] for r in brute_repeats([(r.doc_id, r.text) for r in odd.where("doc_id < 12 and doc_id <> 6").collect()])}
+    own = repeats.without_repeats(odd.where("doc_id < 12 and doc_id <> 6")).collect()
+    assert {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in own} == want and all(r.n_chars == len(r.text) for r in own)
+    kept = near.without_copies(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {1, 2, 3, 4, 5, None} and kept.where("doc_id in (6, 7)").count() == 0
+
+
+def test_pipeline_runs_whole(spark, sf):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, sf).collect()
+    assert len(rows) > 100 and {r.offset for r in rows} >= {0}
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "minhash_near_dedup", "suffix_array_dedup", "packing"]
+    assert stages.COLUMNS == ["doc_id", "text", "lang", "source", "n_chars"]
