@@ -1,0 +1,132 @@
+"""Queries of the mixed-pixel simulation: every part is a planting layout on a small grid of its own."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from terralyn.operators import grid
+from terralyn.sources.tables import table
+
+ROWS, COLS = 4, 5
+
+
+def _layouts(spark, sf_dir, blur: bool = False):
+    k = F.col("p_partkey")
+    names = F.array(*map(F.lit, grid.PATTERNS))
+    return table(spark, sf_dir, "part").select(k.alias("sim_id"), F.get(names, (k % 5).cast("int")).alias("pattern"), (F.col("p_size") % 20 + 10).cast("double").alias("width"), (k % 3 * 5).cast("double").alias("spacing"), F.lit(0.0).alias("rotation"), F.lit(10.0).alias("res"), F.lit(0.5 if blur else 0.0).alias("sigma"), F.lit(0.8).alias("threshold"))
+
+
+def grid_cells(spark, sf_dir):
+    return grid.cells(_layouts(spark, sf_dir), ROWS, COLS).select("sim_id", "row", "col", "east", "north")
+
+
+def pattern_purity(spark, sf_dir):
+    return grid.pixel_covers(_layouts(spark, sf_dir), ROWS, COLS).select("sim_id", "row", "col", "cover", F.round("weight", 8).alias("weight"))
+
+
+def _verdicts(spark, sf_dir, blur: bool):
+    layouts = _layouts(spark, sf_dir, blur)
+    covers = grid.pixel_covers(layouts, ROWS, COLS)
+    return grid.verdicts(grid.blurred(covers, layouts, ROWS, COLS) if blur else covers, layouts)
+
+
+def pixel_verdicts(spark, sf_dir):
+    return _verdicts(spark, sf_dir, False).select("sim_id", "row", "col", "verdict", *[F.round(c, 8).alias(c) for c in ("share_a", "bare", "off")])
+
+
+def psf_mix(spark, sf_dir):
+    layouts = _layouts(spark, sf_dir, True)
+    out = grid.blurred(grid.pixel_covers(layouts, ROWS, COLS), layouts, ROWS, COLS)
+    return out.select("sim_id", "row", "col", "cover", F.round("weight", 7).alias("weight"))
+
+
+def cover_stats(spark, sf_dir):
+    out = grid.cover_stats(_verdicts(spark, sf_dir, False))
+    return out.select("sim_id", "total", "pure_crop", "pure_a", "pure_b", "pure_bare", "mixed", "off_trial", F.round("mean_a", 8).alias("mean_a"), F.round("pure_pct", 8).alias("pure_pct"))
+
+
+def plot_tally(spark, sf_dir):
+    plots = _layouts(spark, sf_dir).select("sim_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("plot"))
+    return grid.plot_tally(_verdicts(spark, sf_dir, False), plots)
+
+
+def robust_pixels(spark, sf_dir):
+    layouts = _layouts(spark, sf_dir)
+    shifts = F.explode(F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in ((5.0, 0.0), (0.0, 5.0), (-5.0, 0.0), (0.0, -5.0))]))
+    moved = layouts.withColumn("_s", shifts).withColumns({"dx": F.col("_s.dx"), "dy": F.col("_s.dy"), "shift": F.concat_ws("/", "_s.dx", "_s.dy")})
+    keyed = moved.withColumn("sim_id", F.concat_ws(":", "sim_id", "shift"))
+    shifted = grid.verdicts(grid.pixel_covers(keyed, ROWS, COLS, F.col("dx"), F.col("dy")), keyed)
+    shifted = shifted.withColumn("sim_id", F.split("sim_id", ":")[0].cast("long"))
+    return grid.robust_mask(_verdicts(spark, sf_dir, False), shifted)
+
+
+def planted_share(spark, sf_dir):
+    out = grid.cover_stats(_verdicts(spark, sf_dir, False)).withColumn("planted", F.col("mean_a") * F.col("total"))
+    return out.select("sim_id", F.round(grid.planted_share(F.col("pure_a"), F.col("planted")), 6).alias("share"))
+
+
+def smallest_plots(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(grid.smallest_plot_side((F.col("p_size") % 10 + 1).cast("double"), F.col("p_size") / 10.0, 0.9), 4).alias("side"))
+
+
+def block_plots(spark, sf_dir):
+    k = F.col("l_orderkey")
+    li = table(spark, sf_dir, "lineitem")
+    u, v = (F.col("l_partkey") % 90 - 5).cast("double"), (F.col("l_suppkey") % 80 - 5 + k % 2 * 0.5).cast("double")
+    cover = grid.block_cover(u, v, F.lit(4), F.lit(5), F.lit(3), F.lit(20.0), F.lit(6.0), F.lit(1.0), F.lit(4.0))
+    return li.groupBy(cover.alias("cover")).agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (grid_cells, pattern_purity, pixel_verdicts, psf_mix, cover_stats, plot_tally, robust_pixels, planted_share, smallest_plots, block_plots)}
+
+
+def _covers(shift_x: str = "0", shift_y: str = "0", name: str = "") -> str:
+    return f"""
+lay{name} AS (SELECT p_partkey AS sim_id, ['row', 'col', 'checker', 'strip-row-2', 'strip-col-2'][p_partkey % 5 + 1] AS pat, CAST(p_size % 20 + 10 AS DOUBLE) AS w, CAST(p_partkey % 3 * 5 AS DOUBLE) AS s FROM part),
+fine{name} AS (SELECT sim_id, pat, w, w + s AS p, CAST(k // 5 AS INTEGER) AS row, CAST(k % 5 AS INTEGER) AS col, g, f,
+    k % 5 * 10.0 + (f % g + 0.5) * 10.0 / g - ({shift_x}) AS u, k // 5 * 10.0 + (f // g + 0.5) * 10.0 / g - ({shift_y}) AS v
+  FROM (SELECT *, unnest(range(0, 20)) AS k FROM (SELECT *, CAST(greatest(4, least(24, ceil(40.0 / w))) AS BIGINT) AS g FROM lay{name})), LATERAL (SELECT unnest(range(0, g * g)) AS f)),
+idx{name} AS (SELECT *, CAST(floor(u / p) AS BIGINT) AS iu, CAST(floor(v / p) AS BIGINT) AS iv, u - floor(u / p) * p < w AS inu, v - floor(v / p) * p < w AS inv FROM fine{name}),
+cov{name} AS (SELECT sim_id, row, col, f, g,
+    CASE pat WHEN 'row' THEN CASE WHEN inv THEN abs(iv % 2) ELSE 254 END WHEN 'col' THEN CASE WHEN inu THEN abs(iu % 2) ELSE 254 END
+      WHEN 'checker' THEN CASE WHEN inu AND inv THEN abs((iu + iv) % 2) ELSE 254 END
+      WHEN 'strip-row-2' THEN CASE WHEN inv THEN abs(CAST(floor(iv / 2.0) AS BIGINT) % 2) ELSE 254 END
+      ELSE CASE WHEN inu THEN abs(CAST(floor(iu / 2.0) AS BIGINT) % 2) ELSE 254 END END AS cover FROM idx{name}),
+sh{name} AS (SELECT sim_id, row, col, cover, count(*) / CAST(any_value(g * g) AS DOUBLE) AS weight, min(f) AS first FROM cov{name} GROUP BY 1, 2, 3, 4),
+ver{name} AS (SELECT sim_id, row, col, CASE WHEN round(arg_max(weight, (round(weight, 9), -first)) / sum(weight), 9) < 0.8 THEN 255 ELSE arg_max(cover, (round(weight, 9), -first)) END AS verdict,
+    sum(CASE WHEN cover = 0 THEN weight ELSE 0 END) / sum(weight) AS share_a, sum(CASE WHEN cover = 254 THEN weight ELSE 0 END) / sum(weight) AS bare FROM sh{name} GROUP BY 1, 2, 3)
+"""
+
+
+_STATS = """
+st AS (SELECT sim_id, count(*) AS total, count(*) FILTER (verdict < 253) AS pure_crop, count(*) FILTER (verdict = 0) AS pure_a, count(*) FILTER (verdict = 1) AS pure_b,
+  count(*) FILTER (verdict = 254) AS pure_bare, count(*) FILTER (verdict = 255) AS mixed, CAST(0 AS BIGINT) AS off_trial, avg(share_a) AS mean_a FROM ver GROUP BY 1)
+"""
+
+ORACLE_SQL = {
+    "grid_cells": "SELECT p_partkey AS sim_id, CAST(k // 5 AS INTEGER) AS row, CAST(k % 5 AS INTEGER) AS col, k % 5 * 10.0::DOUBLE AS east, k // 5 * 10.0::DOUBLE AS north FROM part, range(20) r(k)",
+    "pattern_purity": f"WITH {_covers()} SELECT sim_id, row, col, CAST(cover AS INTEGER) AS cover, round(weight, 8) AS weight FROM sh",
+    "pixel_verdicts": f"WITH {_covers()} SELECT sim_id, row, col, CAST(verdict AS INTEGER) AS verdict, round(share_a, 8) AS share_a, round(bare, 8) AS bare, CAST(0 AS DOUBLE) AS off FROM ver",
+    "psf_mix": f"""
+WITH {_covers()},
+k AS (SELECT dy, dx FROM range(-2, 3) a(dy), range(-2, 3) b(dx))
+SELECT sim_id, CAST(row - dy AS INTEGER) AS row, CAST(col - dx AS INTEGER) AS col, CAST(cover AS INTEGER) AS cover, round(sum(exp(-0.5 * ((dx / 0.5) ** 2 + (dy / 0.5) ** 2)) * weight), 7) AS weight
+FROM sh, k WHERE row - dy BETWEEN 0 AND 3 AND col - dx BETWEEN 0 AND 4 GROUP BY 1, 2, 3, 4
+""",
+    "cover_stats": f"WITH {_covers()}, {_STATS} SELECT sim_id, total, pure_crop, pure_a, pure_b, pure_bare, mixed, off_trial, round(mean_a, 8) AS mean_a, round(100.0 * pure_crop / total, 8) AS pure_pct FROM st",
+    "plot_tally": f"""
+WITH {_covers()}, n AS (SELECT l.sim_id, p.plot, count(v.verdict) AS n FROM lay l CROSS JOIN (VALUES (0), (1)) p(plot) LEFT JOIN ver v ON v.sim_id = l.sim_id AND v.verdict = p.plot GROUP BY 1, 2)
+SELECT sim_id, min(n) AS least, median(n) AS median, count(*) FILTER (n = 0) AS without FROM n GROUP BY 1
+""",
+    "robust_pixels": "WITH " + _covers() + "".join(", " + _covers(x, y, f"_{i}") for i, (x, y) in enumerate((("5", "0"), ("0", "5"), ("-5", "0"), ("0", "-5")))) + """
+SELECT v.sim_id, v.row, v.col, a.verdict = v.verdict AND b.verdict = v.verdict AND c.verdict = v.verdict AND d.verdict = v.verdict AS robust
+FROM ver v JOIN ver_0 a USING (sim_id, row, col) JOIN ver_1 b USING (sim_id, row, col) JOIN ver_2 c USING (sim_id, row, col) JOIN ver_3 d USING (sim_id, row, col) WHERE v.verdict < 253
+""",
+    "planted_share": f"WITH {_covers()}, {_STATS} SELECT sim_id, round(CASE WHEN mean_a * total >= 1 THEN greatest(0, least(100, 100.0 * pure_a / (mean_a * total))) END, 6) AS share FROM st",
+    "block_plots": """
+WITH q AS (SELECT CAST(l_partkey % 90 - 5 AS DOUBLE) AS u, l_suppkey % 80 - 5 + l_orderkey % 2 * 0.5 AS v FROM lineitem),
+b AS (SELECT u, v, floor(u / 24) AS c, floor(v / 31) AS r FROM q),
+p AS (SELECT *, r * 3 + c AS b, u - c * 24 AS ui, v - r * 31 AS vi FROM b)
+SELECT CAST(CASE WHEN u < 0 OR v < 0 OR u >= 68 OR v >= 58 OR b >= 5 THEN 253 WHEN ui >= 20 OR vi >= 27 OR floor(vi / 7) >= 4 OR vi - floor(vi / 7) * 7 >= 6 THEN 254 ELSE b * 4 + floor(vi / 7) END AS INTEGER) AS cover, count(*) AS n FROM p GROUP BY 1
+""",
+}

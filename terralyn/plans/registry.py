@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import field_queries, profiles, series_queries
+from . import field_queries, grid_queries, profiles, series_queries, stat_queries
 
-_PLANS = [profiles, series_queries, field_queries]
+_PLANS = [profiles, series_queries, field_queries, stat_queries, grid_queries]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
