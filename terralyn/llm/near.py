@@ -5,8 +5,9 @@ neighbours whose common prefix has at least SHALLOW hashes are candidates. The d
 that more than REGION sets share is followed deeper, and its children are paired inside and along their borders. At
 full depth, a region that is still larger pairs its neighbours, and the rest of it is settled once components are
 known: only pairs from different components can still matter, and those are compared in blocks, without a cap.
-Candidates are first held against all TREES x DEPTH hashes, then confirmed on the full sets. Of a region's candidates a
-spanning forest is confirmed first; the others only where they would join different components.
+Candidates are first held against all TREES x DEPTH hashes, then confirmed on the full sets, in three rounds: of each
+document the best candidate with a smaller id; of each two components that candidates still join the best one; and then
+every candidate between different components. A pair inside one component needs no confirmation.
 
 Cases: a null, empty or blank text has no shingles and links with nothing; a text of one word has that word as its
 shingle; documents with equal sets are one node, so any number of copies costs a row each; rows that share an id share
@@ -93,21 +94,10 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
 
 
-def _forest(agree: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of a small region that agree enough, best first, and which of them span it."""
+def _within(agree: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a small region that agree enough, and in how many hashes."""
     i, j = np.nonzero(np.triu(agree >= AGREE, 1))
-    order = np.argsort(-agree[i, j], kind="stable")
-    i, j = i[order], j[order]
-    root, spans = list(range(len(ids))), np.zeros(len(i), bool)
-    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        while root[a] != a:
-            a = root[a]
-        while root[b] != b:
-            b = root[b]
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            spans[k] = True
-    return ids[i], ids[j], spans
+    return ids[i], ids[j], agree[i, j]
 
 
 def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -119,8 +109,9 @@ def _pair(keys: np.ndarray, ids: np.ndarray, sig: np.ndarray, out: list, dense:
 
     def beside(lo: int, hi: int, reach: int) -> None:
         for s in range(1, reach + 1):
-            good = np.flatnonzero((sig[lo + s : hi] == sig[lo : hi - s]).sum(axis=1) >= AGREE) + lo
-            out.append((ids[good], ids[good + s], np.ones(len(good), bool)))
+            agree = (sig[lo + s : hi] == sig[lo : hi - s]).sum(axis=1)
+            good = np.flatnonzero(agree >= AGREE)
+            out.append((ids[good + lo], ids[good + lo + s], agree[good]))
 
     todo = [(0, len(ids), SHALLOW)]
     while todo:
@@ -128,7 +119,7 @@ def _pair(keys: np.ndarray, ids: np.ndarray, sig: np.ndarray, out: list, dense:
         if hi - lo < 2:
             continue
         if hi - lo <= REGION:
-            out.append(_forest(_agreement(sig[lo:hi], sig[lo:hi]), ids[lo:hi]))
+            out.append(_within(_agreement(sig[lo:hi], sig[lo:hi]), ids[lo:hi]))
         elif depth < DEPTH:
             part = keys[lo:hi, 1 + 4 * depth : 5 + 4 * depth]
             cuts = np.flatnonzero((part[1:] != part[:-1]).any(axis=1)) + 1 + lo
@@ -141,7 +132,7 @@ def _pair(keys: np.ndarray, ids: np.ndarray, sig: np.ndarray, out: list, dense:
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """a, b, spans of candidate pairs; rows of regions too dense to pair come with key, id and hashes instead."""
+    """a, b, agree of candidate pairs; rows of regions too dense to pair come with key, id and hashes instead."""
     width = 1 + 4 * DEPTH
 
     def plant(batches):
@@ -168,15 +159,15 @@ def candidates(reps: DataFrame) -> DataFrame:
                 _pair(keys[lo:hi], ids[lo:hi], sig[lo:hi], out, dense)
                 thick += [np.arange(lo + a, lo + b) for a, b in dense]
             if out:
-                a, b, spans = (np.concatenate([x[c] for x in out]) for c in range(3))
+                a, b, agree = (np.concatenate([x[c] for x in out]) for c in range(3))
                 if len(a):
                     none = pa.nulls(len(a), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(spans), none, none], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agree.astype(np.int32)), none, none], names)
             if thick:
                 own = np.concatenate(thick)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.bool_()), _binary(keys[own]), _binary(sig[own])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int32()), _binary(keys[own]), _binary(sig[own])], names)
 
-        names = ["a", "b", "spans", "key", "hashes"]
+        names = ["a", "b", "agree", "key", "hashes"]
         for batch in batches:
             now = [np.concatenate([h, x]) for h, x in zip(held, (_bytes(batch.column("key"), width), batch.column("id").to_numpy(), _bytes(batch.column("hashes"), TREES * DEPTH)), strict=True)]
             head = now[0][:, : 1 + 4 * SHALLOW]
@@ -188,12 +179,14 @@ def candidates(reps: DataFrame) -> DataFrame:
 
     rows = reps.select("doc_id", "sig").mapInArrow(plant, "key binary, id long, hashes binary")
     dealt = rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
-    return dealt.mapInArrow(pair, "a long, b long, spans boolean, key binary, hashes binary")
+    return dealt.mapInArrow(pair, "a long, b long, agree int, key binary, hashes binary")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= PERCENT * union."""
     pairs = checkpoint(pairs.select("a", "b").distinct())
+    if not pairs.limit(1).count():
+        return pairs
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropna(subset=["doc_id"])
@@ -261,6 +254,27 @@ def _between(dense: DataFrame, labels: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").where("a <> b")
 
 
+def _best(pairs: DataFrame, groups: list[str]) -> DataFrame:
+    """The pair of each group that agrees in most hashes."""
+    best = F.max(F.struct("agree", F.bitwise_not("a").alias("less"), "a", "b")).alias("best")
+    return pairs.groupBy(*groups).agg(best).select("best.a", "best.b")
+
+
+def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components (_low, _high) so far."""
+    own = _label(_label(pairs, labels, "a", "_ca"), labels, "b", "_cb").where("_ca <> _cb")
+    return checkpoint(own.select("a", "b", "agree", F.least("_ca", "_cb").alias("_low"), F.greatest("_ca", "_cb").alias("_high")))
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after more links."""
+    joins = _label(_label(links, labels, "a", "_ca"), labels, "b", "_cb").where("_ca <> _cb").select(F.col("_ca").alias("a"), F.col("_cb").alias("b"))
+    joins = checkpoint(joins.distinct())
+    if not joins.limit(1).count():
+        return labels
+    return components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(joins))
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
     spark = docs.sparkSession
@@ -274,15 +288,12 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     reps = full.join(nodes.where("doc_id = rep").select("doc_id", *key), ["doc_id", *key], "left_semi").dropDuplicates(["doc_id", *key])
     candidates(reps).write.parquet(f"{folder}/candidates")
     found = spark.read.parquet(f"{folder}/candidates")
-    pairs = found.where("b is not null").groupBy("a", "b").agg(F.max("spans").alias("spans")).where("a <> b")
-    links = confirmed(pairs.where("spans"), docs)
-    links = checkpoint(links)
-    labels = components(links)
-    others = _label(_label(pairs.where("not spans"), labels, "a", "_ca"), labels, "b", "_cb").where("_ca <> _cb").select("a", "b")
-    rest = confirmed(others.unionByName(_between(found.where("key is not null"), labels)), docs)
-    joins = checkpoint(_label(_label(rest, labels, "a", "_ca"), labels, "b", "_cb").select(F.col("_ca").alias("a"), F.col("_cb").alias("b")).distinct())
-    if joins.limit(1).count():
-        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(joins))
+    pairs = checkpoint(found.where("b is not null").groupBy("a", "b").agg(F.max("agree").alias("agree")).where("a <> b"))
+    labels = components(confirmed(_best(pairs, ["b"]), docs))
+    between = _crossing(pairs, labels)
+    labels = _joined(labels, confirmed(_best(between, ["_low", "_high"]), docs))
+    rest = _crossing(pairs, labels).select("a", "b").unionByName(_between(found.where("key is not null"), labels))
+    labels = _joined(labels, confirmed(rest, docs))
     own = _label(nodes, labels, "rep", "component_id").groupBy("doc_id", *key).agg(F.min("component_id").alias("component_id"))
     out = rows.select("doc_id", *key).join(own, ["doc_id", *key], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
