@@ -3,8 +3,9 @@
 A line's tokens are its distinct words, A-Z in lower case. A line goes if an earlier line (smaller doc_id, or earlier in
 the same document) has a token set whose Jaccard similarity with its own is at least 4/5, judged on the input. Tokens
 are ordered by rarity, so a line meets only the lines with which it shares a token of its rarest fifth, its prefix;
-pairs then pass a length filter, a positional filter and a bitmap bound on the overlap, none of which loses a pair, and
-are verified on the full sets.
+pairs then pass a length filter, a positional filter (what follows the first shared token must suffice) and a parity
+bitmap (each token that only one line has flips one of its 256 bits), none of which loses a pair, and are verified on
+the full sets.
 
 Rarity comes from a table of COUNTERS counts over all documents, whose size does not grow with the corpus: words that
 share a counter are taken as equally rare, which costs time, never a pair. A token that occurs once can match
@@ -97,12 +98,13 @@ def line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _marks(hashes: np.ndarray, cuts: np.ndarray, codes: np.ndarray):
-    """For some lines (cuts in hashes): fingerprint, bitmap, and keys with the line and position of each."""
+    """For some lines (cuts in hashes): fingerprint, parity bitmap, and keys with the line and position of each."""
     n = np.diff(cuts)
     line = np.repeat(np.arange(len(n)), n)
     prints = np.add.reduceat(mix64(hashes ^ U64(0x5851F42D4C957F2D)), cuts[:-1])
     prints = mix64(prints + n.astype(U64))
-    bits = [np.bitwise_or.reduceat(np.where((hashes >> U64(40)) & U64(1) == U64(k), U64(1) << ((hashes >> U64(41)) & U64(63)), U64(0)), cuts[:-1]) for k in (0, 1)]
+    bit, word = U64(1) << ((hashes >> U64(42)) & U64(63)), (hashes >> U64(40)) & U64(3)
+    bits = [np.bitwise_xor.reduceat(np.where(word == U64(k), bit, U64(0)), cuts[:-1]) for k in range(4)]
     code = codes[(hashes & U64((1 << COUNTER_BITS) - 1)).astype(np.int64)]
     rank = line.astype(U64) << U64(40) | code.astype(U64) << U64(32) | hashes >> U64(32)
     order = np.argsort(rank, kind="stable")  # ties stay in order of the hash
@@ -126,7 +128,7 @@ def _marks(hashes: np.ndarray, cuts: np.ndarray, codes: np.ndarray):
     return prints, bits, np.concatenate(keys), np.concatenate(at), np.concatenate(where), n
 
 
-_ROW = ["key", "kind", "print", "low", "high", "_doc", "line"]
+_ROW = ["key", "kind", "print", "b0", "b1", "b2", "b3", "_doc", "line"]
 
 
 def matches(docs: DataFrame, codes) -> DataFrame:
@@ -173,7 +175,7 @@ def matches(docs: DataFrame, codes) -> DataFrame:
             other = [pa.nulls(len(doc), pa.int64())] * 2 if to_doc is None else [pa.array(to_doc), pa.array(to_line)]
             return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(line), *other], ["_doc", "line", "to_doc", "to_line"])
 
-        def work(key, kind, prints, low, high, doc, line):
+        def work(key, kind, prints, b0, b1, b2, b3, doc, line):
             settled = kind == -2
             yield table(doc[settled], line[settled])
             own = kind == -1  # sorted by key, kind, print, document and line
@@ -182,10 +184,11 @@ def matches(docs: DataFrame, codes) -> DataFrame:
             again[1:] = k[1:] == k[:-1]
             yield table(d[again], x[again])
             own = kind >= 0
-            key, kind, prints, low, high, doc, line = (c[own] for c in (key, kind, prints, low, high, doc, line))
+            key, kind, prints, b0, b1, b2, b3, doc, line = (c[own] for c in (key, kind, prints, b0, b1, b2, b3, doc, line))
             first = np.ones(len(key), bool)
             first[1:] = (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]) | (prints[1:] != prints[:-1])
-            key, kind, prints, low, high, doc, line = (c[first] for c in (key, kind, prints, low, high, doc, line))
+            key, kind, prints, b0, b1, b2, b3, doc, line = (c[first] for c in (key, kind, prints, b0, b1, b2, b3, doc, line))
+            parity = np.stack([b0, b1, b2, b3], axis=1).view(U64)
             n, pos = kind >> 20, (kind & 0xFFFFF) - 1
             live, step = np.arange(len(key)), 1
             while len(live):
@@ -193,11 +196,12 @@ def matches(docs: DataFrame, codes) -> DataFrame:
                 to = live + step
                 go = (key[to] == key[live]) & (5 * n[live] >= 4 * n[to])  # sizes only grow along a key
                 live, to = live[go], to[go]
-                left = np.where((pos[live] >= 0) & (pos[to] >= 0), 1 + np.minimum(n[live] - pos[live], n[to] - pos[to]) - 1, n[live])
-                apart = np.bitwise_count((low[live] ^ low[to]).view(U64)).astype(np.int64) + np.bitwise_count((high[live] ^ high[to]).view(U64))
-                most = np.minimum(left + np.minimum(pos[live], pos[to]).clip(0), (n[live] + n[to] - apart) // 2)
-                good = similar(most, n[live], n[to]) & (prints[live] != prints[to])
-                a, b = live[good], to[good]
+                rest = np.where((pos[live] >= 0) & (pos[to] >= 0), np.minimum(n[live] - pos[live], n[to] - pos[to]), n[live])
+                near = similar(rest, n[live], n[to]) & (prints[live] != prints[to])
+                a, b = live[near], to[near]
+                apart = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64)
+                good = similar((n[a] + n[b] - apart) // 2, n[a], n[b])
+                a, b = a[good], b[good]
                 later = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & (line[a] > line[b]))
                 a, b = np.where(later, a, b), np.where(later, b, a)
                 if len(a):
