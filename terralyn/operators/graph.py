@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by files in the folder that the cluster names."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
+    """Cuts the lineage by a table in the folder that the cluster names in spark.checkpoint.dir."""
+    spark = df.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def components(edges: DataFrame) -> DataFrame:
