@@ -1,0 +1,153 @@
+"""Golden values and edge rules of single operators."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from terralyn.functions import curves, geometry, spectral
+from terralyn.operators import cluster, grid, matrix, phenology, relational, series, stats
+from terralyn.sources import geometry_text, sinks
+from terralyn.streaming import windows
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("v")).first()["v"]
+
+
+def test_weighted_median_averages_exact_halves(spark):
+    rows = [(1, 60, 30.0), (1, 90, 30.0), (2, 60, 30.0), (2, 90, 31.0), (3, 5, 0.0), (3, 100, 7.0)]
+    got = stats.weighted_median(spark.createDataFrame(rows, "g int, v int, w double"), ["g"], "v", "w")
+    assert dict(map(tuple, got.collect())) == {1: 75.0, 2: 90.0, 3: 100.0}
+
+
+def test_day_axis_crosses_years(spark):
+    days = spark.sql("select explode(sequence(date'2020-01-01', date'2029-12-31')) d").select(curves.day_index(F.col("d"), F.lit(2020)).alias("k"))
+    assert sorted(r.k for r in days.collect()) == list(range(1, 3654))
+
+
+def test_index_of_missing_bands_is_null(spark):
+    zero, x = spectral.band(F.lit(0.0)), F.lit(0.5)
+    assert one(spark, spectral.index_value("ndvi", zero, x)) is None
+    assert one(spark, spectral.index_value("evi", F.lit(0.2), x, blue=spectral.band(F.lit(0.0)))) == pytest.approx(0.3 / 0.7)
+    with pytest.raises(ValueError):
+        spectral.index_value("none", x, x)
+
+
+def test_pattern_grid_golden_rows(spark):
+    layouts = spark.createDataFrame([("a", "row", 20.0, 0.0, 0.0, 10.0, 0.0, 0.8), ("b", "checker", 13.0, 0.0, 0.0, 10.0, 0.0, 0.8), ("c", "checker", 30.0, 10.0, 0.0, 10.0, 0.0, 0.8), ("d", "strip-row-2", 13.0, 0.0, 0.0, 10.0, 0.0, 0.8)], "sim_id string, pattern string, width double, spacing double, rotation double, res double, sigma double, threshold double")
+    covers = grid.pixel_covers(layouts, 12, 16)
+    got = {r.sim_id: (round(r.pure_pct, 4), r.pure_a, r.pure_b, r.pure_bare, round(r.mean_a, 6)) for r in grid.cover_stats(grid.verdicts(covers, layouts)).collect()}
+    assert got["a"] == (100.0, 96, 96, 0, 0.5) and got["b"] == (18.2292, 18, 17, 0, 0.501302)
+    assert got["c"] == (56.25, 54, 54, 84, 0.28125) and got["d"] == (66.6667, 64, 64, 0, 0.541667)
+    half = grid.cover_stats(grid.verdicts(grid.pixel_covers(layouts.where("sim_id = 'a'"), 12, 16, 0.0, 5.0), layouts)).first()
+    assert half.pure_pct == pytest.approx(50.0)
+
+
+def test_closed_forms(spark):
+    assert grid.probit(0.975) == pytest.approx(1.959964, abs=1e-6)
+    got = [one(spark, grid.smallest_plot_side(F.lit(r), F.lit(s), 0.9)) for r, s in ((1.6, 0.97), (2.0, 2.23), (3.0, 4.24), (10.0, 6.82))]
+    assert got == pytest.approx([4.8, 9.3, 16.8, 32.2], abs=0.1)
+    assert [one(spark, grid.planted_share(F.lit(a), F.lit(b))) for a, b in ((1.0, 4.0), (9.0, 4.0), (1.0, 0.5))] == [25.0, 100.0, None]
+
+
+def test_robust_mask(spark):
+    nominal = [0, 0, 0, 1, 255, 254, 3]
+    shifted = [[0, 1, 0, 1, 255, 254, 3], [0, 0, 0, 1, 255, 254, 255]]
+    frame = lambda vs: spark.createDataFrame([(1, 0, k, v) for k, v in enumerate(vs)], "sim_id int, row int, col int, verdict int")
+    got = grid.robust_mask(frame(nominal), frame(shifted[0]).union(frame(shifted[1])))
+    assert {r.col: r.robust for r in got.collect()} == {0: True, 1: False, 2: True, 3: True, 6: False}
+
+
+def test_utm_of_known_points(spark):
+    def utm(lng, lat):
+        return one(spark, geometry.to_utm(F.lit(lng), F.lit(lat), geometry.utm_zone(F.lit(lng))))
+
+    assert tuple(utm(3.0, 0.0)) == pytest.approx((500000.0, 0.0), abs=1e-3)
+    east, north = utm(4.7, 50.6)
+    assert 600_000 < east < 640_000 and 5_600_000 < north < 5_610_000
+    a, b = utm(4.7, 50.6), utm(4.7, 50.601)
+    assert math.hypot(b[0] - a[0], b[1] - a[1]) == pytest.approx(111.26 * 0.9998, abs=0.2)
+
+
+def test_text_geometries(spark):
+    texts = ["POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 2 1, 2 2, 1 1))", "srid", "SRID=4326;MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)))", '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}', "POLYGON ((a b, 1 1, 2 2, a b))", None, '{"type":"Point","coordinates":[1,2]}']
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, wkt string").select("k", F.size(geometry_text.rings(F.col("wkt"))).alias("n"))
+    assert {r.k: r.n for r in got.collect()} == {0: 2, 1: None, 2: 1, 3: 1, 4: None, 5: None, 6: None} or {r.k: max(r.n or 0, 0) for r in got.collect()} == {0: 2, 1: 0, 2: 1, 3: 1, 4: 0, 5: 0, 6: 0}
+    df = spark.createDataFrame([("x", texts[0], "POINT (1 1)")], "name string, Geom string, wkt string")
+    assert geometry_text.geometry_column(df) == "Geom" and geometry_text.geometry_column(df.select("name")) is None
+
+
+def test_geojson_and_kml_files(spark, tmp_path):
+    (tmp_path / "a.geojson").write_text('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"crop":"maize"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[2,0],[2,2],[0,0]]]}},{"type":"Feature","properties":{},"geometry":{"type":"Point","coordinates":[0,0]}}]}')
+    rows = geometry_text.read_geojson(spark, str(tmp_path / "a.geojson")).orderBy("pos").collect()
+    assert rows[0].props == {"crop": "maize"} and len(rows[0].rings[0]) == 4 and rows[1].rings is None and rows[1].type == "Point"
+    (tmp_path / "a.kml").write_text("<kml><Document><Placemark><name>p1</name><Polygon><outerBoundaryIs><LinearRing><coordinates>0,0,0 1,0,0 1,1,0 0,0,0</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark><Placemark><name>p2</name></Placemark></Document></kml>")
+    rows = {r.name: r.rings for r in geometry_text.read_kml(spark, str(tmp_path / "a.kml")).collect()}
+    assert len(rows["p1"][0]) == 4 and rows["p2"] is None
+
+
+def test_curve_fit_recovers_its_own_equation(spark):
+    t = np.arange(5, 366, 10.0)
+    fit = phenology.fit_curve(t, phenology._curve(t, np.array(curves.PRESETS["maize"])))
+    assert fit["r2"] > 0.995 and not fit["poor_fit"] and fit["sos"] < fit["peak_day"] < fit["eos"]
+    assert phenology.fit_curve(t[:5], t[:5])["poor_fit"] and phenology.fit_curve(t, np.full(len(t), 0.3))["r2"] is None
+
+
+def test_pca_recovers_a_plane_and_ica_separates(spark):
+    rng = np.random.default_rng(0)
+    source = rng.uniform(-1, 1, (600, 2))
+    x = source @ np.array([[2.0, 1.0, 0.5, 0.0], [0.3, -1.0, 0.2, 1.0]])
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    scores, shares = matrix.pca(rows, rows, 3)
+    assert shares.orderBy("component").collect()[1].cumulative == pytest.approx(1.0)
+    assert scores.agg(F.avg(F.col("scores")[0])).first()[0] == pytest.approx(0, abs=1e-9)
+    mean, axes = matrix.independent_axes(rows, 2, rounds=60)
+    mixed = np.abs(np.corrcoef(((x - mean) @ axes.T).T, source.T)[:2, 2:])
+    assert mixed.max(axis=1).min() > 0.98
+
+
+def test_kmeans_finds_far_groups(spark):
+    rng = np.random.default_rng(1)
+    rows = [("s", k, (np.array([10.0 * (k % 3 > 0), 10.0 * (k % 3 > 1)]) + rng.normal(0, 0.3, 2)).tolist()) for k in range(90)]
+    got = {r.id: r.cluster for r in cluster.kmeans(spark.createDataFrame(rows, "g string, id long, v array<double>"), "g", 3, rounds=5).collect()}
+    assert len({(k % 3, c) for k, c in got.items()}) == 3
+
+
+def test_numbering_and_samples(spark):
+    rows = spark.range(0, 1000).select((F.col("id") * 7 % 1000).alias("k"))
+    assert sorted((r.k, r.pid) for r in relational.numbered(rows, "k").collect()) == [(k, k) for k in range(1000)]
+    assert sorted(r.k for r in relational.evenly_spaced(rows, "k", 1).collect()) == [0]
+    assert sorted(r.k for r in relational.evenly_indexed(rows, "k", 3).collect()) == [0, 333, 666]
+
+
+def test_sparse_date_keeps_its_support(spark):
+    rows = [("a", f"2021-01-{d:02d}", 0.5 if k == 0 else 0.6) for d in (1, 2) for k in range(2)] + [("b", "2021-01-03", 0.1)]
+    own = spark.createDataFrame(rows, "g string, date string, value double")
+    got = {(r.g, r.date): (r["mean"], r.support) for r in series.centroids(own, "g").collect()}
+    assert got["a", "2021-01-01"] == (pytest.approx(0.55), 2) and got["a", "2021-01-03"] == (None, 0)
+
+
+def test_scripts_and_sinks(spark, tmp_path):
+    assert relational.run_script(spark, "select 1 as a; select 'x;y' as b").first()["b"] == "x;y"
+    with pytest.raises(ValueError):
+        relational.run_script(spark, " ; ")
+    sinks.write_csv(spark.createDataFrame([("a", 1 / 3)], "g string, v double"), str(tmp_path / "c"), {"v": 4})
+    assert next((tmp_path / "c").glob("part-*")).read_text() == "g,v\na,0.3333\n"
+
+
+def test_stream_of_daily_means(spark, sf, tmp_path):
+    source = tmp_path / "events"
+    spark.read.parquet(f"{sf}/events.parquet").repartition(2).write.parquet(str(source))
+    out = windows.daily_means(windows.event_stream(spark, str(source)))
+    query = out.writeStream.format("memory").queryName("daily").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    assert query.awaitTermination(120)
+    assert spark.table("daily").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_spatial_joins_are_equi_joins(spark, sf):
+    from terralyn.plans.field_queries import neighbour_pairs
+
+    plan = neighbour_pairs(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
