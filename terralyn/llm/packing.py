@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import batches_of_texts, byte_chars, codec
-from .common import U64, steps, utf8, word_hashes
+from .common import U64, shuffle_parts, steps, utf8, word_hashes
 
 LENGTH = 2048
 DIMS, BITS = 3, 16
@@ -179,5 +179,6 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, with_ids: bool = False) ->
         packer.finish()
         yield from flush(packer)
 
-    dealt = keyed(docs).repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id")
+    # long documents lie together on the curve: parts finer than the shuffle's even out their bytes
+    dealt = keyed(docs).repartitionByRange(4 * shuffle_parts(docs.sparkSession), "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
     return dealt.mapInArrow(run, f"doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long{extra}")
