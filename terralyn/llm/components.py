@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by minimum labels with pointer jumping."""
+"""Connected components of a table of links, by minimum labels with pointer jumping, and roots of a forest."""
 
 from __future__ import annotations
 
@@ -26,3 +26,17 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         labels = now.select("id", "component")
         if not changed:
             return labels
+
+
+def roots(parents: DataFrame) -> DataFrame:
+    """(id, component) of rows (id, parent), one for each id, without cycles: the end of each id's way up.
+
+    Each round doubles the way that every id has gone; an id without a parent is a root and has no row.
+    """
+    labels = checkpoint(parents.select("id", F.col("parent").alias("component")))
+    while True:
+        up = labels.select(F.col("id").alias("component"), F.col("component").alias("root"))
+        now = checkpoint(labels.join(up, "component", "left").select("id", F.coalesce("root", "component").alias("component"), F.col("root").isNotNull().alias("moved")))
+        labels = now.select("id", "component")
+        if not now.where("moved").limit(1).count():
+            return labels

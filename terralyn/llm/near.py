@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, checkpoint, group_facts, mix64, salted, shared_folder, shuffle_parts, steps, utf8, word_hashes
-from .components import components
+from .components import components, roots
 
 TREES, DEPTH, SHALLOW, REGION = 12, 6, 3, 32
 #: Equal hashes of all TREES x DEPTH that a candidate needs: 5 standard deviations under a similarity of 0.8.
@@ -267,12 +267,17 @@ def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """The labels after more links."""
+    """The labels after more links, which join components: only those are walked, not their members.
+
+    A component's name, its smallest id, has no label of its own until the component joins another.
+    """
     joins = _label(_label(links, labels, "a", "_ca"), labels, "b", "_cb").where("_ca <> _cb").select(F.col("_ca").alias("a"), F.col("_cb").alias("b"))
     joins = checkpoint(joins.distinct())
     if not joins.limit(1).count():
         return labels
-    return components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(joins))
+    names = components(joins)
+    moved = labels.join(names.select(F.col("id").alias("component"), F.col("component").alias("_to")), "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
+    return checkpoint(moved.unionByName(names.where("id <> component")))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -289,7 +294,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     candidates(reps).write.parquet(f"{folder}/candidates")
     found = spark.read.parquet(f"{folder}/candidates")
     pairs = checkpoint(found.where("b is not null").groupBy("a", "b").agg(F.max("agree").alias("agree")).where("a <> b"))
-    labels = components(confirmed(_best(pairs, ["b"]), docs))
+    labels = roots(confirmed(_best(pairs, ["b"]), docs).select(F.col("b").alias("id"), F.col("a").alias("parent")))
     between = _crossing(pairs, labels)
     labels = _joined(labels, confirmed(_best(between, ["_low", "_high"]), docs))
     rest = _crossing(pairs, labels).select("a", "b").unionByName(_between(found.where("key is not null"), labels))

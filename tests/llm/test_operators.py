@@ -221,6 +221,16 @@ def test_components_of_a_long_chain(spark):
     assert got == {**dict.fromkeys(range(40), 0), 500: 500, 501: 500}
 
 
+def test_roots_of_a_forest(spark):
+    parents = {k: k - 1 - k % 3 for k in range(1, 60)} | {101: 100}
+    got = components.roots(spark.createDataFrame(list(parents.items()), "id long, parent long"))
+
+    def root(k):
+        return root(parents[k]) if k in parents else k
+
+    assert dict(map(tuple, got.collect())) == {k: root(k) for k in parents}
+
+
 # 5: lines
 
 
