@@ -5,9 +5,9 @@ neighbours whose common prefix has at least SHALLOW hashes are candidates. The d
 that more than REGION sets share is followed deeper, and its children are paired inside and along their borders. At
 full depth, a region that is still larger pairs its neighbours, and the rest of it is settled once components are
 known: only pairs from different components can still matter, and those are compared in blocks, without a cap.
-Candidates are first held against all TREES x DEPTH hashes, then confirmed on the full sets, in three rounds: of each
-document the best candidate with a smaller id; of each two components that candidates still join the best one; and then
-every candidate between different components. A pair inside one component needs no confirmation.
+Candidates are first held against all TREES x DEPTH hashes, then confirmed on the full sets, in two rounds: of each
+document the best candidate with a smaller id, and then every candidate between different components. A pair inside one
+component needs no confirmation. Sets meet by regions, so their number follows the documents, not the pairs.
 
 Cases: a null, empty or blank text has no shingles and links with nothing; a text of one word has that word as its
 shingle; documents with equal sets are one node, so any number of copies costs a row each; rows that share an id share
@@ -16,6 +16,8 @@ a node where their sets are equal; a null doc_id is its own component.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -104,14 +106,21 @@ def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x[:, None, :] == y[None, :, :]).sum(axis=2)
 
 
+def _alone(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A region of its own for each pair."""
+    low, high = np.minimum(a, b).astype(U64), np.maximum(a, b).astype(U64)
+    return mix64(low * U64(0x9E3779B97F4A7C15) + mix64(high)).view(np.int64)
+
+
 def _pair(keys: np.ndarray, ids: np.ndarray, sig: np.ndarray, out: list, dense: list) -> None:
-    """Candidates among sorted rows of one prefix of SHALLOW hashes."""
+    """Candidates among sorted rows of one prefix of SHALLOW hashes, with a name of the small region that holds each."""
 
     def beside(lo: int, hi: int, reach: int) -> None:
         for s in range(1, reach + 1):
             agree = (sig[lo + s : hi] == sig[lo : hi - s]).sum(axis=1)
             good = np.flatnonzero(agree >= AGREE)
-            out.append((ids[good + lo], ids[good + lo + s], agree[good]))
+            a, b = ids[good + lo], ids[good + lo + s]
+            out.append((a, b, agree[good], _alone(a, b)))
 
     todo = [(0, len(ids), SHALLOW)]
     while todo:
@@ -119,7 +128,9 @@ def _pair(keys: np.ndarray, ids: np.ndarray, sig: np.ndarray, out: list, dense:
         if hi - lo < 2:
             continue
         if hi - lo <= REGION:
-            out.append(_within(_agreement(sig[lo:hi], sig[lo:hi]), ids[lo:hi]))
+            a, b, agree = _within(_agreement(sig[lo:hi], sig[lo:hi]), ids[lo:hi])
+            name = mix64(np.frombuffer(hashlib.blake2b(keys[lo, : 1 + 4 * depth].tobytes(), digest_size=8).digest(), U64)).view(np.int64)
+            out.append((a, b, agree, np.repeat(name, len(a))))
         elif depth < DEPTH:
             part = keys[lo:hi, 1 + 4 * depth : 5 + 4 * depth]
             cuts = np.flatnonzero((part[1:] != part[:-1]).any(axis=1)) + 1 + lo
@@ -159,15 +170,15 @@ def candidates(reps: DataFrame) -> DataFrame:
                 _pair(keys[lo:hi], ids[lo:hi], sig[lo:hi], out, dense)
                 thick += [np.arange(lo + a, lo + b) for a, b in dense]
             if out:
-                a, b, agree = (np.concatenate([x[c] for x in out]) for c in range(3))
+                a, b, agree, region = (np.concatenate([x[c] for x in out]) for c in range(4))
                 if len(a):
                     none = pa.nulls(len(a), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agree.astype(np.int32)), none, none], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agree.astype(np.int32)), pa.array(region), none, none], names)
             if thick:
                 own = np.concatenate(thick)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int32()), _binary(keys[own]), _binary(sig[own])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.int64()), _binary(keys[own]), _binary(sig[own])], names)
 
-        names = ["a", "b", "agree", "key", "hashes"]
+        names = ["a", "b", "agree", "region", "key", "hashes"]
         for batch in batches:
             now = [np.concatenate([h, x]) for h, x in zip(held, (_bytes(batch.column("key"), width), batch.column("id").to_numpy(), _bytes(batch.column("hashes"), TREES * DEPTH)), strict=True)]
             head = now[0][:, : 1 + 4 * SHALLOW]
@@ -179,15 +190,19 @@ def candidates(reps: DataFrame) -> DataFrame:
 
     rows = reps.select("doc_id", "sig").mapInArrow(plant, "key binary, id long, hashes binary")
     dealt = rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
-    return dealt.mapInArrow(pair, "a long, b long, agree int, key binary, hashes binary")
+    return dealt.mapInArrow(pair, "a long, b long, agree int, region long, key binary, hashes binary")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= PERCENT * union."""
-    pairs = checkpoint(pairs.select("a", "b").distinct())
+    """The pairs (a, b) of rows (region, a, b) whose full sets have 100 * intersection >= PERCENT * union.
+
+    A set travels once to each region that asks for it, not once for each pair; a region holds REGION sets at most.
+    """
+    pairs = checkpoint(pairs.select("region", "a", "b"))
     if not pairs.limit(1).count():
-        return pairs
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        return pairs.select("a", "b")
+    members = pairs.select("region", F.col("a").alias("doc_id")).unionByName(pairs.select("region", F.col("b").alias("doc_id"))).distinct()
+    ids = members.select("doc_id").distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropna(subset=["doc_id"])
     own = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
@@ -197,21 +212,35 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             data, offsets = utf8(batch.column("text"))
             for i, j in steps(offsets):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "set"])
 
     def hold(batches):
+        now, sets = None, {}
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), U64) for s in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good, pa.bool_())), batch.column("b").filter(pa.array(good, pa.bool_()))], ["a", "b"])
-
-    sets = own.mapInArrow(cut, "id long, set binary")
-    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    with_both = with_b.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    return with_both.select("a", "b", "set_a", "set_b").mapInArrow(hold, "a long, b long").distinct()
+            good_a, good_b = [], []
+            regions, left, right, held = (batch.column(c) for c in ("region", "a", "b", "set"))
+            for k, (region, a, b) in enumerate(zip(regions.to_pylist(), left.to_pylist(), right.to_pylist(), strict=True)):
+                if region != now:
+                    now, sets = region, {}
+                if b is None:
+                    sets.setdefault(a, []).append(np.frombuffer(held[k].as_py(), U64))
+                elif any(_alike(x, y) for x in sets[a] for y in sets[b]):
+                    good_a.append(a)
+                    good_b.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(good_a, pa.int64()), pa.array(good_b, pa.int64())], ["a", "b"])
+
+    sets = own.mapInArrow(cut, "doc_id long, set binary")
+    sent = members.join(sets, "doc_id").select("region", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "set")
+    asked = pairs.select("region", "a", "b", F.lit(None).cast("binary").alias("set"))
+    dealt = sent.unionByName(asked).repartition(shuffle_parts(docs.sparkSession), "region").sortWithinPartitions("region", F.asc_nulls_first("b"))
+    return dealt.mapInArrow(hold, "a long, b long").distinct()
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
 def _label(rows: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
@@ -256,14 +285,13 @@ def _between(dense: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _best(pairs: DataFrame, groups: list[str]) -> DataFrame:
     """The pair of each group that agrees in most hashes."""
-    best = F.max(F.struct("agree", F.bitwise_not("a").alias("less"), "a", "b")).alias("best")
-    return pairs.groupBy(*groups).agg(best).select("best.a", "best.b")
+    best = F.max(F.struct("agree", F.bitwise_not("a").alias("less"), "region", "a", "b")).alias("best")
+    return pairs.groupBy(*groups).agg(best).select("best.region", "best.a", "best.b")
 
 
 def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components (_low, _high) so far."""
-    own = _label(_label(pairs, labels, "a", "_ca"), labels, "b", "_cb").where("_ca <> _cb")
-    return checkpoint(own.select("a", "b", "agree", F.least("_ca", "_cb").alias("_low"), F.greatest("_ca", "_cb").alias("_high")))
+    """Pairs whose ends are in different components so far."""
+    return _label(_label(pairs, labels, "a", "_ca"), labels, "b", "_cb").where("_ca <> _cb").select("region", "a", "b")
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -293,11 +321,10 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     reps = full.join(nodes.where("doc_id = rep").select("doc_id", *key), ["doc_id", *key], "left_semi").dropDuplicates(["doc_id", *key])
     candidates(reps).write.parquet(f"{folder}/candidates")
     found = spark.read.parquet(f"{folder}/candidates")
-    pairs = checkpoint(found.where("b is not null").groupBy("a", "b").agg(F.max("agree").alias("agree")).where("a <> b"))
+    pairs = checkpoint(found.where("b is not null").groupBy("a", "b").agg(F.max("agree").alias("agree"), F.min("region").alias("region")).where("a <> b"))
     labels = roots(confirmed(_best(pairs, ["b"]), docs).select(F.col("b").alias("id"), F.col("a").alias("parent")))
-    between = _crossing(pairs, labels)
-    labels = _joined(labels, confirmed(_best(between, ["_low", "_high"]), docs))
-    rest = _crossing(pairs, labels).select("a", "b").unionByName(_between(found.where("key is not null"), labels))
+    dense = _between(found.where("key is not null"), labels).distinct().withColumn("region", F.xxhash64("a", "b"))
+    rest = _crossing(pairs, labels).unionByName(dense.select("region", "a", "b"))
     labels = _joined(labels, confirmed(rest, docs))
     own = _label(nodes, labels, "rep", "component_id").groupBy("doc_id", *key).agg(F.min("component_id").alias("component_id"))
     out = rows.select("doc_id", *key).join(own, ["doc_id", *key], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
