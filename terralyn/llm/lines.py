@@ -33,6 +33,8 @@ COUNTER_BITS = 23
 SLICE_BITS = 17
 #: Code of 1024 occurrences, from which a token counts as common.
 COMMON = 152
+#: Candidates of a line under one key in the first round. The lines that none of theirs settles get all in a second.
+FIRST = 2
 #: Documents whose ids are sent to every executor at most; more are joined by a shuffle.
 BROADCAST_IDS = 250_000
 _LAST = (1 << 63) - 1
@@ -128,13 +130,16 @@ def _marks(hashes: np.ndarray, cuts: np.ndarray, codes: np.ndarray):
     return prints, bits, np.concatenate(keys), np.concatenate(at), np.concatenate(where), n
 
 
+_PAIR = ["_doc", "line", "to_doc", "to_line"]
 _ROW = ["key", "kind", "print", "b0", "b1", "b2", "b3", "_doc", "line"]
 
 
-def matches(docs: DataFrame, codes) -> DataFrame:
-    """(_doc, line, to_doc, to_line): lines that equal an earlier one (to_doc null), and candidates with an earlier one.
+def matches(docs: DataFrame, codes, asked: DataFrame | None = None) -> DataFrame:
+    """(_doc, line, to_doc, to_line, more): lines that equal an earlier one (to_doc null), and candidates with an earlier one.
 
-    kind is -1 for a line's fingerprint, -2 for a copy settled in its task, else size << 20 | position + 1.
+    Under each key a line gets its FIRST nearest earlier candidates; more tells that it had others. With asked, rows
+    (_doc, line), only those lines get candidates, and all of them. Lines of one cluster meet under many keys, so this
+    keeps their number in proportion to the lines. kind is -1 for a line's fingerprint, -2 for a copy settled in its task, else size << 20 | position + 1.
     """
 
     def send(batches):
@@ -169,55 +174,74 @@ def matches(docs: DataFrame, codes) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _ROW)
 
     def meet(batches):
-        held = [np.zeros(0, np.int64)] * len(_ROW)
+        names = [*_ROW, "asked"]
+        held = [np.zeros(0, np.int64)] * len(names)
 
-        def table(doc, line, to_doc=None, to_line=None):
+        def table(doc, line, to_doc=None, to_line=None, more=None):
             other = [pa.nulls(len(doc), pa.int64())] * 2 if to_doc is None else [pa.array(to_doc), pa.array(to_line)]
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(line), *other], ["_doc", "line", "to_doc", "to_line"])
-
-        def work(key, kind, prints, b0, b1, b2, b3, doc, line):
-            settled = kind == -2
-            yield table(doc[settled], line[settled])
-            own = kind == -1  # sorted by key, kind, print, document and line
-            k, d, x = key[own], doc[own], line[own]
-            again = np.zeros(len(k), bool)
-            again[1:] = k[1:] == k[:-1]
-            yield table(d[again], x[again])
-            own = kind >= 0
-            key, kind, prints, b0, b1, b2, b3, doc, line = (c[own] for c in (key, kind, prints, b0, b1, b2, b3, doc, line))
-            first = np.ones(len(key), bool)
-            first[1:] = (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]) | (prints[1:] != prints[:-1])
-            key, kind, prints, b0, b1, b2, b3, doc, line = (c[first] for c in (key, kind, prints, b0, b1, b2, b3, doc, line))
-            parity = np.stack([b0, b1, b2, b3], axis=1).view(U64)
+            more = pa.nulls(len(doc), pa.bool_()) if more is None else pa.array(more)
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(line), *other, more], ["_doc", "line", "to_doc", "to_line", "more"])
+
+        def work(key, kind, prints, b0, b1, b2, b3, doc, line, wanted):
+            if asked is None:
+                settled = kind == -2
+                yield table(doc[settled], line[settled])
+                own = np.flatnonzero(kind == -1)  # sorted by key, document and line
+                again = np.zeros(len(own), bool)
+                again[1:] = key[own][1:] == key[own][:-1]
+                yield table(doc[own[again]], line[own[again]])
+            own = np.flatnonzero(kind >= 0)
+            order = np.lexsort((line[own], doc[own], prints[own], kind[own], key[own]))
+            own = own[order]
+            first = np.ones(len(own), bool)  # of equal sets, the first line stands for all
+            first[1:] = (key[own][1:] != key[own][:-1]) | (kind[own][1:] != kind[own][:-1]) | (prints[own][1:] != prints[own][:-1])
+            own = np.sort(own[first])
+            key, kind, prints, doc, line, wanted = (c[own] for c in (key, kind, prints, doc, line, wanted))
+            parity = np.stack([c[own] for c in (b0, b1, b2, b3)], axis=1).view(U64)
             n, pos = kind >> 20, (kind & 0xFFFFF) - 1
-            live, step = np.arange(len(key)), 1
+            live = np.flatnonzero(wanted == 1) if asked is not None else np.arange(len(key))
+            had, step = np.zeros(len(key), np.int64), 1
             while len(live):
-                live = live[live + step < len(key)]
-                to = live + step
-                go = (key[to] == key[live]) & (5 * n[live] >= 4 * n[to])  # sizes only grow along a key
-                live, to = live[go], to[go]
-                rest = np.where((pos[live] >= 0) & (pos[to] >= 0), np.minimum(n[live] - pos[live], n[to] - pos[to]), n[live])
-                near = similar(rest, n[live], n[to]) & (prints[live] != prints[to])
+                live = live[live >= step]
+                live = live[key[live - step] == key[live]]
+                to = live - step
+                near = (5 * n[live] >= 4 * n[to]) & (5 * n[to] >= 4 * n[live]) & (prints[live] != prints[to])
                 a, b = live[near], to[near]
+                rest = np.where((pos[a] >= 0) & (pos[b] >= 0), np.minimum(n[a] - pos[a], n[b] - pos[b]), np.minimum(n[a], n[b]))
+                near = similar(rest, n[a], n[b])
+                a, b = a[near], b[near]
                 apart = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64)
                 good = similar((n[a] + n[b] - apart) // 2, n[a], n[b])
                 a, b = a[good], b[good]
-                later = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & (line[a] > line[b]))
-                a, b = np.where(later, a, b), np.where(later, b, a)
                 if len(a):
-                    yield table(doc[a], line[a], doc[b], line[b])
+                    had[a] += 1
+                    yield table(doc[a], line[a], doc[b], line[b], had[a] >= FIRST)
+                if asked is None:
+                    live = live[had[live] < FIRST]
                 step += 1
 
         for batch in batches:
-            now = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, _ROW, strict=True)]
+            now = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names, strict=True)]
             end = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
             held = [c[end:] for c in now]
             yield from work(*(c[:end] for c in now))
         yield from work(*held)
 
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_doc"), F.col("text").cast("string"))
-    dealt = own.mapInArrow(send, ", ".join(f"{c} long" for c in _ROW)).repartition(shuffle_parts(docs.sparkSession), "key")
-    return dealt.sortWithinPartitions("key", "kind", "print", "_doc", "line").mapInArrow(meet, "_doc long, line long, to_doc long, to_line long")
+    kinds = ", ".join(f"{c} long" for c in _ROW)
+    rows = own.mapInArrow(send, kinds)
+    if asked is None:
+        rows = rows.withColumn("asked", F.lit(1).cast("long"))
+    else:
+        few = asked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        theirs = asked.select("_doc").distinct()
+        theirs = own.join(F.broadcast(theirs) if few else theirs, "_doc", "left_semi").select("_doc", "text").mapInArrow(send, kinds).where("kind >= 0")
+        keys = checkpoint(theirs.join(F.broadcast(asked) if few else asked, ["_doc", "line"], "left_semi").select("key").distinct())
+        rows = rows.where("kind >= 0").join(F.broadcast(keys) if keys.limit(4 * BROADCAST_IDS + 1).count() <= 4 * BROADCAST_IDS else keys, "key", "left_semi")
+        flagged = asked.select("_doc", "line", F.lit(1).cast("long").alias("asked"))
+        rows = rows.join(F.broadcast(flagged) if few else flagged, ["_doc", "line"], "left").select(*_ROW, F.coalesce("asked", F.lit(0).cast("long")).alias("asked"))
+    dealt = rows.repartition(shuffle_parts(docs.sparkSession), "key").sortWithinPartitions("key", "_doc", "line")
+    return dealt.mapInArrow(meet, "_doc long, line long, to_doc long, to_line long, more boolean")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -260,9 +284,15 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     folder = shared_folder(spark, "lines")
     codes = spark.sparkContext.broadcast(rarity(docs))  # a fixed size
-    matches(docs, codes).write.parquet(folder)
-    found = spark.read.parquet(folder)
-    gone = found.where("to_doc is null").select("_doc", "line").unionByName(_verified(docs, found.where("to_doc is not null")))
+    matches(docs, codes).write.parquet(f"{folder}/0")
+    found = spark.read.parquet(f"{folder}/0")
+    pairs = found.where("to_doc is not null")
+    alike = checkpoint(_verified(docs, pairs.select(*_PAIR)).distinct())
+    gone = found.where("to_doc is null").select("_doc", "line").unionByName(alike)
+    open_ = checkpoint(pairs.where("more").select("_doc", "line").distinct().join(gone, ["_doc", "line"], "left_anti"))
+    if open_.limit(1).count():
+        matches(docs, codes, open_).write.parquet(f"{folder}/1")
+        gone = gone.unionByName(_verified(docs, spark.read.parquet(f"{folder}/1").select(*_PAIR)))
     return gone.groupBy("_doc").agg(F.collect_set("line").alias("_lines"))
 
 

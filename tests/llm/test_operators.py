@@ -266,6 +266,7 @@ def test_lines_equal_brute_force(spark, odd, monkeypatch):
     want = brute_lines(docs)
     assert sorted(map(tuple, lines.line_dedup(df).collect())) == want
     monkeypatch.setattr(lines, "COMMON", 3)  # nearly every token sends pairs
+    monkeypatch.setattr(lines, "FIRST", 1)
     assert sorted(map(tuple, lines.line_dedup(df).collect())) == want
 
 
