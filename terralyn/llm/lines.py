@@ -142,6 +142,8 @@ def matches(docs: DataFrame, codes, asked: DataFrame | None = None) -> DataFrame
     keeps their number in proportion to the lines. kind is -1 for a line's fingerprint, -2 for a copy settled in its task, else size << 20 | position + 1.
     """
 
+    every = asked is not None  # the functions below must not hold a DataFrame
+
     def send(batches):
         table = codes.value
         for batch in batches:
@@ -183,7 +185,7 @@ def matches(docs: DataFrame, codes, asked: DataFrame | None = None) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(line), *other, more], ["_doc", "line", "to_doc", "to_line", "more"])
 
         def work(key, kind, prints, b0, b1, b2, b3, doc, line, wanted):
-            if asked is None:
+            if not every:
                 settled = kind == -2
                 yield table(doc[settled], line[settled])
                 own = np.flatnonzero(kind == -1)  # sorted by key, document and line
@@ -199,7 +201,7 @@ def matches(docs: DataFrame, codes, asked: DataFrame | None = None) -> DataFrame
             key, kind, prints, doc, line, wanted = (c[own] for c in (key, kind, prints, doc, line, wanted))
             parity = np.stack([c[own] for c in (b0, b1, b2, b3)], axis=1).view(U64)
             n, pos = kind >> 20, (kind & 0xFFFFF) - 1
-            live = np.flatnonzero(wanted == 1) if asked is not None else np.arange(len(key))
+            live = np.flatnonzero(wanted == 1) if every else np.arange(len(key))
             had, step = np.zeros(len(key), np.int64), 1
             while len(live):
                 live = live[live >= step]
@@ -216,7 +218,7 @@ def matches(docs: DataFrame, codes, asked: DataFrame | None = None) -> DataFrame
                 if len(a):
                     had[a] += 1
                     yield table(doc[a], line[a], doc[b], line[b], had[a] >= FIRST)
-                if asked is None:
+                if not every:
                     live = live[had[live] < FIRST]
                 step += 1
 
@@ -227,7 +229,7 @@ def matches(docs: DataFrame, codes, asked: DataFrame | None = None) -> DataFrame
             yield from work(*(c[:end] for c in now))
         yield from work(*held)
 
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_doc"), F.col("text").cast("string"))
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_doc"), F.col("text").cast("string").alias("text"))
     kinds = ", ".join(f"{c} long" for c in _ROW)
     rows = own.mapInArrow(send, kinds)
     if asked is None:

@@ -270,6 +270,22 @@ def test_lines_equal_brute_force(spark, odd, monkeypatch):
     assert sorted(map(tuple, lines.line_dedup(df).collect())) == want
 
 
+def test_second_round_gives_all_candidates(spark, monkeypatch):
+    """Every line left open by the first round is still settled."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(60)]
+    base = [rng.sample(words, 20) for _ in range(6)]
+    docs = [(k, "\n".join(" ".join(w if rng.random() > 0.1 else rng.choice(words) for w in rng.choice(base)) for _ in range(4))) for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute_lines(docs)
+    monkeypatch.setattr(lines, "FIRST", 1)
+    rounds = []
+    whole = lines.matches
+    monkeypatch.setattr(lines, "matches", lambda *a: rounds.append(len(a)) or whole(*a))
+    assert sorted(map(tuple, lines.line_dedup(df).collect())) == want
+    assert rounds == [2, 3]
+
+
 # 4, 6, 7, 9, 10
 
 
