@@ -25,8 +25,10 @@ from .common import U64, steps, utf8, word_hashes
 FIT_ROWS = 3000
 FEATURE_BITS = 18
 #: Documents of the fit in which a feature must occur.
-MIN_DOCS = 8
-ROUNDS, STEP, PENALTY = 250, 0.05, 3e-4
+MIN_DOCS = 5
+#: Standard errors by which a feature's rate must differ between grade 0 and the others; chance words stay out.
+LEAST_Z = 5.0
+ROUNDS, STEP, PENALTY = 600, 0.1, 1e-5
 
 
 @dataclass
@@ -79,22 +81,28 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(grades, np.zeros(0), weights)
     flat = np.concatenate(features)
     row = np.repeat(np.arange(len(features)), [len(x) for x in features])
-    used = np.flatnonzero(np.bincount(flat, minlength=1 << FEATURE_BITS) >= MIN_DOCS)
+    toxic = grade > grades[0]
+    every = np.bincount(flat, minlength=1 << FEATURE_BITS)
+    with_it = np.bincount(flat[toxic[row]], minlength=1 << FEATURE_BITS)
+    n, n1 = len(grade), int(toxic.sum())
+    rate = every / n
+    gap = with_it / n1 - (every - with_it) / (n - n1)
+    apart = gap / np.sqrt(np.maximum(rate * (1 - rate), 1 / n) * (1 / n1 + 1 / (n - n1)))
+    used = np.flatnonzero((every >= MIN_DOCS) & (np.abs(apart) >= LEAST_Z))
     place = np.full(1 << FEATURE_BITS, -1)
     place[used] = np.arange(len(used))
     own = place[flat] >= 0
     row, column = row[own], place[flat[own]]
     level = np.searchsorted(grades, grade)
     share = np.array([np.mean(level >= k) for k in range(1, len(grades))])
-    balance = (1 / np.bincount(level))[level] * len(level) / len(grades)
     above = (level[:, None] >= np.arange(1, len(grades))[None, :]).astype(float)
     w, t = np.zeros(len(used)), -np.log(share / (1 - share))
     m, v = np.zeros(len(used) + len(t)), np.zeros(len(used) + len(t))
     for n in range(1, ROUNDS + 1):
         score = np.bincount(row, w[column], len(level))
         reach = 1 / (1 + np.exp(np.clip(t[None, :] - score[:, None], -40, 40)))
-        # log P(grade = k) differences; the sum of the binary links has the same stationary ordering and stays convex
-        error = (reach - above) * balance[:, None] / len(level)
+        # the sum of the links' logistic losses: convex, and the thresholds stay in order
+        error = (reach - above) / len(level)
         g = np.concatenate([np.bincount(column, error.sum(axis=1)[row], len(used)) + PENALTY * w, -error.sum(axis=0)])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = STEP * (m / (1 - 0.9**n)) / (np.sqrt(v / (1 - 0.999**n)) + 1e-8)
@@ -117,7 +125,7 @@ def _judge(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return severity, toxic
 
 
-def score(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Model, cut: float = 0.25) -> DataFrame:
     """doc_id, expected_severity, grade (the expected one, rounded) and toxic (P(grade >= 1) of at least cut)."""
 
     def run(batches):
@@ -128,7 +136,7 @@ def score(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, expected_severity double, grade int, toxic boolean")
 
 
-def keep(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
+def keep(docs: DataFrame, model: Model, cut: float = 0.25) -> DataFrame:
     """The rows of docs, all columns as they are, that are not toxic."""
 
     def run(batches):
