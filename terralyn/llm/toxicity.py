@@ -3,7 +3,9 @@
 Severity grades are ordered: 0 for a document labelled as not toxic, 1 for a toxic one of good quality, 2 for a toxic
 one of bad quality. P(grade >= k) = sigmoid(w x - t_k), with one weight vector for all thresholds t_1 <= t_2. Features
 are the presence of hashed words. The fit reads at most FIT_ROWS labelled documents of each grade, chosen by a hash of
-their ids; scoring covers every document. The score is the expected grade, the sum of P(grade >= k) over k.
+their ids, and each stands for its share of all labels of its grade, which are counted, so the bound does not move the
+probabilities; scoring covers every document. The score is the expected grade, the sum of P(grade >= k) over k. A
+document is toxic from a cut of P(grade >= 1) that is best on the parts of the sample that a fit has not seen.
 
 Cases: a null or empty text has no features and is graded by the thresholds alone; without labels of two grades at
 least, every severity is 0; grades that no label has get no threshold; labels of unknown documents are ignored, and of
@@ -29,6 +31,8 @@ MIN_DOCS = 5
 #: Standard errors by which a feature's rate must differ between grade 0 and the others; chance words stay out.
 LEAST_Z = 5.0
 ROUNDS, STEP, PENALTY = 600, 0.1, 1e-5
+#: Parts of the sample, each judged by a fit on the others, and the cut where they hold no toxic document.
+FOLDS, CUT = 4, 0.25
 
 
 @dataclass
@@ -36,6 +40,7 @@ class Model:
     grades: list[int]
     thresholds: np.ndarray
     weights: np.ndarray  # float32, 2 ** FEATURE_BITS: a fixed size
+    cut: float = CUT  # of P(grade >= 1)
 
 
 def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,10 +58,17 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.when(toxic == 1, 2 - quality).otherwise(0)).alias("grade"))
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+def _sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Grade, weight, fold and features of each document of the sample.
+
+    A weight is the number of labels for which a chosen one stands: labels without a document and documents that share
+    an id are met by chance alike in the sample and outside it.
+    """
     own = graded(labels)
+    counts = {r["grade"]: r["count"] for r in own.groupBy("grade").count().collect()}  # a row for each grade
     parts = [own.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS) for g in (0, 1, 2)]
     chosen = parts[0].unionByName(parts[1]).unionByName(parts[2])  # at most 3 x FIT_ROWS rows
+    chosen = chosen.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
 
     def run(batches):
@@ -65,16 +77,16 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list[np.nda
             for i, j in steps(offsets):
                 row, feature = _features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 cut = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("grade").slice(i, j - i), pa.ListArray.from_arrays(pa.array(cut), pa.array(feature.astype(np.int32)))], ["grade", "features"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in ("grade", "fold")], pa.ListArray.from_arrays(pa.array(cut), pa.array(feature.astype(np.int32)))], ["grade", "fold", "features"])
 
-    got = rows.select("grade", "text").mapInArrow(run, "grade int, features array<int>").toArrow()
+    got = rows.select("grade", "fold", "text").mapInArrow(run, "grade int, fold int, features array<int>").toArrow()
     features = got.column("features").combine_chunks()
-    return got.column("grade").to_numpy().astype(np.int64), [np.asarray(x.values) for x in features] if len(features) else []
+    grade, fold = (got.column(c).to_numpy().astype(np.int64) for c in ("grade", "fold"))
+    weight = np.array([max(1.0, counts.get(g, 0) / FIT_ROWS) for g in range(3)])[grade]
+    return grade, weight, fold, [np.asarray(x.values) for x in features] if len(features) else []
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits weights and thresholds on the driver, from the bounded sample alone."""
-    grade, features = _sample(docs, labels)
+def _fitted(grade: np.ndarray, weight: np.ndarray, features: list[np.ndarray]) -> Model:
     weights = np.zeros(1 << FEATURE_BITS, np.float32)
     grades = sorted({int(g) for g in grade})
     if len(grades) < 2:
@@ -94,15 +106,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     own = place[flat] >= 0
     row, column = row[own], place[flat[own]]
     level = np.searchsorted(grades, grade)
-    share = np.array([np.mean(level >= k) for k in range(1, len(grades))])
+    share = np.array([np.average(level >= k, weights=weight) for k in range(1, len(grades))])
     above = (level[:, None] >= np.arange(1, len(grades))[None, :]).astype(float)
     w, t = np.zeros(len(used)), -np.log(share / (1 - share))
     m, v = np.zeros(len(used) + len(t)), np.zeros(len(used) + len(t))
+    part = (weight / weight.sum())[:, None]
     for n in range(1, ROUNDS + 1):
         score = np.bincount(row, w[column], len(level))
         reach = 1 / (1 + np.exp(np.clip(t[None, :] - score[:, None], -40, 40)))
         # the sum of the links' logistic losses: convex, and the thresholds stay in order
-        error = (reach - above) / len(level)
+        error = (reach - above) * part
         g = np.concatenate([np.bincount(column, error.sum(axis=1)[row], len(used)) + PENALTY * w, -error.sum(axis=0)])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = STEP * (m / (1 - 0.9**n)) / (np.sqrt(v / (1 - 0.999**n)) + 1e-8)
@@ -111,6 +124,36 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(grades, t, weights)
 
 
+def best_cut(p: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
+    """The cut between two values of p with the best F1 of p >= cut against toxic; CUT where nothing is toxic."""
+    order = np.argsort(-p, kind="stable")
+    p, weight, toxic = p[order], weight[order], toxic[order]
+    hit, said = np.cumsum(weight * toxic), np.cumsum(weight)
+    if not len(p) or not hit[-1]:
+        return CUT
+    ends = np.flatnonzero(np.append(p[1:] < p[:-1], True))
+    k = ends[np.argmax(2 * hit[ends] / (said[ends] + hit[-1]))]
+    return float((p[k] + (p[k + 1] if k + 1 < len(p) else 0)) / 2)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fits weights, thresholds and the cut on the driver, from the bounded sample alone."""
+    grade, weight, fold, features = _sample(docs, labels)
+    model = _fitted(grade, weight, features)
+    if not len(model.thresholds):
+        return model
+    seen, p = np.zeros(len(grade), bool), np.zeros(len(grade))
+    for k in range(FOLDS):
+        rest, held = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        part = _fitted(grade[rest], weight[rest], [features[i] for i in rest])
+        if part.grades[:1] == model.grades[:1] and len(part.thresholds) and len(held):
+            row = np.repeat(np.arange(len(held)), [len(features[i]) for i in held])
+            sums = np.bincount(row, part.weights[np.concatenate([features[i] for i in held])], len(held))
+            p[held], seen[held] = 1 / (1 + np.exp(np.clip(part.thresholds[0] - sums, -40, 40))), True
+    model.cut = best_cut(p[seen], grade[seen] > model.grades[0], weight[seen])
+    return model
+
+
 def _judge(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Expected grade and P(grade >= 1) of each text; zeros where nothing could be fitted."""
     gaps = np.diff(model.grades).astype(float)
@@ -125,8 +168,9 @@ def _judge(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return severity, toxic
 
 
-def score(docs: DataFrame, model: Model, cut: float = 0.25) -> DataFrame:
-    """doc_id, expected_severity, grade (the expected one, rounded) and toxic (P(grade >= 1) of at least cut)."""
+def score(docs: DataFrame, model: Model, cut: float | None = None) -> DataFrame:
+    """doc_id, expected_severity, grade (the expected one, rounded) and toxic (P(grade >= 1) of at least cut, or else the model's)."""
+    cut = model.cut if cut is None else cut
 
     def run(batches):
         for batch in batches:
@@ -136,8 +180,9 @@ def score(docs: DataFrame, model: Model, cut: float = 0.25) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, expected_severity double, grade int, toxic boolean")
 
 
-def keep(docs: DataFrame, model: Model, cut: float = 0.25) -> DataFrame:
+def keep(docs: DataFrame, model: Model, cut: float | None = None) -> DataFrame:
     """The rows of docs, all columns as they are, that are not toxic."""
+    cut = model.cut if cut is None else cut
 
     def run(batches):
         for batch in batches:
