@@ -402,6 +402,22 @@ def test_quality_measures_equal_brute_force(spark, sf, odd):
             assert not (r.base_failed and r.kept)
 
 
+def test_quality_limits_hold_where_a_tenth_or_half_is_junk(spark):
+    rng = random.Random(5)
+    say = lambda n, size=(2, 8), end="": " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(*size))) + end for _ in range(n))
+    page = lambda: "\n".join(say(12) for _ in range(6))
+    junk = (lambda: say(60, end="##"), lambda: say(60, (11, 17)), lambda: "\n".join([say(12), *[f"{say(9)}\n" + "same again here\nsame again here" for _ in range(4)]]))
+    rows, bad = [], set()
+    for source, share, n in (("mostly clean", 0.05, 200), ("a fifth", 0.2, 200), ("half", 0.5, 200), ("few", 0.5, 4)):
+        for k in range(n):
+            if k < share * n:
+                bad.add(len(rows))
+            rows.append((len(rows), junk[k % 3]() if k < share * n else page(), "en", source))
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {k for k, r in got.items() if not r.kept} == bad
+
+
 def test_empty_tables(spark, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
