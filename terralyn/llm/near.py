@@ -9,8 +9,8 @@ Candidates are first held against all TREES x DEPTH hashes, then confirmed on th
 document the best candidate with a smaller id, and then every candidate between different components. A pair inside one
 component needs no confirmation. Sets meet by regions, so their number follows the documents, not the pairs.
 
-Cases: a null, empty or blank text has no shingles and links with nothing; a text of one word has that word as its
-shingle; documents with equal sets are one node, so any number of copies costs a row each; rows that share an id share
+Cases: a null, empty or blank text has no shingles and links with nothing; a text with fewer words than a shingle is
+one shingle; documents with equal sets are one node, so any number of copies costs a row each; rows that share an id share
 a node where their sets are equal; a null doc_id is its own component.
 """
 
@@ -30,12 +30,14 @@ TREES, DEPTH, SHALLOW, REGION = 12, 6, 3, 32
 #: Equal hashes of all TREES x DEPTH that a candidate needs: 5 standard deviations under a similarity of 0.8.
 AGREE = 40
 PERCENT = 80
+#: Words of a shingle, unless a caller asks for others.
+WORDS = 2
 #: Ids that are sent to every executor at most; more are joined by a shuffle.
 BROADCAST_IDS = 250_000
 BLOCK = 1024
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = 2) -> list[np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     hashes, bounds = word_hashes(data, offsets)
     if not len(hashes):
@@ -81,14 +83,14 @@ def _bytes(column: pa.Array, width: int) -> np.ndarray:
     return utf8(column)[0].reshape(-1, width)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, f1 and f2 (a set's 128-bit fingerprint), sig (all its minima)."""
 
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for i, j in steps(offsets):
-                sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 prints = np.array([[np.sum(mix64(s ^ U64(c)), dtype=U64) for c in (0x1234567, 0x89ABCDE)] for s in sets], U64).view(np.int64).reshape(-1, 2)
                 columns = [batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), _binary(signatures(sets).view(np.uint8))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "f1", "f2", "sig"])
@@ -193,7 +195,7 @@ def candidates(reps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(pair, "a long, b long, agree int, region long, key binary, hashes binary")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The pairs (a, b) of rows (region, a, b) whose full sets have 100 * intersection >= PERCENT * union.
 
     A set travels once to each region that asks for it, not once for each pair; a region holds REGION sets at most.
@@ -211,7 +213,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for i, j in steps(offsets):
-                sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "set"])
 
     def hold(batches):
@@ -308,11 +310,11 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return checkpoint(moved.unionByName(names.where("id <> component")))
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
     spark = docs.sparkSession
     folder = shared_folder(spark, "near")
-    sketches(docs).write.parquet(f"{folder}/sketches")
+    sketches(docs, words).write.parquet(f"{folder}/sketches")
     rows = salted(spark.read.parquet(f"{folder}/sketches"), "doc_id")
     full = rows.where("n_shingles > 0 and doc_id is not null")
     key = ["f1", "f2", "n_shingles"]
@@ -322,18 +324,18 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     candidates(reps).write.parquet(f"{folder}/candidates")
     found = spark.read.parquet(f"{folder}/candidates")
     pairs = checkpoint(found.where("b is not null").groupBy("a", "b").agg(F.max("agree").alias("agree"), F.min("region").alias("region")).where("a <> b"))
-    labels = roots(confirmed(_best(pairs, ["b"]), docs).select(F.col("b").alias("id"), F.col("a").alias("parent")))
+    labels = roots(confirmed(_best(pairs, ["b"]), docs, words).select(F.col("b").alias("id"), F.col("a").alias("parent")))
     dense = _between(found.where("key is not null"), labels).distinct().withColumn("region", F.xxhash64("a", "b"))
     rest = _crossing(pairs, labels).unionByName(dense.select("region", "a", "b"))
-    labels = _joined(labels, confirmed(rest, docs))
+    labels = _joined(labels, confirmed(rest, docs, words))
     own = _label(nodes, labels, "rep", "component_id").groupBy("doc_id", *key).agg(F.min("component_id").alias("component_id"))
     out = rows.select("doc_id", *key).join(own, ["doc_id", *key], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def without_copies(docs: DataFrame) -> DataFrame:
+def without_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The rows of docs that are kept; rows with a null id stay."""
-    kept = near_dedup(docs).where("kept").select("doc_id").distinct()
+    kept = near_dedup(docs, words).where("kept").select("doc_id").distinct()
     nulls = docs.where("doc_id is null")
     return docs.join(kept.dropna(), "doc_id", "left_semi").select(*docs.columns).unionByName(nulls)
 

@@ -23,8 +23,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: one document of each group of near copies stays, the one with the smallest id."""
-    return near.without_copies(docs)
+    """Operator 3: of near copies by shingles of five words, the document with the smallest id stays."""
+    return near.without_copies(docs, words=5)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

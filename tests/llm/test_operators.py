@@ -442,6 +442,17 @@ def test_stages_on_odd_documents(spark, odd, sf):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {1, 2, 3, 4, 5, None} and kept.where("doc_id in (6, 7)").count() == 0
 
 
+def test_the_near_stage_takes_shingles_of_five_words(spark):
+    rng = random.Random(11)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(500)]
+    edit = lambda every: " ".join(f"z{k}" if k % every == 7 else w for k, w in enumerate(words))
+    # 20 words changed: 0.85 at two words, 0.66 at five; 4 words changed: over 0.9 at five
+    rows = [(1, " ".join(words)), (2, edit(25)), (3, edit(125)), (4, "one two three"), (5, "one two three"), (6, "one two four")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in near.near_dedup(docs).where("kept").collect()} == {1, 4, 6}
+    assert {r.doc_id for r in stages.keep_one_of_near_copies(spark, docs, "").collect()} == {1, 2, 4, 6}
+
+
 def test_pipeline_runs_whole(spark, sf):
     import corpus_pipeline
 
