@@ -10,7 +10,8 @@ candidate, drops those whose content does not begin as a WARC record, and owns t
 range, reading on past its end to finish the last one.
 
 Cases: a null html counts as empty; a null url gets a urn; a null page_id is written without one and read as null;
-small equal payloads are all responses.
+small equal payloads are all responses; of pages that share a page_id, only those with the repeated payload are
+revisits.
 """
 
 from __future__ import annotations
@@ -54,12 +55,12 @@ def _member(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
 
 def plan_records(pages: DataFrame) -> DataFrame:
     """The pages with digest and refers_to, the smallest page_id of an equal payload or null."""
-    base = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    slim = salted(base.select("page_id", F.octet_length("html").alias("size"), F.unhex(F.sha2("html", 256)).alias("sha")), "page_id").where(F.col("size") >= REVISIT_BYTES)
+    base = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("sha", F.unhex(F.sha2("html", 256)))
+    slim = salted(base.select("page_id", F.octet_length("html").alias("size"), "sha"), "page_id").where(F.col("size") >= REVISIT_BYTES)
     slim = checkpoint(slim)
     first = group_facts(slim, ["sha"], [F.min("page_id").alias("first"), F.count("*").alias("n")], [F.min("first").alias("first"), F.sum("n").alias("n")]).where("n > 1")
-    revisits = slim.join(first, ["sha", "_salt"]).where("page_id > first").groupBy("page_id").agg(F.min("first").alias("refers_to"))
-    return base.join(revisits, "page_id", "left")
+    revisits = slim.join(first, ["sha", "_salt"]).where("page_id > first").groupBy("page_id", "sha").agg(F.min("first").alias("refers_to"))
+    return base.join(revisits, ["page_id", "sha"], "left").drop("sha")
 
 
 def write(records: DataFrame, folder: str) -> None:

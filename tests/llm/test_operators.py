@@ -379,6 +379,13 @@ def test_warc_is_plain_gzip_and_splits_anywhere(spark, sf, tmp_path):
     assert rows[902][2:] == ("response", None) and rows[904][2:] == ("revisit", 903) and rows[900][0] == 0
 
 
+def test_pages_that_share_an_id_are_told_apart_by_their_payload(spark):
+    rows = [(1, "u", "a" * 100), (2, "u", "a" * 100), (2, "v", "b" * 100), (3, "w", "b" * 100), (2, "x", "c" * 50)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    name = {hashlib.sha256(r[2].encode()).hexdigest(): r[2][0] for r in rows}
+    assert sorted((r.page_id, name[r.payload_digest], r.record_type, r.refers_to) for r in got) == [(1, "a", "response", None), (2, "a", "revisit", 1), (2, "b", "response", None), (2, "c", "response", None), (3, "b", "revisit", 2)]
+
+
 def brute_quality(text):
     words = (text or "").encode().split()
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
