@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,3 +21,18 @@ def half_up(x: Column) -> Column:
 def finite(x: Column) -> Column:
     """x, null where it is NaN or infinite."""
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+def nan_to_zero(x: Column) -> Column:
+    """x, 0 where it is null or NaN."""
+    return F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))
+
+
+def probit(p: float) -> float:
+    """The inverse of the normal distribution function."""
+    return NormalDist().inv_cdf(p)
+
+
+def smallest_plot_side(res: Column, sigma: Column, purity: float) -> Column:
+    """Side of a square plot that leaves one pixel of a purity, which falls to its root in each direction."""
+    return res + 2 * probit(purity**0.5) * sigma

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terralyn.operators.graph import _cut, components
+from terralyn.operators.graph import components
 from terralyn.operators.matrix import mean_vectors, squared_distance
+from terralyn.sources.scratch import cut
 
 
 def spread_seeds(rows: DataFrame, group: str, k: int) -> DataFrame:
@@ -16,11 +17,11 @@ def spread_seeds(rows: DataFrame, group: str, k: int) -> DataFrame:
     Each seed is one distributed maximum of the distance to the seeds so far; ties go to the smaller id.
     """
     first = rows.groupBy(group).agg(F.min(F.struct("id", "v")).alias("_s"))
-    seeds = _cut(first.select(group, F.lit(0).alias("cluster"), F.col("_s.v").alias("mean")))
+    seeds = cut(first.select(group, F.lit(0).alias("cluster"), F.col("_s.v").alias("mean")))
     for n in range(1, k):
         near = rows.join(F.broadcast(seeds), group).groupBy(group, "id").agg(F.min(squared_distance(F.col("v"), F.col("mean"))).alias("_d"), F.first("v").alias("v"))
         far = near.where("_d > 0").groupBy(group).agg(F.max(F.struct("_d", (-F.col("id")).alias("_i"), "v")).alias("_s"))
-        seeds = _cut(seeds.unionByName(far.select(group, F.lit(n).alias("cluster"), F.col("_s.v").alias("mean"))))
+        seeds = cut(seeds.unionByName(far.select(group, F.lit(n).alias("cluster"), F.col("_s.v").alias("mean"))))
     return seeds
 
 
@@ -34,9 +35,9 @@ def kmeans(rows: DataFrame, group: str, k: int, rounds: int = 10) -> DataFrame:
     for _ in range(rounds):
         met = rows.join(F.broadcast(means), group)
         best = met.groupBy(group, "id").agg(F.min(F.struct(squared_distance(F.col("v"), F.col("mean")).alias("d"), "cluster")).alias("_b"), F.first("v").alias("v"))
-        placed = _cut(best.select(group, "id", F.col("_b.cluster").alias("cluster"), "v"))
+        placed = cut(best.select(group, "id", F.col("_b.cluster").alias("cluster"), "v"))
         new = mean_vectors(placed, [group, "cluster"]).select(group, "cluster", "mean")
-        joined = _cut(new.join(means.withColumnRenamed("mean", "_was"), [group, "cluster"]))
+        joined = cut(new.join(means.withColumnRenamed("mean", "_was"), [group, "cluster"]))
         moved = joined.where(squared_distance(F.col("mean"), F.col("_was")) > 1e-12).limit(1).count()
         means = joined.select(group, "cluster", "mean")
         if not moved:
@@ -54,7 +55,7 @@ def dbscan(points: DataFrame, eps: float, least: int = 4) -> DataFrame:
     """
     from terralyn.operators.spatial import near_pairs
 
-    near = _cut(near_pairs(points.select("id", "x", "y"), points.select("id", "x", "y"), eps).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    near = cut(near_pairs(points.select("id", "x", "y"), points.select("id", "x", "y"), eps).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
     cores = near.groupBy("a").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(F.col("a").alias("id"))
     inner = near.join(cores.select(F.col("id").alias("a")), "a", "left_semi").join(cores.select(F.col("id").alias("b")), "b", "left_semi")
     labels = cores.join(components(inner.where("a < b").select(F.col("a").alias("src"), F.col("b").alias("dst"))), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))

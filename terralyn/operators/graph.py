@@ -2,38 +2,71 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terralyn.sources.scratch import cut, drop
+
+#: Links that a task joins at a time; bounds a Python worker's memory.
+CHUNK = 1 << 20
+
+
+def _stars(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest id, id) for every id of some links that is not the smallest of those it reaches over them."""
+    ids, ends = np.unique(np.concatenate([low, high]), return_inverse=True)
+    a, b = ends[: len(low)], ends[len(low) :]
+    root = np.arange(len(ids))
+    while True:
+        least = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], least)
+        np.minimum.at(root, root[b], least)
+        while not (root == (up := root[root])).all():
+            root = up
+        if (root[a] == root[b]).all():
+            own = np.flatnonzero(root != np.arange(len(ids)))
+            return ids[root[own]], ids[own]
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a table in the folder that the cluster names in spark.checkpoint.dir."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    folder = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+
+def _joined(batches):
+    """Links (low, high) as the stars of the links of a chunk; a chunk ends where high changes."""
+    held = [np.zeros(0, np.int64)] * 2
+    for batch in batches:
+        held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("low", "high"), strict=True)]
+        if len(held[0]) >= CHUNK:
+            low, high = _stars(*held)
+            last = high == held[1][-1]
+            yield pa.RecordBatch.from_arrays([pa.array(low[~last]), pa.array(high[~last])], ["low", "high"])
+            held = [low[last], high[last]]
+    low, high = _stars(*held)
+    yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["low", "high"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): every id of edges (src, dst) with the smallest id that it reaches.
 
-    Labels spread to neighbours and jump to the label of their label, so the number of rounds grows with the logarithm
-    of the longest path.
+    Each task joins the links that it holds and passes on a star for each of its groups, so a giant component or a hub
+    costs a row for each id and task. Rounds then deal the links by their greater end, join again, and let every id
+    follow its smaller one; their number grows with the logarithm of the longest path. A link with itself names its id.
     """
-    both = _cut(edges.select(F.col("src").alias("id"), F.col("dst").alias("to")).unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("to"))).distinct())
-    labels = _cut(both.groupBy("id").agg(F.least("id", F.min("to")).alias("component")))
+    least, most = F.least("src", "dst").cast("long"), F.greatest("src", "dst").cast("long")
+    links = cut(edges.select(least.alias("low"), most.alias("high")).dropna().mapInArrow(_joined, "low long, high long"), "graph")
+    alone = edges.where("src = dst").select(F.col("src").cast("long").alias("id")).distinct()
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        heard = both.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("component").alias("heard"))
-        nearer = labels.join(heard, "id").select("id", F.col("component").alias("was"), F.least("component", "heard").alias("component"))
-        roots = nearer.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        now = _cut(nearer.join(roots, "component").select("id", "was", F.col("root").alias("component")))
-        labels = now.select("id", "component")
-        if not now.where("was <> component").limit(1).count():
-            return labels
+        own = cut(links.repartition(parts, "high").sortWithinPartitions("high").mapInArrow(_joined, "low long, high long"), "graph")
+        drop(links)
+        up = own.groupBy(F.col("high").alias("low")).agg(F.min("low").alias("_up"), F.count("*").alias("_n"))
+        links = cut(own.join(up, "low", "left").select(F.coalesce("_up", "low").alias("low"), "high", (F.col("_up").isNotNull() | (F.col("_n") > 1)).alias("_moved")), "graph")
+        moving = links.where("_moved").limit(1).count() or up.where("_n > 1").limit(1).count()
+        drop(own)
+        if not moving:
+            break
+    labels = links.select(F.col("high").alias("id"), F.col("low").alias("component"))
+    roots = links.select(F.col("low").alias("id")).distinct().withColumn("component", F.col("id"))
+    known = labels.unionByName(roots)
+    return known.unionByName(alone.join(known, "id", "left_anti").withColumn("component", F.col("id")))
 
 
 def spanning(fields: DataFrame, edges: DataFrame, species: list[str]) -> DataFrame:
@@ -46,23 +79,34 @@ def spanning(fields: DataFrame, edges: DataFrame, species: list[str]) -> DataFra
 
 
 def spans(fields: DataFrame, edges: DataFrame, species: list[str]) -> DataFrame:
-    """One row: whether one component of the fields of these species holds all of them."""
-    own = fields.where(F.col("crp_lbl").isin(species)).select("id", "crp_lbl")
+    """One row: whether one component of the fields of these species holds all of them.
+
+    It holds for fewer than two species, and where one of them is the species of no linked field: what the graph does
+    not know is not called broken.
+    """
+    wanted = sorted(set(species))
+    if len(wanted) < 2:
+        return fields.sparkSession.range(1).select(F.lit(True).alias("spans"))
+    linked = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    known = fields.join(linked, "id", "left_semi").where(F.col("crp_lbl").isin(wanted)).agg(F.countDistinct("crp_lbl").alias("_known"))
+    own = fields.where(F.col("crp_lbl").isin(wanted)).select("id", "crp_lbl")
     inner = edges.join(own.select(F.col("id").alias("src")), "src", "left_semi").join(own.select(F.col("id").alias("dst")), "dst", "left_semi")
     held = components(inner.select("src", "dst")).join(own, "id").groupBy("component").agg(F.countDistinct("crp_lbl").alias("_n"))
-    return held.agg((F.coalesce(F.max("_n"), F.lit(0)) >= len(set(species))).alias("spans"))
+    best = held.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("_best"))
+    return best.crossJoin(known).select(((F.col("_known") < len(wanted)) | (F.col("_best") == len(wanted))).alias("spans"))
 
 
 def valid_additions(fields: DataFrame, edges: DataFrame, base: list[str]) -> DataFrame:
     """Species that, added to a base, leave a component of base and addition that holds them all.
 
-    One component run serves all candidates: nodes are (candidate, field) pairs, packed into one id.
+    One component run serves all candidates: its nodes are (candidate, field) pairs, numbered.
     """
-    names = fields.select("crp_lbl").distinct().where(~F.col("crp_lbl").isin(base))
-    own = fields.where(F.col("crp_lbl").isin(base)).select("id", "crp_lbl").crossJoin(names.select(F.col("crp_lbl").alias("candidate")))
-    own = own.unionByName(fields.where(~F.col("crp_lbl").isin(base)).select("id", "crp_lbl", F.col("crp_lbl").alias("candidate")))
-    tag = F.pmod(F.xxhash64("candidate"), F.lit(1 << 20)) * F.lit(1 << 42) + F.col("id")
-    own = own.withColumn("node", tag)
+    from terralyn.operators.relational import numbered
+
+    others = fields.where(~F.col("crp_lbl").isin(base))
+    pairs = fields.where(F.col("crp_lbl").isin(base)).select("id", "crp_lbl").crossJoin(others.select(F.col("crp_lbl").alias("candidate")).distinct())
+    pairs = pairs.unionByName(others.select("id", "crp_lbl", F.col("crp_lbl").alias("candidate")))
+    own = cut(numbered(pairs.withColumn("_at", F.struct("candidate", "id")), "_at", "node").drop("_at"))
     half = edges.join(own.select(F.col("id").alias("src"), F.col("node").alias("_s"), "candidate"), "src").join(own.select(F.col("id").alias("dst"), F.col("node").alias("_d"), "candidate"), ["dst", "candidate"])
     labels = components(half.select(F.col("_s").alias("src"), F.col("_d").alias("dst")))
     held = labels.join(own, labels["id"] == own["node"]).groupBy("candidate", "component").agg(F.countDistinct("crp_lbl").alias("_n"))

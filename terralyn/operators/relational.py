@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terralyn.sources.scratch import cut
+
 #: Attribute names that hold a species, in order, and parts of names that may.
 SPECIES_KEYS = ["crp_lbl", "species", "crop", "Species", "Crop", "CROP", "label"]
 SPECIES_PARTS = ["species", "crop", "plant", "veg", "class", "type", "label"]
@@ -34,9 +36,11 @@ def first_per_id(rows: DataFrame, new_id: str, position: str) -> DataFrame:
 def numbered(rows: DataFrame, position: str, name: str = "pid") -> DataFrame:
     """Numbers rows from 0 in the order of a column.
 
-    Ranges of the order are numbered in parallel, each from the rows counted before it; no task sees all rows.
+    Ranges of the order are numbered in parallel, each from the rows counted before it; no task sees all rows. The ranges
+    are written once, with the number of the range in each row, so the counts and the numbering see the same ranges.
     """
-    spread = rows.repartitionByRange(position).sortWithinPartitions(position).withColumn("_part", F.spark_partition_id())
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = cut(rows.repartitionByRange(parts, position).withColumn("_part", F.spark_partition_id()), "ranges")
     local = spread.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(position)))
     sizes = local.groupBy("_part").agg(F.count("*").alias("_size"))
     starts = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))

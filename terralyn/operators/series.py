@@ -80,12 +80,17 @@ def between(date: Column, a: Column, b: Column) -> Column:
 def value_at(curves: DataFrame, targets: DataFrame) -> DataFrame:
     """field_key, target, value: each field's interpolated value at each target date, clamped at its ends.
 
-    targets (one column, target) is a short list of dates: one conditional aggregate over the curves serves them all.
+    Targets (one column, target) stand among a field's observations in order of date and take the nearest one on
+    either side, so the work is the curves and the result, whatever the number of targets. Repeated targets count once.
     """
-    seen = curves.where("value is not null").join(F.broadcast(targets.limit(10_000)), how="cross")
-    at = F.struct("date", "value")
-    sides = seen.groupBy("field_key", "target").agg(F.max(F.when(F.col("date") <= F.col("target"), at)).alias("_a"), F.min(F.when(F.col("date") >= F.col("target"), at)).alias("_b"))
-    return sides.select("field_key", "target", between(F.col("target"), F.col("_a"), F.col("_b")).alias("value"))
+    seen = curves.where("value is not null").groupBy("field_key", "date").agg(F.avg("value").alias("value"))
+    seen = seen.select("field_key", "date", F.struct("date", "value").alias("_at"), F.lit(False).alias("_asked"))
+    asked = seen.select("field_key").distinct().crossJoin(targets.select(F.col("target").alias("date")).dropna().distinct())
+    both = seen.unionByName(asked.select("field_key", "date", F.lit(None).cast(seen.schema["_at"].dataType).alias("_at"), F.lit(True).alias("_asked")))
+    order = Window.partitionBy("field_key").orderBy("date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy("field_key").orderBy("date").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    sides = both.withColumns({"_a": F.last("_at", ignorenulls=True).over(order), "_b": F.first("_at", ignorenulls=True).over(after)}).where("_asked")
+    return sides.select("field_key", F.col("date").alias("target"), between(F.col("date"), F.col("_a"), F.col("_b")).alias("value"))
 
 
 def revisit_gap(obs: DataFrame, default: int = 10) -> DataFrame:
@@ -114,11 +119,11 @@ def one_scene_per_date(scenes: DataFrame, has_data: str, position: str) -> DataF
     return scenes.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
 
 
-def chart_axis(days: DataFrame, dense: int) -> DataFrame:
-    """The observed days and dense evenly spaced ones between first and last, each once."""
-    ends = days.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    spaced = ends.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(dense - 1)), lambda i: F.floor(F.col("lo") + i * (F.col("hi") - F.col("lo")) / (dense - 1) + 0.5))).alias("day"))
-    return days.select(F.col("day").cast("long").alias("day")).unionByName(spaced.select(F.col("day").cast("long"))).where("day is not null").distinct()
+def chart_axis(days: DataFrame, dense: int, keys: list[str]) -> DataFrame:
+    """Of each group, the observed days and dense evenly spaced ones between first and last, each once."""
+    ends = days.groupBy(*keys).agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+    spaced = ends.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.lit(dense - 1)), lambda i: F.floor(F.col("lo") + i * (F.col("hi") - F.col("lo")) / (dense - 1) + 0.5))).alias("day"))
+    return days.select(*keys, F.col("day").cast("long").alias("day")).unionByName(spaced.select(*keys, F.col("day").cast("long"))).where("day is not null").distinct()
 
 
 def timeline_position(scenes: DataFrame) -> DataFrame:
@@ -144,9 +149,8 @@ def melt_dates(wide: DataFrame, ids: list[str]) -> DataFrame:
     return long.select(*ids, part[0].alias("metric"), F.to_date(part[1]).alias("date"), "value")
 
 
-def date_span(columns: list[str], spark) -> DataFrame:
-    """First and last date among column names that end in one; no job reads the table."""
-    names = spark.createDataFrame([(c,) for c in columns], "name string")
+def date_span(names: DataFrame) -> DataFrame:
+    """First and last date among column names (one column, name) that end in one."""
     dates = names.select(F.to_date(F.nullif(F.regexp_extract("name", r"(\d{4}-\d{2}-\d{2})$", 1), F.lit(""))).alias("date"))
     return dates.agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 

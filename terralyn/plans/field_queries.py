@@ -25,7 +25,7 @@ def numbered_fields(spark, sf_dir):
 
 def merge_new(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("NewID"), F.col("o_orderkey").alias("pos"))
-    return relational.merge_new(orders.where("pos % 3 = 0"), orders.where("pos % 3 = 1"), "NewID")
+    return relational.merge_new(orders.where("pos % 3 = 0"), orders.where("pos % 3 <> 0"), "NewID")
 
 
 def not_in_series(spark, sf_dir):
@@ -164,7 +164,7 @@ WHERE nth = 1
     "merge_new": """
 WITH o AS (SELECT o_custkey AS NewID, o_orderkey AS pos FROM orders)
 SELECT * FROM o WHERE pos % 3 = 0 UNION ALL
-SELECT * FROM o WHERE pos % 3 = 1 AND NewID NOT IN (SELECT NewID FROM o WHERE pos % 3 = 0)
+SELECT * FROM o WHERE pos % 3 <> 0 AND NewID NOT IN (SELECT NewID FROM o WHERE pos % 3 = 0)
 """,
     "not_in_series": """
 SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders
@@ -222,6 +222,6 @@ WITH {_REACHED}
 SELECT id, crp_lbl, component FROM comp JOIN points USING (id) WHERE component IN (
   SELECT component FROM comp JOIN points USING (id) WHERE crp_lbl IN ('BUILDING', 'MACHINERY', 'FURNITURE') GROUP BY 1 HAVING count(DISTINCT crp_lbl) = 3)
 """,
-    "set_spans": f"WITH RECURSIVE {PAIRS}, {_spanning_within(repr('BUILDING') + ',' + repr('MACHINERY') + ',' + repr('FURNITURE'), 'z')} SELECT n >= 3 AS spans FROM zn",
+    "set_spans": f"WITH RECURSIVE {PAIRS}, {_spanning_within(repr('BUILDING') + ',' + repr('MACHINERY') + ',' + repr('FURNITURE'), 'z')}, k AS (SELECT count(DISTINCT s) AS k FROM (SELECT a_crp_lbl AS s FROM pairs UNION ALL SELECT b_crp_lbl FROM pairs) WHERE s IN ('BUILDING', 'MACHINERY', 'FURNITURE')) SELECT k < 3 OR n >= 3 AS spans FROM zn, k",
     "valid_additions": "WITH RECURSIVE " + PAIRS + ", " + ", ".join(_spanning_within(f"'BUILDING','MACHINERY','{s}'", s[:2].lower()) for s in ("FURNITURE", "HOUSEHOLD", "AUTOMOBILE")) + " " + " UNION ALL ".join(f"SELECT '{s}' AS crp_lbl FROM {s[:2].lower()}n WHERE n = 3" for s in ("FURNITURE", "HOUSEHOLD", "AUTOMOBILE")),
 }

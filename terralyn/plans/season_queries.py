@@ -35,7 +35,7 @@ def coarse_windows(spark, sf_dir):
 
 
 def hidden_transitions(spark, sf_dir):
-    own = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("field_key"), F.dayofyear("o_orderdate").alias("day")).where("day % 7 = 0").distinct()
+    own = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("field_key"), F.dayofyear("o_orderdate").alias("day")).distinct()
     targets = own.select("field_key").distinct().withColumn("target", F.lit(150))
     return phenology.bracket_gap(own, targets, ["field_key"])
 
@@ -138,7 +138,7 @@ SELECT c.species, c.cluster, peak_day, coalesce(max(day) FILTER (value <= foot A
 FROM c JOIN p ON p.species = c.species AND p.cluster = c.cluster GROUP BY 1, 2, 3
 """,
     "hidden_transitions": """
-WITH d AS (SELECT DISTINCT o_custkey % 50 AS field_key, CAST(dayofyear(o_orderdate) AS INTEGER) AS day FROM orders WHERE dayofyear(o_orderdate) % 7 = 0)
+WITH d AS (SELECT DISTINCT o_custkey AS field_key, CAST(dayofyear(o_orderdate) AS INTEGER) AS day FROM orders)
 SELECT field_key, 150 AS target, min(day) FILTER (day >= 150) - max(day) FILTER (day <= 150) AS gap,
   coalesce(min(day) FILTER (day >= 150) - max(day) FILTER (day <= 150) >= 15, true) AS hidden FROM d GROUP BY 1
 """,

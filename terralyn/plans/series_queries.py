@@ -31,8 +31,7 @@ def covered_dates(spark, sf_dir):
 
 
 def complete_fields(spark, sf_dir):
-    few = observations(spark, sf_dir).where("date < date '2024-01-05'")
-    return series.complete_fields(series.field_curves(few), 0.5, 3)
+    return series.complete_fields(_curves(spark, sf_dir), 0.9, 3)
 
 
 def date_axis(spark, sf_dir):
@@ -40,7 +39,7 @@ def date_axis(spark, sf_dir):
 
 
 def centroid_support(spark, sf_dir):
-    own = observations(spark, sf_dir).where("field_key % 3 = 0 or event_type = 'click'").select(F.col("event_type").alias("cluster"), "date", "value")
+    own = observations(spark, sf_dir).select(F.col("field_key").alias("cluster"), "date", "value")  # most fields lack some dates
     return _rounded(series.centroids(own, "cluster"), "mean")
 
 
@@ -72,8 +71,8 @@ def one_scene_per_date(spark, sf_dir):
 
 
 def chart_axis(spark, sf_dir):
-    days = observations(spark, sf_dir).where("field_key = 1").select(F.dayofyear("date").alias("day"))
-    return series.chart_axis(days, 40)
+    days = observations(spark, sf_dir).select("field_key", F.dayofyear("date").alias("day"))
+    return series.chart_axis(days, 40, ["field_key"])
 
 
 def timeline_position(spark, sf_dir):
@@ -85,16 +84,13 @@ def nearest_observation(spark, sf_dir):
 
 
 def long_form(spark, sf_dir):
-    dates = ["2024-01-02", "2024-01-09", "2024-01-16"]
-    wide = _curves(spark, sf_dir).groupBy("field_key").pivot("date", dates).agg(F.avg("value"))
-    wide = wide.select("field_key", *[F.col(f"`{d}`").alias(f"NDVI__{d}") for d in dates])
+    wide = _curves(spark, sf_dir).withColumn("name", F.concat(F.lit("NDVI__"), F.date_format("date", "yyyy-MM-dd"))).groupBy("field_key").pivot("name").agg(F.avg("value"))
     return _rounded(series.melt_dates(wide, ["field_key"]), "value")
 
 
 def date_span_from_columns(spark, sf_dir):
-    dates = [r[0] for r in observations(spark, sf_dir).select(F.date_format("date", "yyyy-MM-dd")).distinct().orderBy(F.lit(1)).limit(400).collect()]
-    wide = ["NewID", "geometry", *[f"NDVI__{d}" for d in dates], "mean_all"]
-    return series.date_span(wide, spark)
+    names = F.explode(F.array(F.lit("NewID"), F.concat(F.lit("NDVI__"), F.date_format("date", "yyyy-MM-dd")), F.lit("mean_all"))).alias("name")
+    return series.date_span(observations(spark, sf_dir).select(names).distinct())
 
 
 def kept_coverage(spark, sf_dir):
@@ -121,8 +117,8 @@ SELECT date, count(DISTINCT field_key) AS n_fields FROM curves GROUP BY 1
 HAVING count(DISTINCT field_key) >= 0.6 * (SELECT count(DISTINCT field_key) FROM curves)
 """,
     "complete_fields": f"""
-WITH {CURVES.replace("FROM events", "FROM events WHERE ts < TIMESTAMP '2024-01-05'")},
-d AS (SELECT date FROM curves GROUP BY 1 HAVING count(DISTINCT field_key) >= 0.5 * (SELECT count(DISTINCT field_key) FROM curves))
+WITH {CURVES},
+d AS (SELECT date FROM curves GROUP BY 1 HAVING count(DISTINCT field_key) >= 0.9 * (SELECT count(DISTINCT field_key) FROM curves))
 SELECT field_key, count(DISTINCT date) AS n_dates FROM curves WHERE date IN (SELECT date FROM d) GROUP BY 1
 HAVING count(DISTINCT date) = (SELECT count(*) FROM d) AND (SELECT count(*) FROM d) >= 3
 """,
@@ -133,7 +129,7 @@ HAVING count(DISTINCT field_key) >= greatest(5.0, 0.02 * (SELECT count(DISTINCT
 """,
     "centroid_support": f"""
 WITH {OBS},
-own AS (SELECT event_type AS cluster, date, value FROM obs WHERE field_key % 3 = 0 OR event_type = 'click'),
+own AS (SELECT field_key AS cluster, date, value FROM obs),
 spine AS (SELECT * FROM (SELECT DISTINCT cluster FROM own), (SELECT DISTINCT date FROM own))
 SELECT s.cluster, s.date, round(avg(value), 8) AS mean, count(value) AS support
 FROM spine s LEFT JOIN own o ON o.cluster = s.cluster AND o.date = s.date GROUP BY 1, 2
@@ -183,9 +179,9 @@ WHERE nth = 1
 """,
     "chart_axis": f"""
 WITH {OBS},
-d AS (SELECT DISTINCT CAST(dayofyear(date) AS BIGINT) AS day FROM obs WHERE field_key = 1),
-e AS (SELECT min(day) AS lo, max(day) AS hi FROM d)
-SELECT day FROM d UNION SELECT CAST(floor(lo + i * (hi - lo) / 39.0 + 0.5) AS BIGINT) FROM e, range(40) r(i) WHERE lo IS NOT NULL
+d AS (SELECT DISTINCT field_key, CAST(dayofyear(date) AS BIGINT) AS day FROM obs),
+e AS (SELECT field_key, min(day) AS lo, max(day) AS hi FROM d GROUP BY 1)
+SELECT field_key, day FROM d UNION SELECT field_key, CAST(floor(lo + i * (hi - lo) / 39.0 + 0.5) AS BIGINT) FROM e, range(40) r(i)
 """,
     "timeline_position": f"""
 WITH {OBS}, d AS (SELECT DISTINCT date FROM obs), e AS (SELECT min(date) AS lo, max(date) AS hi FROM d)
@@ -202,7 +198,7 @@ SELECT field_key, date, round(value, 8) AS value FROM r WHERE nth = 1 AND apart
 """,
     "long_form": f"""
 WITH {CURVES}
-SELECT field_key, 'NDVI' AS metric, date, round(value, 8) AS value FROM curves WHERE date IN (DATE '2024-01-02', DATE '2024-01-09', DATE '2024-01-16')
+SELECT field_key, 'NDVI' AS metric, date, round(value, 8) AS value FROM curves
 """,
     "date_span_from_columns": "SELECT CAST(min(ts) AS DATE) AS first_date, CAST(max(ts) AS DATE) AS last_date FROM events",
     "kept_coverage": """

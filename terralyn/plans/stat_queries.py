@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from terralyn.functions import curves, geometry, spectral
+from terralyn.functions import curves, geometry, numeric, spectral
 from terralyn.operators import catalogue, matrix, stats
 from terralyn.plans.derive import OBS, POINTS, observations, points
 from terralyn.sources.tables import table
@@ -156,6 +156,11 @@ def utm_points(spark, sf_dir):
     return own.select("id", F.round(utm["easting"], 3).alias("easting"), F.round(utm["northing"], 3).alias("northing"))
 
 
+def smallest_plots(spark, sf_dir):
+    side = numeric.smallest_plot_side((F.col("p_size") % 10 + 1).cast("double"), F.col("p_size") / 10.0, 0.9)
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(side, 4).alias("side"))
+
+
 def season_curves(spark, sf_dir):
     t = F.dayofyear("date").cast("double") * 12
     own = observations(spark, sf_dir).select("field_key", "date").distinct()
@@ -215,7 +220,7 @@ def sampled_coverage(spark, sf_dir):
     return _r(catalogue.sampled_coverage(boxes, tiles, 4), "coverage")
 
 
-QUERIES = {f.__name__: f for f in (spectral_index, weighted_median, shared_window, percentile98, rank_auc, edge_precision, contrast_stretch, fraction_histogram, category_counts, column_facts, varieties, endmembers, unmix_fraction, nearest_centroid, covariance_trace, explained_cumulative, pca_project, pca_whitened, ica_axes, mnf_axes, ring_facts, utm_zones, utm_points, season_curves, crop_keys, scenes_by_date, scene_search, covered_scenes, elected_zones, scene_clarity, tile_mosaic, product_lattices, sampled_coverage)}
+QUERIES = {f.__name__: f for f in (spectral_index, weighted_median, shared_window, percentile98, rank_auc, edge_precision, contrast_stretch, fraction_histogram, category_counts, column_facts, varieties, endmembers, unmix_fraction, nearest_centroid, covariance_trace, explained_cumulative, pca_project, pca_whitened, ica_axes, mnf_axes, ring_facts, utm_zones, utm_points, smallest_plots, season_curves, crop_keys, scenes_by_date, scene_search, covered_scenes, elected_zones, scene_clarity, tile_mosaic, product_lattices, sampled_coverage)}
 
 _MARKS = "marks AS (SELECT o_orderpriority AS species, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS day, o_custkey % 4 AS weight, o_orderkey % 3 AS cluster FROM orders)"
 
@@ -297,6 +302,8 @@ SELECT id, CAST(64.0 AS DOUBLE) AS area, x - 4 AS minx, y + 4 AS maxy, id % 7 <
 WITH {POINTS}, p AS (SELECT id, x * 0.36 - 180 AS lng, y * 0.16 - 80 AS lat FROM points)
 SELECT id, CAST(floor((lng + 180) / 6) + 1 AS INTEGER) AS zone, CAST(CASE WHEN lat < 0 THEN 32700 ELSE 32600 END + floor((lng + 180) / 6) + 1 AS INTEGER) AS epsg FROM p
 """,
+    # 1.6322 is the point of the normal distribution below which lies the root of 0.9
+    "smallest_plots": "SELECT p_partkey, round(p_size % 10 + 1 + 2 * 1.6322187896168654 * p_size / 10, 4) AS side FROM part",
     "season_curves": f"""
 WITH {OBS}, p AS (SELECT DISTINCT field_key, date, dayofyear(date) * 12.0 AS t FROM obs),
 c AS (SELECT *, 0.8 * (1 / (1 + exp(-0.09 * (t - 165))) - 1 / (1 + exp(-0.07 * (t - 265)))) AS c FROM p)
