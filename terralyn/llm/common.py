@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terralyn.operators.relational import numbered
+from terralyn.sources import scratch
+from terralyn.sources.scratch import shared_folder  # noqa: F401
+
 #: White space between words: space and the ASCII controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -138,20 +143,41 @@ def group_facts(df: DataFrame, key: list[str], partial: list, merged: list) -> D
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a table in the shared folder. Unlike DataFrame.checkpoint, which computes its rows twice."""
-    spark = df.sparkSession
-    folder = shared_folder(spark, "cut")
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    """Cuts the lineage by a table in the shared folder."""
+    return scratch.cut(df)
+
+
+def freed(run):
+    """A function over Arrow batches that gives the worker's memory back when its task ends; workers serve many tasks."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _POWERS.clear()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
 
+    return whole
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, or a local one where that is unset, as in tests."""
-    import tempfile
-    import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def identified(docs: DataFrame) -> DataFrame:
+    """(_doc, text, row): a number for each row in the order of doc_id, the text, and the whole row.
+
+    The number is doc_id where all ids differ. Otherwise rows are numbered by id, nulls last, and then by a hash of the
+    text; equal rows come in any order. So every row is a document of its own, and of equal ones the first counts as
+    the earlier.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    own = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text"), row)
+    ids = own.select("_doc")
+    if not ids.where("_doc is null").limit(1).count() and not ids.groupBy("_doc").count().where("count > 1").limit(1).count():
+        return own
+    own = own.withColumn("_at", F.struct(F.col("_doc").isNull().alias("late"), F.col("_doc").alias("id"), F.xxhash64("text").alias("hash")))
+    return checkpoint(numbered(own, "_at", "_nth").select(F.col("_nth").cast("long").alias("_doc"), "text", "row"))
 
 
 def wrapped(docs: DataFrame, last: int) -> DataFrame:

@@ -4,17 +4,23 @@ A line's tokens are its distinct words, A-Z in lower case. A line goes if an ear
 the same document) has a token set whose Jaccard similarity with its own is at least 4/5, judged on the input. Tokens
 are ordered by rarity, so a line meets only the lines with which it shares a token of its rarest fifth, its prefix;
 pairs then pass a length filter, a positional filter (what follows the first shared token must suffice) and a parity
-bitmap (each token that only one line has flips one of its 256 bits), none of which loses a pair, and are verified on
-the full sets.
+bitmap (each token that only one line has flips one of its 128 bits), none of which loses a pair, and are verified on
+the words of both lines.
 
-Rarity comes from a table of COUNTERS counts over all documents, whose size does not grow with the corpus: words that
-share a counter are taken as equally rare, which costs time, never a pair. A token that occurs once can match
+Rarity comes from a table of 2 ** COUNTER_BITS counts over all documents, whose size does not grow with the corpus: words
+that share a counter are taken as equally rare, which costs time, never a pair. A token that occurs once can match
 nothing and is not sent. In place of a token as common as COMMON, a line sends the pairs that it makes with the tokens of
-the prefix one longer: two similar lines share two tokens there. Lines with equal sets are settled by a fingerprint.
+the prefix one longer: two similar lines share two tokens there. Lines with equal sets are settled by a fingerprint of
+128 bits, the later ones of a step before the shuffle.
 
-Cases: a null or empty text has one empty line; lines under MIN_TOKENS distinct words always stay; a null doc_id comes
-after all others; rows that share an id are told apart by nothing and lose the same lines; a document whose lines all
-go is kept with an empty text.
+Entries travel in packets, one for each bucket of keys, so Spark moves and sorts thousands of rows, not one for each
+key. In a first round a line names the best of its FIRST nearest earlier candidates under each key, and the best of
+those is verified; lines of one cluster meet under many keys, so this keeps the work in proportion to the lines. A line that its best
+candidate does not settle, and that had others, gets all of them in a second round.
+
+Cases: a null or empty text has one empty line; lines without a word always stay; a document whose lines all go is kept
+with an empty text. Rows are told apart as common.identified says: rows that share an id, or have none, are documents of
+their own, and of equal rows the first stays whole.
 """
 
 from __future__ import annotations
@@ -26,18 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, checkpoint, mix64, placed_words, retexted, retexted_schema, shared_folder, shuffle_parts, steps, utf8, wrapped
+from .common import U64, checkpoint, freed, identified, mix64, placed_words, retexted, retexted_schema, shuffle_parts, steps, utf8
 
-MIN_TOKENS = 5
 COUNTER_BITS = 23
 SLICE_BITS = 17
 #: Code of 1024 occurrences, from which a token counts as common.
 COMMON = 152
-#: Candidates of a line under one key in the first round. The lines that none of theirs settles get all in a second.
-FIRST = 2
+#: Candidates of a line under one key in the first round; a line left open by the best of them gets all in a second.
+FIRST = 8
+#: Buckets of keys for each shuffle partition, and entries that a task holds before it sends packets.
+BUCKETS, HELD = 32, 1 << 18
 #: Documents whose ids are sent to every executor at most; more are joined by a shuffle.
 BROADCAST_IDS = 250_000
-_LAST = (1 << 63) - 1
+#: Bitmaps of lines and keys that the second round asks for: a fixed size; a chance hit costs time only.
+BIT_SLOTS = 1 << 23
 
 
 def similar(common: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -60,8 +68,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
             data, offsets = utf8(batch.column("text"))
             for i, j in steps(offsets):
                 hashes, _, _ = placed_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                own, n = np.unique(hashes & mask, return_counts=True)
-                table[own] += n.astype(np.uint32)
+                np.add.at(table, (hashes & mask).astype(np.int64), np.uint32(1))
         for k in range(0, len(table), per):
             own = np.flatnonzero(table[k : k + per])
             if len(own):
@@ -76,20 +83,32 @@ def rarity(docs: DataFrame) -> np.ndarray:
         for k, own in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_code(own).tobytes()], pa.binary())], ["slice", "codes"])
 
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(count, "slice int, at binary, n binary")
+    parts = docs.select(F.col("text").cast("string")).mapInArrow(freed(count), "slice int, at binary, n binary")
     codes = np.zeros(1 << COUNTER_BITS, np.uint8)
     for row in parts.repartition(shuffle_parts(docs.sparkSession), "slice").mapInArrow(add, "slice int, codes binary").collect():
         codes[row["slice"] * per : (row["slice"] + 1) * per] = np.frombuffer(row["codes"], np.uint8)
     return codes
 
 
+def _order(line: np.ndarray, rank: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Places in order of line, rank and tie, by one sort of 64-bit words where their top bits tell all apart."""
+    bits = max(1, int(line[-1]).bit_length()) if len(line) else 1
+    word = line.astype(U64) << U64(64 - bits) | rank >> U64(bits)
+    order = np.argsort(word)
+    own = word[order]
+    same = own[1:] == own[:-1]
+    if same.any() and (tie[order][1:][same] != tie[order][:-1][same]).any():
+        return np.lexsort((tie, rank, line))
+    return order
+
+
 def line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct tokens of each line, in order of row, line and hash; each line's bounds in them, row and number."""
     hashes, bounds, starts = placed_words(data, offsets)
     breaks = np.concatenate([[0], np.cumsum(data == 10)])
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     line = row + breaks[starts]  # grows by one at each break and each text
-    order = np.lexsort((hashes, line))
+    order = _order(line, hashes, hashes)
     hashes, line, row, starts = hashes[order], line[order], row[order], starts[order]
     new = np.ones(len(line), bool)
     new[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
@@ -99,17 +118,20 @@ def line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return hashes, np.append(first, len(line)), row[first], number
 
 
+def _prints(hashes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit fingerprints of the sets between cuts."""
+    n = np.diff(cuts).astype(U64)
+    return tuple(mix64(np.add.reduceat(mix64(hashes ^ U64(c)), cuts[:-1]) + n) for c in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D))
+
+
 def _marks(hashes: np.ndarray, cuts: np.ndarray, codes: np.ndarray):
-    """For some lines (cuts in hashes): fingerprint, parity bitmap, and keys with the line and position of each."""
+    """For some lines (cuts in hashes): parity bitmap, and keys with the line and position of each."""
     n = np.diff(cuts)
     line = np.repeat(np.arange(len(n)), n)
-    prints = np.add.reduceat(mix64(hashes ^ U64(0x5851F42D4C957F2D)), cuts[:-1])
-    prints = mix64(prints + n.astype(U64))
-    bit, word = U64(1) << ((hashes >> U64(42)) & U64(63)), (hashes >> U64(40)) & U64(3)
-    bits = [np.bitwise_xor.reduceat(np.where(word == U64(k), bit, U64(0)), cuts[:-1]) for k in range(4)]
+    bit, high = U64(1) << ((hashes >> U64(42)) & U64(63)), (hashes >> U64(41)) & U64(1) == U64(1)
+    parity = [np.bitwise_xor.reduceat(np.where(high == side, bit, U64(0)), cuts[:-1]) for side in (False, True)]
     code = codes[(hashes & U64((1 << COUNTER_BITS) - 1)).astype(np.int64)]
-    rank = line.astype(U64) << U64(40) | code.astype(U64) << U64(32) | hashes >> U64(32)
-    order = np.argsort(rank, kind="stable")  # ties stay in order of the hash
+    order = _order(line, code.astype(U64) << U64(56) | hashes >> U64(8), hashes)
     token, code = hashes[order], code[order]
     pos = np.arange(len(token)) - cuts[:-1][line]
     reach = (n - (4 * n + 4) // 5 + 1)[line]
@@ -127,186 +149,284 @@ def _marks(hashes: np.ndarray, cuts: np.ndarray, codes: np.ndarray):
         at.append(line[own])
         where.append(np.full(len(own), -1))
         step += 1
-    return prints, bits, np.concatenate(keys), np.concatenate(at), np.concatenate(where), n
+    return parity, np.concatenate(keys), np.concatenate(at), np.concatenate(where)
 
 
-_PAIR = ["_doc", "line", "to_doc", "to_line"]
-_ROW = ["key", "kind", "print", "b0", "b1", "b2", "b3", "_doc", "line"]
+#: Columns of an entry under a key, and of one under a fingerprint.
+_KEYED = [("key", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("print", "<u4"), ("b0", "<u8"), ("b1", "<u8"), ("asked", "<u1")]
+_EQUAL = [("key", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("line", "<i4")]
+_FOUND = "_doc long, line long, to_doc long, to_line long, apart int, more boolean"
 
 
-def matches(docs: DataFrame, codes, asked: DataFrame | None = None) -> DataFrame:
-    """(_doc, line, to_doc, to_line, more): lines that equal an earlier one (to_doc null), and candidates with an earlier one.
+def _packed(entries: list[np.ndarray], kinds: list) -> bytes:
+    return b"".join(e.astype(kind, copy=False).tobytes() for e, (_, kind) in zip(entries, kinds, strict=True))
 
-    Under each key a line gets its FIRST nearest earlier candidates; more tells that it had others. With asked, rows
-    (_doc, line), only those lines get candidates, and all of them. Lines of one cluster meet under many keys, so this
-    keeps their number in proportion to the lines. kind is -1 for a line's fingerprint, -2 for a copy settled in its task, else size << 20 | position + 1.
-    """
 
+def _unpacked(packets: list[pa.Scalar], kinds: list) -> dict[str, np.ndarray]:
+    width = sum(np.dtype(kind).itemsize for _, kind in kinds)
+    columns = {name: [] for name, _ in kinds}
+    for packet in packets:
+        buffer = packet.as_buffer()
+        n, at = buffer.size // width, 0
+        for name, kind in kinds:
+            columns[name].append(np.frombuffer(buffer, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    return {name: np.concatenate(own) for name, own in columns.items()}
+
+
+def _packets(held: list[list[np.ndarray]], kinds: list, kind: int, buckets: int) -> pa.RecordBatch:
+    """Rows (bucket, kind, packet) of the entries that a task holds, in order of the bucket."""
+    entries = [np.concatenate(c) for c in zip(*held, strict=True)]
+    bucket = (entries[0] % U64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    names, cuts = np.unique(bucket[order], return_index=True)
+    entries = [e[order] for e in entries]
+    ends = [*cuts[1:].tolist(), len(order)]
+    packets = [_packed([e[a:b] for e in entries], kinds) for a, b in zip(cuts.tolist(), ends, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(np.full(len(names), kind, np.int32)), pa.array(packets, pa.binary())], ["bucket", "kind", "packet"])
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (mix64(hashes) & U64(BIT_SLOTS - 1)).astype(np.int64)
+
+
+def _lines_hash(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix64(doc.astype(U64) * U64(0x9E3779B97F4A7C15) + line.astype(U64))
+
+
+def _walk(e: dict[str, np.ndarray], every: bool):
+    """(places of a line and of an earlier one, how many tokens part them, whether the line had more) of one bucket's candidates."""
+    order = np.lexsort((e["line"], e["doc"], e["key"]))
+    e = {k: v[order] for k, v in e.items()}
+    name = mix64(e["key"] ^ mix64(e["print"].astype(U64) << U64(32) | e["n"].astype(U64)) ^ e["b0"])
+    own = np.sort(np.unique(name, return_index=True)[1])  # of equal sets, the first line stands for all
+    if every:
+        own = np.union1d(own, np.flatnonzero(e["asked"]))
+    e = {k: v[own] for k, v in e.items()}
+    key, n, pos = e["key"], e["n"].astype(np.int64), e["pos"].astype(np.int64)
+    live = np.flatnonzero(e["asked"]) if every else np.arange(len(key))
+    had, step = np.zeros(len(key), np.int64), 1
+    out: list[tuple] = []
+    while len(live):
+        live = live[live >= step]
+        live = live[key[live - step] == key[live]]
+        to = live - step
+        near = (5 * n[live] >= 4 * n[to]) & (5 * n[to] >= 4 * n[live])
+        a, b = live[near], to[near]
+        rest = np.where((pos[a] >= 0) & (pos[b] >= 0), np.minimum(n[a] - pos[a], n[b] - pos[b]), np.minimum(n[a], n[b]))
+        near = similar(rest, n[a], n[b])
+        a, b = a[near], b[near]
+        apart = sum(np.bitwise_count(e[c][a] ^ e[c][b]).astype(np.int64) for c in ("b0", "b1"))
+        near = similar((n[a] + n[b] - apart) // 2, n[a], n[b])
+        a, b, apart = a[near], b[near], apart[near]
+        if len(a):
+            had[a] += 1
+            out.append((a, b, apart))
+        if not every:
+            live = live[had[live] < FIRST]
+        step += 1
+        if every and sum(len(x[0]) for x in out) > 1 << 20:
+            yield e, *(np.concatenate(c) for c in zip(*out, strict=True)), np.zeros(0, bool)
+            out = []
+    if out:
+        a, b, apart = (np.concatenate(c) for c in zip(*out, strict=True))
+        if not every:  # of each line under each key the best, the nearest of equally good ones
+            order = np.lexsort((-b, apart, a))
+            first = order[np.concatenate([[True], a[order][1:] != a[order][:-1]])]
+            a, b, apart = a[first], b[first], apart[first]
+        yield e, a, b, apart, had[a] > 1
+
+
+def matches(docs: DataFrame, codes, asked=None) -> DataFrame:
+    """(_doc, line, to_doc, to_line, apart, more): lines that equal an earlier one (to_doc null), and candidates with an earlier one.
+
+    Under each key a line gets the best of its FIRST nearest earlier candidates; more tells that it had others. With
+    asked, bitmaps of lines and keys, the lines of the first get all their candidates, under the keys of the second.
+    """
+    parts = shuffle_parts(docs.sparkSession)
+    buckets = parts * BUCKETS
     every = asked is not None  # the functions below must not hold a DataFrame
 
     def send(batches):
-        table = codes.value
+        table, (lines, wanted) = codes.value, asked.value if every else (None, None)
+        keyed, equal, settled = [], [], []
+
+        def flush(least):
+            for held, kinds, kind in ((keyed, _KEYED, 1), (equal, _EQUAL, 0), (settled, _EQUAL, 2)):
+                if sum(len(x[0]) for x in held) > least:
+                    yield _packets(held, kinds, kind, buckets)
+                    held.clear()
+
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             ids = batch.column("_doc").to_numpy()
             for i, j in steps(offsets):
                 hashes, cuts, row, number = line_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                size = np.diff(cuts)
-                long = size >= MIN_TOKENS
-                if not long.any():
+                if not len(row):
                     continue
-                hashes = hashes[np.repeat(long, size)]
-                cuts = np.concatenate([[0], np.cumsum(size[long])])
-                doc, number = ids[i + row[long]], number[long]
-                prints, bits, keys, at, where, n = _marks(hashes, cuts, table)
-                order = np.lexsort((number, doc, prints))
-                copy = np.zeros(len(n), bool)
-                copy[order[1:]] = prints[order[1:]] == prints[order[:-1]]
-                own = ~copy[at]
-                keys, at, where = keys[own], at[own], where[own]
-                none = np.zeros(len(n), np.int64)
-                columns = [
-                    np.concatenate([np.where(copy, mix64(prints + number.astype(U64) + doc.astype(U64)), prints).view(np.int64), keys.view(np.int64)]),
-                    np.concatenate([np.where(copy, -2, -1), n[at] << 20 | where + 1]),
-                    np.concatenate([none, prints.view(np.int64)[at]]),
-                    *[np.concatenate([none, b.view(np.int64)[at]]) for b in bits],
-                    np.concatenate([doc, doc[at]]),
-                    np.concatenate([number, number[at]]),
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _ROW)
-
-    def meet(batches):
-        names = [*_ROW, "asked"]
-        held = [np.zeros(0, np.int64)] * len(names)
-
-        def table(doc, line, to_doc=None, to_line=None, more=None):
-            other = [pa.nulls(len(doc), pa.int64())] * 2 if to_doc is None else [pa.array(to_doc), pa.array(to_line)]
-            more = pa.nulls(len(doc), pa.bool_()) if more is None else pa.array(more)
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(line), *other, more], ["_doc", "line", "to_doc", "to_line", "more"])
-
-        def work(key, kind, prints, b0, b1, b2, b3, doc, line, wanted):
-            if not every:
-                settled = kind == -2
-                yield table(doc[settled], line[settled])
-                own = np.flatnonzero(kind == -1)  # sorted by key, document and line
-                again = np.zeros(len(own), bool)
-                again[1:] = key[own][1:] == key[own][:-1]
-                yield table(doc[own[again]], line[own[again]])
-            own = np.flatnonzero(kind >= 0)
-            order = np.lexsort((line[own], doc[own], prints[own], kind[own], key[own]))
-            own = own[order]
-            first = np.ones(len(own), bool)  # of equal sets, the first line stands for all
-            first[1:] = (key[own][1:] != key[own][:-1]) | (kind[own][1:] != kind[own][:-1]) | (prints[own][1:] != prints[own][:-1])
-            own = np.sort(own[first])
-            key, kind, prints, doc, line, wanted = (c[own] for c in (key, kind, prints, doc, line, wanted))
-            parity = np.stack([c[own] for c in (b0, b1, b2, b3)], axis=1).view(U64)
-            n, pos = kind >> 20, (kind & 0xFFFFF) - 1
-            live = np.flatnonzero(wanted == 1) if every else np.arange(len(key))
-            had, step = np.zeros(len(key), np.int64), 1
-            while len(live):
-                live = live[live >= step]
-                live = live[key[live - step] == key[live]]
-                to = live - step
-                near = (5 * n[live] >= 4 * n[to]) & (5 * n[to] >= 4 * n[live]) & (prints[live] != prints[to])
-                a, b = live[near], to[near]
-                rest = np.where((pos[a] >= 0) & (pos[b] >= 0), np.minimum(n[a] - pos[a], n[b] - pos[b]), np.minimum(n[a], n[b]))
-                near = similar(rest, n[a], n[b])
-                a, b = a[near], b[near]
-                apart = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64)
-                good = similar((n[a] + n[b] - apart) // 2, n[a], n[b])
-                a, b = a[good], b[good]
-                if len(a):
-                    had[a] += 1
-                    yield table(doc[a], line[a], doc[b], line[b], had[a] >= FIRST)
+                doc, size = ids[i + row], np.diff(cuts)
+                f1, f2 = _prints(hashes, cuts)
+                order = np.lexsort((number, doc, f1))
+                copy = np.zeros(len(size), bool)
+                copy[order[1:]] = (f1[order][1:] == f1[order][:-1]) & (f2[order][1:] == f2[order][:-1])
                 if not every:
-                    live = live[had[live] < FIRST]
-                step += 1
+                    equal.append([f1[~copy], f2[~copy], doc[~copy], number[~copy]])
+                    settled.append([_lines_hash(doc[copy], number[copy]), f2[copy], doc[copy], number[copy]])
+                marked = ~copy & (size > 3)  # smaller sets are similar to equal ones only
+                if every:
+                    of_asked = lines[_slots(_lines_hash(doc, number))]
+                    marked |= of_asked & (size > 3)
+                hashes = hashes[np.repeat(marked, size)]
+                cuts = np.concatenate([[0], np.cumsum(size[marked])])
+                if not len(hashes):
+                    continue
+                (b0, b1), keys, at, where = _marks(hashes, cuts, table)
+                own = np.flatnonzero(marked)
+                if every:
+                    use = wanted[_slots(keys)]
+                    keys, at, where = keys[use], at[use], where[use]
+                is_asked = of_asked[own] if every else np.zeros(len(own), bool)
+                keyed.append([keys, doc[own][at], number[own][at], size[own][at], where, (f1[own] >> U64(32))[at], b0[at], b1[at], is_asked[at]])
+                yield from flush(HELD)
+        yield from flush(0)
 
+    def meet(batches):
+        def found(doc, line, to_doc=None, to_line=None, apart=None, more=None):
+            other = [pa.nulls(len(doc), pa.int64())] * 2 if to_doc is None else [pa.array(to_doc), pa.array(to_line.astype(np.int64))]
+            apart = pa.nulls(len(doc), pa.int32()) if apart is None else pa.array(apart.astype(np.int32))
+            more = pa.nulls(len(doc), pa.bool_()) if more is None or len(more) != len(doc) else pa.array(more)
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(line.astype(np.int64)), *other, apart, more], ["_doc", "line", "to_doc", "to_line", "apart", "more"])
+
+        def work(kind, packets):
+            e = _unpacked(packets, _KEYED if kind == 1 else _EQUAL)
+            if kind == 2:
+                yield found(e["doc"], e["line"])
+            elif kind == 0:
+                order = np.lexsort((e["line"], e["doc"], e["more"], e["key"]))
+                key, more = e["key"][order], e["more"][order]
+                again = order[1:][(key[1:] == key[:-1]) & (more[1:] == more[:-1])]
+                yield found(e["doc"][again], e["line"][again])
+            else:
+                for e, a, b, apart, more in _walk(e, every):
+                    yield found(e["doc"][a], e["line"][a], e["doc"][b], e["line"][b], apart, more)
+
+        tag, held = None, []
         for batch in batches:
-            now = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names, strict=True)]
-            end = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
-            held = [c[end:] for c in now]
-            yield from work(*(c[:end] for c in now))
-        yield from work(*held)
-
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_doc"), F.col("text").cast("string").alias("text"))
-    kinds = ", ".join(f"{c} long" for c in _ROW)
-    rows = own.mapInArrow(send, kinds)
-    if asked is None:
-        rows = rows.withColumn("asked", F.lit(1).cast("long"))
-    else:
-        few = asked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        theirs = asked.select("_doc").distinct()
-        theirs = own.join(F.broadcast(theirs) if few else theirs, "_doc", "left_semi").select("_doc", "text").mapInArrow(send, kinds).where("kind >= 0")
-        keys = checkpoint(theirs.join(F.broadcast(asked) if few else asked, ["_doc", "line"], "left_semi").select("key").distinct())
-        rows = rows.where("kind >= 0").join(F.broadcast(keys) if keys.limit(4 * BROADCAST_IDS + 1).count() <= 4 * BROADCAST_IDS else keys, "key", "left_semi")
-        flagged = asked.select("_doc", "line", F.lit(1).cast("long").alias("asked"))
-        rows = rows.join(F.broadcast(flagged) if few else flagged, ["_doc", "line"], "left").select(*_ROW, F.coalesce("asked", F.lit(0).cast("long")).alias("asked"))
-    dealt = rows.repartition(shuffle_parts(docs.sparkSession), "key").sortWithinPartitions("key", "_doc", "line")
-    return dealt.mapInArrow(meet, "_doc long, line long, to_doc long, to_line long, more boolean")
+            for bucket, kind, packet in zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("packet"), strict=True):
+                if (bucket, kind) != tag and held:
+                    yield from work(tag[1], held)
+                    held = []
+                tag = bucket, kind
+                held.append(packet)
+        if held:
+            yield from work(tag[1], held)
+
+    rows = docs.select("_doc", "text").mapInArrow(freed(send), "bucket int, kind int, packet binary")
+    dealt = rows.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket", "kind")
+    return dealt.mapInArrow(freed(meet), _FOUND)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(_doc, line) of candidates that are similar to the earlier line on the full sets."""
-    pairs = pairs.distinct()
-    ends = pairs.select(F.explode(F.array(F.struct("_doc", "line"), F.struct(F.col("to_doc").alias("_doc"), F.col("to_line").alias("line")))).alias("e")).select("e.*")
-    wanted = checkpoint(ends.groupBy("_doc").agg(F.array_sort(F.collect_set("line")).alias("lines")))
+    """(_doc, line) of candidates (_doc, line, to_doc, to_line) whose words are similar to those of the earlier line."""
+    pairs = checkpoint(pairs.distinct())
+    ends = pairs.select("_doc", "line").unionByName(pairs.select(F.col("to_doc").alias("_doc"), F.col("to_line").alias("line")))
+    wanted = checkpoint(ends.groupBy("_doc").agg(F.collect_set("line").alias("lines")))
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
 
     def cut(batches):
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for i, j in steps(offsets):
-                hashes, cuts, row, number = line_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                asked = batch.column("lines").slice(i, j - i)
-                where = np.repeat(np.arange(j - i), np.diff(asked.offsets.to_numpy()))
-                ask = asked.values.to_numpy()[asked.offsets[0].as_py() : asked.offsets[-1].as_py()]
-                own = np.flatnonzero(np.isin(row << 40 | number, where << 40 | ask))
-                sets = [hashes[cuts[k] : cuts[k + 1]].tobytes() for k in own]
-                yield pa.RecordBatch.from_arrays([batch.column("_doc").take(pa.array(i + row[own])), pa.array(number[own]), pa.array(sets, pa.binary())], ["_doc", "line", "set"])
+            out = []
+            for doc, text, lines in zip(batch.column("_doc").to_pylist(), batch.column("text"), batch.column("lines").to_pylist(), strict=True):
+                own = (text.as_py() or "").split("\n")
+                out += [(doc, k, own[k]) for k in lines]
+            doc, line, text = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int64()), pa.array(text, pa.string())], ["_doc", "line", "words"])
+
+    def words(text: str) -> set[bytes]:
+        return set(text.encode().lower().split())
 
     def hold(batches):
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("set"), batch.column("to_set"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), U64) for s in (x, y))
-                good.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
+            for x, y in zip(batch.column("words").to_pylist(), batch.column("to_words").to_pylist(), strict=True):
+                x, y = words(x), words(y)
+                good.append(9 * len(x & y) >= 4 * (len(x) + len(y)))
             good = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("_doc", "line")], ["_doc", "line"])
 
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_doc"), F.col("text").cast("string").alias("text"))
-    sets = own.join(F.broadcast(wanted) if few else wanted, "_doc").select("_doc", "text", "lines").mapInArrow(cut, "_doc long, line long, set binary")
-    with_to = pairs.join(sets.select(F.col("_doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("set").alias("to_set")), ["to_doc", "to_line"])
-    both = with_to.join(sets, ["_doc", "line"])
-    return both.select("_doc", "line", "set", "to_set").mapInArrow(hold, "_doc long, line long")
+    texts = checkpoint(docs.select("_doc", "text").join(F.broadcast(wanted) if few else wanted, "_doc").mapInArrow(freed(cut), "_doc long, line long, words string"))
+    with_to = pairs.join(texts.select(F.col("_doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("words").alias("to_words")), ["to_doc", "to_line"])
+    return with_to.join(texts, ["_doc", "line"]).select("_doc", "line", "words", "to_words").mapInArrow(hold, "_doc long, line long")
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """Which of BIT_SLOTS slots the column h names, by Spark's bitmap aggregates."""
+    slot = F.col("h") + 1  # these aggregates count from 1
+    rows = hashes.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    out = np.zeros(BIT_SLOTS, bool)
+    for row in rows:
+        bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")
+        at = (row["k"] - 1) * len(bits)
+        out[at : at + len(bits)] = bits
+    return out
+
+
+def _asked(docs: DataFrame, codes, open_: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the open lines (_doc, line) and of their keys."""
+    wanted = checkpoint(open_.groupBy("_doc").agg(F.collect_set("line").alias("lines")))
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+
+    def keys(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            ids = batch.column("_doc").to_numpy()
+            lists = batch.column("lines")
+            ask = _lines_hash(np.repeat(ids, np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy())
+            for i, j in steps(offsets):
+                hashes, cuts, row, number = line_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                size = np.diff(cuts)
+                own = np.isin(_lines_hash(ids[i + row], number), ask) & (size > 3)
+                if own.any():
+                    got = _marks(hashes[np.repeat(own, size)], np.concatenate([[0], np.cumsum(size[own])]), codes.value)[1]
+                    yield pa.RecordBatch.from_arrays([pa.array(_slots(got))], ["h"])
+
+    def names(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_slots(_lines_hash(batch.column("_doc").to_numpy(), batch.column("line").to_numpy())))], ["h"])
+
+    own = docs.select("_doc", "text").join(F.broadcast(wanted) if few else wanted, "_doc").mapInArrow(freed(keys), "h long")
+    return _bitmap(open_.mapInArrow(names, "h long")), _bitmap(own)
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(_doc, lines): the numbers, from 0, of the lines that go from each document."""
+    """(_doc, lines): the numbers, from 0, of the lines that go from each of the rows (_doc, text)."""
     spark = docs.sparkSession
-    folder = shared_folder(spark, "lines")
     codes = spark.sparkContext.broadcast(rarity(docs))  # a fixed size
-    matches(docs, codes).write.parquet(f"{folder}/0")
-    found = spark.read.parquet(f"{folder}/0")
-    pairs = found.where("to_doc is not null")
-    alike = checkpoint(_verified(docs, pairs.select(*_PAIR)).distinct())
-    gone = found.where("to_doc is null").select("_doc", "line").unionByName(alike)
-    open_ = checkpoint(pairs.where("more").select("_doc", "line").distinct().join(gone, ["_doc", "line"], "left_anti"))
+    found = checkpoint(matches(docs, codes))
+    gone = found.where("to_doc is null").select("_doc", "line")
+    best = F.min(F.struct("apart", "to_doc", "to_line")).alias("b")
+    many = (F.bool_or("more") | (F.min(F.struct("to_doc", "to_line")) < F.max(F.struct("to_doc", "to_line")))).alias("more")
+    lines = checkpoint(found.where("to_doc is not null").groupBy("_doc", "line").agg(best, many).join(gone, ["_doc", "line"], "left_anti"))
+    alike = checkpoint(_verified(docs, lines.select("_doc", "line", "b.to_doc", "b.to_line")))
+    open_ = checkpoint(lines.where("more").select("_doc", "line").join(alike, ["_doc", "line"], "left_anti"))
+    gone = gone.unionByName(alike)
     if open_.limit(1).count():
-        matches(docs, codes, open_).write.parquet(f"{folder}/1")
-        gone = gone.unionByName(_verified(docs, spark.read.parquet(f"{folder}/1").select(*_PAIR)))
+        asked = spark.sparkContext.broadcast(_asked(docs, codes, open_))  # a fixed size
+        again = matches(docs, codes, asked).select("_doc", "line", "to_doc", "to_line")
+        gone = gone.unionByName(_verified(docs, again.join(open_, ["_doc", "line"], "left_semi")))
     return gone.groupBy("_doc").agg(F.collect_set("line").alias("_lines"))
 
 
 def _with_lines(docs: DataFrame) -> DataFrame:
-    return wrapped(docs, _LAST).join(repeated_lines(docs), "_doc", "left")
+    own = identified(docs)
+    return own.join(repeated_lines(own), "_doc", "left")
 
 
 def _kept(batch: pa.RecordBatch):
     """(lines, lines that go, text that stays) of each row."""
     for text, gone in zip(batch.column("text"), batch.column("_lines"), strict=True):
         lines = (text.as_py() or "").split("\n")
-        out = {x for x in gone.as_py() or () if x < len(lines)}
+        out = set(gone.as_py() or ())
         yield len(lines), len(out), "\n".join(x for k, x in enumerate(lines) if k not in out) if out else "\n".join(lines)
 
 
@@ -318,11 +438,10 @@ def line_dedup(docs: DataFrame) -> DataFrame:
             rows = [(n, gone, len(text), hashlib.sha256(text.encode()).hexdigest()) for n, gone, text in _kept(batch)]
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            ids = [None if d == _LAST else d for d in batch.column("_doc").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", "n_lines", "n_removed", "kept_chars", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", "n_lines", "n_removed", "kept_chars", "kept_sha256"])
 
-    own = docs.select("doc_id", "text")
-    return _with_lines(own).select("_doc", "text", "_lines").mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_chars long, kept_sha256 string")
+    own = docs.select(F.col("doc_id").cast("long"), "text")
+    return _with_lines(own).select("row.doc_id", "text", "_lines").mapInArrow(freed(run), "doc_id long, n_lines long, n_removed long, kept_chars long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -333,7 +452,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield retexted(batch, names, [text for _, _, text in _kept(batch)])
 
-    return _with_lines(docs).select("text", "row", "_lines").mapInArrow(run, retexted_schema(docs))
+    return _with_lines(docs).select("text", "row", "_lines").mapInArrow(freed(run), retexted_schema(docs))
 
 
 SQL = r"""
@@ -344,7 +463,7 @@ WITH w AS (
 ), s AS (
   SELECT DISTINCT doc_id, line, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS g FROM l
 ), n AS (
-  SELECT doc_id, line, count(*) AS n, string_agg(g, ' ' ORDER BY g) AS k FROM s GROUP BY 1, 2 HAVING count(*) >= 5
+  SELECT doc_id, line, count(*) AS n, string_agg(g, ' ' ORDER BY g) AS k FROM s GROUP BY 1, 2
 ), f AS (
   SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, line) AS nth FROM n
 ), df AS (SELECT g, count(*) AS df FROM s GROUP BY 1),

@@ -235,39 +235,61 @@ def test_roots_of_a_forest(spark):
 
 
 def brute_lines(rows):
+    """Rows in order of id, nulls last; of rows that share one, in any order that gives equal results here."""
     seen, out = [], []
-    for doc, text in sorted(rows):
+    for doc, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         kept = []
         own = (text or "").split("\n")
         for line in own:
             words = set(line.translate({c: c + 32 for c in range(65, 91)}).encode().split())
-            if len(words) < lines.MIN_TOKENS:
+            if not words or not any(9 * len(words & s) >= 4 * (len(words) + len(s)) for s in seen):
                 kept.append(line)
-                continue
-            if not any(9 * len(words & s) >= 4 * (len(words) + len(s)) for s in seen):
-                kept.append(line)
-            seen.append(words)
+            if words:
+                seen.append(words)
         text = "\n".join(kept)
         out.append((doc, len(own), len(own) - len(kept), len(text), hashlib.sha256(text.encode()).hexdigest()))
-    return sorted(out)
+    return sorted(out, key=repr)
+
+
+def line_rows(df):
+    return sorted(map(tuple, lines.line_dedup(df).collect()), key=repr)
 
 
 def test_lines_equal_brute_force(spark, odd, monkeypatch):
     rng = random.Random(11)
     words = [f"w{int(rng.paretovariate(0.6))}" for _ in range(3000)]
-    base = [" ".join(rng.choices(words, k=rng.randint(3, 25))) for _ in range(60)]
+    base = [" ".join(rng.choices(words, k=rng.randint(1, 25))) for _ in range(60)]
 
     def vary(line):
         return " ".join(w.upper() if rng.random() < 0.2 else w if rng.random() > 0.08 else rng.choice(words) for w in line.split())
 
-    docs = [(r.doc_id, r.text) for r in odd.where("doc_id is not null").dropDuplicates(["doc_id"]).collect()]
-    docs += [(100 + k, "\n".join(vary(rng.choice(base)) for _ in range(8))) for k in range(60)]
-    df = clashing(spark.createDataFrame(docs, "doc_id long, text string"))
-    want = brute_lines(docs)
-    assert sorted(map(tuple, lines.line_dedup(df).collect())) == want
-    monkeypatch.setattr(lines, "COMMON", 3)  # nearly every token sends pairs
-    monkeypatch.setattr(lines, "FIRST", 1)
-    assert sorted(map(tuple, lines.line_dedup(df).collect())) == want
+    odd_rows = [(r.doc_id, r.text) for r in odd.collect()]  # null and repeated ids, and equal rows
+    docs = [r for r in odd_rows if r[0] is not None and r[0] != 6] + [(6, odd_rows[5][1])]
+    more = [(100 + k, "\n".join(vary(rng.choice(base)) for _ in range(8))) for k in range(60)]
+    for own in (docs + more, odd_rows + more[:20]):
+        df = clashing(spark.createDataFrame(own, "doc_id long, text string"))
+        want = brute_lines(own)
+        assert line_rows(df) == want
+        with monkeypatch.context() as patch:
+            patch.setattr(lines, "COMMON", 3)  # nearly every token sends pairs
+            patch.setattr(lines, "FIRST", 1)
+            patch.setattr(lines, "HELD", 50)
+            assert line_rows(df) == want
+
+
+def test_rows_without_or_with_equal_ids_lose_their_own_lines(spark):
+    long = [" ".join(f"{c}{k}" for k in range(8)) for c in "abcdef"]
+    rows = [(None, f"{long[0]}\n{long[1]}"), (None, f"{long[2]}\n{long[0]}"), (1, f"{long[3]}\n{long[4]}"), (1, f"{long[5]}\n{long[3]}"), (2, long[4])] + [(9, "three equal rows of one document")] * 3
+    got = sorted(r.text for r in lines.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got.count("three equal rows of one document") == 1 and got.count("") == 3
+    text = "\n".join(got)
+    assert all(text.count(x) == 1 for x in long)
+
+
+def test_short_lines_go_as_well(spark):
+    rows = [(1, "Subscribe now\na b c d e\n\n"), (2, "SUBSCRIBE  now\na b c d\nx"), (3, "now subscribe\n\nx\na b c z")]
+    got = {r.doc_id: r.text for r in lines.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "Subscribe now\na b c d e\n\n", 2: "x", 3: "\na b c z"}
 
 
 def test_second_round_gives_all_candidates(spark, monkeypatch):
@@ -282,7 +304,7 @@ def test_second_round_gives_all_candidates(spark, monkeypatch):
     rounds = []
     whole = lines.matches
     monkeypatch.setattr(lines, "matches", lambda *a: rounds.append(len(a)) or whole(*a))
-    assert sorted(map(tuple, lines.line_dedup(df).collect())) == want
+    assert line_rows(df) == want
     assert rounds == [2, 3]
 
 
