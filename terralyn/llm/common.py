@@ -165,13 +165,13 @@ def freed(run):
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """(_doc, text, row): a number for each row in the order of doc_id, the text, and the whole row.
+    """(_doc, text, row): a number for each row in the order of doc_id, the text, and the other columns.
 
     The number is doc_id where all ids differ. Otherwise rows are numbered by id, nulls last, and then by a hash of the
     text; equal rows come in any order. So every row is a document of its own, and of equal ones the first counts as
     the earlier.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
     own = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text"), row)
     ids = own.select("_doc")
     if not ids.where("_doc is null").limit(1).count() and not ids.groupBy("_doc").count().where("count > 1").limit(1).count():
@@ -180,18 +180,17 @@ def identified(docs: DataFrame) -> DataFrame:
     return checkpoint(numbered(own, "_at", "_nth").select(F.col("_nth").cast("long").alias("_doc"), "text", "row"))
 
 
-def wrapped(docs: DataFrame, last: int) -> DataFrame:
-    """(_doc, text, row): the id with null as last, the text, and the whole row, whose names then clash with nothing."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("_doc"), F.col("text").cast("string").alias("text"), row)
-
-
 def retexted(batch: pa.RecordBatch, names: list[str], texts: list[str]) -> pa.RecordBatch:
     """The rows of a batch with other texts; n_chars, where there is one, follows."""
-    columns = dict(zip(names, batch.column("row").flatten(), strict=True)) | {"text": pa.array(texts, pa.string())}
+    columns = dict(zip([c for c in names if c != "text"], batch.column("row").flatten(), strict=True)) | {"text": pa.array(texts, pa.string())}
     if "n_chars" in columns:
         columns["n_chars"] = pa.array([len(t) for t in texts], pa.int64())
-    return pa.RecordBatch.from_arrays(list(columns.values()), names)
+    return pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+
+def unwrapped(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of identified rows as they were, text as a string."""
+    return rows.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names])
 
 
 def retexted_schema(docs: DataFrame) -> str:

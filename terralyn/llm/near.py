@@ -1,30 +1,37 @@
 """Operator 3: near-dedup of documents by an LSH forest over MinHash signatures.
 
-Every distinct set of shingles has TREES signatures of DEPTH hashes. Each tree is a sorted order of its signatures;
-neighbours whose common prefix has at least SHALLOW hashes are candidates. The depth adapts to the region: a prefix
-that more than REGION sets share is followed deeper, and its children are paired inside and along their borders. At
-full depth, a region that is still larger pairs its neighbours, and the rest of it is settled once components are
-known: only pairs from different components can still matter, and those are compared in blocks, without a cap.
-Candidates are first held against all TREES x DEPTH hashes, then confirmed on the full sets, in two rounds: of each
-document the best candidate with a smaller id, and then every candidate between different components. A pair inside one
-component needs no confirmation. Sets meet by regions, so their number follows the documents, not the pairs.
+Every distinct set of shingles has TREES signatures of DEPTH hashes. Each tree is a sorted order of its signatures. A
+region is a run of sets that share SHALLOW hashes of a tree; where more than REGION sets do, its longer prefixes are
+followed, as deep as they must be to hold REGION sets, and a run that is still larger at full depth is cut into windows
+of sorted neighbours. All pairs of a region that agree in AGREE of all TREES x DEPTH hashes are candidates. Rows of
+small shape alone are sorted for this; signatures follow to the regions that have members.
+
+Only the components matter, so candidates are confirmed in rounds: of each set the best candidate between different
+components, then the next best, and in the last round all that are left. Before the third round every region that was
+followed deeper is gone through again without a cap: its sets outside the region's largest component are held, in blocks,
+against all of its sets in other components. So all pairs that share SHALLOW hashes in a tree are either candidates or
+in one component already.
+
+A confirmation reads the texts: pairs are dealt by cluster (what candidates join) and by pairs of blocks of a cluster, so
+a text travels once to each pair of blocks that asks for it, and sets are compared in full, by hashes of 64 bits, and
+word by word where the hashes say that a pair is similar or nearly so.
 
 Cases: a null, empty or blank text has no shingles and links with nothing; a text with fewer words than a shingle is
-one shingle; documents with equal sets are one node, so any number of copies costs a row each; rows that share an id share
-a node where their sets are equal; a null doc_id is its own component.
+one shingle; documents with equal sets (a fingerprint of 128 bits) are one node, so any number of copies costs a row each; rows are
+told apart as common.identified says, so those that share an id, or have none, are documents of their own. A group
+whose rows all lack an id has a null component_id.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, checkpoint, group_facts, mix64, salted, shared_folder, shuffle_parts, steps, utf8, word_hashes
-from .components import components, roots
+from terralyn.operators.graph import components
+
+from .common import U64, checkpoint, freed, group_facts, identified, mix64, salted, shuffle_parts, steps, unwrapped, utf8, word_hashes
 
 TREES, DEPTH, SHALLOW, REGION = 12, 6, 3, 32
 #: Equal hashes of all TREES x DEPTH that a candidate needs: 5 standard deviations under a similarity of 0.8.
@@ -34,7 +41,10 @@ PERCENT = 80
 WORDS = 2
 #: Ids that are sent to every executor at most; more are joined by a shuffle.
 BROADCAST_IDS = 250_000
-BLOCK = 1024
+#: Sets and shingles of a block, and rows of a region that one task goes through.
+BLOCK, BLOCK_SHINGLES, STRETCH = 256, 1 << 18, 1 << 16
+#: Rows of one prefix that a task sorts out at a time.
+HOLD = 1 << 18
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
@@ -57,6 +67,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> l
     return out
 
 
+def word_shingles(text: str, words: int = WORDS) -> set[tuple[bytes, ...]]:
+    """The same sets in words."""
+    own = text.encode().lower().split()
+    return set(zip(*(own[k:] for k in range(words)), strict=False)) if len(own) >= words else {tuple(own)} if own else set()
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """TREES x DEPTH minima of each set; a row of zeros for an empty one."""
     n = np.array([len(s) for s in sets])
@@ -84,7 +100,7 @@ def _bytes(column: pa.Array, width: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, f1 and f2 (a set's 128-bit fingerprint), sig (all its minima)."""
+    """_doc, n_shingles, f1 and f2 (a set's 128-bit fingerprint), sig (all its minima) of rows (_doc, text)."""
 
     def run(batches):
         for batch in batches:
@@ -92,157 +108,234 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
             for i, j in steps(offsets):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 prints = np.array([[np.sum(mix64(s ^ U64(c)), dtype=U64) for c in (0x1234567, 0x89ABCDE)] for s in sets], U64).view(np.int64).reshape(-1, 2)
-                columns = [batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), _binary(signatures(sets).view(np.uint8))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "f1", "f2", "sig"])
+                columns = [batch.column("_doc").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), _binary(signatures(sets).view(np.uint8))]
+                yield pa.RecordBatch.from_arrays(columns, ["_doc", "n_shingles", "f1", "f2", "sig"])
+
+    return docs.select("_doc", "text").mapInArrow(freed(run), "_doc long, n_shingles long, f1 long, f2 long, sig binary")
+
+
+def _named(*parts: np.ndarray) -> np.ndarray:
+    """A 64-bit name of columns of 64-bit values."""
+    out = mix64(parts[0].astype(U64))
+    for p in parts[1:]:
+        out = mix64(out * U64(0x9E3779B97F4A7C15) + p.astype(U64))
+    return out.view(np.int64)
+
+
+def _regions(head: np.ndarray, rest: np.ndarray, last: np.ndarray, ids: np.ndarray, tied: bool) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+    """(places, names, wide) of the regions of sorted rows: head names SHALLOW hashes, rest the next two, last the sixth.
+
+    wide regions hold over REGION rows and come along with the deeper regions inside; tied says that head goes on beyond.
+    """
+    out = []
+    levels = [head, _named(head, rest >> 32), _named(head, rest), _named(head, rest, last)]
+    todo = [(0, len(head), 0)]
+    while todo:
+        lo, hi, depth = todo.pop()
+        own = levels[depth][lo:hi]
+        cuts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [hi - lo]]) + lo
+        size = np.diff(cuts)
+        small = (size >= 2) & (size <= REGION) if not (tied and depth == 0) else np.zeros(len(size), bool)
+        places = np.arange(lo, hi)[np.repeat(small, size)]
+        out.append((places, levels[depth][places], False))
+        for k in np.flatnonzero((size > REGION) | (tied and depth == 0)):
+            a, b = int(cuts[k]), int(cuts[k + 1])
+            if depth == 0:
+                out.append((np.arange(a, b), head[a:b], True))
+            if depth + 1 < len(levels):
+                todo.append((a, b, depth + 1))
+            else:
+                for at in range(a, b, REGION):
+                    window = np.arange(at, min(at + REGION, b))
+                    out.append((window, _named(levels[depth][window], np.full(len(window), ids[at])), False))
+    return out
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
 
+def forest(reps: DataFrame) -> DataFrame:
+    """(region, id, wide): the regions that hold each of the rows (id, sig)."""
 
-def _within(agree: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of a small region that agree enough, and in how many hashes."""
-    i, j = np.nonzero(np.triu(agree >= AGREE, 1))
-    return ids[i], ids[j], agree[i, j]
+    def plant(batches):
+        for batch in batches:
+            sig = _bytes(batch.column("sig"), 4 * TREES * DEPTH).view("<u4").astype(U64)
+            values = sig.reshape(len(sig), TREES, DEPTH)
+            head = _named(np.broadcast_to(np.arange(TREES), values.shape[:2]), *(values[:, :, k] for k in range(SHALLOW)))
+            rest = (values[:, :, SHALLOW] << U64(32) | values[:, :, SHALLOW + 1]).view(np.int64)
+            ids = np.repeat(batch.column("id").to_numpy(), TREES)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (head.ravel(), rest.ravel(), values[:, :, DEPTH - 1].astype(np.int64).ravel(), ids)], ["head", "rest", "last", "id"])
+
+    def grow(batches):
+        names = ["head", "rest", "last", "id"]
+        held = [np.zeros(0, np.int64)] * 4
+        before = None
+
+        def out(rows, tied):
+            got = [g for g in _regions(*rows, tied) if len(g[0])]
+            if got:
+                place, region = (np.concatenate([g[k] for g in got]) for k in (0, 1))
+                wide = np.concatenate([np.full(len(g[0]), g[2]) for g in got])
+                yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(rows[3][place]), pa.array(wide)], ["region", "id", "wide"])
+
+        for batch in batches:
+            now = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names, strict=True)]
+            if not len(now[0]):
+                continue
+            end = int(np.searchsorted(now[0], now[0][-1]))  # the last prefix may go on
+            tie = end and now[0][0] == before
+            if tie:  # a prefix of which a part has gone: its regions are wide whatever their size here
+                stop = int(np.searchsorted(now[0], before, side="right"))
+                yield from out([c[:stop] for c in now], True)
+                now, end = [c[stop:] for c in now], end - stop
+                before = None
+            yield from out([c[:end] for c in now], False)
+            held = [c[end:] for c in now]
+            if len(held[0]) > HOLD:
+                before = held[0][0]
+                yield from out(held, True)
+                held = [c[:0] for c in held]
+        if len(held[0]):
+            stop = int(np.searchsorted(held[0], before, side="right")) if before is not None and held[0][0] == before else 0
+            yield from out([c[:stop] for c in held], True)
+            yield from out([c[stop:] for c in held], False)
+
+    rows = reps.select("id", "sig").mapInArrow(plant, "head long, rest long, last long, id long")
+    dealt = rows.repartition(shuffle_parts(reps.sparkSession), "head").sortWithinPartitions("head", "rest", "last", "id")
+    return dealt.mapInArrow(freed(grow), "region long, id long, wide boolean")
 
 
 def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x[:, None, :] == y[None, :, :]).sum(axis=2)
 
 
-def _alone(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A region of its own for each pair."""
-    low, high = np.minimum(a, b).astype(U64), np.maximum(a, b).astype(U64)
-    return mix64(low * U64(0x9E3779B97F4A7C15) + mix64(high)).view(np.int64)
+def _short(column: pa.Array) -> np.ndarray:
+    """The low bytes of all minima: enough to count agreement, which chance hits can only raise."""
+    return _bytes(column, 4 * TREES * DEPTH).reshape(-1, TREES * DEPTH, 4)[:, :, 0]
 
 
-def _pair(keys: np.ndarray, ids: np.ndarray, sig: np.ndarray, out: list, dense: list) -> None:
-    """Candidates among sorted rows of one prefix of SHALLOW hashes, with a name of the small region that holds each."""
+_PAIRS = "a long, b long, agree int"
 
-    def beside(lo: int, hi: int, reach: int) -> None:
-        for s in range(1, reach + 1):
-            agree = (sig[lo + s : hi] == sig[lo : hi - s]).sum(axis=1)
-            good = np.flatnonzero(agree >= AGREE)
-            a, b = ids[good + lo], ids[good + lo + s]
-            out.append((a, b, agree[good], _alone(a, b)))
 
-    todo = [(0, len(ids), SHALLOW)]
-    while todo:
-        lo, hi, depth = todo.pop()
-        if hi - lo < 2:
-            continue
-        if hi - lo <= REGION:
-            a, b, agree = _within(_agreement(sig[lo:hi], sig[lo:hi]), ids[lo:hi])
-            name = mix64(np.frombuffer(hashlib.blake2b(keys[lo, : 1 + 4 * depth].tobytes(), digest_size=8).digest(), U64)).view(np.int64)
-            out.append((a, b, agree, np.repeat(name, len(a))))
-        elif depth < DEPTH:
-            part = keys[lo:hi, 1 + 4 * depth : 5 + 4 * depth]
-            cuts = np.flatnonzero((part[1:] != part[:-1]).any(axis=1)) + 1 + lo
-            edges = [lo, *cuts.tolist(), hi]
-            todo += [(a, b, depth + 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            beside(lo, hi, 2)
-        else:
-            beside(lo, hi, 4)
-            dense.append((lo, hi))
+def _pairs(a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agree.astype(np.int32))], ["a", "b", "agree"])
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """a, b, agree of candidate pairs; rows of regions too dense to pair come with key, id and hashes instead."""
-    width = 1 + 4 * DEPTH
+def candidates(regions: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b, agree), a < b, of the pairs of all regions that are not wide."""
 
-    def plant(batches):
+    def pair(batches):
+        held = None
         for batch in batches:
-            sig = _bytes(batch.column("sig"), 4 * TREES * DEPTH)
-            n = len(sig)
-            if not n:
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            if not len(table):
                 continue
-            values = sig.view("<u4").reshape(n, TREES, DEPTH)
-            short = (values & 0xFF).astype(np.uint8).reshape(n, -1)
-            keys = np.concatenate([np.broadcast_to(np.arange(TREES, dtype=np.uint8)[None, :, None], (n, TREES, 1)), values.astype(">u4").view(np.uint8).reshape(n, TREES, 4 * DEPTH)], axis=2)
-            ids = batch.column("doc_id").to_numpy()
-            yield pa.RecordBatch.from_arrays([_binary(keys.reshape(n * TREES, width)), pa.array(np.repeat(ids, TREES)), _binary(np.repeat(short, TREES, axis=0))], ["key", "id", "hashes"])
+            held = table.to_batches()[0]
+            region, ids, sig = held.column("region").to_numpy(), held.column("id").to_numpy(), _short(held.column("sig"))
+            cuts = np.concatenate([[0], np.flatnonzero(region[1:] != region[:-1]) + 1, [len(region)]])
+            yield from work(cuts[:-1], ids, sig)
+            held = held.slice(int(cuts[-2]))
+        if held is not None:
+            yield from work(np.array([0, len(held)]), held.column("id").to_numpy(), _short(held.column("sig")))
+
+    def work(cuts, ids, sig):
+        out = []
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            agree = _agreement(sig[lo:hi], sig[lo:hi])
+            i, j = np.nonzero(np.triu(agree >= AGREE, 1))
+            out.append((ids[lo:hi][i], ids[lo:hi][j], agree[i, j]))
+        if out:
+            yield _pairs(*(np.concatenate(c) for c in zip(*out, strict=True)))
+
+    members = regions.where("not wide").select("region", "id").join(reps, "id").select("region", "id", "sig")
+    dealt = members.repartition(shuffle_parts(reps.sparkSession), "region").sortWithinPartitions("region")
+    return dealt.mapInArrow(freed(pair), _PAIRS).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+
+
+def across(regions: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, agree) of the wide regions' pairs between different components, of which one is not the region's largest."""
+    parts = shuffle_parts(reps.sparkSession)
+    rows = checkpoint(_label(regions.where("wide").select("region", "id"), labels, "id", "component"))
+    sizes = rows.groupBy("region", "component").agg(F.count("*").alias("n"))
+    facts = sizes.groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("n > most.n")
+    outside = F.col("component") != F.col("most.component")
+    own = rows.join(facts, "region").join(reps, "id")
+    own = own.select("region", "id", "component", "sig", outside.alias("outside"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / STRETCH).cast("int").alias("stretches"))
+    own = own.withColumns({"block": F.pmod(F.xxhash64("id"), "blocks").cast("int"), "stretch": F.pmod(F.xxhash64("id", F.lit(1)), "stretches").cast("int")})
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = own.where("outside").withColumn("stretch", every("stretches")).withColumn("asks", F.lit(0))
+    met = own.withColumn("block", every("blocks")).withColumn("asks", F.lit(1))
+    names = ["region", "block", "stretch", "asks", "id", "component", "sig"]
+    dealt = held.select(names).unionByName(met.select(names)).repartition(parts, "region", "block", "stretch").sortWithinPartitions("region", "block", "stretch", "asks")
 
-    def pair(batches):
-        held = (np.zeros((0, width), np.uint8), np.zeros(0, np.int64), np.zeros((0, TREES * DEPTH), np.uint8))
-
-        def work(keys, ids, sig):
-            head = keys[:, : 1 + 4 * SHALLOW]
-            cuts = np.concatenate([[0], np.flatnonzero((head[1:] != head[:-1]).any(axis=1)) + 1, [len(ids)]])
-            out, thick = [], []
-            for k in np.flatnonzero(np.diff(cuts) > 1):
-                lo, hi, dense = int(cuts[k]), int(cuts[k + 1]), []
-                _pair(keys[lo:hi], ids[lo:hi], sig[lo:hi], out, dense)
-                thick += [np.arange(lo + a, lo + b) for a, b in dense]
-            if out:
-                a, b, agree, region = (np.concatenate([x[c] for x in out]) for c in range(4))
-                if len(a):
-                    none = pa.nulls(len(a), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agree.astype(np.int32)), pa.array(region), none, none], names)
-            if thick:
-                own = np.concatenate(thick)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.int64()), _binary(keys[own]), _binary(sig[own])], names)
-
-        names = ["a", "b", "agree", "region", "key", "hashes"]
+    def run(batches):
+        tag, block = None, None
         for batch in batches:
-            now = [np.concatenate([h, x]) for h, x in zip(held, (_bytes(batch.column("key"), width), batch.column("id").to_numpy(), _bytes(batch.column("hashes"), TREES * DEPTH)), strict=True)]
-            head = now[0][:, : 1 + 4 * SHALLOW]
-            other = np.flatnonzero((head != head[-1:]).any(axis=1)) if len(head) else np.zeros(0, int)
-            end = int(other[-1]) + 1 if len(other) else 0
-            yield from work(*(x[:end] for x in now))
-            held = tuple(x[end:] for x in now)
-        yield from work(*held)
-
-    rows = reps.select("doc_id", "sig").mapInArrow(plant, "key binary, id long, hashes binary")
-    dealt = rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
-    return dealt.mapInArrow(pair, "a long, b long, agree int, region long, key binary, hashes binary")
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The pairs (a, b) of rows (region, a, b) whose full sets have 100 * intersection >= PERCENT * union.
-
-    A set travels once to each region that asks for it, not once for each pair; a region holds REGION sets at most.
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("region", "block", "stretch", "asks")], axis=1)
+            ids, part, sig = batch.column("id").to_numpy(), batch.column("component").to_numpy(), _short(batch.column("sig"))
+            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, int)
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if tuple(keys[lo, :3]) != tag:
+                    tag, block = tuple(keys[lo, :3]), None
+                if keys[lo, 3] == 0:
+                    new = ids[lo:hi], part[lo:hi], sig[lo:hi]
+                    block = new if block is None else tuple(np.concatenate(c) for c in zip(block, new, strict=True))
+                elif block is not None:
+                    for at in range(lo, hi, BLOCK):
+                        to = min(at + BLOCK, hi)
+                        agree = _agreement(block[2], sig[at:to])
+                        i, j = np.nonzero((agree >= AGREE) & (block[1][:, None] != part[at:to][None, :]))
+                        if len(i):
+                            yield _pairs(block[0][i], ids[at:to][j], agree[i, j])
+
+    return dealt.mapInArrow(freed(run), _PAIRS).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, clusters: DataFrame, words: int = WORDS) -> DataFrame:
+    """(a, b, good): whether the full sets of pairs (a, b) have 100 * intersection >= PERCENT * union.
+
+    clusters has (id, cluster, blocks) of what candidates join; texts and pairs are dealt by cluster and pair of blocks.
     """
-    pairs = checkpoint(pairs.select("region", "a", "b"))
-    if not pairs.limit(1).count():
-        return pairs.select("a", "b")
-    members = pairs.select("region", F.col("a").alias("doc_id")).unionByName(pairs.select("region", F.col("b").alias("doc_id"))).distinct()
-    ids = members.select("doc_id").distinct()
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropna(subset=["doc_id"])
-    own = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-
-    def cut(batches):
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for i, j in steps(offsets):
-                sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "set"])
+    block = F.pmod(F.xxhash64("id"), "blocks").cast("int")
+    place = checkpoint(clusters.select("id", "cluster", block.alias("block")))
+    own = pairs.join(place.select(F.col("id").alias("a"), "cluster", F.col("block").alias("i")), "a").join(place.select(F.col("id").alias("b"), F.col("block").alias("j")), "b")
+    own = checkpoint(own.select("cluster", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "a", "b"))
+    ends = own.select("cluster", "i", "j", F.col("a").alias("_doc")).unionByName(own.select("cluster", "i", "j", F.col("b").alias("_doc"))).distinct()
+    asked = checkpoint(ends.groupBy("_doc").agg(F.collect_set(F.struct("cluster", "i", "j")).alias("groups")))
+    few = asked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    sent = docs.select("_doc", "text").join(F.broadcast(asked) if few else asked, "_doc").select(F.explode("groups").alias("g"), F.col("_doc").alias("a"), "text")
+    none = F.lit(None)
+    rows = sent.select("g.*", "a", none.cast("long").alias("b"), "text").unionByName(own.select("cluster", "i", "j", "a", "b", none.cast("string").alias("text")))
+    dealt = rows.repartition(shuffle_parts(docs.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", F.asc_nulls_first("b"))
+
+    def alike(x, y, texts) -> bool:
+        """By hashes; by words as well where those say yes, or no by a hair."""
+        if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)) - 200:
+            return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        if 100 * (both + 2) < PERCENT * (len(x) + len(y) - both):
+            return False
+        x, y = (word_shingles(t, words) for t in texts)
+        return 100 * len(x & y) >= PERCENT * len(x | y)
 
     def hold(batches):
-        now, sets = None, {}
+        tag, sets, texts = None, {}, {}
         for batch in batches:
-            good_a, good_b = [], []
-            regions, left, right, held = (batch.column(c) for c in ("region", "a", "b", "set"))
-            for k, (region, a, b) in enumerate(zip(regions.to_pylist(), left.to_pylist(), right.to_pylist(), strict=True)):
-                if region != now:
-                    now, sets = region, {}
+            good = []
+            ends = [batch.column(c).to_pylist() for c in ("cluster", "i", "j", "a", "b")]
+            text = batch.column("text")
+            for k, (*now, a, b) in enumerate(zip(*ends, strict=True)):
+                if now != tag:
+                    tag, sets, texts = now, {}, {}
                 if b is None:
-                    sets.setdefault(a, []).append(np.frombuffer(held[k].as_py(), U64))
-                elif any(_alike(x, y) for x in sets[a] for y in sets[b]):
-                    good_a.append(a)
-                    good_b.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(good_a, pa.int64()), pa.array(good_b, pa.int64())], ["a", "b"])
-
-    sets = own.mapInArrow(cut, "doc_id long, set binary")
-    sent = members.join(sets, "doc_id").select("region", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "set")
-    asked = pairs.select("region", "a", "b", F.lit(None).cast("binary").alias("set"))
-    dealt = sent.unionByName(asked).repartition(shuffle_parts(docs.sparkSession), "region").sortWithinPartitions("region", F.asc_nulls_first("b"))
-    return dealt.mapInArrow(hold, "a long, b long").distinct()
+                    texts[a] = text[k].as_py() or ""
+                else:
+                    for d in (a, b):
+                        if d not in sets:
+                            raw = np.frombuffer(texts[d].encode(), np.uint8)
+                            sets[d] = shingle_sets(raw, np.array([0, len(raw)]), words)[0]
+                    good.append((a, b, alike(sets[a], sets[b], (texts[a], texts[b]))))
+            a, b, ok = zip(*good, strict=True) if good else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], ["a", "b", "good"])
 
-
-def _alike(x: np.ndarray, y: np.ndarray) -> bool:
-    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
-        return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+    return dealt.mapInArrow(freed(hold), "a long, b long, good boolean")
 
 
 def _label(rows: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
@@ -251,93 +344,83 @@ def _label(rows: DataFrame, labels: DataFrame, column: str, name: str) -> DataFr
     return rows.join(own, column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def _between(dense: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidates of dense regions from different components: all such pairs, compared in blocks of rows."""
-    rows = _label(dense.select(F.col("a").alias("id"), "key", "hashes"), labels, "id", "component")
-    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = rows.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    dealt = dealt.select("key", "i", "j", "own", "id", "component", "hashes").repartition(shuffle_parts(dense.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
-
-    def compare(tag, rows):
-        _, i, j = tag
-        own, ids, part = (np.array([r[k] for r in rows]) for k in range(3))
-        sig = np.stack([np.frombuffer(r[3], np.uint8) for r in rows])
-        left, right = own == i, own == j
-        agree = (_agreement(sig[left], sig[right]) >= AGREE) & (part[left][:, None] != part[right][None, :])
-        x, y = np.nonzero(agree)
-        a, b = ids[left][x], ids[right][y]
-        return np.minimum(a, b), np.maximum(a, b)
-
-    def run(batches):
-        tag, rows = None, []
-        for batch in batches:
-            for *key, own, x, part, sig in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "own", "id", "component", "hashes")), strict=True):
-                if tag is not None and key != tag:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in compare(tag, rows)], ["a", "b"])
-                    rows = []
-                tag = key
-                rows.append((own, x, part, sig))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in compare(tag, rows)], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long").where("a <> b")
-
-
-def _best(pairs: DataFrame, groups: list[str]) -> DataFrame:
-    """The pair of each group that agrees in most hashes."""
-    best = F.max(F.struct("agree", F.bitwise_not("a").alias("less"), "region", "a", "b")).alias("best")
-    return pairs.groupBy(*groups).agg(best).select("best.region", "best.a", "best.b")
+def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components so far, with those."""
+    return _label(_label(pairs, labels, "a", "_ca"), labels, "b", "_cb").where("_ca <> _cb")
 
 
-def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components so far."""
-    return _label(_label(pairs, labels, "a", "_ca"), labels, "b", "_cb").where("_ca <> _cb").select("region", "a", "b")
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of each set the pair that agrees in most hashes."""
+    end = F.explode(F.array("a", "b")).alias("end")
+    return pairs.select(end, "agree", "a", "b").groupBy("end").agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """The labels after more links, which join components: only those are walked, not their members.
-
-    A component's name, its smallest id, has no label of its own until the component joins another.
-    """
-    joins = _label(_label(links, labels, "a", "_ca"), labels, "b", "_cb").where("_ca <> _cb").select(F.col("_ca").alias("a"), F.col("_cb").alias("b"))
-    joins = checkpoint(joins.distinct())
+    """The labels after more links, which join components: only those are walked, not their members."""
+    joins = checkpoint(_crossing(links, labels).select(F.col("_ca").alias("src"), F.col("_cb").alias("dst")).distinct())
     if not joins.limit(1).count():
         return labels
-    names = components(joins)
+    names = checkpoint(components(joins))
     moved = labels.join(names.select(F.col("id").alias("component"), F.col("component").alias("_to")), "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
     return checkpoint(moved.unionByName(names.where("id <> component")))
 
 
-def near_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row."""
-    spark = docs.sparkSession
-    folder = shared_folder(spark, "near")
-    sketches(docs, words).write.parquet(f"{folder}/sketches")
-    rows = salted(spark.read.parquet(f"{folder}/sketches"), "doc_id")
-    full = rows.where("n_shingles > 0 and doc_id is not null")
+def near_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(_doc, n_shingles, component) of rows (_doc, text); component is the smallest _doc reached, itself included."""
+    rows = salted(checkpoint(sketches(docs, words)), "_doc")
+    full = rows.where("n_shingles > 0")
     key = ["f1", "f2", "n_shingles"]
-    first = group_facts(full.select("doc_id", *key, "_salt"), key, [F.min("doc_id").alias("rep")], [F.min("rep").alias("rep")])
-    nodes = checkpoint(full.select("doc_id", *key, "_salt").distinct().join(first, [*key, "_salt"]).select("doc_id", *key, "rep"))
-    reps = full.join(nodes.where("doc_id = rep").select("doc_id", *key), ["doc_id", *key], "left_semi").dropDuplicates(["doc_id", *key])
-    candidates(reps).write.parquet(f"{folder}/candidates")
-    found = spark.read.parquet(f"{folder}/candidates")
-    pairs = checkpoint(found.where("b is not null").groupBy("a", "b").agg(F.max("agree").alias("agree"), F.min("region").alias("region")).where("a <> b"))
-    labels = roots(confirmed(_best(pairs, ["b"]), docs, words).select(F.col("b").alias("id"), F.col("a").alias("parent")))
-    dense = _between(found.where("key is not null"), labels).distinct().withColumn("region", F.xxhash64("a", "b"))
-    rest = _crossing(pairs, labels).unionByName(dense.select("region", "a", "b"))
-    labels = _joined(labels, confirmed(rest, docs, words))
-    own = _label(nodes, labels, "rep", "component_id").groupBy("doc_id", *key).agg(F.min("component_id").alias("component_id"))
-    out = rows.select("doc_id", *key).join(own, ["doc_id", *key], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    first = group_facts(full.select("_doc", *key, "_salt"), key, [F.min("_doc").alias("rep")], [F.min("rep").alias("rep")])
+    nodes = checkpoint(full.select("_doc", *key, "_salt").join(first, [*key, "_salt"]).select("_doc", "rep", "n_shingles"))
+    reps = full.select(F.col("_doc").alias("id"), "sig").join(nodes.where("_doc = rep").select(F.col("rep").alias("id")), "id", "left_semi")
+    regions = checkpoint(forest(reps))
+    pairs = checkpoint(candidates(regions, reps))
+    labels = docs.sparkSession.createDataFrame([], "id long, component long")
+    refuted = docs.sparkSession.createDataFrame([], "a long, b long")
+
+    def clustered(pairs: DataFrame) -> DataFrame:
+        own = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).join(nodes.select(F.col("_doc").alias("id"), "n_shingles"), "id")
+        size = own.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        return checkpoint(own.join(size, "component").select("id", F.col("component").alias("cluster"), "blocks"))
+
+    def step(every: bool) -> None:
+        """Confirms each set's best pair, or every one, among those between components; the others are left."""
+        nonlocal pairs, labels, refuted
+        crossing = checkpoint(_crossing(pairs, labels).select("a", "b", "agree"))
+        if crossing.limit(1).count():
+            told = checkpoint(confirmed(crossing.select("a", "b") if every else _best(crossing), docs, clusters, words))
+            labels = _joined(labels, told.where("good").select("a", "b"))
+            refuted = refuted.unionByName(told.where("not good").select("a", "b"))
+            crossing = crossing.join(told.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = crossing
+
+    clusters = clustered(pairs)
+    step(False)
+    step(False)
+    if regions.where("wide").limit(1).count():
+        more = across(regions, reps, labels).join(refuted, ["a", "b"], "left_anti")
+        pairs = checkpoint(pairs.unionByName(more).groupBy("a", "b").agg(F.max("agree").alias("agree")))
+        clusters = clustered(pairs)
+        step(False)
+    step(True)
+    own = _label(nodes, labels, "rep", "component").select("_doc", "component")
+    return rows.select("_doc", "n_shingles").join(own, "_doc", "left").select("_doc", "n_shingles", F.coalesce("component", "_doc").alias("component"))
+
+
+def near_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row; one row of each component is kept."""
+    own = identified(docs.select("doc_id", "text"))
+    ids = own.select("_doc", F.col("row.doc_id").cast("long").alias("doc_id"))
+    rows = near_components(own, words).join(ids, "_doc")
+    out = rows.join(ids.select(F.col("_doc").alias("component"), F.col("doc_id").alias("component_id")), "component")
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("_doc") == F.col("component")).alias("kept"))
 
 
 def without_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The rows of docs that are kept; rows with a null id stay."""
-    kept = near_dedup(docs, words).where("kept").select("doc_id").distinct()
-    nulls = docs.where("doc_id is null")
-    return docs.join(kept.dropna(), "doc_id", "left_semi").select(*docs.columns).unionByName(nulls)
+    """The rows of docs that are kept: the first of each component."""
+    own = identified(docs)
+    kept = near_components(own, words).where("_doc = component").select("_doc")
+    return unwrapped(own.join(kept, "_doc", "left_semi"), docs.columns)
 
 
 SQL = r"""

@@ -15,9 +15,8 @@ Anchors so common that one task would notice (a share of all blocks of 1 / (4 x
 beforehand by a count over all documents, a list whose length that share bounds; their k-grams are chosen as anchors
 only by windows that hold no other. Copies within one step of a task are settled before the shuffle.
 
-Cases: a null text counts as empty; texts under LENGTH bytes lose nothing; a null doc_id comes after all others; rows
-that share an id count as one document, so what goes from one goes from the other; equal texts under different ids
-keep the smallest id's whole. A repeat longer than a block comes out as a chain of overlapping groups.
+Cases: a null text counts as empty; texts under LENGTH bytes lose nothing; of equal texts the first keeps its own. Rows
+are told apart as common.identified says, so those that share an id, or have none, are documents of their own. A repeat longer than a block comes out as a chain of overlapping groups.
 """
 
 from __future__ import annotations
@@ -30,13 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, U64, byte_table, checkpoint, mix64, powers, retexted, retexted_schema, shared_folder, shuffle_parts, steps, utf8, wrapped, _BASE, _BASE_INV
+from .common import STEP_BYTES, U64, byte_table, checkpoint, mix64, powers, freed, identified, retexted, retexted_schema, shared_folder, shuffle_parts, steps, utf8, _BASE, _BASE_INV
 
 LENGTH = 100
 KGRAM = 32
 #: Text of one step: positions must fit 24 bits.
 _POSITION = U64((1 << 24) - 1)
-_LAST = (1 << 63) - 1
 
 
 class Blocks:
@@ -100,11 +98,6 @@ def _segments(offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
             a += most - LENGTH + 1
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(_doc, text): an order of ids in which null comes last, and the text."""
-    return wrapped(docs, _LAST).select("_doc", "text")
-
-
 def _rows(batch: pa.RecordBatch, common: np.ndarray | None) -> Iterator[tuple[Blocks, np.ndarray, np.ndarray]]:
     """Blocks of a batch by steps, with each block's document and start in it."""
     data, offsets = utf8(batch.column("text"))
@@ -131,7 +124,7 @@ def common_anchors(docs: DataFrame) -> np.ndarray:
                 names = pa.array([*anchors[own].view(np.int64).tolist(), None], pa.int64())
                 yield pa.RecordBatch.from_arrays([names, pa.array([*counts[own].tolist(), len(blocks.anchor)], pa.int64())], ["anchor", "n"])
 
-    sums = keyed(docs).mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    sums = docs.select("_doc", "text").mapInArrow(freed(run), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     sums = checkpoint(sums)
     total = sums.where("anchor is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     got = sums.where((F.col("anchor").isNotNull()) & (F.col("n") >= share * total / 2)).select("anchor").collect()
@@ -185,9 +178,9 @@ def _settled(docs: DataFrame, common: np.ndarray) -> DataFrame:
             yield batch_of(*part)
 
     parts = shuffle_parts(docs.sparkSession)
-    blocks = keyed(docs).mapInArrow(cut, "anchor long, content long, _doc long, at long")
+    blocks = docs.select("_doc", "text").mapInArrow(freed(cut), "anchor long, content long, _doc long, at long")
     dealt = blocks.repartition(parts, "anchor").sortWithinPartitions("anchor", "content", "_doc", "at")
-    return dealt.mapInArrow(settle, "_doc long, at long, anchor long")
+    return dealt.mapInArrow(freed(settle), "_doc long, at long, anchor long")
 
 
 def _texts(docs: DataFrame, compare: DataFrame) -> DataFrame:
@@ -203,8 +196,6 @@ def _texts(docs: DataFrame, compare: DataFrame) -> DataFrame:
             row = np.repeat(np.arange(len(doc)), np.diff(cuts))
             at, anchor = at[cuts[0] : cuts[-1]], anchor[cuts[0] : cuts[-1]]
             start, size = at >> 7, (at & 127) + LENGTH - 1
-            fits = start + size <= np.diff(offsets)[row]  # of rows that share an id, another may be shorter
-            row, start, size, anchor = row[fits], start[fits], size[fits], anchor[fits]
             ends = np.concatenate([[0], np.cumsum(size)])
             take = np.arange(ends[-1]) + np.repeat(offsets[:-1][row] + start - ends[:-1], size)
             text = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[take])])
@@ -212,7 +203,7 @@ def _texts(docs: DataFrame, compare: DataFrame) -> DataFrame:
 
     lists = compare.groupBy("_doc").agg(F.collect_list(F.struct("at", "anchor")).alias("blocks"))
     joined = docs.join(lists, "_doc").select("_doc", "text", "blocks")
-    return joined.mapInArrow(run, "anchor long, _doc long, start long, text binary")
+    return joined.mapInArrow(freed(run), "anchor long, _doc long, start long, text binary")
 
 
 def maximal_repeats(group: np.ndarray, data: np.ndarray, first: np.ndarray, size: np.ndarray, rows: int = 60_000) -> Iterator[tuple[np.ndarray, int]]:
@@ -334,7 +325,7 @@ def _compared(texts: DataFrame, every: bool = False) -> DataFrame:
             yield from work(*(held.column(c).to_numpy() for c in ("anchor", "_doc", "start")), held.column("text"))
 
     dealt = texts.repartition(shuffle_parts(texts.sparkSession), "anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "repeat long, size long, _doc long, start long, first boolean" if every else "_doc long, start long, size long")
+    return dealt.mapInArrow(freed(run), "repeat long, size long, _doc long, start long, first boolean" if every else "_doc long, start long, size long")
 
 
 def _spans(docs: DataFrame) -> DataFrame:
@@ -344,17 +335,18 @@ def _spans(docs: DataFrame) -> DataFrame:
     _settled(docs, common_anchors(docs)).write.parquet(folder)
     marks = spark.read.parquet(folder)
     whole = marks.where("anchor is null").select("_doc", F.shiftright("at", 7).alias("start"), (F.col("at").bitwiseAND(127) + LENGTH - 1).alias("size"))
-    texts = _texts(keyed(docs), marks.where("anchor is not null").select("_doc", "at", "anchor"))
+    texts = _texts(docs, marks.where("anchor is not null").select("_doc", "at", "anchor"))
     return whole.unionByName(_compared(texts))
 
 
 def repeat_groups(docs: DataFrame) -> DataFrame:
     """Maximal repeats among blocks that differ: (repeat, size, _doc, start, first), a row for each occurrence."""
+    docs = identified(docs)
     spark = docs.sparkSession
     folder = shared_folder(spark, "repeats")
     _settled(docs, common_anchors(docs)).write.parquet(folder)
     compare = spark.read.parquet(folder).where("anchor is not null")
-    return _compared(_texts(keyed(docs), compare), every=True)
+    return _compared(_texts(docs, compare), every=True)
 
 
 def _kept(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, int, int]:
@@ -390,11 +382,11 @@ def digests(docs: DataFrame) -> DataFrame:
         for batch in batches:
             sizes = np.diff(utf8(batch.column("text"))[1])
             rows = [(gone, runs, hashlib.sha256(kept).hexdigest()) for _, kept, gone, runs in _cut(batch)]
-            ids = [None if d == _LAST else d for d in batch.column("_doc").to_pylist()]
             columns = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(keyed(docs), _spans(docs)).select("_doc", "text", "_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    own = identified(docs.select(F.col("doc_id").cast("long"), "text"))
+    return _with_spans(own, _spans(own)).select("row.doc_id", "text", "_spans").mapInArrow(freed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -408,4 +400,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield retexted(batch, names, [bytes(kept).decode("utf-8", "ignore") for _, kept, _, _ in _cut(batch)])
 
-    return _with_spans(wrapped(docs, _LAST), _spans(docs)).select("text", "row", "_spans").mapInArrow(run, retexted_schema(docs))
+    own = identified(docs)
+    return _with_spans(own, _spans(own)).select("text", "row", "_spans").mapInArrow(freed(run), retexted_schema(docs))

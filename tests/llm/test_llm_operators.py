@@ -12,7 +12,7 @@ import public_tokenizers as vocab
 import pytest
 from pyspark.sql import functions as F
 
-from terralyn.llm import bpe, components, exact, lines, near, packing, quality, queries, repeats, stages, toxicity, warc, wordpiece
+from terralyn.llm import bpe, exact, lines, near, packing, quality, queries, repeats, stages, toxicity, warc, wordpiece
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -140,7 +140,7 @@ def brute_repeats(rows, size=repeats.LENGTH):
 
 
 def test_repeats_equal_brute_force(spark, sf, odd):
-    for docs in (spark.read.parquet(f"{sf}/documents.parquet"), clashing(odd.dropDuplicates(["doc_id"]))):
+    for docs in (spark.read.parquet(f"{sf}/documents.parquet"), clashing(odd)):
         want = brute_repeats([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
         assert sorted(map(tuple, repeats.digests(docs).collect()), key=repr) == sorted(want, key=repr)
 
@@ -170,65 +170,77 @@ def test_maximal_repeats_have_all_occurrences():
 # 3: near copies
 
 
-def brute_components(rows):
-    sets, reach = {}, {}
-    for doc, text in rows:
-        words = (text or "").translate({c: c + 32 for c in range(65, 91)}).encode().split()
-        sets[doc] = {tuple(words)} if len(words) == 1 else set(zip(words, words[1:], strict=False))
-        reach[doc] = doc
+def brute_components(rows, words=2):
+    """Rows in order of id, nulls last."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    sets = [near.word_shingles(text or "", words) for _, text in rows]
+    reach = list(range(len(rows)))
 
     def root(x):
         while reach[x] != x:
             x = reach[x]
         return x
 
-    docs = [d for d in sorted(sets) if sets[d]]
-    for i, a in enumerate(docs):
-        for b in docs[:i]:
-            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                x, y = root(a), root(b)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = root(i), root(j)
                 reach[max(x, y)] = min(x, y)
-    return sorted((d, len(sets[d]), root(d), root(d) == d) for d in sets)
+    return sorted(((d, len(sets[k]), rows[root(k)][0], root(k) == k) for k, (d, _) in enumerate(rows)), key=repr)
 
 
-def test_near_copies_equal_brute_force(spark, odd):
-    rng = random.Random(7)
-    docs = [(r.doc_id, r.text) for r in odd.where("doc_id is not null").dropDuplicates(["doc_id"]).collect()]
-    for group in range(3):
+def crowd(rng, groups=3, size=45, share=0.04):
+    out = []
+    for group in range(groups):
         base = [f"w{group}_{rng.randint(0, 99)}" for _ in range(120)]
-        for _ in range(45):
-            own = [w if rng.random() > 0.04 else f"z{rng.randint(0, 10**6)}" for w in base]
-            docs.append((len(docs) + 100, " ".join(own)))
-    got = near.near_dedup(clashing(spark.createDataFrame(docs, "doc_id long, text string")))
-    assert sorted(map(tuple, got.collect())) == brute_components(docs)
-
-
-def test_dense_regions_are_compared_without_a_cap(spark, monkeypatch):
-    monkeypatch.setattr(near, "BLOCK", 4)
-    sig = np.arange(72, dtype=np.uint8)
-    rows = [(i, b"k", bytes((sig + (i % 3) * 100) % 251)) for i in range(30)]
-    dense = spark.createDataFrame(rows, "a long, key binary, hashes binary")
-    labels = spark.createDataFrame([(i, i) for i in range(30)], "id long, component long")
-    got = {tuple(r) for r in near._between(dense, labels).distinct().collect()}
-    assert got == {(a, b) for a in range(30) for b in range(a + 1, 30) if a % 3 == b % 3}
+        for _ in range(size):
+            out.append(" ".join(w if rng.random() > share else f"z{rng.randint(0, 10**6)}" for w in base))
+    return out
 
 
-def test_components_of_a_long_chain(spark):
-    order = list(range(40))
-    random.Random(2).shuffle(order)
-    links = spark.createDataFrame(list(zip(order, order[1:], strict=False)) + [(500, 501)], "a long, b long")
-    got = dict(map(tuple, components.components(links).collect()))
-    assert got == {**dict.fromkeys(range(40), 0), 500: 500, 501: 500}
+def test_shingles_by_words():
+    assert near.word_shingles("A b\ta B c") == {(b"a", b"b"), (b"b", b"a"), (b"b", b"c")}
+    assert near.word_shingles(" One ") == {(b"one",)} and near.word_shingles(" ") == set()
+    assert near.word_shingles("a b", 5) == {(b"a", b"b")}
 
 
-def test_roots_of_a_forest(spark):
-    parents = {k: k - 1 - k % 3 for k in range(1, 60)} | {101: 100}
-    got = components.roots(spark.createDataFrame(list(parents.items()), "id long, parent long"))
+def test_near_copies_equal_brute_force(spark, odd, monkeypatch):
+    docs = [(r.doc_id, r.text) for r in odd.collect()]  # null and repeated ids, and equal rows
+    docs += [(k + 100, text) for k, text in enumerate(crowd(random.Random(7)))]
+    df = clashing(spark.createDataFrame(docs, "doc_id long, text string"))
+    want = brute_components(docs)
+    got = lambda: sorted(map(tuple, near.near_dedup(df).collect()), key=repr)
+    assert got() == want
+    for name, value in (("REGION", 3), ("BLOCK", 8), ("STRETCH", 20), ("HOLD", 10)):  # wide regions, many blocks
+        monkeypatch.setattr(near, name, value)
+    assert got() == want
 
-    def root(k):
-        return root(parents[k]) if k in parents else k
 
-    assert dict(map(tuple, got.collect())) == {k: root(k) for k in parents}
+def test_crowds_are_compared_without_a_cap(spark, monkeypatch):
+    """Pairs of wide regions between components, all of them."""
+    monkeypatch.setattr(near, "BLOCK", 4)
+    sig = np.arange(near.TREES * near.DEPTH, dtype=np.uint32)
+    reps = spark.createDataFrame([(i, ((sig + (i % 3) * 100) % 251).astype("<u4").tobytes()) for i in range(30)], "id long, sig binary")
+    regions = spark.createDataFrame([(7, i, True) for i in range(30)] + [(8, i, False) for i in range(30)], "region long, id long, wide boolean")
+    labels = spark.createDataFrame([(i, 0) for i in range(0, 12, 3)], "id long, component long")
+    got = {(r.a, r.b) for r in near.across(regions, reps, labels).collect()}
+    alone = lambda i: i % 3 or i >= 12
+    assert got == {(a, b) for a in range(30) for b in range(a + 1, 30) if a % 3 == b % 3 and (alone(a) or alone(b))}
+
+
+def test_recall_of_links(spark):
+    """Of all pairs at 0.8 or more, those that share a region."""
+    texts = crowd(random.Random(9), 40, 12, 0.05)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "_doc long, text string")
+    reps = near.sketches(docs).select(F.col("_doc").alias("id"), "sig")
+    regions = near.forest(reps).collect()
+    members = {}
+    for r in regions:
+        members.setdefault((r.region, r.wide), []).append(r.id)
+    found = {(min(a, b), max(a, b)) for own in members.values() for k, a in enumerate(own) for b in own[:k]}
+    sets = [near.word_shingles(t) for t in texts]
+    links = [(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(links) > 150 and sum(p in found for p in links) >= 0.999 * len(links)
 
 
 # 5: lines
@@ -274,6 +286,7 @@ def test_lines_equal_brute_force(spark, odd, monkeypatch):
             patch.setattr(lines, "COMMON", 3)  # nearly every token sends pairs
             patch.setattr(lines, "FIRST", 1)
             patch.setattr(lines, "HELD", 50)
+            patch.setattr(lines, "CROWD", 2)
             assert line_rows(df) == want
 
 
@@ -301,6 +314,7 @@ def test_second_round_gives_all_candidates(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want = brute_lines(docs)
     monkeypatch.setattr(lines, "FIRST", 1)
+    monkeypatch.setattr(lines, "CROWD", 1)
     rounds = []
     whole = lines.matches
     monkeypatch.setattr(lines, "matches", lambda *a: rounds.append(len(a)) or whole(*a))
@@ -468,7 +482,8 @@ def test_stages_on_odd_documents(spark, odd, sf):
     own = repeats.without_repeats(odd.where("doc_id < 12 and doc_id <> 6")).collect()
     assert {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in own} == want and all(r.n_chars == len(r.text) for r in own)
     kept = near.without_copies(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {1, 2, 3, 4, 5, None} and kept.where("doc_id in (6, 7)").count() == 0
+    rows = kept.collect()
+    assert kept.columns == docs.columns and {r.doc_id for r in rows} >= {1, 2, 3, 4, 5, None} and not {6, 7} & {r.doc_id for r in rows}
 
 
 def test_the_near_stage_takes_shingles_of_five_words(spark):
