@@ -13,10 +13,11 @@ nothing and is not sent. In place of a token as common as COMMON, a line sends t
 the prefix one longer: two similar lines share two tokens there. Lines with equal sets are settled by a fingerprint of
 128 bits, the later ones of a step before the shuffle.
 
-Entries travel in packets, one for each bucket of keys, so Spark moves and sorts thousands of rows, not one for each
-key. In a first round a line names the best of its FIRST nearest earlier candidates under each key, and the best of
-those is verified; lines of one cluster meet under many keys, so this keeps the work in proportion to the lines. A line that its best
-candidate does not settle, and that had others, gets all of them in a second round.
+Entries travel in packets, one for each partition of keys, so Spark moves thousands of rows, not one for each key.
+In a first round a line names its best earlier candidate under each key, and the best of those is verified; lines of
+one cluster meet under many keys, so this keeps the work in proportion to the lines. Under a key of more than CROWD lines the
+best is one of the FIRST nearest earlier candidates. A line that its best candidate does not settle, and that had
+others, gets all of them in a second round.
 
 Cases: a null or empty text has one empty line; lines without a word always stay; a document whose lines all go is kept
 with an empty text. Rows are told apart as common.identified says: rows that share an id, or have none, are documents of
@@ -38,13 +39,13 @@ COUNTER_BITS = 23
 SLICE_BITS = 17
 #: Code of 1024 occurrences, from which a token counts as common.
 COMMON = 152
-#: Candidates of a line under one key in the first round; a line left open by the best of them gets all in a second.
-FIRST = 8
-#: Buckets of keys for each shuffle partition, and entries that a task holds before it sends packets.
-BUCKETS, HELD = 32, 1 << 18
+#: Lines under one key from which a line looks at its FIRST nearest earlier candidates only, in the first round.
+CROWD, FIRST = 1024, 8
+#: Entries that a task holds before it sends packets.
+HELD = 1 << 18
 #: Documents whose ids are sent to every executor at most; more are joined by a shuffle.
 BROADCAST_IDS = 250_000
-#: Bitmaps of lines and keys that the second round asks for: a fixed size; a chance hit costs time only.
+#: Bitmaps of lines, keys and tokens that the second round asks for: a fixed size; a chance hit costs time only.
 BIT_SLOTS = 1 << 23
 
 
@@ -102,12 +103,20 @@ def _order(line: np.ndarray, rank: np.ndarray, tie: np.ndarray) -> np.ndarray:
     return order
 
 
-def line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct tokens of each line, in order of row, line and hash; each line's bounds in them, row and number."""
+def line_sets(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens of each line, in order of row, line and hash; each line's bounds in them, row and number.
+
+    wanted, a bitmap of tokens, leaves out the lines that hold none of them.
+    """
     hashes, bounds, starts = placed_words(data, offsets)
     breaks = np.concatenate([[0], np.cumsum(data == 10)])
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     line = row + breaks[starts]  # grows by one at each break and each text
+    if wanted is not None and len(line):
+        hit = np.zeros(line[-1] + 1, bool)
+        hit[line[wanted[_slots(hashes)]]] = True
+        use = hit[line]
+        hashes, line, row, starts = hashes[use], line[use], row[use], starts[use]
     order = _order(line, hashes, hashes)
     hashes, line, row, starts = hashes[order], line[order], row[order], starts[order]
     new = np.ones(len(line), bool)
@@ -125,7 +134,7 @@ def _prints(hashes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _marks(hashes: np.ndarray, cuts: np.ndarray, codes: np.ndarray):
-    """For some lines (cuts in hashes): parity bitmap, and keys with the line and position of each."""
+    """For some lines (cuts in hashes): parity bitmap, and keys with the line, position and first token of each."""
     n = np.diff(cuts)
     line = np.repeat(np.arange(len(n)), n)
     bit, high = U64(1) << ((hashes >> U64(42)) & U64(63)), (hashes >> U64(41)) & U64(1) == U64(1)
@@ -136,7 +145,7 @@ def _marks(hashes: np.ndarray, cuts: np.ndarray, codes: np.ndarray):
     pos = np.arange(len(token)) - cuts[:-1][line]
     reach = (n - (4 * n + 4) // 5 + 1)[line]
     own = np.flatnonzero((pos < reach) & (code > 1) & (code < COMMON))
-    keys, at, where = [token[own]], [line[own]], [pos[own]]
+    keys, at, where, first = [token[own]], [line[own]], [pos[own]], [token[own]]
     common = (pos < reach) & (code >= COMMON)
     live = np.flatnonzero(pos <= reach)
     step = 1
@@ -148,8 +157,9 @@ def _marks(hashes: np.ndarray, cuts: np.ndarray, codes: np.ndarray):
         keys.append(mix64(token[own] * U64(0x9E3779B97F4A7C15) + token[own + step]))
         at.append(line[own])
         where.append(np.full(len(own), -1))
+        first.append(token[own])
         step += 1
-    return parity, np.concatenate(keys), np.concatenate(at), np.concatenate(where)
+    return parity, *map(np.concatenate, (keys, at, where, first))
 
 
 #: Columns of an entry under a key, and of one under a fingerprint.
@@ -175,7 +185,7 @@ def _unpacked(packets: list[pa.Scalar], kinds: list) -> dict[str, np.ndarray]:
 
 
 def _packets(held: list[list[np.ndarray]], kinds: list, kind: int, buckets: int) -> pa.RecordBatch:
-    """Rows (bucket, kind, packet) of the entries that a task holds, in order of the bucket."""
+    """Rows (bucket, kind, packet) of the entries that a task holds."""
     entries = [np.concatenate(c) for c in zip(*held, strict=True)]
     bucket = (entries[0] % U64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -194,47 +204,88 @@ def _lines_hash(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return mix64(doc.astype(U64) * U64(0x9E3779B97F4A7C15) + line.astype(U64))
 
 
-def _walk(e: dict[str, np.ndarray], every: bool):
-    """(places of a line and of an earlier one, how many tokens part them, whether the line had more) of one bucket's candidates."""
-    order = np.lexsort((e["line"], e["doc"], e["key"]))
+def _ordered(e: dict[str, np.ndarray], by: str) -> dict[str, np.ndarray]:
+    """Entries in order of key, by and rank, and the place where each key starts; rank is their order by document and line."""
+    order = np.lexsort((e["rank"], e["key"])) if by == "doc" else np.lexsort((e["rank"], e[by], e["key"]))
     e = {k: v[order] for k, v in e.items()}
+    new = np.concatenate([[True], e["key"][1:] != e["key"][:-1]])
+    e["start"] = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return e
+
+
+def _alike(e: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of entries of like length that the positional filter and the bitmap leave, and how many tokens part them."""
+    n, pos = e["n"], e["pos"]
+    rest = np.where((pos[a] >= 0) & (pos[b] >= 0), np.minimum(n[a] - pos[a], n[b] - pos[b]), np.minimum(n[a], n[b]))
+    near = similar(rest, n[a], n[b])
+    a, b = a[near], b[near]
+    apart = sum(np.bitwise_count(e[c][a] ^ e[c][b]).astype(np.int64) for c in ("b0", "b1"))
+    near = similar((n[a] + n[b] - apart) // 2, n[a], n[b])
+    return a[near], b[near], apart[near]
+
+
+def _entries(e: dict[str, np.ndarray], every: bool) -> dict[str, np.ndarray]:
+    """Entries in order of key, document and line; of equal sets under a key only the first, and those that ask."""
+    order = np.lexsort((e["line"], e["doc"]))
+    e = {k: v[order].astype(np.int64) if k in ("n", "pos", "line") else v[order] for k, v in e.items()}
+    e["rank"] = np.arange(len(order))
     name = mix64(e["key"] ^ mix64(e["print"].astype(U64) << U64(32) | e["n"].astype(U64)) ^ e["b0"])
-    own = np.sort(np.unique(name, return_index=True)[1])  # of equal sets, the first line stands for all
-    if every:
-        own = np.union1d(own, np.flatnonzero(e["asked"]))
-    e = {k: v[own] for k, v in e.items()}
-    key, n, pos = e["key"], e["n"].astype(np.int64), e["pos"].astype(np.int64)
-    live = np.flatnonzero(e["asked"]) if every else np.arange(len(key))
-    had, step = np.zeros(len(key), np.int64), 1
-    out: list[tuple] = []
+    order = np.argsort(name)
+    new = np.concatenate([[True], name[order][1:] != name[order][:-1]])
+    if not new.all():
+        own = np.minimum.reduceat(order, np.flatnonzero(new))
+        own = np.union1d(own, np.flatnonzero(e["asked"])) if every else np.sort(own)
+        e = {k: v[own] for k, v in e.items()}
+    return e
+
+
+def _walk(e: dict[str, np.ndarray]):
+    """(entries, places of a line and of its best earlier one, how many tokens part them, whether it had more) under each key."""
+    e = _entries(e, False)
+    names, size = np.unique(e["key"], return_counts=True)
+    size = size[np.searchsorted(names, e["key"])]
+    crowd = size > CROWD
+    for part, by in ((~crowd & (size > 1), "n"), (crowd, "doc")):
+        own = _ordered({k: v[part] for k, v in e.items()}, by)
+        n, rank, start = own["n"], own["rank"], own["start"]
+        best, had = np.full(len(n), 1 << 62), np.zeros(len(n), np.int64)
+        live, step = np.arange(len(n)), 1
+        while len(live):
+            live = live[live - step >= start[live]]
+            to = live - step
+            near = 5 * n[to] >= 4 * n[live]
+            if by == "n":  # lines grow under a key, so further ones are no longer near
+                live = live[near]
+                to, near = live - step, slice(None)
+            else:
+                near &= 5 * n[live] >= 4 * n[to]
+            a, b, apart = _alike(own, live[near], to[near])
+            late = rank[a] > rank[b]
+            a, b = np.where(late, a, b), np.where(late, b, a)
+            np.minimum.at(best, a, apart << 40 | b)
+            np.add.at(had, a, 1)
+            if by == "doc":
+                live = live[had[live] < FIRST]
+            step += 1
+        a = np.flatnonzero(had)
+        yield own, a, best[a] & ((1 << 40) - 1), best[a] >> 40, had[a] > 1
+
+
+def _walk_all(e: dict[str, np.ndarray]):
+    """(entries, places of a line that asks and of an earlier one, how many tokens part them, nothing): all candidates."""
+    e = _ordered(_entries(e, True), "doc")
+    n, live, step, out = e["n"], np.flatnonzero(e["asked"]), 1, []
     while len(live):
-        live = live[live >= step]
-        live = live[key[live - step] == key[live]]
+        live = live[live - step >= e["start"][live]]
         to = live - step
-        near = (5 * n[live] >= 4 * n[to]) & (5 * n[to] >= 4 * n[live])
-        a, b = live[near], to[near]
-        rest = np.where((pos[a] >= 0) & (pos[b] >= 0), np.minimum(n[a] - pos[a], n[b] - pos[b]), np.minimum(n[a], n[b]))
-        near = similar(rest, n[a], n[b])
-        a, b = a[near], b[near]
-        apart = sum(np.bitwise_count(e[c][a] ^ e[c][b]).astype(np.int64) for c in ("b0", "b1"))
-        near = similar((n[a] + n[b] - apart) // 2, n[a], n[b])
-        a, b, apart = a[near], b[near], apart[near]
-        if len(a):
-            had[a] += 1
-            out.append((a, b, apart))
-        if not every:
-            live = live[had[live] < FIRST]
+        near = (5 * n[to] >= 4 * n[live]) & (5 * n[live] >= 4 * n[to])
+        out.append(_alike(e, live[near], to[near]))
         step += 1
-        if every and sum(len(x[0]) for x in out) > 1 << 20:
-            yield e, *(np.concatenate(c) for c in zip(*out, strict=True)), np.zeros(0, bool)
+        if sum(len(x[0]) for x in out) > 1 << 20:
+            yield e, *map(np.concatenate, zip(*out, strict=True)), np.zeros(0, bool)
             out = []
     if out:
-        a, b, apart = (np.concatenate(c) for c in zip(*out, strict=True))
-        if not every:  # of each line under each key the best, the nearest of equally good ones
-            order = np.lexsort((-b, apart, a))
-            first = order[np.concatenate([[True], a[order][1:] != a[order][:-1]])]
-            a, b, apart = a[first], b[first], apart[first]
-        yield e, a, b, apart, had[a] > 1
+        yield e, *map(np.concatenate, zip(*out, strict=True)), np.zeros(0, bool)
 
 
 def matches(docs: DataFrame, codes, asked=None) -> DataFrame:
@@ -243,12 +294,11 @@ def matches(docs: DataFrame, codes, asked=None) -> DataFrame:
     Under each key a line gets the best of its FIRST nearest earlier candidates; more tells that it had others. With
     asked, bitmaps of lines and keys, the lines of the first get all their candidates, under the keys of the second.
     """
-    parts = shuffle_parts(docs.sparkSession)
-    buckets = parts * BUCKETS
+    buckets = shuffle_parts(docs.sparkSession)
     every = asked is not None  # the functions below must not hold a DataFrame
 
     def send(batches):
-        table, (lines, wanted) = codes.value, asked.value if every else (None, None)
+        table, (lines, wanted, tokens) = codes.value, asked.value if every else (None, None, None)
         keyed, equal, settled = [], [], []
 
         def flush(least):
@@ -261,7 +311,7 @@ def matches(docs: DataFrame, codes, asked=None) -> DataFrame:
             data, offsets = utf8(batch.column("text"))
             ids = batch.column("_doc").to_numpy()
             for i, j in steps(offsets):
-                hashes, cuts, row, number = line_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                hashes, cuts, row, number = line_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tokens)
                 if not len(row):
                     continue
                 doc, size = ids[i + row], np.diff(cuts)
@@ -280,7 +330,7 @@ def matches(docs: DataFrame, codes, asked=None) -> DataFrame:
                 cuts = np.concatenate([[0], np.cumsum(size[marked])])
                 if not len(hashes):
                     continue
-                (b0, b1), keys, at, where = _marks(hashes, cuts, table)
+                (b0, b1), keys, at, where, _ = _marks(hashes, cuts, table)
                 own = np.flatnonzero(marked)
                 if every:
                     use = wanted[_slots(keys)]
@@ -307,22 +357,22 @@ def matches(docs: DataFrame, codes, asked=None) -> DataFrame:
                 again = order[1:][(key[1:] == key[:-1]) & (more[1:] == more[:-1])]
                 yield found(e["doc"][again], e["line"][again])
             else:
-                for e, a, b, apart, more in _walk(e, every):
+                for e, a, b, apart, more in (_walk_all if every else _walk)(e):
                     yield found(e["doc"][a], e["line"][a], e["doc"][b], e["line"][b], apart, more)
 
-        tag, held = None, []
+        now, held = None, []
         for batch in batches:
-            for bucket, kind, packet in zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("packet"), strict=True):
-                if (bucket, kind) != tag and held:
-                    yield from work(tag[1], held)
+            for kind, packet in zip(batch.column("kind").to_pylist(), batch.column("packet"), strict=True):
+                if kind != now and held:
+                    yield from work(now, held)
                     held = []
-                tag = bucket, kind
+                now = kind
                 held.append(packet)
         if held:
-            yield from work(tag[1], held)
+            yield from work(now, held)
 
     rows = docs.select("_doc", "text").mapInArrow(freed(send), "bucket int, kind int, packet binary")
-    dealt = rows.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket", "kind")
+    dealt = rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("kind")
     return dealt.mapInArrow(freed(meet), _FOUND)
 
 
@@ -371,8 +421,8 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def _asked(docs: DataFrame, codes, open_: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps of the open lines (_doc, line) and of their keys."""
+def _asked(docs: DataFrame, codes, open_: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bitmaps of the open lines (_doc, line), of their keys and of the keys' first tokens."""
     wanted = checkpoint(open_.groupBy("_doc").agg(F.collect_set("line").alias("lines")))
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
 
@@ -387,15 +437,16 @@ def _asked(docs: DataFrame, codes, open_: DataFrame) -> tuple[np.ndarray, np.nda
                 size = np.diff(cuts)
                 own = np.isin(_lines_hash(ids[i + row], number), ask) & (size > 3)
                 if own.any():
-                    got = _marks(hashes[np.repeat(own, size)], np.concatenate([[0], np.cumsum(size[own])]), codes.value)[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(_slots(got))], ["h"])
+                    _, got, _, _, first = _marks(hashes[np.repeat(own, size)], np.concatenate([[0], np.cumsum(size[own])]), codes.value)
+                    yield pa.RecordBatch.from_arrays([pa.array(_slots(got)), pa.array(_slots(first))], ["h", "first"])
 
     def names(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_slots(_lines_hash(batch.column("_doc").to_numpy(), batch.column("line").to_numpy())))], ["h"])
 
-    own = docs.select("_doc", "text").join(F.broadcast(wanted) if few else wanted, "_doc").mapInArrow(freed(keys), "h long")
-    return _bitmap(open_.mapInArrow(names, "h long")), _bitmap(own)
+    own = docs.select("_doc", "text").join(F.broadcast(wanted) if few else wanted, "_doc").mapInArrow(freed(keys), "h long, first long")
+    own = checkpoint(own.distinct())
+    return _bitmap(open_.mapInArrow(names, "h long")), _bitmap(own), _bitmap(own.select(F.col("first").alias("h")))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -419,7 +470,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 def _with_lines(docs: DataFrame) -> DataFrame:
     own = identified(docs)
-    return own.join(repeated_lines(own), "_doc", "left")
+    return own.join(repeated_lines(own), "_doc", "left")  # text and row are all that moves
 
 
 def _kept(batch: pa.RecordBatch):
