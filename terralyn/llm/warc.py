@@ -29,7 +29,7 @@ from .common import checkpoint, group_facts, salted, shared_folder
 
 REVISIT_BYTES = 100
 #: Bytes of a reading task's range.
-SPLIT_BYTES = 16 << 20
+SPLIT_BYTES = 8 << 20
 MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -145,7 +145,8 @@ def _parse(content: bytes) -> tuple | None:
 def read(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of a folder of archives."""
     files = spark.read.format("binaryFile").load(folder).select("path", "length")
-    ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start")).repartition("path", "start")
+    ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
+    ranges = ranges.repartitionByRange(max(1, ranges.count()), "path", "start")  # a task for each range: rows this small would else be put together
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
