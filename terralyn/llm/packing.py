@@ -1,18 +1,23 @@
 """Operator 8: documents packed into token sequences in the order of a Hilbert curve.
 
 Each document's words give a hashed vector of few dimensions; its place on a Hilbert curve through their space is the
-sort key. A range sort by that key puts alike documents into neighbouring sequences, and ties (copies) are dealt on
-by document id, so a large group of copies spreads over tasks. Every task cuts its run of ids at each 2048; the rest
-of its run goes into sequences whose lengths are powers of two, which need no padding.
+sort key. A document's ids are written in rows of at most LENGTH ids with that key, so a long document is many rows. A
+range sort of them by key, document and start puts alike documents into neighbouring sequences; ties (copies) are dealt
+on by document id, so neither a large group of copies nor a long document falls to one task. Every task cuts its run of
+ids at each LENGTH; the rest of its run goes into sequences whose lengths are powers of two, which need no padding.
+
+Ids are those of the tokenizers library for the file, without the special tokens that it adds; the strings of special
+tokens in a text are special tokens for it, as the library reads them.
 
 Cases: a null text counts as empty and is packed as its end id alone; equal ids and texts are all packed; a null
-doc_id is kept; of the ids of a task, at most one document's and one unfinished sequence are held at a time.
+doc_id is kept; of the ids of a task, at most one unfinished sequence is held at a time.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import os
 import zlib
 
 import numpy as np
@@ -21,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import batches_of_texts, byte_chars, codec
-from .common import U64, shuffle_parts, steps, utf8, word_hashes
+from .bpe import batches_of_texts, byte_chars
+from .common import U64, checkpoint, freed, shuffle_parts, utf8, word_hashes
 
 LENGTH = 2048
 DIMS, BITS = 3, 16
@@ -74,19 +79,6 @@ def curve_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return hilbert(np.minimum((grid * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(curve, doc_id, text): each document's place on the curve."""
-
-    def run(batches):
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            keys = [curve_keys(*word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in steps(offsets)]
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column("doc_id"), batch.column("text")], ["curve", "doc_id", "text"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "curve long, doc_id long, text string")
-
-
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str):
     """The ids that the tokenizers file gives, by tiktoken's merges where the file's ids follow the order of its merges.
@@ -96,25 +88,59 @@ def _encoder(path: str):
     """
     with open(path, encoding="utf-8") as file:
         model = json.load(file)
+    added = [t["content"] for t in model["added_tokens"]]
+
+    @functools.lru_cache(maxsize=1)
+    def library():
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
+
+    def whole(text: str) -> bytes:
+        return np.array(library().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     merges = [m if isinstance(m, str) else " ".join(m) for m in model["model"]["merges"]]
     vocab = model["model"]["vocab"]
     ids = [vocab.get(m.replace(" ", "", 1)) for m in merges]
     if model.get("normalizer") or model["pre_tokenizer"] != {**model["pre_tokenizer"], "type": "ByteLevel", "add_prefix_space": False} or None in ids or ids != sorted(ids):
-        library = codec(path)
-        return lambda text: library.encode([text])[0]
+        return whole
     import tiktoken
 
     back = {c: b for b, c in enumerate(byte_chars())}
     special = {t["id"] for t in model["added_tokens"]}
     ranks = {bytes(back[c] for c in t): i for t, i in vocab.items() if i not in special}
     engine = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: np.array(engine.encode_ordinary(text), "<u4").tobytes()
+    return lambda text: whole(text) if any(t in text for t in added) else np.array(engine.encode_ordinary(text), "<u4").tobytes()
+
+
+def encoded(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
+    """(curve, doc_id, start, doc_tokens, ids binary): each document's place on the curve and its ids, LENGTH to a row at most."""
+
+    def run(batches):
+        encode, end = _encoder(path), np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            doc = batch.column("doc_id")
+            for i, texts in batches_of_texts(batch, "text"):
+                data, offsets = utf8(batch.column("text").slice(i, len(texts)))
+                curve = curve_keys(*word_hashes(data, offsets))
+                ids = [encode(text) + end for text in texts]
+                sizes = np.array([len(x) // 4 for x in ids], np.int64)
+                rows = -(-sizes // LENGTH)
+                own = np.repeat(np.arange(len(ids)), rows)
+                start = (np.arange(len(own)) - np.repeat(np.cumsum(rows) - rows, rows)) * LENGTH
+                parts = [ids[k][4 * at : 4 * (at + LENGTH)] for k, at in zip(own.tolist(), start.tolist(), strict=True)]
+                columns = [pa.array(curve[own]), doc.take(pa.array(i + own)), pa.array(start), pa.array(sizes[own]), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["curve", "doc_id", "start", "doc_tokens", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(freed(run), "curve long, doc_id long, start long, doc_tokens long, ids binary")
 
 
 class _Packer:
     """Cuts one task's run of ids; holds at most one unfinished sequence."""
 
-    def __init__(self, task: int):
+    def __init__(self, task: int, with_ids: bool):
+        self.with_ids = with_ids
         self.next, self.held, self.fill, self.out = task << 32, [], 0, []
 
     def add(self, doc_id, start: int, doc_tokens: int, ids: np.ndarray) -> None:
@@ -134,7 +160,7 @@ class _Packer:
             n = min(len(ids), length - at)
             if n:
                 part = ids[:n]
-                self.out.append((doc_id, start, n, zlib.crc32(part.astype("<u4").tobytes()), doc_tokens, self.next, at, part))
+                self.out.append((doc_id, start, n, zlib.crc32(part.tobytes()), doc_tokens, self.next, at, part if self.with_ids else None))
                 at += n
             if n < len(ids):
                 rest.append((doc_id, start + n, ids[n:], doc_tokens))
@@ -155,7 +181,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, with_ids: bool = False) ->
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
-        packer = _Packer(TaskContext.get().partitionId())
+        packer = _Packer(TaskContext.get().partitionId(), with_ids)
 
         def batch_of(rows):
             columns = [pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True))[:7]]
@@ -168,17 +194,14 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, with_ids: bool = False) ->
                 yield batch_of(packer.out)
                 packer.out = []
 
-        encode, end = _encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            doc = batch.column("doc_id")
-            for i, texts in batches_of_texts(batch, "text"):
-                for k, text in enumerate(texts, i):
-                    ids = np.frombuffer(encode(text) + end, "<u4")
-                    packer.add(doc[k].as_py(), 0, len(ids), ids)
-                yield from flush(packer)
+            for doc, start, size, ids in zip(*(batch.column(c) for c in ("doc_id", "start", "doc_tokens", "ids")), strict=True):
+                packer.add(doc.as_py(), start.as_py(), size.as_py(), np.frombuffer(ids.as_buffer(), "<u4"))
+            yield from flush(packer)
         packer.finish()
         yield from flush(packer)
 
-    # long documents lie together on the curve: parts finer than the shuffle's even out their bytes
-    dealt = keyed(docs).repartitionByRange(4 * shuffle_parts(docs.sparkSession), "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
-    return dealt.mapInArrow(run, f"doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long{extra}")
+    rows = checkpoint(encoded(docs, path, end_id))  # read twice: for the splitters and for the sort
+    order = ["curve", "doc_id", "start"]
+    dealt = rows.repartitionByRange(shuffle_parts(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return dealt.mapInArrow(freed(run), f"doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long{extra}")

@@ -82,7 +82,6 @@ def test_tokens_of_the_json_file_equal_the_tokenizers_library(spark, sf):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(vocab.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     encode = packing._encoder(vocab.path("byte_bpe_50k.json"))
     for text in [*texts_of(spark, sf).values(), "<|endoftext|> a  b\n\n c", "", "\u0085  x y"]:
         assert encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -90,7 +89,8 @@ def test_tokens_of_the_json_file_equal_the_tokenizers_library(spark, sf):
 
 def test_packing_places_each_id_once(spark, sf, odd):
     encode = packing._encoder(vocab.path("byte_bpe_50k.json"))
-    for docs in (spark.read.parquet(f"{sf}/documents.parquet"), clashing(odd.where("doc_id is not null").dropDuplicates(["doc_id"]))):
+    numbered = odd.withColumn("doc_id", F.xxhash64("doc_id", "text", F.monotonically_increasing_id()))  # all rows, told apart
+    for docs in (spark.read.parquet(f"{sf}/documents.parquet"), clashing(spark.createDataFrame(numbered.collect(), SCHEMA))):
         rows = packing.pack(docs, vocab.path("byte_bpe_50k.json")).collect()
         ids = {r.doc_id: np.frombuffer(encode(r.text or ""), "<u4").tolist() + [1] for r in docs.collect()}
         by_doc, by_sequence = {}, {}
@@ -113,6 +113,17 @@ def test_packing_places_each_id_once(spark, sf, odd):
             assert at <= packing.LENGTH and at & (at - 1) == 0  # no padding
 
 
+def test_packing_keeps_null_and_repeated_ids(odd):
+    encode = packing._encoder(vocab.path("byte_bpe_50k.json"))
+    got, want = {}, {}
+    for r in packing.pack(odd, vocab.path("byte_bpe_50k.json"), with_ids=True).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(r.ids)
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+    for r in odd.collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + len(encode(r.text or "")) // 4 + 1
+    assert got == want
+
+
 def test_hilbert_neighbours_touch():
     bits = 3
     grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * 3, indexing="ij"), -1).reshape(-1, 3)
@@ -325,6 +336,14 @@ def test_second_round_gives_all_candidates(spark, monkeypatch):
 # 4, 6, 7, 9, 10
 
 
+def test_exact_copies_of_hot_texts(spark):
+    """Salted parts and their winners, and texts that differ after a long common start."""
+    rows = [(k, "hot  text" + " " * (k % 3)) for k in range(300)] + [(1000 + k, "x" * 300 + "abc"[k % 3]) for k in range(30)] + [(2000 + k, str(k)) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact.exact_dedup(docs).collect()}
+    assert got == {k: (2, 300) for k in range(300)} | {1000 + k: (1000 + k % 3, 10) for k in range(30)} | {2000 + k: (2000 + k, 1) for k in range(50)}
+
+
 def test_exact_copies(odd):
     rows = exact.exact_dedup(clashing(odd)).collect()
     by_text = {}
@@ -412,6 +431,7 @@ def test_warc_is_plain_gzip_and_splits_anywhere(spark, sf, tmp_path):
     assert sorted(map(tuple, warc.read(spark, folder, 997).collect()), key=repr) == whole
     assert sum(gzip.open(io.BytesIO(p.read_bytes())).read().count(b"WARC/1.1\r\n") for p in (tmp_path / "w").glob("part-*")) == len(whole) == pages.count()
     rows = {r[0]: r[1:] for r in whole}
+    assert warc.read(spark, folder, 5000).rdd.getNumPartitions() > 5  # tasks share the files
     assert rows[902][2:] == ("response", None) and rows[904][2:] == ("revisit", 903) and rows[900][0] == 0
 
 
