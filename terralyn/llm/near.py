@@ -3,18 +3,16 @@
 Every distinct set of shingles has TREES signatures of DEPTH hashes. Each tree is a sorted order of its signatures. A
 region is a run of sets that share SHALLOW hashes of a tree; where more than REGION sets do, its longer prefixes are
 followed, as deep as they must be to hold REGION sets, and a run that is still larger at full depth is cut into windows
-of sorted neighbours. All pairs of a region that agree in AGREE of all TREES x DEPTH hashes are candidates. Rows of
-small shape alone are sorted for this; signatures follow to the regions that have members.
+of sorted neighbours. All pairs of a region that agree in AGREE of all TREES x DEPTH hashes are candidates, and what they
+join is a cluster. Every region that was followed deeper is gone through again without a cap: its sets outside the region's
+largest cluster are held, in blocks, against all of its sets in other clusters, and pairs that agree join these as well.
+So two sets that share SHALLOW hashes in a tree and agree in AGREE of all are in one cluster.
 
-Only the components matter, so candidates are confirmed in rounds: of each set the best candidate between different
-components, then the next best, and in the last round all that are left. Before the third round every region that was
-followed deeper is gone through again without a cap: its sets outside the region's largest component are held, in blocks,
-against all of its sets in other components. So all pairs that share SHALLOW hashes in a tree are either candidates or
-in one component already.
-
-A confirmation reads the texts: pairs are dealt by cluster (what candidates join) and by pairs of blocks of a cluster, so
-a text travels once to each pair of blocks that asks for it, and sets are compared in full, by hashes of 64 bits, and
-word by word where the hashes say that a pair is similar or nearly so.
+Links are confirmed inside clusters. A task takes a block of a cluster's sets with their texts and goes through all pairs
+that agree in AGREE hashes, the most alike first; a pair that confirmed links already connect needs no confirmation. Sets are compared in
+full, by hashes of 64 bits, and word by word where those say that a pair is similar or nearly so. A cluster of one block
+is then done. In a larger one, some sets of each component meet next, and at last the sets outside the cluster's largest
+component meet all others, so no pair between components is left out and a text travels once for each block of those.
 
 Cases: a null, empty or blank text has no shingles and links with nothing; a text with fewer words than a shingle is
 one shingle; documents with equal sets (a fingerprint of 128 bits) are one node, so any number of copies costs a row each; rows are
@@ -28,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from terralyn.operators.graph import components
 
@@ -41,8 +40,10 @@ PERCENT = 80
 WORDS = 2
 #: Ids that are sent to every executor at most; more are joined by a shuffle.
 BROADCAST_IDS = 250_000
-#: Sets and shingles of a block, and rows of a region that one task goes through.
-BLOCK, BLOCK_SHINGLES, STRETCH = 256, 1 << 18, 1 << 16
+#: Sets and shingles of a block at most, on average, and sets that one task holds against a block.
+BLOCK, BLOCK_SHINGLES, STRETCH = 1024, 1 << 20, 1 << 12
+#: Sets of each component of a cluster's block that meet those of other blocks.
+LEADERS = 4
 #: Rows of one prefix that a task sorts out at a time.
 HOLD = 1 << 18
 
@@ -249,19 +250,30 @@ def candidates(regions: DataFrame, reps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(freed(pair), _PAIRS).groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A table that is sent to every executor where it has BROADCAST_IDS rows at most."""
+    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
+
+
+def _label(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds component to rows with an id: the id itself where it has no link."""
+    return rows.join(labels.select("id", F.col("component").alias("_c")), "id", "left").withColumn("component", F.coalesce("_c", "id")).drop("_c")
+
+
+def _every(n: str):
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
 def across(regions: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b, agree) of the wide regions' pairs between different components, of which one is not the region's largest."""
+    """(a, b, agree) between clusters (labels) of the wide regions: of each set outside the largest, the best pair with each other cluster."""
     parts = shuffle_parts(reps.sparkSession)
-    rows = checkpoint(_label(regions.where("wide").select("region", "id"), labels, "id", "component"))
+    rows = checkpoint(_label(regions.where("wide").select("region", "id"), labels))
     sizes = rows.groupBy("region", "component").agg(F.count("*").alias("n"))
     facts = sizes.groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("n > most.n")
-    outside = F.col("component") != F.col("most.component")
-    own = rows.join(facts, "region").join(reps, "id")
-    own = own.select("region", "id", "component", "sig", outside.alias("outside"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / STRETCH).cast("int").alias("stretches"))
-    own = own.withColumns({"block": F.pmod(F.xxhash64("id"), "blocks").cast("int"), "stretch": F.pmod(F.xxhash64("id", F.lit(1)), "stretches").cast("int")})
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = own.where("outside").withColumn("stretch", every("stretches")).withColumn("asks", F.lit(0))
-    met = own.withColumn("block", every("blocks")).withColumn("asks", F.lit(1))
+    own = checkpoint(rows.join(facts, "region").select("region", "id", "component", (F.col("component") != F.col("most.component")).alias("outside"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / STRETCH).cast("int").alias("stretches")))
+    own = own.join(reps, "id").withColumns({"block": F.pmod(F.xxhash64("id"), "blocks").cast("int"), "stretch": F.pmod(F.xxhash64("id", F.lit(1)), "stretches").cast("int")})
+    held = own.where("outside").withColumn("stretch", _every("stretches")).withColumn("asks", F.lit(0))
+    met = own.withColumn("block", _every("blocks")).withColumn("asks", F.lit(1))
     names = ["region", "block", "stretch", "asks", "id", "component", "sig"]
     dealt = held.select(names).unionByName(met.select(names)).repartition(parts, "region", "block", "stretch").sortWithinPartitions("region", "block", "stretch", "asks")
 
@@ -278,91 +290,108 @@ def across(regions: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
                     new = ids[lo:hi], part[lo:hi], sig[lo:hi]
                     block = new if block is None else tuple(np.concatenate(c) for c in zip(block, new, strict=True))
                 elif block is not None:
-                    for at in range(lo, hi, BLOCK):
-                        to = min(at + BLOCK, hi)
+                    for at in range(lo, hi, 64):
+                        to = min(at + 64, hi)
                         agree = _agreement(block[2], sig[at:to])
                         i, j = np.nonzero((agree >= AGREE) & (block[1][:, None] != part[at:to][None, :]))
                         if len(i):
-                            yield _pairs(block[0][i], ids[at:to][j], agree[i, j])
+                            order = np.lexsort((-agree[i, j], part[at:to][j], i))
+                            i, j = i[order], j[order]
+                            best = np.concatenate([[True], (i[1:] != i[:-1]) | (part[at:to][j][1:] != part[at:to][j][:-1])])
+                            yield _pairs(block[0][i[best]], ids[at:to][j[best]], agree[i[best], j[best]])
 
     return dealt.mapInArrow(freed(run), _PAIRS).groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, clusters: DataFrame, words: int = WORDS) -> DataFrame:
-    """(a, b, good): whether the full sets of pairs (a, b) have 100 * intersection >= PERCENT * union.
+def alike(x: np.ndarray, y: np.ndarray, texts: tuple[str, str], words: int) -> bool:
+    """Whether 100 * intersection >= PERCENT * union: by hashes, and by words where those say yes, or no by a hair."""
+    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)) - 200:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    if 100 * (both + 2) < PERCENT * (len(x) + len(y) - both):
+        return False
+    x, y = (word_shingles(t, words) for t in texts)
+    return 100 * len(x & y) >= PERCENT * len(x | y)
 
-    clusters has (id, cluster, blocks) of what candidates join; texts and pairs are dealt by cluster and pair of blocks.
-    """
-    block = F.pmod(F.xxhash64("id"), "blocks").cast("int")
-    place = checkpoint(clusters.select("id", "cluster", block.alias("block")))
-    own = pairs.join(place.select(F.col("id").alias("a"), "cluster", F.col("block").alias("i")), "a").join(place.select(F.col("id").alias("b"), F.col("block").alias("j")), "b")
-    own = checkpoint(own.select("cluster", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "a", "b"))
-    ends = own.select("cluster", "i", "j", F.col("a").alias("_doc")).unionByName(own.select("cluster", "i", "j", F.col("b").alias("_doc"))).distinct()
-    asked = checkpoint(ends.groupBy("_doc").agg(F.collect_set(F.struct("cluster", "i", "j")).alias("groups")))
-    few = asked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    sent = docs.select("_doc", "text").join(F.broadcast(asked) if few else asked, "_doc").select(F.explode("groups").alias("g"), F.col("_doc").alias("a"), "text")
-    none = F.lit(None)
-    rows = sent.select("g.*", "a", none.cast("long").alias("b"), "text").unionByName(own.select("cluster", "i", "j", "a", "b", none.cast("string").alias("text")))
-    dealt = rows.repartition(shuffle_parts(docs.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", F.asc_nulls_first("b"))
-
-    def alike(x, y, texts) -> bool:
-        """By hashes; by words as well where those say yes, or no by a hair."""
-        if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)) - 200:
-            return False
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        if 100 * (both + 2) < PERCENT * (len(x) + len(y) - both):
-            return False
-        x, y = (word_shingles(t, words) for t in texts)
-        return 100 * len(x & y) >= PERCENT * len(x | y)
-
-    def hold(batches):
-        tag, sets, texts = None, {}, {}
-        for batch in batches:
-            good = []
-            ends = [batch.column(c).to_pylist() for c in ("cluster", "i", "j", "a", "b")]
-            text = batch.column("text")
-            for k, (*now, a, b) in enumerate(zip(*ends, strict=True)):
-                if now != tag:
-                    tag, sets, texts = now, {}, {}
-                if b is None:
-                    texts[a] = text[k].as_py() or ""
-                else:
-                    for d in (a, b):
-                        if d not in sets:
-                            raw = np.frombuffer(texts[d].encode(), np.uint8)
-                            sets[d] = shingle_sets(raw, np.array([0, len(raw)]), words)[0]
-                    good.append((a, b, alike(sets[a], sets[b], (texts[a], texts[b]))))
-            a, b, ok = zip(*good, strict=True) if good else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], ["a", "b", "good"])
 
-    return dealt.mapInArrow(freed(hold), "a long, b long, good boolean")
+def _links(ids: np.ndarray, part: np.ndarray, asks: np.ndarray, sig: np.ndarray, texts: list[str], words: int) -> list[tuple[int, int]]:
+    """Confirmed links that connect what all links of one group connect.
 
-
-def _label(rows: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
-    """Adds an id's component, itself where it has no link."""
-    own = labels.select(F.col("id").alias(column), F.col("component").alias(name))
-    return rows.join(own, column, "left").withColumn(name, F.coalesce(name, column))
+    Pairs are those of which one asks, that agree and are in different components; the most alike come first.
+    """
+    first, second, how = [], [], []
+    asking = np.flatnonzero(asks)
+    for at in range(0, len(ids), 64):
+        agree = _agreement(sig[asking], sig[at : at + 64])
+        other = np.arange(at, min(at + 64, len(ids)))
+        good = (agree >= AGREE) & (part[asking][:, None] != part[other][None, :]) & (~asks[other][None, :] | (asking[:, None] < other[None, :]))
+        i, j = np.nonzero(good)
+        first.append(asking[i])
+        second.append(other[j])
+        how.append(agree[i, j])
+    if not first:
+        return []
+    first, second, how = (np.concatenate(x) for x in (first, second, how))
+    order = np.argsort(-how, kind="stable")
+    names, component = np.unique(part, return_inverse=True)
+    up = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    sets: dict[int, np.ndarray] = {}
+    out = []
+    component = component.tolist()
+    for a, b in zip(first[order].tolist(), second[order].tolist(), strict=True):
+        x, y = root(component[a]), root(component[b])
+        if x == y:
+            continue
+        for k in (a, b):
+            if k not in sets:
+                raw = np.frombuffer(texts[k].encode(), np.uint8)
+                sets[k] = shingle_sets(raw, np.array([0, len(raw)]), words)[0]
+        if alike(sets[a], sets[b], (texts[a], texts[b]), words):
+            up[max(x, y)] = min(x, y)
+            out.append((int(ids[a]), int(ids[b])))
+    return out
 
 
-def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components so far, with those."""
-    return _label(_label(pairs, labels, "a", "_ca"), labels, "b", "_cb").where("_ca <> _cb")
+def confirmed(groups: DataFrame, reps: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(src, dst): the links of groups (g1, g2, g3, asks, id, component), confirmed on the texts of docs (_doc, text)."""
+    groups = checkpoint(groups)
+    members = checkpoint(groups.select("id").distinct())
+    few = _few(members)
+    texts = docs.select(F.col("_doc").alias("id"), "text").join(few, "id").join(reps.join(few, "id").select("id", "sig"), "id")
+    texts = checkpoint(texts)
+    names = ["g1", "g2", "g3", "asks", "id", "component", "sig", "text"]
+    dealt = texts.join(_few(groups), "id").select(names).repartition(shuffle_parts(docs.sparkSession), "g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3", "id")
 
+    def run(batches):
+        held, tag = [], None
 
-def _best(pairs: DataFrame) -> DataFrame:
-    """Of each set the pair that agrees in most hashes."""
-    end = F.explode(F.array("a", "b")).alias("end")
-    return pairs.select(end, "agree", "a", "b").groupBy("end").agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+        def settle():
+            table = pa.Table.from_batches(held).combine_chunks()
+            sig = _short(table.column("sig").combine_chunks() if table.num_rows else pa.array([], pa.binary()))
+            found = _links(*(table.column(c).to_numpy() for c in ("id", "component")), table.column("asks").to_numpy(zero_copy_only=False).astype(bool), sig, [t or "" for t in table.column("text").to_pylist()], words)
+            src, dst = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("g1", "g2", "g3")], axis=1)
+            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, int)
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if held and tuple(keys[lo]) != tag:
+                    yield settle()
+                    held = []
+                tag = tuple(keys[lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield settle()
 
-def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """The labels after more links, which join components: only those are walked, not their members."""
-    joins = checkpoint(_crossing(links, labels).select(F.col("_ca").alias("src"), F.col("_cb").alias("dst")).distinct())
-    if not joins.limit(1).count():
-        return labels
-    names = checkpoint(components(joins))
-    moved = labels.join(names.select(F.col("id").alias("component"), F.col("component").alias("_to")), "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
-    return checkpoint(moved.unionByName(names.where("id <> component")))
+    return dealt.mapInArrow(freed(run), "src long, dst long")
 
 
 def near_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -374,36 +403,39 @@ def near_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     nodes = checkpoint(full.select("_doc", *key, "_salt").join(first, [*key, "_salt"]).select("_doc", "rep", "n_shingles"))
     reps = full.select(F.col("_doc").alias("id"), "sig").join(nodes.where("_doc = rep").select(F.col("rep").alias("id")), "id", "left_semi")
     regions = checkpoint(forest(reps))
-    pairs = checkpoint(candidates(regions, reps))
-    labels = docs.sparkSession.createDataFrame([], "id long, component long")
-    refuted = docs.sparkSession.createDataFrame([], "a long, b long")
-
-    def clustered(pairs: DataFrame) -> DataFrame:
-        own = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).join(nodes.select(F.col("_doc").alias("id"), "n_shingles"), "id")
-        size = own.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-        return checkpoint(own.join(size, "component").select("id", F.col("component").alias("cluster"), "blocks"))
-
-    def step(every: bool) -> None:
-        """Confirms each set's best pair, or every one, among those between components; the others are left."""
-        nonlocal pairs, labels, refuted
-        crossing = checkpoint(_crossing(pairs, labels).select("a", "b", "agree"))
-        if crossing.limit(1).count():
-            told = checkpoint(confirmed(crossing.select("a", "b") if every else _best(crossing), docs, clusters, words))
-            labels = _joined(labels, told.where("good").select("a", "b"))
-            refuted = refuted.unionByName(told.where("not good").select("a", "b"))
-            crossing = crossing.join(told.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = crossing
-
-    clusters = clustered(pairs)
-    step(False)
-    step(False)
+    pairs = candidates(regions, reps).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    pairs = checkpoint(pairs)
+    clusters = checkpoint(components(pairs))
     if regions.where("wide").limit(1).count():
-        more = across(regions, reps, labels).join(refuted, ["a", "b"], "left_anti")
-        pairs = checkpoint(pairs.unionByName(more).groupBy("a", "b").agg(F.max("agree").alias("agree")))
-        clusters = clustered(pairs)
-        step(False)
-    step(True)
-    own = _label(nodes, labels, "rep", "component").select("_doc", "component")
+        more = checkpoint(across(regions, reps, clusters).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        if more.limit(1).count():
+            clusters = checkpoint(components(pairs.unionByName(more)))
+    sets = nodes.where("_doc = rep").select(F.col("rep").alias("id"), "n_shingles")
+    clusters = clusters.select("id", F.col("component").alias("cluster")).join(sets, "id")
+    size = clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.ceil(F.count("*") / STRETCH).cast("int").alias("stretches"))
+    place = checkpoint(clusters.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")))
+    none = F.lit(0)
+    links = checkpoint(confirmed(place.select(F.col("cluster").alias("g1"), F.col("block").alias("g2"), none.alias("g3"), F.lit(True).alias("asks"), "id", F.col("id").alias("component")), reps, docs, words))
+    labels = checkpoint(components(links))
+    wide = place.where("blocks > 1")
+    if wide.limit(1).count():
+        own = _label(wide, labels)
+        nth = F.row_number().over(Window.partitionBy("cluster", "block", "component").orderBy(F.xxhash64("id")))
+        leaders = own.withColumn("nth", nth).where(F.col("nth") <= LEADERS)
+        sizes = leaders.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_b"))
+        leaders = leaders.join(sizes, "cluster").select(F.col("cluster").alias("g1"), F.pmod(F.xxhash64("id", none), "_b").cast("int").alias("g2"), none.alias("g3"), F.lit(True).alias("asks"), "id", "component")
+        links = checkpoint(links.unionByName(confirmed(leaders, reps, docs, words)))
+        labels = checkpoint(components(links))
+        own = _label(wide, labels)
+        sizes = own.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("n > most.n")
+        own = own.join(sizes, "cluster").withColumns({"outside": F.col("component") != F.col("most.component"), "_b": F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int")})
+        own = own.withColumns({"g2": F.pmod(F.xxhash64("id", none), "_b").cast("int"), "g3": F.pmod(F.xxhash64("id", F.lit(1)), "stretches").cast("int")})
+        asking = own.where("outside").withColumn("g3", _every("stretches")).withColumn("asks", F.lit(True))
+        asked = own.withColumn("g2", _every("_b")).join(asking.select("cluster", "g2", "g3", "id"), ["cluster", "g2", "g3", "id"], "left_anti").withColumn("asks", F.lit(False))
+        names = [F.col("cluster").alias("g1"), "g2", "g3", "asks", "id", "component"]
+        links = checkpoint(links.unionByName(confirmed(asking.select(names).unionByName(asked.select(names)), reps, docs, words)))
+        labels = checkpoint(components(links))
+    own = _label(nodes.select("_doc", F.col("rep").alias("id")), labels).select("_doc", "component")
     return rows.select("_doc", "n_shingles").join(own, "_doc", "left").select("_doc", "n_shingles", F.coalesce("component", "_doc").alias("component"))
 
 

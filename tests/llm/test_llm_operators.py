@@ -222,21 +222,24 @@ def test_near_copies_equal_brute_force(spark, odd, monkeypatch):
     want = brute_components(docs)
     got = lambda: sorted(map(tuple, near.near_dedup(df).collect()), key=repr)
     assert got() == want
-    for name, value in (("REGION", 3), ("BLOCK", 8), ("STRETCH", 20), ("HOLD", 10)):  # wide regions, many blocks
+    for name, value in (("REGION", 3), ("BLOCK", 8), ("STRETCH", 9), ("HOLD", 10), ("LEADERS", 1)):  # wide regions, many blocks
         monkeypatch.setattr(near, name, value)
     assert got() == want
 
 
 def test_crowds_are_compared_without_a_cap(spark, monkeypatch):
-    """Pairs of wide regions between components, all of them."""
+    """Every set of a wide region outside its largest cluster finds all clusters that it agrees with."""
     monkeypatch.setattr(near, "BLOCK", 4)
+    monkeypatch.setattr(near, "STRETCH", 7)
     sig = np.arange(near.TREES * near.DEPTH, dtype=np.uint32)
     reps = spark.createDataFrame([(i, ((sig + (i % 3) * 100) % 251).astype("<u4").tobytes()) for i in range(30)], "id long, sig binary")
     regions = spark.createDataFrame([(7, i, True) for i in range(30)] + [(8, i, False) for i in range(30)], "region long, id long, wide boolean")
-    labels = spark.createDataFrame([(i, 0) for i in range(0, 12, 3)], "id long, component long")
-    got = {(r.a, r.b) for r in near.across(regions, reps, labels).collect()}
-    alone = lambda i: i % 3 or i >= 12
-    assert got == {(a, b) for a in range(30) for b in range(a + 1, 30) if a % 3 == b % 3 and (alone(a) or alone(b))}
+    labels = {i: 0 for i in range(0, 12, 3)}
+    got = {(r.a, r.b) for r in near.across(regions, reps, spark.createDataFrame(list(labels.items()), "id long, component long")).collect()}
+    reach = lambda i: {(labels.get(a + b - i, a + b - i)) for a, b in got if i in (a, b)}
+    for i in set(range(30)) - labels.keys():
+        assert reach(i) >= {labels.get(k, k) for k in range(i % 3, 30, 3) if k != i}
+    assert all(a % 3 == b % 3 for a, b in got)
 
 
 def test_recall_of_links(spark):
