@@ -17,7 +17,8 @@ Entries travel in packets, one for each partition of keys, so Spark moves thousa
 In a first round a line names its best earlier candidate under each key, and the best of those is verified; lines of
 one cluster meet under many keys, so this keeps the work in proportion to the lines. Under a key of more than CROWD lines the
 best is one of the FIRST nearest earlier candidates. A line that its best candidate does not settle, and that had
-others, gets all of them in a second round.
+others, gets all of them in a second round: ASKED lines at most are sent to all tasks, which name their candidates;
+more are met by key again, with bitmaps of a fixed size to leave out what they do not ask for.
 
 Cases: a null or empty text has one empty line; lines without a word always stay; a document whose lines all go is kept
 with an empty text. Rows are told apart as common.identified says: rows that share an id, or have none, are documents of
@@ -40,11 +41,13 @@ SLICE_BITS = 17
 #: Code of 1024 occurrences, from which a token counts as common.
 COMMON = 152
 #: Lines under one key from which a line looks at its FIRST nearest earlier candidates only, in the first round.
-CROWD, FIRST = 1024, 8
+CROWD, FIRST = 1024, 64
 #: Entries that a task holds before it sends packets.
 HELD = 1 << 18
-#: Documents whose ids are sent to every executor at most; more are joined by a shuffle.
-BROADCAST_IDS = 250_000
+#: Documents whose ids, and lines whose numbers, are sent to every executor at most; more are joined by a shuffle.
+BROADCAST_IDS, BROADCAST_LINES = 250_000, 2_000_000
+#: Lines whose keys are sent to every executor in the second round.
+ASKED = 20_000
 #: Bitmaps of lines, keys and tokens that the second round asks for: a fixed size; a chance hit costs time only.
 BIT_SLOTS = 1 << 23
 
@@ -172,12 +175,12 @@ def _packed(entries: list[np.ndarray], kinds: list) -> bytes:
     return b"".join(e.astype(kind, copy=False).tobytes() for e, (_, kind) in zip(entries, kinds, strict=True))
 
 
-def _unpacked(packets: list[pa.Scalar], kinds: list) -> dict[str, np.ndarray]:
+def _unpacked(packets: list, kinds: list) -> dict[str, np.ndarray]:
     width = sum(np.dtype(kind).itemsize for _, kind in kinds)
     columns = {name: [] for name, _ in kinds}
     for packet in packets:
-        buffer = packet.as_buffer()
-        n, at = buffer.size // width, 0
+        buffer = packet if isinstance(packet, bytes) else packet.as_buffer()
+        n, at = len(buffer) // width, 0
         for name, kind in kinds:
             columns[name].append(np.frombuffer(buffer, kind, n, at))
             at += n * np.dtype(kind).itemsize
@@ -421,6 +424,70 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
     return out
 
 
+def _named(docs: DataFrame, codes, open_: DataFrame) -> DataFrame:
+    """(_doc, line, to_doc, to_line): all earlier candidates of at most ASKED open lines (_doc, line), whose keys all tasks get."""
+    wanted = checkpoint(open_.groupBy("_doc").agg(F.collect_set("line").alias("lines")))
+
+    def keys(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            ids, lists = batch.column("_doc").to_numpy(), batch.column("lines")
+            ask = _lines_hash(np.repeat(ids, np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy())
+            for i, j in steps(offsets):
+                hashes, cuts, row, number = line_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                size = np.diff(cuts)
+                own = np.flatnonzero(np.isin(_lines_hash(ids[i + row], number), ask) & (size > 3))
+                if len(own):
+                    (b0, b1), key, at, where, first = _marks(hashes[np.repeat(np.isin(np.arange(len(size)), own), size)], np.concatenate([[0], np.cumsum(size[own])]), codes.value)
+                    entries = [key, ids[i + row[own]][at], number[own][at], size[own][at], where, np.zeros(len(at)), b0[at], b1[at], np.ones(len(at))]
+                    yield pa.RecordBatch.from_arrays([pa.array([_packed(entries, _KEYED)], pa.binary()), pa.array([first.tobytes()], pa.binary())], ["packet", "first"])
+
+    got = docs.select("_doc", "text").join(F.broadcast(wanted), "_doc").mapInArrow(freed(keys), "packet binary, first binary").toArrow()
+    e = _unpacked(got.column("packet").to_pylist(), _KEYED) if len(got) else {name: np.zeros(0, kind) for name, kind in _KEYED}
+    order = np.argsort(e["key"])
+    e = {k: v[order] for k, v in e.items()}
+    e["who"] = np.unique(_lines_hash(e["doc"], e["line"]), return_inverse=True)[1]
+    tokens = np.zeros(BIT_SLOTS, bool)
+    for first in got.column("first").to_pylist():
+        tokens[_slots(np.frombuffer(first, U64))] = True
+    held = docs.sparkSession.sparkContext.broadcast((e, tokens))
+
+    def name(batches):
+        (e, tokens), table = held.value, codes.value
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            ids = batch.column("_doc").to_numpy()
+            for i, j in steps(offsets):
+                hashes, cuts, row, number = line_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tokens)
+                size = np.diff(cuts)
+                marked = size > 3
+                if not marked.any():
+                    continue
+                hashes, cuts = hashes[np.repeat(marked, size)], np.concatenate([[0], np.cumsum(size[marked])])
+                doc, number, size = ids[i + row[marked]], number[marked], size[marked]
+                (b0, b1), key, at, where, _ = _marks(hashes, cuts, table)
+                low, high = (np.searchsorted(e["key"], key, side) for side in ("left", "right"))
+                met = np.repeat(np.arange(len(key)), high - low)
+                to = low[met] + np.arange(len(met)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+                line = at[met]
+                n, m = size[line], e["n"][to].astype(np.int64)
+                p, q = where[met], e["pos"][to]
+                rest = np.where((p >= 0) & (q >= 0), np.minimum(n - p, m - q), np.minimum(n, m))
+                earlier = (doc[line] < e["doc"][to]) | ((doc[line] == e["doc"][to]) & (number[line] < e["line"][to]))
+                apart = np.bitwise_count(b0[line] ^ e["b0"][to]).astype(np.int64) + np.bitwise_count(b1[line] ^ e["b1"][to])
+                good = np.flatnonzero(earlier & (5 * n >= 4 * m) & (5 * m >= 4 * n) & similar(rest, n, m) & similar((n + m - apart) // 2, n, m))
+                if not len(good):
+                    continue
+                prints = _prints(hashes, cuts)[0][line[good]].view(np.int64)
+                _, once = np.unique(np.stack([e["who"][to[good]], prints]), axis=1, return_index=True)
+                good, prints = good[once], prints[once]
+                columns = (e["doc"][to[good]], e["line"][to[good]].astype(np.int64), doc[line[good]], number[line[good]].astype(np.int64), prints)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["_doc", "line", "to_doc", "to_line", "print"])
+
+    pairs = docs.select("_doc", "text").mapInArrow(freed(name), "_doc long, line long, to_doc long, to_line long, print long")
+    return pairs.groupBy("_doc", "line", "print").agg(F.min(F.struct("to_doc", "to_line")).alias("to")).select("_doc", "line", "to.to_doc", "to.to_line")
+
+
 def _asked(docs: DataFrame, codes, open_: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bitmaps of the open lines (_doc, line), of their keys and of the keys' first tokens."""
     wanted = checkpoint(open_.groupBy("_doc").agg(F.collect_set("line").alias("lines")))
@@ -461,16 +528,22 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     alike = checkpoint(_verified(docs, lines.select("_doc", "line", "b.to_doc", "b.to_line")))
     open_ = checkpoint(lines.where("more").select("_doc", "line").join(alike, ["_doc", "line"], "left_anti"))
     gone = gone.unionByName(alike)
-    if open_.limit(1).count():
+    many = open_.limit(ASKED + 1).count()
+    if many > ASKED:
         asked = spark.sparkContext.broadcast(_asked(docs, codes, open_))  # a fixed size
         again = matches(docs, codes, asked).select("_doc", "line", "to_doc", "to_line")
         gone = gone.unionByName(_verified(docs, again.join(open_, ["_doc", "line"], "left_semi")))
+    elif many:
+        gone = gone.unionByName(_verified(docs, _named(docs, codes, open_)))
     return gone.groupBy("_doc").agg(F.collect_set("line").alias("_lines"))
 
 
 def _with_lines(docs: DataFrame) -> DataFrame:
     own = identified(docs)
-    return own.join(repeated_lines(own), "_doc", "left")  # text and row are all that moves
+    lines = checkpoint(repeated_lines(own))
+    size = lines.agg(F.count("*"), F.sum(F.size("_lines"))).first()
+    few = size[0] <= BROADCAST_IDS and (size[1] or 0) <= BROADCAST_LINES
+    return own.join(F.broadcast(lines) if few else lines, "_doc", "left")
 
 
 def _kept(batch: pa.RecordBatch):
