@@ -117,3 +117,87 @@ def to_utm(lng: Column, lat: Column, zone: Column) -> Column:
         y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     south = F.when(lat < 0, 10_000_000.0).otherwise(0.0)
     return F.struct((_K0 * _RECTIFYING * x + 500_000).alias("easting"), (_K0 * _RECTIFYING * y + south).alias("northing"))
+
+
+def from_utm(easting: Column, northing: Column, zone: Column, south: Column) -> Column:
+    """lng, lat of a point in a zone: Krueger's inverse series, then the latitude from its conformal one."""
+    beta = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360, _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440, 17 * _N**3 / 480 - 37 * _N**4 / 840, 4397 * _N**4 / 161280)
+    xi = (northing - F.when(south, 10_000_000.0).otherwise(0.0)) / (_K0 * _RECTIFYING)
+    eta = (easting - 500_000) / (_K0 * _RECTIFYING)
+    x, y = xi, eta
+    for j, b in enumerate(beta, 1):
+        x = x - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        y = y - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    conformal = F.asin(F.sin(x) / F.cosh(y))
+    delta = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45, 7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45, 56 * _N**3 / 15 - 136 * _N**4 / 35, 4279 * _N**4 / 630)
+    lat = conformal
+    for j, d in enumerate(delta, 1):
+        lat = lat + d * F.sin(2 * j * conformal)
+    lng = F.degrees(F.atan2(F.sinh(y), F.cos(x))) + (zone * 6 - 183)
+    return F.struct(lng.alias("lng"), F.degrees(lat).alias("lat"))
+
+
+def grid_convergence(lng: Column, lat: Column) -> Column:
+    """Degrees clockwise from true north to the zone's grid north: the bearing of a point 100 m up the grid."""
+    zone = utm_zone(lng)
+    here = to_utm(lng, lat, zone)
+    there = from_utm(here["easting"], here["northing"] + 100, zone, lat < 0)
+    return F.degrees(F.atan2((there["lng"] - lng) * F.cos(F.radians(lat)), there["lat"] - lat))
+
+
+def utm_envelope(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """The envelope, in the zone of its middle, of the four corners of a box of degrees."""
+    zone = utm_zone((minx + maxx) / 2)
+    corners = [to_utm(x, y, zone) for x in (minx, maxx) for y in (miny, maxy)]
+    side = lambda pick, name: pick(*[c[name] for c in corners])
+    return F.struct(side(F.least, "easting").alias("minx"), side(F.least, "northing").alias("miny"), side(F.greatest, "easting").alias("maxx"), side(F.greatest, "northing").alias("maxy"))
+
+
+def sides_cross(a: Column, b: Column) -> Column:
+    """Whether a side of one ring passes through a side of the other."""
+    turn = lambda p, q, r: (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+    apart = lambda s, t: turn(s["a"], s["b"], t["a"]) * turn(s["a"], s["b"], t["b"]) < 0
+    return F.exists(segments(a), lambda s: F.exists(segments(b), lambda t: apart(s, t) & apart(t, s)))
+
+
+def ring_distance(a: Column, b: Column) -> Column:
+    """Distance between the areas of two rings: 0 where they share any."""
+    inside = lambda p, q: contains(p[0]["x"], p[0]["y"], q)
+    return F.when(inside(a, b) | inside(b, a) | sides_cross(a, b), 0.0).otherwise(field_gap(a, b))
+
+
+def clipped(ring: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """The part of a ring inside a box, by cutting it at each of the four sides in turn; may be empty."""
+    bound = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  value is computed once
+
+    def cut(axis: str, limit: Column, sign: int):
+        depth = lambda p: (p[axis] - limit) * sign
+
+        def kept(s: Column) -> Column:
+            a, b = s["a"], s["b"]
+            t = depth(a) / (depth(a) - depth(b))
+            meet = F.struct((a["x"] + t * (b["x"] - a["x"])).alias("x"), (a["y"] + t * (b["y"] - a["y"])).alias("y"))
+            here = F.when(depth(a) >= 0, F.array(a)).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+            return F.when((depth(a) >= 0) != (depth(b) >= 0), F.concat(here, F.array(meet))).otherwise(here)
+
+        return lambda own: F.when(F.size(own) > 0, F.flatten(F.transform(segments(own), kept))).otherwise(own)
+
+    out = ring
+    for axis, limit, sign in (("x", minx, 1), ("x", maxx, -1), ("y", miny, 1), ("y", maxy, -1)):
+        out = bound(out, cut(axis, limit, sign))
+    return out
+
+
+def overlap_area(ring: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """The area that a ring shares with a box."""
+    own = F.transform(F.array(clipped(ring, minx, miny, maxx, maxy)), lambda r: F.when(F.size(r) > 2, F.abs(signed_area(r))).otherwise(0.0))
+    return own[0]
+
+
+def nearest_turn(degrees: Column) -> Column:
+    """The turn to the nearest quarter, over -45 to 45 degrees."""
+    return 45 - F.pmod(45 - degrees, F.lit(90.0))
+
+
+def is_aligned(degrees: Column, within: float) -> Column:
+    return F.abs(nearest_turn(degrees)) <= within

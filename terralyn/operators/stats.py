@@ -6,19 +6,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terralyn.sources.scratch import cut
+
+
+def running_sums(rows: DataFrame, groups: list[str], value: str, weight: str) -> DataFrame:
+    """Adds _run, the weight of a group's rows up to this one in order of value, and _total, the group's weight.
+
+    rows has one row for each value of a group. Ranges of (groups, value) are summed apart and then each starts from
+    what the ranges before it hold, so no task sees all values of a group.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = cut(rows.repartitionByRange(parts, *groups, value).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = spread.groupBy(*groups, "_part").agg(F.sum(weight).alias("_sum"))
+    own = Window.partitionBy(*groups)
+    before = F.coalesce(F.sum("_sum").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(*groups, "_part", before.alias("_before"), F.sum("_sum").over(own).alias("_total"))
+    inside = F.sum(weight).over(Window.partitionBy(*groups, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return spread.withColumn("_inside", inside).join(starts, [*groups, "_part"]).withColumn("_run", F.col("_before") + F.col("_inside")).drop("_part", "_inside", "_before")
+
 
 def weighted_median(rows: DataFrame, groups: list[str], value: str, weight: str) -> DataFrame:
     """groups and median: the value where half of the weight is reached; two values that share the half are averaged.
 
-    Zero, null and NaN weights do not vote. Equal values are summed first, so a task holds distinct values only.
+    Zero, null and NaN weights do not vote.
     """
     seen = rows.where((F.col(weight) > 0) & ~F.isnan(F.col(weight).cast("double")) & F.col(value).isNotNull())
     sums = seen.groupBy(*groups, value).agg(F.sum(weight).alias("_w"))
-    own = Window.partitionBy(*groups)
-    run = F.sum("_w").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    at = sums.withColumns({"_run": run, "_half": F.sum("_w").over(own) / 2, "_next": F.lead(value).over(own.orderBy(value))})
-    hit = at.where((F.col("_run") >= F.col("_half")) & (F.col("_run") - F.col("_w") < F.col("_half")))
-    return hit.select(*groups, F.when(F.col("_run") == F.col("_half"), (F.col(value) + F.coalesce("_next", value)) / 2).otherwise(F.col(value).cast("double")).alias("median"))
+    at = running_sums(sums, groups, value, "_w").withColumn("_half", F.col("_total") / 2)
+    low = F.min(F.when(F.col("_run") >= F.col("_half"), F.struct(F.col(value).alias("v"), (F.col("_run") == F.col("_half")).alias("even"))))
+    high = F.min(F.when(F.col("_run") > F.col("_half"), F.col(value)))
+    hit = at.groupBy(*groups).agg(low.alias("_low"), high.alias("_high"))
+    return hit.select(*groups, F.when(F.col("_low.even"), (F.col("_low.v") + F.coalesce("_high", "_low.v")) / 2).otherwise(F.col("_low.v").cast("double")).alias("median"))
 
 
 def shared_window(medians: DataFrame, start: str, end: str) -> DataFrame:
@@ -28,18 +46,19 @@ def shared_window(medians: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def floor_percentile(rows: DataFrame, groups: list[str], value: str, share: float) -> DataFrame:
-    """The value at place floor(n share) of the order; 1 where that is not positive.
-
-    Places come from counts of distinct values, so no group is collected.
-    """
+    """The value at place floor(n share) of the order; 1 where that is not positive. Places come from counts of distinct values."""
     sums = rows.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
-    own = Window.partitionBy(*groups)
-    run = F.sum("_n").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    at = sums.withColumns({"_run": run, "_place": F.floor(F.sum("_n").over(own) * share)})
-    hit = at.groupBy(*groups).agg(F.min(F.when(F.col("_run") > F.col("_place"), F.col(value))).alias("percentile"))
+    at = running_sums(sums, groups, value, "_n")
+    hit = at.groupBy(*groups).agg(F.min(F.when(F.col("_run") > F.floor(F.col("_total") * share), F.col(value))).alias("percentile"))
     return hit.withColumn("percentile", F.when(F.col("percentile") > 0, F.col("percentile")).otherwise(F.lit(1.0)))
 
 
+def quarter_turn_mean(sides: DataFrame, groups: list[str]) -> DataFrame:
+    """groups and angle, 0 to 90 degrees: the mean direction of sides (length, angle in radians), quarter turns being alike."""
+    total = lambda f: F.sum(F.col("length") * f(4 * F.col("angle")))
+    return sides.groupBy(*groups).agg(F.pmod(F.degrees(F.atan2(total(F.sin), total(F.cos))) / 4, F.lit(90.0)).alias("angle"))
+
+
 def rank_auc(rows: DataFrame, score: str, label: str, tie: str) -> DataFrame:
     """auc, mean of the positive and of the negative class; ordinal ranks, ties in order of another column.
 

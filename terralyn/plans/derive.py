@@ -37,6 +37,14 @@ curves AS (
 """
 
 
+def season_sql(t: str, p: tuple[float, ...]) -> str:
+    """A season preset at day t."""
+    high, rise, up, fall, down, between = p
+    late = lambda d: f"(1 / (1 + exp(-(({d}) - {between}) / 2.5)))"
+    one = lambda d: f"((1 - {late(d)}) * {high} / (1 + exp(-{rise} * (({d}) - {up}))) + {late(d)} * ({high} - {high} / (1 + exp(-{fall} * (({d}) - {down})))))"
+    return f"least(1 - 1e-9, greatest(1e-9, {one(t)} + {one(f'({t}) - 365')} + {one(f'({t}) + 365')}))"
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as fields at whole coordinates; the market segment is the species."""
     k = F.col("c_custkey")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from terralyn.functions import curves as shapes
 from terralyn.functions import geometry
 from terralyn.operators import cluster, graph, phenology, spatial, zones
-from terralyn.plans.derive import PAIRS, POINTS, REACH, points
+from terralyn.plans.derive import PAIRS, POINTS, REACH, points, season_sql
 from terralyn.sources import geometry_text, sinks
 from terralyn.sources.tables import table
 
@@ -20,9 +20,41 @@ def _curves(spark, sf_dir):
     return o.withColumn("value", value).groupBy("species", "cluster", "day").agg(F.avg("value").alias("value"))
 
 
+def _sparse(spark, sf_dir):
+    """Customers as curves: their orders' days, with prices as values; every other customer is never bare for long."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).cast("string").alias("species"), F.col("o_custkey").alias("cluster"), F.dayofyear("o_orderdate").alias("day"), "o_totalprice")
+    value = (F.floor("o_totalprice") % 90) / 100.0
+    return o.groupBy("species", "cluster", "day").agg(F.max(F.when(F.col("cluster") % 2 == 0, value).otherwise(0.28 + value / 2)).alias("value"))
+
+
 def season_fit(spark, sf_dir):
     out = phenology.fit_seasons(_curves(spark, sf_dir))
-    return out.select("species", "cluster", "n", "dof", "poor_fit", *[F.round(c, 3).alias(c) for c in ("r2", "sos", "eos", "peak_day")])
+    return out.select("species", "cluster", "n", "dof", "poor_fit", "confidence", *[F.round(c, 3).alias(c) for c in ("r2", "sos", "eos")])
+
+
+def season_windows(spark, sf_dir):
+    return phenology.season_windows(_sparse(spark, sf_dir))
+
+
+def growing_season(spark, sf_dir):
+    """The pooled season of each species, from the windows of its clusters that a fit may have moved."""
+    sizes = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("species"), (F.col("o_custkey") % 4).alias("cluster")).agg(F.count("*").alias("size"))
+    out = phenology.pooled_seasons(phenology.growing_seasons(_curves(spark, sf_dir).join(sizes, ["species", "cluster"])))
+    return out.withColumns({c: F.round(c, 2) for c in ("start_day", "end_day")})
+
+
+def picked_seasons(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("species"), (F.col("o_custkey") % 9).alias("cluster"))
+    sizes = rows.groupBy("species", "cluster").agg(F.count("*").alias("size"))
+    picks = sizes.select("species", "cluster", (F.lit(90) + F.col("cluster") * 7 % 40).alias("start"), (F.lit(120) + F.col("cluster") * 31 % 200).alias("end")).where("cluster % 4 <> 3")
+    return phenology.picked_seasons(picks, sizes)
+
+
+def period_fits(spark, sf_dir):
+    curves = _curves(spark, sf_dir)
+    periods = curves.groupBy("species", "cluster").agg((F.min("day") + 60).alias("start"), (F.max("day") - 40).alias("end"))
+    out = phenology.fit_periods(curves, periods)
+    return out.select("species", "cluster", "n", "dof", "note", "confidence", *[F.round(c, 3).alias(c) for c in ("r2", "sos", "eos", "up_gap", "down_gap")])
 
 
 def growth_signal(spark, sf_dir):
@@ -110,11 +142,11 @@ def field_groups(spark, sf_dir):
     return labels.groupBy("component").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (season_fit, growth_signal, coarse_windows, hidden_transitions, calendar_match, carried_marks, kmeans_scenarios, density_clusters, pixel_zones, zone_counts, wkt_fields, cell_features, species_graph, field_groups)}
+QUERIES = {f.__name__: f for f in (season_fit, season_windows, growing_season, picked_seasons, period_fits, growth_signal, coarse_windows, hidden_transitions, calendar_match, carried_marks, kmeans_scenarios, density_clusters, pixel_zones, zone_counts, wkt_fields, cell_features, species_graph, field_groups)}
 
-_CURVES = """
+_CURVES = f"""
 c0 AS (SELECT o_orderpriority AS species, o_custkey % 4 AS cluster, CAST(floor(dayofyear(o_orderdate) / 10.0) * 10 + 5 AS BIGINT) AS day, o_totalprice FROM orders),
-c AS (SELECT species, cluster, day, avg(0.8 * (1 / (1 + exp(-0.09 * (day - 165))) - 1 / (1 + exp(-0.07 * (day - 265)))) + (CAST(floor(o_totalprice) AS BIGINT) % 100) / 5000.0) AS value FROM c0 GROUP BY 1, 2, 3)
+c AS (SELECT species, cluster, day, avg({season_sql("day", (0.85, 0.12, 150.0, 0.10, 270.0, 215.0))} + (CAST(floor(o_totalprice) AS BIGINT) % 100) / 5000.0) AS value FROM c0 GROUP BY 1, 2, 3)
 """
 _ZONES = f"""
 {POINTS},
@@ -127,10 +159,40 @@ z AS (SELECT pixel_id, field_id, crp_lbl, edge_dist, CASE WHEN edge_dist >= 5 TH
 """
 
 ORACLE_SQL = {
+    # the walk, step by step
+    "season_windows": """
+WITH RECURSIVE o AS (SELECT CAST(o_custkey % 5 AS VARCHAR) AS species, o_custkey AS cluster, CAST(dayofyear(o_orderdate) AS INTEGER) AS day, (CAST(floor(o_totalprice) AS BIGINT) % 90) / 100.0::DOUBLE AS v FROM orders),
+c AS (SELECT species, cluster, day, max(CASE WHEN cluster % 2 = 0 THEN v ELSE 0.28 + v / 2 END) AS value FROM o GROUP BY 1, 2, 3),
+l AS (SELECT species, cluster, list(day ORDER BY day) AS d, list(CAST(value AS DOUBLE) ORDER BY day) AS v FROM c GROUP BY 1, 2 HAVING count(*) >= 3),
+f AS (SELECT *, len(v) AS n, list_position(v, list_max(v)) AS top, list_min(v) + 0.2 * (list_max(v) - list_min(v)) AS foot, list_min(v) + 0.6 * (list_max(v) - list_min(v)) AS low,
+  len(list_filter(range(2, len(v) + 1), lambda i: v[i] < 0.3 AND v[i - 1] < 0.3)) > 0 AS bare FROM l),
+w AS (
+  SELECT cluster, 1 AS step, top AS place, false AS done FROM f UNION ALL SELECT cluster, -1, top, false FROM f
+  UNION ALL
+  SELECT w.cluster, w.step,
+    CASE WHEN bare THEN CASE WHEN stop THEN place ELSE place + w.step END WHEN v[place + w.step] >= 0.3 THEN place + w.step WHEN place + 2 * w.step BETWEEN 1 AND n AND v[place + 2 * w.step] >= 0.3 THEN place + 2 * w.step ELSE place END,
+    CASE WHEN bare THEN stop ELSE NOT (coalesce(v[place + w.step] >= 0.3, false) OR (place + 2 * w.step BETWEEN 1 AND n AND v[place + 2 * w.step] >= 0.3)) END
+  FROM (SELECT w.*, f.* EXCLUDE (cluster), v[place + w.step] <= foot OR (v[place] < low AND v[place + w.step] > v[place] + 0.03) AS stop FROM w JOIN f USING (cluster) WHERE NOT done AND place + w.step BETWEEN 1 AND n) w
+),
+e AS (SELECT cluster, max(place) FILTER (step = 1) AS e, min(place) FILTER (step = -1) AS s FROM w GROUP BY 1),
+x AS (SELECT f.*, CASE WHEN bare AND s > 1 AND v[s - 1] < v[s] THEN s - 1 ELSE s END AS s, CASE WHEN bare AND e < n AND v[e + 1] < v[e] THEN e + 1 ELSE e END AS e FROM f JOIN e USING (cluster))
+SELECT species, cluster, d[s] AS start_day, d[top] AS peak_day, d[e] AS end_day FROM x
+""",
+    "picked_seasons": """
+WITH z AS (SELECT o_orderpriority AS species, o_custkey % 9 AS cluster, count(*) AS size FROM orders GROUP BY 1, 2),
+p AS (SELECT *, CAST(90 + cluster * 7 % 40 AS DOUBLE) AS s, CAST(120 + cluster * 31 % 200 AS DOUBLE) AS e FROM z WHERE cluster % 4 <> 3 AND 120 + cluster * 31 % 200 > 90 + cluster * 7 % 40),
+v AS (SELECT species, 's' AS what, s AS v, sum(size) AS w FROM p GROUP BY 1, 2, 3 UNION ALL SELECT species, 'e', e, sum(size) FROM p GROUP BY 1, 2, 3),
+r AS (SELECT *, sum(w) OVER (PARTITION BY species, what ORDER BY v) AS run, sum(w) OVER (PARTITION BY species, what) / 2.0 AS half, lead(v) OVER (PARTITION BY species, what ORDER BY v) AS nxt FROM v),
+m AS (SELECT species, what, CASE WHEN run = half THEN (v + coalesce(nxt, v)) / 2 ELSE v END AS m FROM r WHERE run >= half AND run - w < half)
+SELECT a.species, a.m AS start_day, b.m AS end_day, CAST((SELECT sum(size) FROM p WHERE p.species = a.species) AS BIGINT) AS fields FROM m a JOIN m b ON a.species = b.species AND a.what = 's' AND b.what = 'e'
+""",
     "growth_signal": f"""
-WITH {_CURVES}, e AS (SELECT species, cluster, min(day) AS d1, arg_min(value, day) AS v1, max(day) AS d2, arg_max(value, day) AS v2 FROM c WHERE day BETWEEN 100 AND 320 GROUP BY 1, 2)
-SELECT c.species, c.cluster, c.day, round(CASE WHEN day BETWEEN 100 AND 320 THEN greatest(0, value - coalesce(v1 + (v2 - v1) * (day - d1) / nullif(d2 - d1, 0), value)) ELSE 0 END, 8) AS growth
-FROM c LEFT JOIN e ON e.species = c.species AND e.cluster = c.cluster
+WITH {_CURVES},
+s AS (SELECT species, cluster, b, max(day) FILTER (day <= b) AS d1, arg_max(value, day) FILTER (day <= b) AS v1, min(day) FILTER (day >= b) AS d2, arg_min(value, day) FILTER (day >= b) AS v2 FROM c, (VALUES (100), (320)) t(b) GROUP BY 1, 2, 3),
+v AS (SELECT species, cluster, b, coalesce(v1 + (v2 - v1) * (b - d1) / nullif(d2 - d1, 0), v1, v2) AS v FROM s),
+e AS (SELECT x.species, x.cluster, x.v AS v0, y.v AS v1 FROM v x JOIN v y ON x.species = y.species AND x.cluster = y.cluster AND x.b = 100 AND y.b = 320)
+SELECT c.species, c.cluster, c.day, round(CASE WHEN day BETWEEN 100 AND 320 THEN greatest(0, value - (v0 + (v1 - v0) * (day - 100) / 220)) ELSE 0 END, 8) AS growth
+FROM c JOIN e ON e.species = c.species AND e.cluster = c.cluster
 """,
     "coarse_windows": f"""
 WITH {_CURVES}, p AS (SELECT species, cluster, first(day ORDER BY value DESC, day) AS peak_day, min(value) + 0.2 * (max(value) - min(value)) AS foot FROM c GROUP BY 1, 2)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terralyn.functions import curves, geometry, numeric, spectral
 from terralyn.operators import catalogue, matrix, stats
-from terralyn.plans.derive import OBS, POINTS, observations, points
+from terralyn.plans.derive import OBS, POINTS, observations, points, season_sql
 from terralyn.sources.tables import table
 
 
@@ -164,13 +164,15 @@ def smallest_plots(spark, sf_dir):
 def season_curves(spark, sf_dir):
     t = F.dayofyear("date").cast("double") * 12
     own = observations(spark, sf_dir).select("field_key", "date").distinct()
-    high, rise, up, fall, down = curves.PRESETS["maize"]
-    curve = curves.double_logistic(t, high, rise, up, fall, down)
-    return _r(own.select("field_key", "date", curve.alias("curve"), curves.growth(t, curve, F.lit(high), F.lit(100.0), F.lit(300.0)).alias("growth"), curves.beta_schedule(t, 366, 3.0, 4.0, 0.02).alias("variance"), curves.day_index(F.col("date"), F.lit(2023)).alias("day")), "curve", "growth", "variance")
+    names = sorted(curves.PRESETS)
+    every = F.array(*[F.struct(F.lit(n).alias("preset"), curves.double_logistic(t, *curves.PRESETS[n]).alias("curve"), F.lit(curves.PRESETS[n][0]).alias("high")) for n in names])
+    own = own.select("field_key", "date", F.get(every, F.pmod("field_key", F.lit(len(names))).cast("int")).alias("s"))
+    curve, high = F.col("s.curve"), F.col("s.high")
+    return _r(own.select("field_key", "date", "s.preset", curve.alias("curve"), curves.growth(t, curve, high, F.lit(100.0), F.lit(300.0)).alias("growth"), curves.beta_schedule(t, 366, 3.0, 4.0, 0.02).alias("variance"), curves.day_index(F.col("date"), F.lit(2023)).alias("day")), "curve", "growth", "variance")
 
 
 def crop_keys(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", curves.crop_key(F.concat(F.lit("L'Été "), F.col("p_type"), F.lit(" (No. "), F.col("p_size").cast("string"), F.lit(")"))).alias("crop_key"))
+    return table(spark, sf_dir, "part").select("p_partkey", curves.crop_key(F.concat(F.lit("D"), F.get(F.array(*map(F.lit, "'\u2019\u2018\u0092\u00b4")), (F.col("p_partkey") % 5).cast("int")), F.lit("Hiver Été çà et là, Öland "), F.col("p_type"), F.lit(" (No. "), F.col("p_size").cast("string"), F.lit(")"))).alias("crop_key"))
 
 
 def _scenes(spark, sf_dir):
@@ -240,6 +242,11 @@ m AS (SELECT class, i, avg(v) AS m FROM x GROUP BY 1, 2)
 """
 _SCENES = "s AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS date, CAST(CAST(floor(o_totalprice) AS BIGINT) % 100 AS DOUBLE) AS cloud, 32600 + o_custkey % 3 AS epsg, CAST((o_orderkey * 37) % 1000 AS DOUBLE) AS ulx, CAST((o_orderkey * 53) % 1000 AS DOUBLE) AS uly FROM orders)"
 
+#: The presets in order of their names.
+_SEASONS = {"default": (0.78, 0.117, 104.0, 0.078, 221.0, 198.0), "grass": (0.65, 0.15, 80.0, 0.03, 330.0, 205.0), "maize": (0.85, 0.12, 150.0, 0.10, 270.0, 215.0), "soybean": (0.78, 0.11, 165.0, 0.11, 280.0, 225.0), "sugar beet": (0.85, 0.07, 120.0, 0.06, 300.0, 215.0), "winter wheat": (0.72, 0.09, 60.0, 0.12, 175.0, 135.0)}
+_pick = lambda of: "CASE field_key % 6 " + " ".join(f"WHEN {k} THEN {of(n)}" for k, n in enumerate(_SEASONS)) + " END"
+_PRESETS = f"{_pick(lambda n: repr(n))} AS preset, {_pick(lambda n: season_sql('t', _SEASONS[n]))} AS c, {_pick(lambda n: _SEASONS[n][0])} AS high"
+
 ORACLE_SQL = {
     "spectral_index": """
 WITH b AS (SELECT l_orderkey, l_linenumber, nullif(l_extendedprice, 0) AS nir, nullif(l_quantity * 100, 0) AS red, nullif(l_tax * 1000, 0) AS blue, nullif(l_discount * 10000, 0) AS green FROM lineitem)
@@ -306,12 +313,12 @@ SELECT id, CAST(floor((lng + 180) / 6) + 1 AS INTEGER) AS zone, CAST(CASE WHEN l
     "smallest_plots": "SELECT p_partkey, round(p_size % 10 + 1 + 2 * 1.6322187896168654 * p_size / 10, 4) AS side FROM part",
     "season_curves": f"""
 WITH {OBS}, p AS (SELECT DISTINCT field_key, date, dayofyear(date) * 12.0 AS t FROM obs),
-c AS (SELECT *, 0.8 * (1 / (1 + exp(-0.09 * (t - 165))) - 1 / (1 + exp(-0.07 * (t - 265)))) AS c FROM p)
-SELECT field_key, date, round(c, 8) AS curve, round(CASE WHEN t < 100 OR t > 300 OR c < 0.008 THEN 0 ELSE c END, 8) AS growth,
+c AS (SELECT *, {_PRESETS} FROM p)
+SELECT field_key, date, preset, round(c, 8) AS curve, round(CASE WHEN t < 100 OR t > 300 OR c < 0.01 * high THEN 0 ELSE c END, 8) AS growth,
        round(0.02 * pow(t / 366, 2) * pow(1 - t / 366, 3) / (pow(0.4, 2) * pow(0.6, 3)), 8) AS variance,
        CAST(date_diff('day', DATE '2023-01-01', date) + 1 AS INTEGER) AS day FROM c
 """,
-    "crop_keys": "SELECT p_partkey, trim(regexp_replace(lower('l ete ' || p_type || ' (No. ' || p_size || ')'), '[^a-z0-9]+', ' ', 'g')) AS crop_key FROM part".replace("'l ete '", "'lete '"),
+    "crop_keys": "SELECT p_partkey, trim(regexp_replace(lower('dhiver ete ca et la land ' || p_type || ' (No. ' || p_size || ')'), '[^a-z0-9]+', ' ', 'g')) AS crop_key FROM part",
     "scenes_by_date": f"WITH {_SCENES} SELECT date, first(id ORDER BY cloud, id) AS best_id, max(cloud) AS cloud, count(*) AS n_tiles FROM s GROUP BY 1",
     "scene_search": f"""
 WITH {_SCENES} SELECT CAST(greatest(0, least(5, floor(date_diff('day', DATE '1996-01-01', date) * 6.0 / date_diff('day', DATE '1996-01-01', DATE '1998-12-31')))) AS INTEGER) AS chunk,

@@ -69,11 +69,41 @@ def test_geojson_and_kml_files(spark, tmp_path):
     assert len(rows["p1"][0]) == 4 and rows["p2"] is None
 
 
-def test_curve_fit_recovers_its_own_equation(spark):
+def test_curve_fit_recovers_its_own_equation():
     t = np.arange(5, 366, 10.0)
-    fit = phenology.fit_curve(t, phenology._curve(t, np.array(curves.PRESETS["maize"])))
-    assert fit["r2"] > 0.995 and not fit["poor_fit"] and fit["sos"] < fit["peak_day"] < fit["eos"]
-    assert phenology.fit_curve(t[:5], t[:5])["poor_fit"] and phenology.fit_curve(t, np.full(len(t), 0.3))["r2"] is None
+    for name in ("maize", "soybean", "default"):
+        p = np.array(curves.PRESETS[name])
+        fit = phenology.fit_curve(t, phenology.season_curve(t, p), (p[2] - 40, p[5], p[4] + 40))
+        assert fit["r2"] > 0.995 and not fit["poor_fit"] and fit["sos"] < p[2] < p[4] < fit["eos"] and fit["confidence"] == "high"
+        assert np.allclose(phenology._bounded(phenology._free(p)), p, atol=1e-6)
+    assert phenology.fit_curve(t[:5], t[:5])["poor_fit"] and phenology.fit_curve(t, np.full(len(t), 0.3))["poor_fit"]
+
+
+def test_season_columns_equal_arrays(spark):
+    t = np.arange(-100.0, 500, 7)
+    for p in curves.PRESETS.values():
+        got = spark.createDataFrame([(float(x),) for x in t], "t double").orderBy("t").select(curves.double_logistic(F.col("t"), *p).alias("v"))
+        assert np.allclose([r.v for r in got.collect()], phenology.season_curve(t, np.array(p)))
+
+
+#: The days and values of a summer crop, a spring crop and one that is cut several times.
+DAYS = [55, 65, 90, 115, 150, 165, 200, 250, 355]
+SUMMER = [0.20, 0.20, 0.21, 0.22, 0.18, 0.24, 0.72, 0.76, 0.31]
+SPRING = [0.30, 0.35, 0.55, 0.75, 0.88, 0.85, 0.45, 0.20, 0.16]
+CUT = [0.30, 0.35, 0.55, 0.70, 0.50, 0.72, 0.55, 0.68, 0.30]
+
+
+def test_windows_and_fits_of_known_curves(spark):
+    rows = [(name, 0, 10, d, v) for name, values in (("summer", SUMMER), ("spring", SPRING), ("cut", CUT), ("flat", [0.3] * 9)) for d, v in zip(DAYS, values, strict=True)]
+    own = spark.createDataFrame(rows, "species string, cluster long, size long, day int, value double")
+    windows = {r.species: (r.start_day, r.peak_day, r.end_day) for r in phenology.season_windows(own).collect()}
+    assert windows["summer"] == (165, 250, 355) and windows["spring"] == (55, 150, 250) and windows["cut"] == (55, 165, 355)
+    fits = {r.species: r for r in phenology.growing_seasons(own).collect()}
+    assert set(fits) == {"summer", "spring", "cut"} and fits["cut"].poor_fit and not fits["cut"].moved and fits["spring"].r2 > 0.9
+    periods = spark.createDataFrame([("spring", 0, 60, 300), ("summer", 0, 160, 260)], "species string, cluster long, start int, end int")
+    got = {r.species: r for r in phenology.fit_periods(own, periods).collect()}
+    assert got["summer"].note == "3 of 6 images needed" and got["summer"].dof == -3 and got["spring"].n == 7 and got["spring"].dof == 1 and got["spring"].confidence == "low"
+    assert got["spring"].up_gap is None or got["spring"].up_gap >= 15
 
 
 def test_pca_recovers_a_plane_and_ica_separates(spark):
