@@ -2,49 +2,75 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terralyn.operators.graph import components
-from terralyn.operators.matrix import mean_vectors, squared_distance
+from terralyn.operators.matrix import squared_distance
 from terralyn.sources.scratch import cut
 
 
-def spread_seeds(rows: DataFrame, group: str, k: int) -> DataFrame:
-    """group, cluster, mean: k rows of each group chosen far apart, the first being the one of the smallest id.
+def _centres(means: DataFrame, group: str) -> DataFrame:
+    """One row for each group: the means of all restarts as array<struct<restart, cluster, mean>>."""
+    return means.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("restart", "cluster", "mean"))).alias("_means"))
+
+
+def _placed(rows: DataFrame, means: DataFrame, group: str, restarts: int) -> DataFrame:
+    """Each row with its nearest mean under each restart: group, id, v, restart, cluster, d. No shuffle of the rows."""
+    own = rows.join(F.broadcast(_centres(means, group)), group)
+    far = lambda m: F.struct(squared_distance(F.col("v"), m["mean"]).alias("d"), m["cluster"].alias("cluster"))
+    best = lambda r: F.array_min(F.transform(F.filter("_means", lambda m: m["restart"] == r), far))
+    near = own.select(group, "id", "v", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(restarts - 1)), best)).alias("restart", "_b"))
+    return near.where("_b is not null").select(group, "id", "v", "restart", "_b.cluster", "_b.d")
+
+
+def spread_seeds(rows: DataFrame, group: str, k: int, restarts: int) -> DataFrame:
+    """group, restart, cluster, mean: k rows of each group for each restart, each drawn in proportion to its squared distance.
 
-    Each seed is one distributed maximum of the distance to the seeds so far; ties go to the smaller id.
+    A draw is the least of -log(u) / d2, with u from a hash of id, restart and cluster, which favours rows as the
+    distances do and is the same in every run. All groups and restarts advance in the same pass.
     """
-    first = rows.groupBy(group).agg(F.min(F.struct("id", "v")).alias("_s"))
-    seeds = cut(first.select(group, F.lit(0).alias("cluster"), F.col("_s.v").alias("mean")))
+    chance = lambda n: -F.log((F.pmod(F.xxhash64("id", "restart", F.lit(n)), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1)))
+    every = rows.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
+    first = every.groupBy(group, "restart").agg(F.min(F.struct(chance(0).alias("c"), F.col("id"), F.col("v"))).alias("_s"))
+    seeds = cut(first.select(group, "restart", F.lit(0).alias("cluster"), F.col("_s.v").alias("mean")))
     for n in range(1, k):
-        near = rows.join(F.broadcast(seeds), group).groupBy(group, "id").agg(F.min(squared_distance(F.col("v"), F.col("mean"))).alias("_d"), F.first("v").alias("v"))
-        far = near.where("_d > 0").groupBy(group).agg(F.max(F.struct("_d", (-F.col("id")).alias("_i"), "v")).alias("_s"))
-        seeds = cut(seeds.unionByName(far.select(group, F.lit(n).alias("cluster"), F.col("_s.v").alias("mean"))))
+        draw = _placed(rows, seeds, group, restarts).where("d > 0").groupBy(group, "restart").agg(F.min(F.struct((chance(n) / F.col("d")).alias("c"), F.col("id"), F.col("v"))).alias("_s"))
+        seeds = cut(seeds.unionByName(draw.select(group, "restart", F.lit(n).alias("cluster"), F.col("_s.v").alias("mean"))))
     return seeds
 
 
-def kmeans(rows: DataFrame, group: str, k: int, rounds: int = 10) -> DataFrame:
-    """group, id, cluster of rows (group, id, v), renumbered by size from 0; all groups advance in the same passes.
+def kmeans(rows: DataFrame, group: str, k: int, rounds: int = 100, restarts: int = 8, most: int = 20_000) -> DataFrame:
+    """group, id, cluster of rows (group, id, v), renumbered by size from 0: of several restarts the one of the least inertia.
 
-    The means are group x k rows; they are broadcast because k and the number of groups are parameters of the call.
+    Rows without a vector are left out. All groups and restarts advance in the same passes, until no mean moves or the
+    rounds are over, which is said in a warning. The means of at most so many groups, restarts and clusters are broadcast.
     """
-    means = spread_seeds(rows, group, k)
-    placed = None
-    for _ in range(rounds):
-        met = rows.join(F.broadcast(means), group)
-        best = met.groupBy(group, "id").agg(F.min(F.struct(squared_distance(F.col("v"), F.col("mean")).alias("d"), "cluster")).alias("_b"), F.first("v").alias("v"))
-        placed = cut(best.select(group, "id", F.col("_b.cluster").alias("cluster"), "v"))
-        new = mean_vectors(placed, [group, "cluster"]).select(group, "cluster", "mean")
-        joined = cut(new.join(means.withColumnRenamed("mean", "_was"), [group, "cluster"]))
-        moved = joined.where(squared_distance(F.col("mean"), F.col("_was")) > 1e-12).limit(1).count()
-        means = joined.select(group, "cluster", "mean")
-        if not moved:
+    rows = rows.select(group, "id", "v").where("v is not null")
+    width = (rows.select(F.size("v")).first() or [0])[0]
+    means = spread_seeds(rows, group, k, restarts)
+    if means.limit(most + 1).count() > most:
+        raise ValueError("too many groups, restarts and clusters to meet every row")
+    for n in range(rounds):
+        sums = _placed(rows, means, group, restarts).groupBy(group, "restart", "cluster").agg(*[F.avg(F.col("v")[i]).alias(f"_{i}") for i in range(width)])
+        new = sums.select(group, "restart", "cluster", F.array(*[F.col(f"_{i}") for i in range(width)]).alias("mean"))
+        moved = cut(new.join(F.broadcast(means.withColumnRenamed("mean", "_was")), [group, "restart", "cluster"]))
+        still = not moved.where(squared_distance(F.col("mean"), F.col("_was")) > 1e-18).limit(1).count()
+        means = moved.select(group, "restart", "cluster", "mean")
+        if still:
             break
-    sizes = placed.groupBy(group, "cluster").agg(F.count("*").alias("_n"))
+    else:
+        warnings.warn(f"means still moved after {rounds} rounds", stacklevel=2)
+    placed = cut(_placed(rows, means, group, restarts).select(group, "id", "restart", "cluster", "d"))
+    inertia = placed.groupBy(group, "restart").agg(F.sum("d").alias("_i"))
+    best = inertia.groupBy(group).agg(F.min(F.struct("_i", "restart")).alias("_b")).select(group, F.col("_b.restart").alias("restart"))
+    own = placed.join(F.broadcast(best), [group, "restart"])
+    sizes = own.groupBy(group, "cluster").agg(F.count("*").alias("_n"))
     rank = sizes.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("_n"), "cluster")) - 1)
-    return placed.join(F.broadcast(rank), [group, "cluster"]).select(group, "id", F.col("_rank").cast("int").alias("cluster"))
+    return own.join(F.broadcast(rank), [group, "cluster"]).select(group, "id", F.col("_rank").cast("int").alias("cluster"))
 
 
 def dbscan(points: DataFrame, eps: float, least: int = 4) -> DataFrame:

@@ -47,13 +47,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component): every id of edges (src, dst) with the smallest id that it reaches.
 
     Each task joins the links that it holds and passes on a star for each of its groups, so a giant component or a hub
-    costs a row for each id and task. Rounds then deal the links by their greater end, join again, and let every id
-    follow its smaller one; their number grows with the logarithm of the longest path. A link with itself names its id.
+    costs a row for each id and task. If CHUNK rows at most are left, one task joins them. Otherwise rounds deal the
+    links by their greater end, join again, and let every id follow its smaller one; their number grows with the
+    logarithm of the longest path. A link with itself names its id.
     """
     least, most = F.least("src", "dst").cast("long"), F.greatest("src", "dst").cast("long")
     links = cut(edges.select(least.alias("low"), most.alias("high")).dropna().mapInArrow(_joined, "low long, high long"), "graph")
     alone = edges.where("src = dst").select(F.col("src").cast("long").alias("id")).distinct()
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if links.count() <= CHUNK:
+        few = cut(links.coalesce(1).mapInArrow(_joined, "low long, high long"), "graph")
+        drop(links)
+        return _labels(few, alone)
     while True:
         own = cut(links.repartition(parts, "high").sortWithinPartitions("high").mapInArrow(_joined, "low long, high long"), "graph")
         drop(links)
@@ -63,9 +68,15 @@ def components(edges: DataFrame) -> DataFrame:
         drop(own)
         if not moving:
             break
+    return _labels(links, alone)
+
+
+def _labels(links: DataFrame, alone: DataFrame) -> DataFrame:
     labels = links.select(F.col("high").alias("id"), F.col("low").alias("component"))
     roots = links.select(F.col("low").alias("id")).distinct().withColumn("component", F.col("id"))
     known = labels.unionByName(roots)
+    if not alone.limit(1).count():
+        return known
     return known.unionByName(alone.join(known, "id", "left_anti").withColumn("component", F.col("id")))
 
 

@@ -62,14 +62,50 @@ def unmix(pixels: DataFrame, means: DataFrame, most: int = 10_000) -> DataFrame:
 
 def nearest_means(pixels: DataFrame, means: DataFrame, most: int = 10_000) -> DataFrame:
     """id, nearest class and distance, nearest other class than that one and distance; the smaller class on ties."""
-    if means.limit(most + 1).count() > most:
-        raise ValueError("too many classes to meet every pixel")
-    met = pixels.select("id", "v").crossJoin(F.broadcast(means.select(F.col("class").alias("_c"), F.col("mean").alias("_m"))))
-    near = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.sqrt(squared_distance(F.col("v"), F.col("_m"))).alias("d"), F.col("_c").alias("c")))).alias("_l"))
+    apart = lambda m: F.struct(F.sqrt(squared_distance(F.col("v"), m["mean"])).alias("d"), m["class"].alias("c"))
+    near = pixels.select("id", "v").crossJoin(F.broadcast(_held(means, most))).select("id", F.slice(F.array_sort(F.transform("_means", apart)), 1, 2).alias("_l"))
     first, second = F.get("_l", F.lit(0)), F.get("_l", F.lit(1))
     return near.select("id", first["c"].alias("nearest"), first["d"].alias("distance"), second["c"].alias("second"), second["d"].alias("second_distance"))
 
 
+def _held(means: DataFrame, most: int) -> DataFrame:
+    """At most so many (class, mean) as one array in one row, so that a row meets them without a shuffle."""
+    if means.limit(most + 1).count() > most:
+        raise ValueError("too many classes to meet every pixel")
+    return means.agg(F.array_sort(F.collect_list(F.struct("class", "mean"))).alias("_means"))
+
+
+def unmix_edges(pixels: DataFrame, least: int = 4, most: int = 10_000) -> DataFrame:
+    """id, own, partner, fraction_a, residual of pixels (id, field_key, crp_lbl, zone, v) at the edge to another species.
+
+    A pixel is a mix of its own pure curve, the mean of its field's interior where that has at least so many pixels and
+    else of its species', and of the species whose mean leaves the smallest residual. The fraction is that of the
+    species with the most interior pixels; a pixel of which that is neither side, or without a pure curve, has none.
+    """
+    pure = pixels.where((F.col("zone") == "interior") & F.col("v").isNotNull())
+    fields = mean_vectors(pure, ["field_key"]).where(F.col("n") >= least).select("field_key", F.col("mean").alias("_field"))
+    species = mean_vectors(pure, ["crp_lbl"]).select(F.col("crp_lbl").alias("class"), "mean")
+    seen = pure.groupBy("crp_lbl").agg(F.count("*").alias("_n"), F.min("id").alias("_first"))
+    axis = seen.agg(F.max(F.struct("_n", (-F.col("_first")).alias("f"), F.col("crp_lbl"))).alias("_m")).select(F.col("_m.crp_lbl").alias("_a"))
+    edge = pixels.where("zone = 'edge_other'").join(fields, "field_key", "left").crossJoin(F.broadcast(_held(species, most))).crossJoin(F.broadcast(axis))
+    own = F.get(F.filter("_means", lambda m: m["class"] == F.col("crp_lbl")), F.lit(0))["mean"]
+    edge = edge.select("id", "crp_lbl", "v", "_a", "_means", F.coalesce("_field", own).alias("_own"))
+
+    def solved(m: Column) -> Column:
+        f = mix_fraction(F.col("v"), F.col("_own"), m["mean"])
+        return F.transform(F.array(f), lambda f: F.struct(mix_residual(F.col("v"), F.col("_own"), m["mean"], f).alias("residual"), m["class"].alias("partner"), f.alias("fraction")))[0]
+
+    best = F.array_min(F.transform(F.filter("_means", lambda m: m["class"] != F.col("crp_lbl")), solved))
+    edge = edge.select("id", "crp_lbl", "_a", F.when(F.col("v").isNotNull() & F.col("_own").isNotNull(), best).alias("_b"))
+    share = F.when(F.col("crp_lbl") == F.col("_a"), F.col("_b.fraction")).when(F.col("_b.partner") == F.col("_a"), 1 - F.col("_b.fraction"))
+    return edge.select("id", F.col("crp_lbl").alias("own"), "_b.partner", share.alias("fraction_a"), "_b.residual")
+
+
+def unmix_summary(mixed: DataFrame) -> DataFrame:
+    """One row: pixels with a fraction, pixels without, and the mean fraction."""
+    return mixed.agg(F.count("fraction_a").alias("n"), F.count(F.when(F.col("fraction_a").isNull(), 1)).alias("skipped"), F.coalesce(F.avg("fraction_a"), F.lit(0.0)).alias("mean_fraction_a"))
+
+
 def gram(rows: DataFrame, vector: str = "v") -> tuple[int, np.ndarray, np.ndarray]:
     """n, sums and the sums of products, added up in tasks; the driver gets width x width numbers."""
 
@@ -96,8 +132,10 @@ def covariance(rows: DataFrame, vector: str = "v") -> tuple[np.ndarray, np.ndarr
     n, s, g = gram(rows, vector)
     if n < 2:
         raise ValueError("a covariance needs two rows")
+    # sums of products about the mean: large means would otherwise cancel the digits of small variances
     mean = s / n
-    return mean, (g - n * np.outer(mean, mean)) / (n - 1)
+    _, rest, g = gram(rows.select(minus(F.col(vector), F.array(*map(F.lit, mean.tolist()))).alias(vector)), vector)
+    return mean, (g - np.outer(rest, rest) / n) / (n - 1)
 
 
 def principal_axes(rows: DataFrame, k: int, vector: str = "v") -> tuple[np.ndarray, np.ndarray, np.ndarray]:

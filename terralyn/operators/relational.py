@@ -130,3 +130,75 @@ def load_fields(rows: DataFrame, keep: Callable[[DataFrame], DataFrame] | None =
         raise ValueError("no geometry column")
     out = rows.where("geometry is not null")
     return out.transform(keep) if keep else out
+
+
+def check_request(species: list[str], distance: float, most: int, ids: list[str] = ()) -> None:
+    """Refuses a neighbour request that cannot be answered: plain errors say why."""
+    if len(set(species)) < 2:
+        raise ValueError("choose at least two species")
+    if not distance > 0 or distance == float("inf"):
+        raise ValueError("the distance must be a positive number")
+    if int(most) != most or most < 1:
+        raise ValueError("the number of pairs must be a whole number of at least 1")
+    if bad := [i for i in ids if not re.fullmatch(r"-?\d+", str(i))]:
+        raise ValueError(f"not an id: {bad[0]}")
+
+
+def bordering(fields: DataFrame, species: list[str], column: str = "crp_lbl") -> tuple[DataFrame, DataFrame]:
+    """The fields of some species, and the others, which can be put back by a union; fields of no species are others."""
+    chosen = F.coalesce(F.col(column).isin(species), F.lit(False))
+    return fields.where(chosen), fields.where(~chosen)
+
+
+def scoped(pixels: DataFrame, members: DataFrame | None = None, fields: list | None = None, zones: list[str] | None = None, start=None, end=None) -> DataFrame:
+    """Pixels (field_key, zone, date) of a scenario's members (field_key), of some fields and zones, from start to end; None is no limit."""
+    out = pixels
+    if members is not None:
+        out = out.join(members.select("field_key").distinct(), "field_key", "left_semi")
+    for column, values in (("field_key", fields), ("zone", zones)):
+        if values is not None:
+            out = out.where(F.col(column).isin(list(values)))
+    if start is not None:
+        out = out.where(F.col("date") >= F.lit(start).cast("date"))
+    return out if end is None else out.where(F.col("date") <= F.lit(end).cast("date"))
+
+
+def with_scenarios(pixels: DataFrame, clusters: DataFrame, kept: int) -> DataFrame:
+    """Pixels with the cluster of their field (field_key, cluster, ranked by size from 0), null beyond the kept ones."""
+    return pixels.join(clusters.where(F.col("cluster") < kept).select("field_key", "cluster"), "field_key", "left")
+
+
+def sampled_with(rows: DataFrame, position: str, cap: int, selected: Column) -> DataFrame:
+    """At most cap evenly placed rows, and the selected ones in any case."""
+    return evenly_indexed(rows, position, cap).unionByName(rows.where(selected)).distinct()
+
+
+#: Words of a column that names plots, in order.
+NAME_WORDS = ["name", "nom", "plot", "parcel", "parcelle", "plotid", "id", "code", "label"]
+
+
+def column_shapes(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """column, place, rows, n_distinct, n_empty of some columns as text, in one pass."""
+    text = lambda c: F.coalesce(F.trim(F.col(f"`{c}`").cast("string")), F.lit(""))
+    facts = rows.agg(F.count("*").alias("rows"), *[F.countDistinct(text(c)).alias(f"_d{k}") for k, c in enumerate(columns)], *[F.count(F.when(text(c) == "", 1)).alias(f"_e{k}") for k, c in enumerate(columns)])
+    return facts.select("rows", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(k).alias("place"), F.col(f"_d{k}").alias("n_distinct"), F.col(f"_e{k}").alias("n_empty")) for k, c in enumerate(columns)])).alias("s")).select("s.column", "s.place", "rows", "s.n_distinct", "s.n_empty")
+
+
+def name_column(shapes: DataFrame) -> DataFrame:
+    """The column that names each row: full and without repeats, one that is or holds a name word first."""
+    flat = F.regexp_replace(F.lower("column"), "[^a-z0-9]", "")
+    words = F.split(F.lower("column"), "[^a-z0-9]+")
+    at = lambda hit: F.array_position(F.transform(F.array(*map(F.lit, NAME_WORDS)), hit), F.lit(True))
+    exact, inner = at(lambda w: w == flat), at(lambda w: F.array_contains(words, w))
+    score = F.when(exact > 0, exact).when(inner > 0, inner + len(NAME_WORDS)).otherwise(1000)
+    return shapes.where("n_distinct = rows and n_empty = 0").agg(F.min(F.struct(score.alias("s"), F.col("place"), F.col("column"))).alias("m")).select("m.column")
+
+
+def variety_column(shapes: DataFrame, words: list[str], most: int = 252) -> DataFrame:
+    """The column that tells varieties: named by a word (in order), else the most varied one that repeats, else the most varied."""
+    word = F.array_position(F.transform(F.array(*map(F.lit, words)), lambda w: F.array_contains(F.split(F.lower("column"), "[^a-z0-9]+"), w)), F.lit(True))
+    shape = F.when((F.col("n_distinct") >= 2) & (F.col("n_distinct") < F.col("rows")), 0).when(F.col("n_distinct") >= 2, 1).otherwise(2)
+    fits = shapes.where((F.col("n_distinct") <= most) & (F.col("n_empty") < F.col("rows")))
+    named = F.when(word > 0, F.struct(F.lit(0).alias("tier"), shape.cast("long").alias("a"), word.cast("long").alias("b"), "place", "column"))
+    other = F.when(shape < 2, F.struct((shape + 1).alias("tier"), (-F.col("n_distinct")).alias("a"), F.lit(0).cast("long").alias("b"), "place", "column"))
+    return fits.agg(F.min(F.coalesce(named, other)).alias("m")).select("m.column")

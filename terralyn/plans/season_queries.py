@@ -89,8 +89,8 @@ def carried_marks(spark, sf_dir):
 
 
 def kmeans_scenarios(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select((F.col("label") % 2).alias("species"), F.col("vec_id").alias("id"), F.slice("embedding", 1, 8).cast("array<double>").alias("v"))
-    return cluster.kmeans(rows, "species", 3, rounds=4)
+    rows = table(spark, sf_dir, "embeddings").select((F.col("label") % 2).alias("species"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return cluster.kmeans(rows, "species", 3)
 
 
 def density_clusters(spark, sf_dir):
