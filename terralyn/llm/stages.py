@@ -3,14 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import lines, near, packing, repeats, toxicity
 from .queries import vocabulary
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents graded as toxic go. Rows are judged by themselves, so a row keeps its columns."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -35,8 +31,3 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: the kept documents as padded token sequences' pieces."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
-
-
-def with_text(docs: DataFrame, text) -> DataFrame:
-    """The document columns with another text and its length."""
-    return docs.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
