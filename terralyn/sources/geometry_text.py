@@ -45,16 +45,23 @@ def geometry_column(df: DataFrame) -> str | None:
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Features of FeatureCollection files: rings, type and properties as text by name; other geometry types have null rings."""
-    schema = "features array<struct<geometry string, properties map<string,string>>>"
-    features = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("features").alias("pos", "f"))
-    return features.select("pos", rings_of_geojson(F.col("f.geometry")).alias("rings"), F.get_json_object("f.geometry", "$.type").alias("type"), F.col("f.properties").alias("props"))
+    """Features of FeatureCollection files: rings, type, crs (named or EPSG:4326) and properties as text by name; other geometry types have null rings."""
+    schema = "features array<struct<geometry string, properties map<string,string>>>, crs struct<properties:struct<name:string>>"
+    files = spark.read.schema(schema).option("multiLine", True).json(path)
+    features = files.select(F.coalesce("crs.properties.name", F.lit("EPSG:4326")).alias("crs"), F.posexplode("features").alias("pos", "f"))
+    return features.select("pos", rings_of_geojson(F.col("f.geometry")).alias("rings"), F.get_json_object("f.geometry", "$.type").alias("type"), "crs", F.col("f.properties").alias("props"))
 
 
 def read_kml(spark: SparkSession, path: str) -> DataFrame:
-    """Placemarks of KML files: name, description and the rings of a polygon's outer boundary."""
-    schema = "name string, description string, Polygon struct<outerBoundaryIs:struct<LinearRing:struct<coordinates:string>>>"
+    """Placemarks of KML files: name, description, the rings of all polygons (each outer one before its holes) and extended data by name."""
+    line = "struct<LinearRing:struct<coordinates:string>>"
+    polygon = f"array<struct<outerBoundaryIs:{line},innerBoundaryIs:array<{line}>>>"
+    schema = f"name string, description string, Polygon {polygon}, MultiGeometry struct<Polygon:{polygon}>, ExtendedData struct<Data:array<struct<_name:string,value:string>>>"
     marks = spark.read.format("xml").schema(schema).option("rowTag", "Placemark").load(path)
-    tuples = F.filter(F.split(F.trim("Polygon.outerBoundaryIs.LinearRing.coordinates"), r"\s+"), lambda t: t != "")
-    ring = F.transform(tuples, lambda t: F.struct(F.get(F.split(t, ","), F.lit(0)).try_cast("double").alias("x"), F.get(F.split(t, ","), F.lit(1)).try_cast("double").alias("y")))
-    return marks.select("name", "description", F.when(ring.isNotNull(), F.array(ring)).alias("rings"))
+    number = lambda t, k: F.get(F.split(t, ","), F.lit(k)).try_cast("double")
+    point = lambda t: F.struct(number(t, 0).alias("x"), number(t, 1).alias("y"))
+    ring = lambda b: F.transform(F.filter(F.split(F.trim(b["LinearRing"]["coordinates"]), r"\s+"), lambda t: t != ""), point)
+    polygons = F.filter(F.concat(F.coalesce("Polygon", F.array().cast(polygon)), F.coalesce("MultiGeometry.Polygon", F.array().cast(polygon))), lambda p: p["outerBoundaryIs"].isNotNull())
+    rings = F.flatten(F.transform(polygons, lambda p: F.concat(F.array(ring(p["outerBoundaryIs"])), F.transform(F.coalesce(p["innerBoundaryIs"], F.array().cast(f"array<{line}>")), ring))))
+    props = F.map_from_entries(F.transform("ExtendedData.Data", lambda d: F.struct(d["_name"], d["value"])))
+    return marks.select("name", "description", F.when(F.size(rings) > 0, rings).alias("rings"), props.alias("props"))

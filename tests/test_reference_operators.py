@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terralyn.functions import curves, geometry, numeric, spectral
 from terralyn.operators import cluster, graph, matrix, phenology, relational, series, stats
-from terralyn.sources import geometry_text, sinks
+from terralyn.sources import domain, geometry_text, sinks
 from terralyn.streaming import windows
 
 
@@ -67,6 +67,62 @@ def test_geojson_and_kml_files(spark, tmp_path):
     (tmp_path / "a.kml").write_text("<kml><Document><Placemark><name>p1</name><Polygon><outerBoundaryIs><LinearRing><coordinates>0,0,0 1,0,0 1,1,0 0,0,0</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark><Placemark><name>p2</name></Placemark></Document></kml>")
     rows = {r.name: r.rings for r in geometry_text.read_kml(spark, str(tmp_path / "a.kml")).collect()}
     assert len(rows["p1"][0]) == 4 and rows["p2"] is None
+    box = lambda a, b: f"<LinearRing><coordinates>{a},{a} {b},{a} {b},{b} {a},{a}</coordinates></LinearRing>"
+    polygon = lambda a: f"<Polygon><outerBoundaryIs>{box(a, a + 9)}</outerBoundaryIs><innerBoundaryIs>{box(a + 1, a + 2)}</innerBoundaryIs></Polygon>"
+    (tmp_path / "b.kml").write_text(f"<kml><Placemark><name>m</name><ExtendedData><Data name='crop'><value>maize</value></Data></ExtendedData><MultiGeometry>{polygon(0)}{polygon(20)}</MultiGeometry></Placemark></kml>")
+    row = geometry_text.read_kml(spark, str(tmp_path / "b.kml")).first()
+    assert [r[0].x for r in row.rings] == [0, 1, 20, 21] and row.props == {"crop": "maize"}
+
+
+def test_graph_and_calendar_files(spark, tmp_path):
+    fields = spark.createDataFrame([(10, "maize"), (20, "wheat"), (30, "maize"), (40, "beet")], "id long, crp_lbl string")
+    edges = spark.createDataFrame([(10, 20), (20, 30)], "src long, dst long")
+    domain.write_species_graph(fields, edges, 0.001, str(tmp_path / "graph"))
+    got, pairs = domain.read_species_graph(spark, str(tmp_path / "graph"))
+    assert {(r.id, r.crp_lbl) for r in got.collect()} == {(0, "maize"), (1, "wheat"), (2, "maize")} and {tuple(r) for r in pairs.collect()} == {(0, 1), (1, 2)}
+    (tmp_path / "calendar.json").write_text('{"Froment d\u2019hiver": {"regime": "annual", "greenStart": "10-15", "greenEnd": "07-20"}, "Prairie": {"greenStart": "none", "greenEnd": "none"}}')
+    rows = {r.calendar_key: (r.regime, r.green_start, r.peak_start) for r in domain.read_calendars(spark, str(tmp_path / "calendar.json")).collect()}
+    assert rows == {"froment dhiver": ("annual", "10-15", None), "prairie": (None, "none", None)}
+
+
+def test_requests_that_cannot_be_answered():
+    relational.check_request(["a", "b"], 0.5, 10, ["1", "-2"])
+    for bad in ((["a", "a"], 1, 1), (["a", "b"], 0, 1), (["a", "b"], float("nan"), 1), (["a", "b"], 1, 0), (["a", "b"], 1, 1.5), (["a", "b"], 1, 1, ["1; drop"])):
+        with pytest.raises(ValueError):
+            relational.check_request(*bad)
+
+
+def test_covariance_keeps_the_digits_of_small_variances(spark):
+    rows = spark.createDataFrame([(k, [1e9 + k % 7, -1e9 + k % 5]) for k in range(700)], "id long, v array<double>")
+    _, cov = matrix.covariance(rows)
+    x = np.array([[k % 7, k % 5] for k in range(700)], float)
+    assert np.allclose(cov, np.cov(x.T), atol=1e-6)
+
+
+def test_noise_axes_put_signal_first(spark):
+    rng = np.random.default_rng(4)
+    signal = rng.normal(size=(500, 1)) @ np.array([[1.0, 2.0, -1.0]])
+    x = signal + rng.normal(size=(500, 3)) * np.array([0.1, 5.0, 0.1])
+    frame = lambda a: spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(a)], "id long, v array<double>")
+    noise = rng.normal(size=(500, 3)) * np.array([0.1, 5.0, 0.1]) * np.sqrt(2)
+    mean, axes = matrix.noise_fraction_axes(frame(x), frame(noise), 1)
+    assert abs(np.corrcoef((x - mean) @ axes[0], signal[:, 0])[0, 1]) > 0.99
+
+
+def test_kmeans_keeps_the_best_restart(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.4, (30, 2)) for c in ((0, 0), (5, 0), (0, 5), (9, 9))])
+    got = cluster.kmeans(spark.createDataFrame([("s", k, v.tolist()) for k, v in enumerate(x)], "g string, id long, v array<double>"), "g", 4)
+    label = np.array([r.cluster for r in sorted(got.collect(), key=lambda r: r.id)])
+    assert all(len(set(label[k : k + 30])) == 1 for k in range(0, 120, 30)) and len(set(label)) == 4
+
+
+def test_grid_north_and_projected_boxes(spark):
+    assert one(spark, geometry.grid_convergence(F.lit(3.0), F.lit(50.0))) == pytest.approx(0, abs=1e-6)
+    # one degree east of a zone's middle, grid north lies clockwise by about sin(latitude) degrees
+    assert one(spark, geometry.grid_convergence(F.lit(4.0), F.lit(50.0))) == pytest.approx(math.degrees(math.atan(math.tan(math.radians(1)) * math.sin(math.radians(50)))), abs=3e-3)
+    box = one(spark, geometry.utm_envelope(F.lit(2.9), F.lit(50.0), F.lit(3.1), F.lit(50.1)))
+    assert box.minx == pytest.approx(1_000_000 - box.maxx, abs=1e-3) and 11_000 < box.maxy - box.miny < 11_200
 
 
 def test_curve_fit_recovers_its_own_equation():
