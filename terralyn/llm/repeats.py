@@ -279,7 +279,7 @@ def _merged(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.nd
 
 
 def _compared(texts: DataFrame, every: bool = False) -> DataFrame:
-    """(_doc, start, size) of occurrences that go; with every, all occurrences as (repeat, size, _doc, start, first)."""
+    """(_doc, start, size) of occurrences that go; with every, all of them as (repeat, size, _doc, start, block), block being the start of theirs."""
 
     def work(anchor, doc, start, text):
         data, offsets = utf8(text)
@@ -291,8 +291,8 @@ def _compared(texts: DataFrame, every: bool = False) -> DataFrame:
                 block = np.searchsorted(offsets, places, side="right") - 1
                 ids, at = doc[block], start[block] + places - offsets[block]
                 best = np.lexsort((at, ids))
-                name = int(anchor[block[0]]) ^ int(at[best[0]]) << 20 ^ length
-                out.append((ids[best], at[best], length, name))
+                name = mix64(np.array([anchor[block[0]], at[best[0]], ids[best[0]], length]).astype(U64) * U64(0x9E3779B97F4A7C15)).view(np.int64)
+                out.append((ids[best], at[best], length, int(np.bitwise_xor.reduce(name)), start[block][best]))
         if not out:
             return
         ids, at = (np.concatenate([x[k] for x in out]) for k in (0, 1))
@@ -301,7 +301,7 @@ def _compared(texts: DataFrame, every: bool = False) -> DataFrame:
         head = np.zeros(len(ids), bool)
         head[np.concatenate([[0], np.cumsum(counts)[:-1]])] = True
         if every:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([x[3] for x in out]), counts)), pa.array(size), pa.array(ids), pa.array(at), pa.array(head)], ["repeat", "size", "_doc", "start", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([x[3] for x in out]), counts)), pa.array(size), pa.array(ids), pa.array(at), pa.array(np.concatenate([x[4] for x in out]))], ["repeat", "size", "_doc", "start", "block"])
         else:
             columns = _merged(ids[~head], at[~head], size[~head])
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["_doc", "start", "size"])
@@ -325,7 +325,7 @@ def _compared(texts: DataFrame, every: bool = False) -> DataFrame:
             yield from work(*(held.column(c).to_numpy() for c in ("anchor", "_doc", "start")), held.column("text"))
 
     dealt = texts.repartition(shuffle_parts(texts.sparkSession), "anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(freed(run), "repeat long, size long, _doc long, start long, first boolean" if every else "_doc long, start long, size long")
+    return dealt.mapInArrow(freed(run), "repeat long, size long, _doc long, start long, block long" if every else "_doc long, start long, size long")
 
 
 def _spans(docs: DataFrame) -> DataFrame:
@@ -340,13 +340,35 @@ def _spans(docs: DataFrame) -> DataFrame:
 
 
 def repeat_groups(docs: DataFrame) -> DataFrame:
-    """Maximal repeats among blocks that differ: (repeat, size, _doc, start, first), a row for each occurrence."""
+    """(repeat, size, _doc, start, first): maximal repeats of LENGTH bytes or more with all their occurrences, a row for each.
+
+    Each block that occurs several times is a repeat as a whole, and stands once in the suffix array of its anchor's
+    blocks; what the array finds in it is found in all its copies. first marks the earliest occurrence. _doc is doc_id where
+    all ids differ, else a number as common.identified gives it.
+    """
     docs = identified(docs)
-    spark = docs.sparkSession
-    folder = shared_folder(spark, "repeats")
-    _settled(docs, common_anchors(docs)).write.parquet(folder)
-    compare = spark.read.parquet(folder).where("anchor is not null")
-    return _compared(_texts(docs, compare), every=True)
+    common = common_anchors(docs)
+
+    def cut(batches):
+        for batch in batches:
+            for blocks, doc, start in _rows(batch, common):
+                columns = [blocks.anchor.view(np.int64), blocks.content.view(np.int64), doc, start << 7 | (blocks.stop - blocks.first)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "content", "_doc", "at"])
+
+    blocks = checkpoint(docs.select("_doc", "text").mapInArrow(freed(cut), "anchor long, content long, _doc long, at long"))
+    kinds = checkpoint(blocks.groupBy("anchor", "content").agg(F.min(F.struct("_doc", "at")).alias("rep"), F.count("*").alias("n")))
+    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    texts = _texts(docs, kinds.join(several, "anchor").select("rep._doc", "rep.at", "anchor"))
+    start, size = F.shiftright("at", 7), F.col("at").bitwiseAND(127) + LENGTH - 1
+    copied = kinds.where("n > 1").select("anchor", "content", F.col("rep._doc").alias("_rep"), F.shiftright("rep.at", 7).alias("block"))
+    copies = checkpoint(blocks.join(copied, ["anchor", "content"]).select(F.xxhash64("anchor", "content").alias("repeat"), size.alias("size"), "_doc", start.alias("start"), "_rep", "block"))
+    found = checkpoint(_compared(texts, every=True))
+    moved = copies.select("_rep", "block", F.col("_doc").alias("_to"), F.col("start").alias("_at")).where("_rep <> _to or block <> _at")
+    spread = found.join(moved, (found["_doc"] == moved["_rep"]) & (found["block"] == moved["block"])).select("repeat", "size", F.col("_to").alias("_doc"), (F.col("start") - moved["block"] + F.col("_at")).alias("start"))
+    names = ["repeat", "size", "_doc", "start"]
+    rows = checkpoint(copies.select(names).unionByName(found.select(names)).unionByName(spread).distinct())
+    least = rows.groupBy("repeat").agg(F.min(F.struct("_doc", "start")).alias("_f"))
+    return rows.join(least, "repeat").select(*names, (F.struct("_doc", "start") == F.col("_f")).alias("first"))
 
 
 def _kept(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, int, int]:

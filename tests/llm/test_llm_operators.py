@@ -167,6 +167,33 @@ def test_repeats_with_common_anchors_demoted(spark, monkeypatch):
     assert sorted(map(tuple, repeats.digests(docs).collect())) == want == sorted(brute_repeats([(r.doc_id, r.text) for r in docs.collect()]))
 
 
+def test_repeat_groups_hold_every_repeated_window(spark):
+    """Each string of LENGTH bytes that occurs again lies in groups whose occurrences are all its places, copies of whole blocks included."""
+    rng = random.Random(6)
+    say = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = say(400)
+    texts = [say(60) + passage[a:b] + say(60) for a, b in ((0, 400), (0, 400), (30, 250), (100, 400))] + [say(300)] + [passage] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = {}
+    for r in repeats.repeat_groups(docs).collect():
+        assert r.size >= repeats.LENGTH
+        groups.setdefault((r.repeat, r.size), []).append((r._doc, r.start, r.first))
+    pairs = set()
+    for (_, size), places in groups.items():
+        strings = {texts[d][s : s + size] for d, s, _ in places}
+        assert len(strings) == 1 and len(places) > 1 and sum(f for _, _, f in places) == 1 and min(places)[2]
+        for x, (d, s, _) in enumerate(places):
+            for e, t, _ in places[:x]:
+                for k in range(size - repeats.LENGTH + 1):
+                    pairs.add(((d, s + k), (e, t + k)) if (d, s) > (e, t) else ((e, t + k), (d, s + k)))
+    at = {}
+    for d, text in enumerate(texts):
+        for s in range(len(text) - repeats.LENGTH + 1):
+            at.setdefault(text[s : s + repeats.LENGTH], []).append((d, s))
+    want = {(max(p, q), min(p, q)) for places in at.values() for x, p in enumerate(places) for q in places[:x]}
+    assert {(max(p, q), min(p, q)) for p, q in pairs} == want
+
+
 def test_maximal_repeats_have_all_occurrences():
     rng = random.Random(1)
     core = "".join(rng.choices("abcd", k=120))
