@@ -310,7 +310,7 @@ WITH {POINTS}, p AS (SELECT id, x * 0.36 - 180 AS lng, y * 0.16 - 80 AS lat FROM
 SELECT id, CAST(floor((lng + 180) / 6) + 1 AS INTEGER) AS zone, CAST(CASE WHEN lat < 0 THEN 32700 ELSE 32600 END + floor((lng + 180) / 6) + 1 AS INTEGER) AS epsg FROM p
 """,
     # 1.6322 is the point of the normal distribution below which lies the root of 0.9
-    "smallest_plots": "SELECT p_partkey, round(p_size % 10 + 1 + 2 * 1.6322187896168654 * p_size / 10, 4) AS side FROM part",
+    "smallest_plots": "SELECT p_partkey, round(p_size % 10 + 1 + 2 * CAST(1.6322187896168654 AS DOUBLE) * (p_size / 10), 4) AS side FROM part",
     "season_curves": f"""
 WITH {OBS}, p AS (SELECT DISTINCT field_key, date, dayofyear(date) * 12.0 AS t FROM obs),
 c AS (SELECT *, {_PRESETS} FROM p)
