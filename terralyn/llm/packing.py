@@ -114,8 +114,17 @@ def _encoder(path: str):
     return lambda text: whole(text) if any(t in text for t in added) else np.array(engine.encode_ordinary(text), "<u4").tobytes()
 
 
+def _planes(ids: bytes) -> bytes:
+    """The first bytes of 32-bit ids, then their second ones, and so on: the upper ones are zeros, which compression takes away."""
+    return np.frombuffer(ids, np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _ids(planes: pa.Buffer) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def encoded(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
-    """(curve, doc_id, start, doc_tokens, ids binary): each document's place on the curve and its ids, LENGTH to a row at most."""
+    """(curve, doc_id, start, doc_tokens, ids binary): each document's place on the curve and its ids, by planes, LENGTH to a row at most."""
 
     def run(batches):
         encode, end = _encoder(path), np.array([end_id], "<u4").tobytes()
@@ -129,7 +138,7 @@ def encoded(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
                 rows = -(-sizes // LENGTH)
                 own = np.repeat(np.arange(len(ids)), rows)
                 start = (np.arange(len(own)) - np.repeat(np.cumsum(rows) - rows, rows)) * LENGTH
-                parts = [ids[k][4 * at : 4 * (at + LENGTH)] for k, at in zip(own.tolist(), start.tolist(), strict=True)]
+                parts = [_planes(ids[k][4 * at : 4 * (at + LENGTH)]) for k, at in zip(own.tolist(), start.tolist(), strict=True)]
                 columns = [pa.array(curve[own]), doc.take(pa.array(i + own)), pa.array(start), pa.array(sizes[own]), pa.array(parts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["curve", "doc_id", "start", "doc_tokens", "ids"])
 
@@ -196,7 +205,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, with_ids: bool = False) ->
 
         for batch in batches:
             for doc, start, size, ids in zip(*(batch.column(c) for c in ("doc_id", "start", "doc_tokens", "ids")), strict=True):
-                packer.add(doc.as_py(), start.as_py(), size.as_py(), np.frombuffer(ids.as_buffer(), "<u4"))
+                packer.add(doc.as_py(), start.as_py(), size.as_py(), _ids(ids.as_buffer()))
             yield from flush(packer)
         packer.finish()
         yield from flush(packer)
