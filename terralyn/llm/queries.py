@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, lines, near, packing, quality, repeats, toxicity, warc, wordpiece
+from . import bpe, exact, lines, near, packing, quality, repair, repeats, toxicity, warc, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_suffix_array_dedup, op3_minhash_near_dedup, op4_exact_dedup, op5_line_dedup, op6_token_counts, op7_toxicity, op8_packing, op9_warc, op10_quality)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_suffix_array_dedup, op3_minhash_near_dedup, op4_exact_dedup, op5_line_dedup, op6_token_counts, op7_toxicity, op8_packing, op9_warc, op10_quality, op11_conversation_repair)}
 
 ORACLE_SQL: dict[str, str] = {"op3_minhash_near_dedup": near.SQL, "op4_exact_dedup": exact.SQL, "op5_line_dedup": lines.SQL, "op9_warc": warc.SQL}
