@@ -13,7 +13,7 @@ from terralyn.sources.scratch import cut, drop
 CHUNK = 1 << 20
 
 
-def _stars(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def stars(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(smallest id, id) for every id of some links that is not the smallest of those it reaches over them."""
     ids, ends = np.unique(np.concatenate([low, high]), return_inverse=True)
     a, b = ends[: len(low)], ends[len(low) :]
@@ -35,11 +35,11 @@ def _joined(batches):
     for batch in batches:
         held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("low", "high"), strict=True)]
         if len(held[0]) >= CHUNK:
-            low, high = _stars(*held)
+            low, high = stars(*held)
             last = high == held[1][-1]
             yield pa.RecordBatch.from_arrays([pa.array(low[~last]), pa.array(high[~last])], ["low", "high"])
             held = [low[last], high[last]]
-    low, high = _stars(*held)
+    low, high = stars(*held)
     yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["low", "high"])
 
 
