@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, divergence, exact, lines, near, packing, quality, repair, repeats, toxicity, warc, wordpiece
+from . import bpe, divergence, exact, lines, near, ngram, packing, quality, repair, repeats, toxicity, warc, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_suffix_array_dedup, op3_minhash_near_dedup, op4_exact_dedup, op5_line_dedup, op6_token_counts, op7_toxicity, op8_packing, op9_warc, op10_quality, op11_conversation_repair, op12_source_divergence)}
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.ngram_join(_table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {"op3_minhash_near_dedup": near.SQL, "op4_exact_dedup": exact.SQL, "op5_line_dedup": lines.SQL, "op9_warc": warc.SQL, "op12_source_divergence": divergence.SQL}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_suffix_array_dedup, op3_minhash_near_dedup, op4_exact_dedup, op5_line_dedup, op6_token_counts, op7_toxicity, op8_packing, op9_warc, op10_quality, op11_conversation_repair, op12_source_divergence, op13_ngram_join)}
+
+ORACLE_SQL: dict[str, str] = {"op3_minhash_near_dedup": near.SQL, "op4_exact_dedup": exact.SQL, "op5_line_dedup": lines.SQL, "op9_warc": warc.SQL, "op12_source_divergence": divergence.SQL, "op13_ngram_join": ngram.SQL}
