@@ -184,21 +184,35 @@ def column_shapes(rows: DataFrame, columns: list[str]) -> DataFrame:
     return facts.select("rows", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(k).alias("place"), F.col(f"_d{k}").alias("n_distinct"), F.col(f"_e{k}").alias("n_empty")) for k, c in enumerate(columns)])).alias("s")).select("s.column", "s.place", "rows", "s.n_distinct", "s.n_empty")
 
 
+def _word_ranks(shapes: DataFrame, words: list[str]) -> DataFrame:
+    """Adds, for each column, the place of the first word that its name is (whole) and that is among its name's parts (part)."""
+    parts = F.filter(F.split(F.lower("column"), "[^a-z0-9]+"), lambda w: w != "")
+    said = shapes.select("place", F.explode(F.concat(F.transform(parts, lambda w: F.struct(w.alias("word"), F.lit(False).alias("all"))), F.array(F.struct(F.array_join(parts, "").alias("word"), F.lit(True).alias("all"))))).alias("s")).select("place", "s.word", "s.all")
+    known = shapes.sparkSession.createDataFrame(list(enumerate(words)), "rank int, word string")
+    ranks = said.join(F.broadcast(known), "word").groupBy("place").agg(F.min(F.when(F.col("all"), F.col("rank"))).alias("whole"), F.min(F.when(~F.col("all"), F.col("rank"))).alias("part"))
+    return shapes.join(ranks, "place", "left")
+
+
+def _first(shapes: DataFrame, *order: Column) -> DataFrame:
+    """The column that comes first by an order, then by place; one null row where there is none."""
+    return shapes.agg(F.min_by("column", F.struct(*order, F.col("place"))).alias("column"))
+
+
 def name_column(shapes: DataFrame) -> DataFrame:
     """The column that names each row: full and without repeats, one that is or holds a name word first."""
-    flat = F.regexp_replace(F.lower("column"), "[^a-z0-9]", "")
-    words = F.split(F.lower("column"), "[^a-z0-9]+")
-    at = lambda hit: F.array_position(F.transform(F.array(*map(F.lit, NAME_WORDS)), hit), F.lit(True))
-    exact, inner = at(lambda w: w == flat), at(lambda w: F.array_contains(words, w))
-    score = F.when(exact > 0, exact).when(inner > 0, inner + len(NAME_WORDS)).otherwise(1000)
-    return shapes.where("n_distinct = rows and n_empty = 0").agg(F.min(F.struct(score.alias("s"), F.col("place"), F.col("column"))).alias("m")).select("m.column")
+    late = F.lit(len(NAME_WORDS))
+    keys = _word_ranks(shapes.where("n_distinct = rows and n_empty = 0"), NAME_WORDS)
+    return _first(keys, F.coalesce("whole", late), F.coalesce("part", late))
 
 
 def variety_column(shapes: DataFrame, words: list[str], most: int = 252) -> DataFrame:
-    """The column that tells varieties: named by a word (in order), else the most varied one that repeats, else the most varied."""
-    word = F.array_position(F.transform(F.array(*map(F.lit, words)), lambda w: F.array_contains(F.split(F.lower("column"), "[^a-z0-9]+"), w)), F.lit(True))
-    shape = F.when((F.col("n_distinct") >= 2) & (F.col("n_distinct") < F.col("rows")), 0).when(F.col("n_distinct") >= 2, 1).otherwise(2)
-    fits = shapes.where((F.col("n_distinct") <= most) & (F.col("n_empty") < F.col("rows")))
-    named = F.when(word > 0, F.struct(F.lit(0).alias("tier"), shape.cast("long").alias("a"), word.cast("long").alias("b"), "place", "column"))
-    other = F.when(shape < 2, F.struct((shape + 1).alias("tier"), (-F.col("n_distinct")).alias("a"), F.lit(0).cast("long").alias("b"), "place", "column"))
-    return fits.agg(F.min(F.coalesce(named, other)).alias("m")).select("m.column")
+    """The column that tells varieties: named by a word (in order), else the most varied one that repeats, else the most varied.
+
+    Of named columns, those that repeat come before those that do not, and these before constant ones.
+    """
+    ranked = _word_ranks(shapes.where((F.col("n_distinct") <= most) & (F.col("n_empty") < F.col("rows"))), words)
+    varied, repeats = F.col("n_distinct") >= 2, F.col("n_distinct") < F.col("rows")
+    told = ranked.where(F.col("part").isNotNull() | varied)
+    shape = (~varied).cast("int") * 2 + (varied & ~repeats).cast("int")
+    unnamed = F.col("part").isNull()
+    return _first(told, unnamed, shape, F.when(unnamed, -F.col("n_distinct")).otherwise(F.col("part")))

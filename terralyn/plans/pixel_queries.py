@@ -115,9 +115,15 @@ SELECT o_orderkey FROM n WHERE c <= 300 OR k IN (SELECT i * (SELECT max(c) FROM
 """,
     "column_shapes": _SHAPES,
     "name_columns": f"""
-WITH s AS ({_SHAPES})
-SELECT (SELECT "column" FROM s WHERE n_distinct = rows AND n_empty = 0 ORDER BY CASE "column" WHEN 'p_name' THEN 0 ELSE 1 END, place LIMIT 1) AS "column", 'name' AS kind
-UNION ALL SELECT CASE WHEN (SELECT n_distinct FROM s WHERE "column" = 'p_brand') <= 252 THEN 'p_brand' END, 'variety'
+WITH s AS ({_SHAPES}),
+w AS (SELECT *, list_filter(string_split_regex(lower("column"), '[^a-z0-9]+'), lambda x: x <> '') AS parts FROM s),
+r AS (SELECT *, coalesce(list_position({relational.NAME_WORDS}, array_to_string(parts, '')), 99) AS whole,
+  coalesce(list_min(list_transform(parts, lambda x: list_position({relational.NAME_WORDS}, x))), 99) AS part,
+  list_min(list_transform(parts, lambda x: list_position(['variety', 'brand'], x))) AS variety,
+  CASE WHEN n_distinct < 2 THEN 2 WHEN n_distinct = rows THEN 1 ELSE 0 END AS shape FROM w)
+SELECT (SELECT "column" FROM r WHERE n_distinct = rows AND n_empty = 0 ORDER BY whole, part, place LIMIT 1) AS "column", 'name' AS kind
+UNION ALL SELECT (SELECT "column" FROM r WHERE n_distinct <= 252 AND n_empty < rows AND (variety IS NOT NULL OR shape < 2)
+  ORDER BY variety IS NULL, shape, CASE WHEN variety IS NULL THEN -n_distinct ELSE variety END, place LIMIT 1), 'variety'
 """,
     "pixel_keys": f"""
 WITH {POINTS} SELECT id, translate('p_' || printf('%.6f', x * 0.361 - 180) || '_' || printf('%.6f', y * 0.173 - 80), '.-', '_m') AS key,

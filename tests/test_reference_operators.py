@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terralyn.functions import curves, geometry, numeric, spectral
-from terralyn.operators import cluster, graph, matrix, phenology, relational, series, stats
+from terralyn.operators import cluster, graph, matrix, phenology, season_fit, relational, series, stats
 from terralyn.sources import domain, geometry_text, sinks
 from terralyn.streaming import windows
 
@@ -129,17 +129,42 @@ def test_curve_fit_recovers_its_own_equation():
     t = np.arange(5, 366, 10.0)
     for name in ("maize", "soybean", "default"):
         p = np.array(curves.PRESETS[name])
-        fit = phenology.fit_curve(t, phenology.season_curve(t, p), (p[2] - 40, p[5], p[4] + 40))
+        fit = season_fit.fit_curve(t, season_fit.season_curve(t, p), (p[2] - 40, p[5], p[4] + 40))
         assert fit["r2"] > 0.995 and not fit["poor_fit"] and fit["sos"] < p[2] < p[4] < fit["eos"] and fit["confidence"] == "high"
-        assert np.allclose(phenology._bounded(phenology._free(p)), p, atol=1e-6)
-    assert phenology.fit_curve(t[:5], t[:5])["poor_fit"] and phenology.fit_curve(t, np.full(len(t), 0.3))["poor_fit"]
+        half = season_fit.season_curve(np.array([fit["sos"], fit["eos"]]), np.array([fit[k] for k in season_fit.PARAMETERS]))
+        top = season_fit.season_curve(np.arange(0, 366, 0.25), np.array([fit[k] for k in season_fit.PARAMETERS])).max()
+        assert np.allclose(half, season_fit.FOOT * top, atol=1e-3)
+    assert season_fit.fit_curve(t[:5], t[:5])["poor_fit"] and season_fit.fit_curve(t, np.full(len(t), 0.3))["poor_fit"]
+
+
+def test_curve_slopes_equal_finite_differences():
+    t, rng = np.arange(0, 366, 5.0), np.random.default_rng(8)
+    low, high = np.array([0.2, 0.03, 20, 0.03, 40, 0.1]), np.array([0.8, 0.4, 200, 1.2, 150, 0.9])
+    box = low + (high - low) * rng.random((20, 6))
+    value, slope = season_fit.season_curves(t, season_fit._named(box), True)
+    for k in range(6):
+        step = np.zeros(6)
+        step[k] = 1e-6
+        near = [season_fit.season_curves(t, season_fit._named(box + s * step)) for s in (1, -1)]
+        free = (value > 1e-3) & (value < 0.99)
+        assert np.allclose(((near[0] - near[1]) / 2e-6)[free], slope[..., k][free], atol=1e-5)
+
+
+def test_curve_search_of_noisy_data_is_no_worse_than_the_truth():
+    rng = np.random.default_rng(2)
+    for seed in range(12):
+        t = np.sort(rng.choice(np.arange(0, 366, 5.0), 25, replace=False))
+        p = np.array([0.8, 0.05 + 0.02 * (seed % 5), 120, 0.05 + 0.1 * (seed % 4), 230 + seed, 180.0])
+        y = season_fit.season_curve(t, p) + rng.normal(0, 0.03, len(t))
+        fit = season_fit.fit_curve(t, y)
+        assert fit["rmse"] <= np.sqrt(((season_fit.season_curve(t, p) - y) ** 2).mean()) + 1e-9
 
 
 def test_season_columns_equal_arrays(spark):
     t = np.arange(-100.0, 500, 7)
     for p in curves.PRESETS.values():
         got = spark.createDataFrame([(float(x),) for x in t], "t double").orderBy("t").select(curves.double_logistic(F.col("t"), *p).alias("v"))
-        assert np.allclose([r.v for r in got.collect()], phenology.season_curve(t, np.array(p)))
+        assert np.allclose([r.v for r in got.collect()], season_fit.season_curve(t, np.array(p)))
 
 
 #: The days and values of a summer crop, a spring crop and one that is cut several times.
