@@ -201,3 +201,51 @@ def nearest_turn(degrees: Column) -> Column:
 
 def is_aligned(degrees: Column, within: float) -> Column:
     return F.abs(nearest_turn(degrees)) <= within
+
+
+def sides(rings: Column) -> Column:
+    """The sides of some rings, outer ones and holes alike, as (x, y, dx, dy, l2): start, way to the end, squared length."""
+    one = lambda a, b: F.struct(a["x"].alias("x"), a["y"].alias("y"), (b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy"), ((b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"])).alias("l2"))
+    return F.flatten(F.transform(rings, lambda r: F.zip_with(r, F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1)), one)))
+
+
+def scaled_sides(own: Column, kx: Column, ky: Column) -> Column:
+    """Sides with their axes scaled."""
+    return F.transform(own, lambda s: F.struct((s["x"] * kx).alias("x"), (s["y"] * ky).alias("y"), (s["dx"] * kx).alias("dx"), (s["dy"] * ky).alias("dy"), (s["dx"] * s["dx"] * kx * kx + s["dy"] * s["dy"] * ky * ky).alias("l2")))
+
+
+def squared_to_side(x: Column, y: Column, s: Column) -> Column:
+    """Squared distance from a point to a side."""
+    t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - s["x"]) * s["dx"] + (y - s["y"]) * s["dy"]) / F.when(s["l2"] > 0, s["l2"]))), F.lit(0.0))
+    foot = F.transform(F.array(t), lambda k: F.pow(x - s["x"] - k * s["dx"], F.lit(2.0)) + F.pow(y - s["y"] - k * s["dy"], F.lit(2.0)))  # t is computed once
+    return foot[0]
+
+
+def squared_to_sides(x: Column, y: Column, own: Column) -> Column:
+    return F.array_min(F.transform(own, lambda s: squared_to_side(x, y, s)))
+
+
+def within_sides(x: Column, y: Column, own: Column) -> Column:
+    """Whether a point lies inside, by the even-odd rule, so holes are outside and parts inside."""
+    hit = lambda s: ((s["y"] > y) != (s["y"] + s["dy"] > y)) & (x < s["x"] + s["dx"] * (y - s["y"]) / s["dy"])
+    return F.size(F.filter(own, hit)) % 2 == 1
+
+
+def sides_meet(a: Column, b: Column) -> Column:
+    """Whether a side of one area passes through a side of the other."""
+    turn = lambda s, x, y: s["dx"] * (y - s["y"]) - s["dy"] * (x - s["x"])
+    apart = lambda s, t: turn(s, t["x"], t["y"]) * turn(s, t["x"] + t["dx"], t["y"] + t["dy"]) < 0
+    return F.exists(a, lambda s: F.exists(b, lambda t: apart(s, t) & apart(t, s)))
+
+
+def squared_apart(a: Column, b: Column) -> Column:
+    """Squared distance between two areas, given by their sides: 0 where they share any."""
+    inside = lambda p, q: F.exists(p, lambda s: within_sides(s["x"], s["y"], q))
+    gap = lambda p, q: F.array_min(F.transform(p, lambda s: squared_to_sides(s["x"], s["y"], q)))
+    return F.when(inside(a, b) | inside(b, a) | sides_meet(a, b), 0.0).otherwise(F.least(gap(a, b), gap(b, a)))
+
+
+def envelope_of(own: Column) -> Column:
+    """The box of some sides."""
+    low, high = lambda c: F.array_min(F.transform(own, lambda s: s[c])), lambda c: F.array_max(F.transform(own, lambda s: s[c]))
+    return F.struct(low("x").alias("minx"), low("y").alias("miny"), high("x").alias("maxx"), high("y").alias("maxy"))
