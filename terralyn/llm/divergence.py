@@ -128,7 +128,7 @@ def perfect_hash(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build(vocabulary: DataFrame, shards: int) -> DataFrame:
-    """(shard, moves, lang, term, bytes): a perfect hash for each shard; lang and term are arrays in the order of its slots."""
+    """(shard, moves, lengths, keys): a perfect hash for each shard; its keys stand in the order of their slots."""
 
     def number(batches):
         for batch in batches:
@@ -137,15 +137,14 @@ def build(vocabulary: DataFrame, shards: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(_shard(_hashes(keys), shards)) if keys else pa.array([], pa.int64()), langs, words], ["shard", "lang", "term"])
 
     def settle(shard, langs, words):
-        hashes = _hashes([_key(a, b.encode()) for a, b in zip(langs, words, strict=True)])
+        keys = [_key(a, b.encode()) for a, b in zip(langs, words, strict=True)]
+        hashes = _hashes(keys)
         if len(np.unique(hashes)) < len(hashes):
             raise ValueError("two terms share a hash of 64 bits: choose another seed")
         moves, slots = perfect_hash(hashes)
-        order = np.argsort(slots).tolist()
-        names = ["shard", "moves", "lang", "term", "bytes"]
-        lang, term = [langs[k] for k in order], [words[k] for k in order]
-        size = sum(len(w.encode()) + len(a.encode()) + 24 for a, w in zip(lang, term, strict=True)) + 4 * len(moves)
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([moves.astype("<i4").tobytes()], pa.binary()), pa.array([lang], pa.list_(pa.string())), pa.array([term], pa.list_(pa.string())), pa.array([size], pa.int64())], names)
+        keys = [keys[k] for k in np.argsort(slots).tolist()]
+        row = shard, moves.astype("<i4").tobytes(), np.array([len(k) for k in keys], "<i4").tobytes(), b"".join(keys)
+        return pa.RecordBatch.from_arrays([pa.array([c], pa.int64() if k == 0 else pa.binary()) for k, c in enumerate(row)], ["shard", "moves", "lengths", "keys"])
 
     def grow(batches):
         shard, langs, words = None, [], []
@@ -161,33 +160,38 @@ def build(vocabulary: DataFrame, shards: int) -> DataFrame:
             yield settle(shard, langs, words)
 
     dealt = vocabulary.mapInArrow(number, "shard long, lang string, term string").repartition(shuffle_parts(vocabulary.sparkSession), "shard").sortWithinPartitions("shard", "lang", "term")
-    return dealt.mapInArrow(grow, "shard long, moves binary, lang array<string>, term array<string>, bytes long")
+    return dealt.mapInArrow(grow, "shard long, moves binary, lengths binary, keys binary")
+
+
+def _stored(lengths: bytes, keys: bytes) -> pa.Array:
+    """The keys of a shard, in the order of their slots."""
+    offsets = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, "<i4"))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(keys)])
 
 
 class Lookup:
     """Some shards' perfect hashes, in a worker."""
 
     def __init__(self, rows: list[tuple], shards: int):
-        """rows: (shard, moves, langs, terms)."""
+        """rows: as of `build`."""
         self.shards = shards
         self.first, self.count, self.start, self.buckets = (np.zeros(shards, np.int64) for _ in range(4))
-        keys, moves, langs, at = [], [], [], 0
-        for shard, moved, lang, term in rows:
-            moved = np.frombuffer(moved, "<i4")
-            self.first[shard], self.count[shard], self.start[shard], self.buckets[shard] = len(keys), len(term), at, len(moved)
-            keys += [_key(a, b.encode()) for a, b in zip(lang, term, strict=True)]
-            langs += lang
-            moves.append(moved)
-            at += len(moved)
+        keys, moves, n, at = [], [], 0, 0
+        for shard, moved, lengths, stored in rows:
+            moves.append(np.frombuffer(moved, "<i4"))
+            keys.append(_stored(lengths, stored))
+            self.first[shard], self.count[shard], self.start[shard], self.buckets[shard] = n, len(keys[-1]), at, len(moves[-1])
+            n, at = n + len(keys[-1]), at + len(moves[-1])
         self.moves = np.concatenate(moves) if moves else np.zeros(0, np.int32)
-        self.keys = pa.array(keys, pa.binary())
-        names, at = np.unique(np.array(langs, object).astype(str), return_inverse=True) if langs else ([], np.zeros(0, np.int64))
-        order = np.argsort(at, kind="stable")
+        self.keys = pa.concat_arrays(keys) if keys else pa.array([], pa.binary())
+        own: dict[bytes, list[int]] = {}
+        for k, key in enumerate(self.keys):
+            own.setdefault(key.as_py().partition(b"\x00")[2], []).append(k)
         #: Of each language, its slots; of each slot, its place among those of its language.
-        self.slots = dict(zip([str(x) for x in names], np.split(order, np.cumsum(np.bincount(at))[:-1]), strict=True)) if langs else {}
-        self.place = np.zeros(len(keys), np.int64)
-        for own in self.slots.values():
-            self.place[own] = np.arange(len(own))
+        self.slots = {lang.decode(): np.array(at, np.int64) for lang, at in own.items()}
+        self.place = np.zeros(n, np.int64)
+        for at in self.slots.values():
+            self.place[at] = np.arange(len(at))
 
     def slots_of(self, keys: list[bytes]) -> np.ndarray:
         """Each key's slot among all, -1 for those that are not stored."""
@@ -213,35 +217,46 @@ class Lookup:
         return order[at], slot - self.first[order[at]]
 
 
+_NAMES = ["shard", "lang", "source", "slots", "counts"]
 _COUNTS = "shard long, lang string, source string, slots binary, counts binary"
 
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], _NAMES)
+
+
+def _by(number: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal numbers."""
+    cuts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1], [True]])) if len(number) else np.zeros(1, np.int64)
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+
 def recount(docs: DataFrame, rows: list[tuple], shards: int) -> DataFrame:
-    """(shard, lang, source, slots, counts): what each task has counted of each group, arrays as little-endian bytes."""
-    sent = docs.sparkSession.sparkContext.broadcast(rows)
-    names = ["shard", "lang", "source", "slots", "counts"]
+    """(shard, lang, source, slots, counts): what each task has counted of each group, for the shards of one deal.
+
+    shard is the number of the deal; slots are (shard, slot in it) in 32 bits each, arrays little-endian bytes. There is a
+    row for each task, group and deal, however many shards there are.
+    """
+    sent, deal = docs.sparkSession.sparkContext.broadcast(rows), -(-shards // shuffle_parts(docs.sparkSession))
 
     def run(batches):
         table = Lookup(sent.value, shards)
         dense: dict[tuple[str, str], np.ndarray] = {}
+        size = seen = 0
 
         def out():
+            found = []
             for (lang, source), counts in dense.items():
                 used = np.flatnonzero(counts)
                 shard, slot = table.where(table.slots[lang][used])
                 order = np.argsort(shard, kind="stable")
-                shard, slot, n = shard[order], slot[order], counts[used][order]
-                cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if len(shard) else ():
-                    yield int(shard[a]), lang, source, slot[a:b].astype("<i4").tobytes(), n[a:b].astype("<i8").tobytes()
+                entry, n = (shard << 32 | slot)[order], counts[used][order].astype("<i8")
+                found += [(int(entry[a] >> 32) // deal, lang, source, entry[a:b].astype("<i8").tobytes(), n[a:b].tobytes()) for a, b in _by((entry >> 32) // deal)]
             dense.clear()
-
-        def sendable():
-            found = list(out())
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()), strict=True)], names)
+                yield _rows(found)
 
-        size = 0
         for batch in batches:
             groups: dict[tuple[str, str], Counter] = {}
             held = 0
@@ -249,54 +264,58 @@ def recount(docs: DataFrame, rows: list[tuple], shards: int) -> DataFrame:
                 if lang in table.slots:
                     own = groups.setdefault((lang, source), Counter())
                     held -= len(own)
-                    own.update(terms(batch.column("text")[i].as_py()))
-                    held += len(own)
+                    own.update(said := terms(batch.column("text")[i].as_py()))
+                    held, seen = held + len(own), seen + len(said)
                 if i + 1 == batch.num_rows or held > HELD_TERMS:
                     for (lang, source), own in groups.items():
                         slot = table.slots_of([_key(lang, t) for t in own])
                         known = slot >= 0
                         counts = dense.get((lang, source))
                         if counts is None:
-                            counts = dense[lang, source] = np.zeros(len(table.slots[lang]), np.int64)
+                            counts = dense[lang, source] = np.zeros(len(table.slots[lang]), np.uint32)
                             size += counts.nbytes
-                        counts[table.place[slot[known]]] += np.fromiter(own.values(), np.int64, len(own))[known]
-                        if size > DENSE_BYTES:
-                            yield from sendable()
-                            size = 0
+                        counts[table.place[slot[known]]] += np.fromiter(own.values(), np.uint32, len(own))[known]
+                        if size > DENSE_BYTES or seen > 1 << 31:  # a slot holds 32 bits
+                            yield from out()
+                            size = seen = 0
                     groups, held = {}, 0
-        yield from sendable()
+        yield from out()
 
     return _texts(docs).mapInArrow(freed(run), _COUNTS)
 
 
 def _added(batches):
-    """Adds up the counts of one (shard, lang, source); rows come in that order."""
-    names = ["shard", "lang", "source", "slots", "counts"]
+    """Adds up the counts of one deal, language and source, whose rows follow each other; a row for each of its shards."""
+    tag, entries, counts, held = None, [], [], 0
 
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()), strict=True)], names)
+    def summed():
+        nonlocal entries, counts, held
+        entry, place = np.unique(np.concatenate(entries), return_inverse=True)
+        total = np.zeros(len(entry), np.int64)
+        np.add.at(total, place, np.concatenate(counts))
+        entries, counts, held = [entry], [total], 0
 
-    tag, sums = None, np.zeros(0, np.int64)
-
-    def row():
-        used = np.flatnonzero(sums)
-        return (*tag, used.astype("<i4").tobytes(), sums[used].astype("<i8").tobytes())
+    def settled():
+        summed()
+        entry, n = entries[0], counts[0]
+        return [(int(entry[a] >> 32), *tag, (entry[a:b] & 0xFFFFFFFF).astype("<i4").tobytes(), n[a:b].astype("<i8").tobytes()) for a, b in _by(entry >> 32)]
 
     for batch in batches:
         done = []
-        for shard, lang, source, slots, counts in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-            if (shard, lang, source) != tag:
+        for deal, lang, source, slots, n in zip(*(batch.column(c).to_pylist() for c in _NAMES), strict=True):
+            if (lang, source) != tag or deal != last:
                 if tag is not None:
-                    done.append(row())
-                tag, sums = (shard, lang, source), np.zeros(0, np.int64)
-            slots = np.frombuffer(slots, "<i4")
-            if len(slots) and slots[-1 if (slots[:-1] <= slots[1:]).all() else slots.argmax()] >= len(sums):
-                sums = np.concatenate([sums, np.zeros(int(slots.max()) + 1 - len(sums), np.int64)])
-            sums[slots] += np.frombuffer(counts, "<i8")
+                    done += settled()
+                tag, last, entries, counts, held = (lang, source), deal, [], [], 0
+            entries.append(np.frombuffer(slots, "<i8"))
+            counts.append(np.frombuffer(n, "<i8"))
+            held += len(entries[-1])
+            if held > HELD_TERMS:
+                summed()
         if done:
-            yield batch_of(done)
-    if tag is not None:
-        yield batch_of([row()])
+            yield _rows(done)
+    if tag is not None and (done := settled()):
+        yield _rows(done)
 
 
 def probabilities(counts: np.ndarray, total: int, kept: int) -> np.ndarray:
@@ -365,10 +384,11 @@ def divergence(docs: DataFrame, least: int = LEAST) -> DataFrame:
     vocabulary = checkpoint(kept_terms(docs, least))
     shards = max(1, -(-vocabulary.count() // SHARD))
     hashes = checkpoint(build(vocabulary, shards))
-    sizes = [tuple(r) for r in hashes.select("shard", "bytes").orderBy("shard").toLocalIterator()]
+    sizes = hashes.select("shard", F.expr("length(moves) + 8 * length(lengths) + length(keys)").alias("bytes")).orderBy("shard")
+    sizes = [tuple(r) for r in sizes.toLocalIterator()]
     counted = None
     for own in rounds(sizes, ROUND_BYTES):
-        rows = [tuple(r) for r in hashes.where(F.col("shard").between(own[0], own[-1])).select("shard", "moves", "lang", "term").collect()]
+        rows = [tuple(r) for r in hashes.where(F.col("shard").between(own[0], own[-1])).select("shard", "moves", "lengths", "keys").collect()]
         found = checkpoint(recount(docs, rows, shards))
         counted = found if counted is None else counted.unionByName(found)
     if counted is None:
@@ -386,8 +406,19 @@ def divergence(docs: DataFrame, least: int = LEAST) -> DataFrame:
     each = groups.join(totals, ["lang", "source"], "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"))
     facts = each.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("g"), F.sum("n").alias("total")).join(kept, "lang")
     facts = facts.select("lang", F.col("g.source").alias("sources"), F.col("g.n").alias("totals"), "total", "kept")
-    keys = hashes.select("shard", F.posexplode(F.arrays_zip("lang", "term")).alias("slot", "key")).groupBy("shard", F.col("key.lang").alias("lang")).agg(F.array_sort(F.collect_list(F.struct("slot", F.col("key.term").alias("term")))).alias("k"))
-    keys = keys.select("shard", "lang", F.col("k.slot").alias("slots"), F.col("k.term").alias("terms")).join(facts, "lang")
+
+    def named(batches):
+        for batch in batches:
+            for shard, lengths, keys in zip(*(batch.column(c).to_pylist() for c in ("shard", "lengths", "keys")), strict=True):
+                own: dict[bytes, list] = {}
+                for k, key in enumerate(_stored(lengths, keys).to_pylist()):
+                    term, _, lang = key.partition(b"\x00")
+                    own.setdefault(lang, []).append((k, term.decode()))
+                columns = [pa.array([shard] * len(own), pa.int64()), pa.array([lang.decode() for lang in own], pa.string())]
+                columns += [pa.array([[x[j] for x in at] for at in own.values()], pa.list_(t)) for j, t in enumerate((pa.int32(), pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "lang", "slots", "terms"])
+
+    keys = hashes.select("shard", "lengths", "keys").mapInArrow(named, "shard long, lang string, slots array<int>, terms array<string>").join(facts, "lang")
     found = checkpoint(keys.groupBy("shard", "lang").cogroup(counted.groupBy("shard", "lang")).applyInArrow(_parts, "part string, lang string, source string, item string, value long"))
     sums = found.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     others = groups.select("lang", F.col("source").alias("item"))
