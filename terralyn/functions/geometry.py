@@ -249,3 +249,35 @@ def envelope_of(own: Column) -> Column:
     """The box of some sides."""
     low, high = lambda c: F.array_min(F.transform(own, lambda s: s[c])), lambda c: F.array_max(F.transform(own, lambda s: s[c]))
     return F.struct(low("x").alias("minx"), low("y").alias("miny"), high("x").alias("maxx"), high("y").alias("maxy"))
+
+
+def shared_area(a: Column, b: Column, base: Column) -> Column:
+    """The area that two areas share, given by the sides of rings that all run the same way round (holes the other way).
+
+    Each side stands for the strip between it and a base line under both areas, counted by its direction; the strips of
+    a and of b share what lies under both sides, so the sum over all pairs is the shared area, for concave rings too.
+    """
+    end = lambda s: s["x"] + s["dx"]
+    bound = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  value is computed once
+    height = lambda s, x: s["y"] + s["dy"] * (x - s["x"]) / s["dx"] - base
+
+    def under(lo: Column, width: Column, v: Column) -> Column:
+        """The area under both of two sides over a span, from the heights at its ends."""
+        d0, d1 = v["a0"] - v["b0"], v["a1"] - v["b1"]
+        low0, low1 = F.least(v["a0"], v["b0"]), F.least(v["a1"], v["b1"])
+        u = d0 / (d0 - d1)
+        meet = v["a0"] + u * (v["a1"] - v["a0"])
+        return F.when((d0 > 0) & (d1 < 0) | (d0 < 0) & (d1 > 0), ((low0 + meet) * u + (meet + low1) * (1 - u)) * width / 2).otherwise((low0 + low1) * width / 2)
+
+    def strip(s: Column, t: Column) -> Column:
+        span = F.struct(F.greatest(F.least(s["x"], end(s)), F.least(t["x"], end(t))).alias("lo"), F.least(F.greatest(s["x"], end(s)), F.greatest(t["x"], end(t))).alias("hi"))
+        ends = lambda p: F.struct(height(s, p["lo"]).alias("a0"), height(s, p["hi"]).alias("a1"), height(t, p["lo"]).alias("b0"), height(t, p["hi"]).alias("b1"))
+        area = lambda p: bound(ends(p), lambda v: under(p["lo"], p["hi"] - p["lo"], v))
+        return bound(span, lambda p: F.when((p["hi"] > p["lo"]) & (s["dx"] != 0) & (t["dx"] != 0), area(p) * F.signum(s["dx"]) * F.signum(t["dx"])).otherwise(0.0))
+
+    return F.aggregate(F.transform(a, lambda s: F.aggregate(F.transform(b, lambda t: strip(s, t)), F.lit(0.0), lambda x, y: x + y)), F.lit(0.0), lambda x, y: x + y)
+
+
+def sides_area(own: Column) -> Column:
+    """The signed area inside some sides, positive clockwise by the direction in which sides count in shared_area."""
+    return F.aggregate(own, F.lit(0.0), lambda t, s: t + s["dx"] * (2 * s["y"] + s["dy"]) / 2)

@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralyn.operators import stats
+from terralyn.sources.scratch import cut
 
+#: Rows of a grid at most, and room under it.
+STRIDE = 1 << 20
 #: Sobel's weights across and down by offset.
 ACROSS = {(dy, dx): dx * (2 if dy == 0 else 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1)}
 DOWN = {(dy, dx): dy * (2 if dx == 0 else 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1)}
@@ -64,6 +67,34 @@ def prediction(raster: DataFrame, inside: DataFrame, truth: DataFrame, pure: Dat
     return scaled(scaled(out, "gradient"), "impurity")
 
 
+def stacked(cells: DataFrame) -> DataFrame:
+    """Grids (grid, row, col) as one raster, one under the other with room between, so that no cell has a neighbour in another grid."""
+    return cells.withColumn("row", F.col("grid") * STRIDE + F.col("row")).drop("grid")
+
+
+def predictions(raster: DataFrame, inside: DataFrame, edges: DataFrame, outlines: DataFrame, pure: DataFrame | None = None, model: tuple | None = None) -> DataFrame:
+    """grid, row, col, label and the scores of the usable cells of several grids inside fields; a score's scale is that of all grids.
+
+    raster: (grid, row, col, date, value). Boundary cells are the cells of edge pixels between species, or outlines where
+    there are none. impurity needs mean curves, bridge a model of blobs.bridge_model; without them they are null.
+    """
+    from terralyn.operators.blobs import bridge
+
+    truth = edges if edges.limit(1).count() else outlines
+    cells = cut(usable(stacked(raster)))
+    own = cells.join(stacked(inside).select("row", "col").distinct(), ["row", "col"], "left_semi")
+    label = stacked(truth).select("row", "col").distinct().withColumn("_true", F.lit(1))
+    out = own.join(label, ["row", "col"], "left").select("row", "col", F.coalesce("_true", F.lit(0)).alias("label")).join(gradient(cells), ["row", "col"], "left")
+    scores = {"impurity": impurity(own, pure) if pure is not None else None, "bridge": bridge(own, model).select("row", "col", "bridge") if model is not None else None}
+    for name, score in scores.items():
+        out = out.join(score, ["row", "col"], "left") if score is not None else out.withColumn(name, F.lit(None).cast("double"))
+    out = cut(out)
+    for name in ("gradient", "impurity", "bridge"):
+        if scores.get(name, 0) is not None:
+            out = scaled(out, name)
+    return out.select(F.floor(F.col("row") / STRIDE).alias("grid"), (F.col("row") % STRIDE).alias("row"), "col", "label", "gradient", "impurity", "bridge")
+
+
 def nearest_noise(pixels: DataFrame, reach: float) -> DataFrame:
     """id and nearest: each pixel's nearest other pixel (id, x, y) in the cells around it; the smaller id on ties."""
     own = pixels.select("id", "x", "y").withColumns({"_gx": F.floor(F.col("x") / reach), "_gy": F.floor(F.col("y") / reach)})
