@@ -17,6 +17,7 @@ rows are documents of their own; other columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -127,8 +128,15 @@ def perfect_hash(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return moves, slots
 
 
+_SHARD = ["shard", "moves", "lengths", "keys", "codes", "names"]
+_SHARD_TYPES = [pa.int64(), *[pa.binary()] * 4, pa.list_(pa.string())]
+
+
 def build(vocabulary: DataFrame, shards: int) -> DataFrame:
-    """(shard, moves, lengths, keys): a perfect hash for each shard; its keys stand in the order of their slots."""
+    """(shard, moves, lengths, keys, codes, names): a perfect hash for each shard.
+
+    Its keys stand in the order of their slots, with the places of their languages among names.
+    """
 
     def number(batches):
         for batch in batches:
@@ -142,9 +150,11 @@ def build(vocabulary: DataFrame, shards: int) -> DataFrame:
         if len(np.unique(hashes)) < len(hashes):
             raise ValueError("two terms share a hash of 64 bits: choose another seed")
         moves, slots = perfect_hash(hashes)
-        keys = [keys[k] for k in np.argsort(slots).tolist()]
-        row = shard, moves.astype("<i4").tobytes(), np.array([len(k) for k in keys], "<i4").tobytes(), b"".join(keys)
-        return pa.RecordBatch.from_arrays([pa.array([c], pa.int64() if k == 0 else pa.binary()) for k, c in enumerate(row)], ["shard", "moves", "lengths", "keys"])
+        order = np.argsort(slots).tolist()
+        keys, names = [keys[k] for k in order], sorted(set(langs))
+        code = {name: k for k, name in enumerate(names)}
+        row = shard, moves.astype("<i4").tobytes(), np.array([len(k) for k in keys], "<i4").tobytes(), b"".join(keys), np.array([code[langs[k]] for k in order], "<i4").tobytes(), names
+        return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, _SHARD_TYPES, strict=True)], _SHARD)
 
     def grow(batches):
         shard, langs, words = None, [], []
@@ -160,7 +170,7 @@ def build(vocabulary: DataFrame, shards: int) -> DataFrame:
             yield settle(shard, langs, words)
 
     dealt = vocabulary.mapInArrow(number, "shard long, lang string, term string").repartition(shuffle_parts(vocabulary.sparkSession), "shard").sortWithinPartitions("shard", "lang", "term")
-    return dealt.mapInArrow(grow, "shard long, moves binary, lengths binary, keys binary")
+    return dealt.mapInArrow(grow, "shard long, moves binary, lengths binary, keys binary, codes binary, names array<string>")
 
 
 def _stored(lengths: bytes, keys: bytes) -> pa.Array:
@@ -176,19 +186,19 @@ class Lookup:
         """rows: as of `build`."""
         self.shards = shards
         self.first, self.count, self.start, self.buckets = (np.zeros(shards, np.int64) for _ in range(4))
-        keys, moves, n, at = [], [], 0, 0
-        for shard, moved, lengths, stored in rows:
+        keys, moves, own, n, at = [], [], {}, 0, 0
+        for shard, moved, lengths, stored, codes, names in rows:
             moves.append(np.frombuffer(moved, "<i4"))
             keys.append(_stored(lengths, stored))
-            self.first[shard], self.count[shard], self.start[shard], self.buckets[shard] = n, len(keys[-1]), at, len(moves[-1])
-            n, at = n + len(keys[-1]), at + len(moves[-1])
+            codes = np.frombuffer(codes, "<i4")
+            for k, name in enumerate(names):
+                own.setdefault(name, []).append(n + np.flatnonzero(codes == k))
+            self.first[shard], self.count[shard], self.start[shard], self.buckets[shard] = n, len(codes), at, len(moves[-1])
+            n, at = n + len(codes), at + len(moves[-1])
         self.moves = np.concatenate(moves) if moves else np.zeros(0, np.int32)
         self.keys = pa.concat_arrays(keys) if keys else pa.array([], pa.binary())
-        own: dict[bytes, list[int]] = {}
-        for k, key in enumerate(self.keys):
-            own.setdefault(key.as_py().partition(b"\x00")[2], []).append(k)
         #: Of each language, its slots; of each slot, its place among those of its language.
-        self.slots = {lang.decode(): np.array(at, np.int64) for lang, at in own.items()}
+        self.slots = {lang: np.concatenate(at) for lang, at in own.items()}
         self.place = np.zeros(n, np.int64)
         for at in self.slots.values():
             self.place[at] = np.arange(len(at))
@@ -232,16 +242,27 @@ def _by(number: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
 
 
+_LOOKUPS: dict[str, Lookup] = {}
+
+
+def _lookup(name: str, sent, shards: int) -> Lookup:
+    """The shards that a worker has last been sent; its later tasks find them built."""
+    if name not in _LOOKUPS:
+        _LOOKUPS.clear()
+        _LOOKUPS[name] = Lookup(sent.value, shards)
+    return _LOOKUPS[name]
+
+
 def recount(docs: DataFrame, rows: list[tuple], shards: int) -> DataFrame:
     """(shard, lang, source, slots, counts): what each task has counted of each group, for the shards of one deal.
 
     shard is the number of the deal; slots are (shard, slot in it) in 32 bits each, arrays little-endian bytes. There is a
     row for each task, group and deal, however many shards there are.
     """
-    sent, deal = docs.sparkSession.sparkContext.broadcast(rows), -(-shards // shuffle_parts(docs.sparkSession))
+    sent, deal, name = docs.sparkSession.sparkContext.broadcast(rows), -(-shards // shuffle_parts(docs.sparkSession)), uuid.uuid4().hex
 
     def run(batches):
-        table = Lookup(sent.value, shards)
+        table = _lookup(name, sent, shards)
         dense: dict[tuple[str, str], np.ndarray] = {}
         size = seen = 0
 
@@ -388,7 +409,7 @@ def divergence(docs: DataFrame, least: int = LEAST) -> DataFrame:
     sizes = [tuple(r) for r in sizes.toLocalIterator()]
     counted = None
     for own in rounds(sizes, ROUND_BYTES):
-        rows = [tuple(r) for r in hashes.where(F.col("shard").between(own[0], own[-1])).select("shard", "moves", "lengths", "keys").collect()]
+        rows = [tuple(r) for r in hashes.where(F.col("shard").between(own[0], own[-1])).select(*_SHARD).collect()]
         found = checkpoint(recount(docs, rows, shards))
         counted = found if counted is None else counted.unionByName(found)
     if counted is None:
@@ -409,16 +430,15 @@ def divergence(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     def named(batches):
         for batch in batches:
-            for shard, lengths, keys in zip(*(batch.column(c).to_pylist() for c in ("shard", "lengths", "keys")), strict=True):
-                own: dict[bytes, list] = {}
-                for k, key in enumerate(_stored(lengths, keys).to_pylist()):
-                    term, _, lang = key.partition(b"\x00")
-                    own.setdefault(lang, []).append((k, term.decode()))
-                columns = [pa.array([shard] * len(own), pa.int64()), pa.array([lang.decode() for lang in own], pa.string())]
+            for shard, lengths, keys, codes, names in zip(*(batch.column(c).to_pylist() for c in ("shard", "lengths", "keys", "codes", "names")), strict=True):
+                own: dict[str, list] = {name: [] for name in names}
+                for k, (key, code) in enumerate(zip(_stored(lengths, keys).to_pylist(), np.frombuffer(codes, "<i4").tolist(), strict=True)):
+                    own[names[code]].append((k, key.partition(b"\x00")[0].decode()))
+                columns = [pa.array([shard] * len(own), pa.int64()), pa.array(list(own), pa.string())]
                 columns += [pa.array([[x[j] for x in at] for at in own.values()], pa.list_(t)) for j, t in enumerate((pa.int32(), pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, ["shard", "lang", "slots", "terms"])
 
-    keys = hashes.select("shard", "lengths", "keys").mapInArrow(named, "shard long, lang string, slots array<int>, terms array<string>").join(facts, "lang")
+    keys = hashes.select("shard", "lengths", "keys", "codes", "names").mapInArrow(named, "shard long, lang string, slots array<int>, terms array<string>").join(facts, "lang")
     found = checkpoint(keys.groupBy("shard", "lang").cogroup(counted.groupBy("shard", "lang")).applyInArrow(_parts, "part string, lang string, source string, item string, value long"))
     sums = found.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     others = groups.select("lang", F.col("source").alias("item"))

@@ -8,11 +8,8 @@ join is a cluster. Every region that was followed deeper is gone through again w
 largest cluster are held, in blocks, against all of its sets in other clusters, and pairs that agree join these as well.
 So two sets that share SHALLOW hashes in a tree and agree in AGREE of all are in one cluster.
 
-Links are confirmed inside clusters. A task takes a block of a cluster's sets with their texts and goes through all pairs
-that agree in AGREE hashes, the most alike first; a pair that confirmed links already connect needs no confirmation. Sets are compared in
-full, by hashes of 64 bits, and word by word where those say that a pair is similar or nearly so. A cluster of one block
-is then done. In a larger one, some sets of each component meet next, and at last the sets outside the cluster's largest
-component meet all others, so no pair between components is left out and a text travels once for each block of those.
+Links are confirmed inside clusters, on the full texts (`linking.settled`): pairs of a block that agree in AGREE hashes,
+the most alike first, by exact overlaps of their sets and then word by word, until confirmed links connect what they can.
 
 Cases: a null, empty or blank text has no shingles and links with nothing; a text with fewer words than a shingle is
 one shingle; documents with equal sets (a fingerprint of 128 bits) are one node, so any number of copies costs a row each; rows are
@@ -26,11 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from terralyn.operators.graph import components
 
-from .common import U64, checkpoint, freed, group_facts, identified, mix64, salted, shuffle_parts, steps, unwrapped, utf8, word_hashes
+from . import linking
+from .common import U64, checkpoint, freed, group_facts, identified, mix64, salted, shuffle_parts, steps, unwrapped, utf8
+from .linking import Block, every, label, settled
 
 TREES, DEPTH, SHALLOW, REGION = 12, 6, 3, 32
 #: Equal hashes of all TREES x DEPTH that a candidate needs: 5 standard deviations under a similarity of 0.8.
@@ -38,40 +36,20 @@ AGREE = 40
 PERCENT = 80
 #: Words of a shingle, unless a caller asks for others.
 WORDS = 2
-#: Ids that are sent to every executor at most; more are joined by a shuffle.
-BROADCAST_IDS = 250_000
-#: Sets and shingles of a block at most, on average, and sets that one task holds against a block.
-BLOCK, BLOCK_SHINGLES, STRETCH = 1024, 1 << 20, 1 << 12
-#: Sets of each component of a cluster's block that meet those of other blocks.
-LEADERS = 4
+#: Sets of a block, and sets that are held against a block, of wide regions.
+BLOCK, STRETCH = 1024, 1 << 12
 #: Rows of one prefix that a task sorts out at a time.
 HOLD = 1 << 18
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    hashes, bounds = word_hashes(data, offsets)
-    if not len(hashes):
-        return [np.zeros(0, U64)] * (len(offsets) - 1)
-    out = []
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        own = hashes[a:b]
-        if b - a >= words:
-            grams = own[: b - a - words + 1]
-            for k in range(1, words):
-                grams = mix64(grams * U64(0x9E3779B97F4A7C15) + own[k : b - a - words + 1 + k])
-        elif b > a:  # the whole sequence as one shingle, apart from shingles of full length
-            grams = mix64(np.cumsum(own * U64(0xC2B2AE3D27D4EB4F))[-1:] + U64(b - a))
-        else:
-            grams = own
-        out.append(np.unique(grams))
-    return out
+    return linking.shingle_sets(data, offsets, words)
 
 
 def word_shingles(text: str, words: int = WORDS) -> set[tuple[bytes, ...]]:
     """The same sets in words."""
-    own = text.encode().lower().split()
-    return set(zip(*(own[k:] for k in range(words)), strict=False)) if len(own) >= words else {tuple(own)} if own else set()
+    return linking.word_shingles(text.encode(), words)
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -250,30 +228,16 @@ def candidates(regions: DataFrame, reps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(freed(pair), _PAIRS).groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """A table that is sent to every executor where it has BROADCAST_IDS rows at most."""
-    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
-
-
-def _label(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Adds component to rows with an id: the id itself where it has no link."""
-    return rows.join(labels.select("id", F.col("component").alias("_c")), "id", "left").withColumn("component", F.coalesce("_c", "id")).drop("_c")
-
-
-def _every(n: str):
-    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-
 def across(regions: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
     """(a, b, agree) between clusters (labels) of the wide regions: of each set outside the largest, the best pair with each other cluster."""
     parts = shuffle_parts(reps.sparkSession)
-    rows = checkpoint(_label(regions.where("wide").select("region", "id"), labels))
+    rows = checkpoint(label(regions.where("wide").select("region", "id"), labels))
     sizes = rows.groupBy("region", "component").agg(F.count("*").alias("n"))
     facts = sizes.groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("n > most.n")
     own = checkpoint(rows.join(facts, "region").select("region", "id", "component", (F.col("component") != F.col("most.component")).alias("outside"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / STRETCH).cast("int").alias("stretches")))
     own = own.join(reps, "id").withColumns({"block": F.pmod(F.xxhash64("id"), "blocks").cast("int"), "stretch": F.pmod(F.xxhash64("id", F.lit(1)), "stretches").cast("int")})
-    held = own.where("outside").withColumn("stretch", _every("stretches")).withColumn("asks", F.lit(0))
-    met = own.withColumn("block", _every("blocks")).withColumn("asks", F.lit(1))
+    held = own.where("outside").withColumn("stretch", every("stretches")).withColumn("asks", F.lit(0))
+    met = own.withColumn("block", every("blocks")).withColumn("asks", F.lit(1))
     names = ["region", "block", "stretch", "asks", "id", "component", "sig"]
     dealt = held.select(names).unionByName(met.select(names)).repartition(parts, "region", "block", "stretch").sortWithinPartitions("region", "block", "stretch", "asks")
 
@@ -303,95 +267,16 @@ def across(regions: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
     return dealt.mapInArrow(freed(run), _PAIRS).groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
-def alike(x: np.ndarray, y: np.ndarray, texts: tuple[str, str], words: int) -> bool:
-    """Whether 100 * intersection >= PERCENT * union: by hashes, and by words where those say yes, or no by a hair."""
-    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)) - 200:
-        return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    if 100 * (both + 2) < PERCENT * (len(x) + len(y) - both):
-        return False
-    x, y = (word_shingles(t, words) for t in texts)
-    return 100 * len(x & y) >= PERCENT * len(x | y)
-
-
-def _links(ids: np.ndarray, part: np.ndarray, asks: np.ndarray, sig: np.ndarray, texts: list[str], words: int) -> list[tuple[int, int]]:
-    """Confirmed links that connect what all links of one group connect.
-
-    Pairs are those of which one asks, that agree and are in different components; the most alike come first.
-    """
-    first, second, how = [], [], []
-    asking = np.flatnonzero(asks)
-    for at in range(0, len(ids), 64):
-        agree = _agreement(sig[asking], sig[at : at + 64])
-        other = np.arange(at, min(at + 64, len(ids)))
-        good = (agree >= AGREE) & (part[asking][:, None] != part[other][None, :]) & (~asks[other][None, :] | (asking[:, None] < other[None, :]))
-        i, j = np.nonzero(good)
-        first.append(asking[i])
-        second.append(other[j])
-        how.append(agree[i, j])
-    if not first:
-        return []
-    first, second, how = (np.concatenate(x) for x in (first, second, how))
-    order = np.argsort(-how, kind="stable")
-    names, component = np.unique(part, return_inverse=True)
-    up = list(range(len(names)))
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    sets: dict[int, np.ndarray] = {}
-    out = []
-    component = component.tolist()
-    for a, b in zip(first[order].tolist(), second[order].tolist(), strict=True):
-        x, y = root(component[a]), root(component[b])
-        if x == y:
-            continue
-        for k in (a, b):
-            if k not in sets:
-                raw = np.frombuffer(texts[k].encode(), np.uint8)
-                sets[k] = shingle_sets(raw, np.array([0, len(raw)]), words)[0]
-        if alike(sets[a], sets[b], (texts[a], texts[b]), words):
-            up[max(x, y)] = min(x, y)
-            out.append((int(ids[a]), int(ids[b])))
-    return out
-
-
-def confirmed(groups: DataFrame, reps: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(src, dst): the links of groups (g1, g2, g3, asks, id, component), confirmed on the texts of docs (_doc, text)."""
-    groups = checkpoint(groups)
-    members = checkpoint(groups.select("id").distinct())
-    few = _few(members)
-    texts = docs.select(F.col("_doc").alias("id"), "text").join(few, "id").join(reps.join(few, "id").select("id", "sig"), "id")
-    texts = checkpoint(texts)
-    names = ["g1", "g2", "g3", "asks", "id", "component", "sig", "text"]
-    dealt = texts.join(_few(groups), "id").select(names).repartition(shuffle_parts(docs.sparkSession), "g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3", "id")
-
-    def run(batches):
-        held, tag = [], None
-
-        def settle():
-            table = pa.Table.from_batches(held).combine_chunks()
-            sig = _short(table.column("sig").combine_chunks() if table.num_rows else pa.array([], pa.binary()))
-            found = _links(*(table.column(c).to_numpy() for c in ("id", "component")), table.column("asks").to_numpy(zero_copy_only=False).astype(bool), sig, [t or "" for t in table.column("text").to_pylist()], words)
-            src, dst = zip(*found, strict=True) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
-
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("g1", "g2", "g3")], axis=1)
-            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, int)
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if held and tuple(keys[lo]) != tag:
-                    yield settle()
-                    held = []
-                tag = tuple(keys[lo])
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield settle()
-
-    return dealt.mapInArrow(freed(run), "src long, dst long")
+def judge(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a block, one of which asks, that agree in AGREE hashes, with how many agree."""
+    sig, out = _short(block.features), []
+    asking = np.flatnonzero(block.asks)
+    for at in range(0, len(sig), 64):
+        other = np.arange(at, min(at + 64, len(sig)))
+        agree = _agreement(sig[asking], sig[other])
+        i, j = np.nonzero((agree >= AGREE) & (block.part[asking][:, None] != block.part[other][None, :]) & (~block.asks[other][None, :] | (asking[:, None] < other[None, :])))
+        out.append((asking[i], other[j], agree[i, j]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
 def near_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -411,31 +296,9 @@ def near_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
         if more.limit(1).count():
             clusters = checkpoint(components(pairs.unionByName(more)))
     sets = nodes.where("_doc = rep").select(F.col("rep").alias("id"), "n_shingles")
-    clusters = clusters.select("id", F.col("component").alias("cluster")).join(sets, "id")
-    size = clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.ceil(F.count("*") / STRETCH).cast("int").alias("stretches"))
-    place = checkpoint(clusters.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")))
-    none = F.lit(0)
-    links = checkpoint(confirmed(place.select(F.col("cluster").alias("g1"), F.col("block").alias("g2"), none.alias("g3"), F.lit(True).alias("asks"), "id", F.col("id").alias("component")), reps, docs, words))
-    labels = checkpoint(components(links))
-    wide = place.where("blocks > 1")
-    if wide.limit(1).count():
-        own = _label(wide, labels)
-        nth = F.row_number().over(Window.partitionBy("cluster", "block", "component").orderBy(F.xxhash64("id")))
-        leaders = own.withColumn("nth", nth).where(F.col("nth") <= LEADERS)
-        sizes = leaders.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_b"))
-        leaders = leaders.join(sizes, "cluster").select(F.col("cluster").alias("g1"), F.pmod(F.xxhash64("id", none), "_b").cast("int").alias("g2"), none.alias("g3"), F.lit(True).alias("asks"), "id", "component")
-        links = checkpoint(links.unionByName(confirmed(leaders, reps, docs, words)))
-        labels = checkpoint(components(links))
-        own = _label(wide, labels)
-        sizes = own.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("n > most.n")
-        own = own.join(sizes, "cluster").withColumns({"outside": F.col("component") != F.col("most.component"), "_b": F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int")})
-        own = own.withColumns({"g2": F.pmod(F.xxhash64("id", none), "_b").cast("int"), "g3": F.pmod(F.xxhash64("id", F.lit(1)), "stretches").cast("int")})
-        asking = own.where("outside").withColumn("g3", _every("stretches")).withColumn("asks", F.lit(True))
-        asked = own.withColumn("g2", _every("_b")).join(asking.select("cluster", "g2", "g3", "id"), ["cluster", "g2", "g3", "id"], "left_anti").withColumn("asks", F.lit(False))
-        names = [F.col("cluster").alias("g1"), "g2", "g3", "asks", "id", "component"]
-        links = checkpoint(links.unionByName(confirmed(asking.select(names).unionByName(asked.select(names)), reps, docs, words)))
-        labels = checkpoint(components(links))
-    own = _label(nodes.select("_doc", F.col("rep").alias("id")), labels).select("_doc", "component")
+    texts = docs.select(F.col("_doc").alias("id"), "text")
+    labels = settled(clusters, sets, texts, reps.select("id", F.col("sig").alias("feature")), judge, words, PERCENT)
+    own = label(nodes.select("_doc", F.col("rep").alias("id")), labels).select("_doc", "component")
     return rows.select("_doc", "n_shingles").join(own, "_doc", "left").select("_doc", "n_shingles", F.coalesce("component", "_doc").alias("component"))
 
 

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import io
 import random
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import public_tokenizers as vocab
 import pytest
 from pyspark.sql import functions as F
 
-from terralyn.llm import bpe, exact, lines, near, packing, quality, queries, repeats, stages, toxicity, warc, wordpiece
+from terralyn.llm import bpe, exact, linking, lines, near, packing, quality, queries, repeats, stages, toxicity, warc, wordpiece
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -249,8 +250,8 @@ def test_near_copies_equal_brute_force(spark, odd, monkeypatch):
     want = brute_components(docs)
     got = lambda: sorted(map(tuple, near.near_dedup(df).collect()), key=repr)
     assert got() == want
-    for name, value in (("REGION", 3), ("BLOCK", 8), ("STRETCH", 9), ("HOLD", 10), ("LEADERS", 1)):  # wide regions, many blocks
-        monkeypatch.setattr(near, name, value)
+    for module, name, value in ((near, "REGION", 3), (near, "BLOCK", 8), (near, "STRETCH", 9), (near, "HOLD", 10), (linking, "BLOCK", 8), (linking, "STRETCH", 9), (linking, "LEADERS", 1)):  # wide regions, many blocks
+        monkeypatch.setattr(module, name, value)
     assert got() == want
 
 
@@ -282,6 +283,28 @@ def test_recall_of_links(spark):
     sets = [near.word_shingles(t) for t in texts]
     links = [(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     assert len(links) > 150 and sum(p in found for p in links) >= 0.999 * len(links)
+    got = {r.doc_id: r.component_id for r in near.near_dedup(docs.withColumnRenamed("_doc", "doc_id")).collect()}
+    assert all(got[a] == got[b] for a, b in links)
+
+
+def test_pages_that_are_alike_but_no_copies_take_time_in_proportion(spark):
+    """A family at a similarity of about 0.75 links nowhere; twice as many pages take at most 2.5 times as long."""
+    rng = random.Random(21)
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join(w if rng.random() > 0.037 else f"z{rng.randint(0, 10**9)}" for w in base) for _ in range(3000)]
+    sets = [near.word_shingles(t) for t in texts[:200]]
+    like = [len(a & b) / len(a | b) for a, b in zip(sets[:-1], sets[1:], strict=True)]
+    assert 0.7 < sum(like) / len(like) < 0.79
+    took = {}
+    for n in (100, 1500, 3000):
+        docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts[:n])], "doc_id long, text string")
+        began = time.perf_counter()
+        rows = near.near_dedup(docs).collect()
+        took[n] = time.perf_counter() - began
+        assert len(rows) == n
+        if n == 100:
+            assert sorted(map(tuple, rows), key=repr) == brute_components(list(enumerate(texts[:n])))
+    assert took[3000] <= 2.5 * took[1500]
 
 
 # 5: lines
