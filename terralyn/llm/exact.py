@@ -1,8 +1,9 @@
 """Operator 4 [native]: exact dedup by content sort.
 
-Rows are range-partitioned by sampled splitters over the start of the normalised text and sorted on disk by the whole
-of it; equal texts are then neighbours, and each row is compared in full with the one before it. The start keeps the
-splitters small however long texts are; texts that share it lie in one range. A text that makes up a share of
+Rows are range-partitioned by sampled splitters over the start of the normalised text and a hash of all of it, and
+sorted on disk by these and by the whole text; equal texts are then neighbours, and each row is compared in full with
+the one before it. The start keeps the splitters small however long texts are; texts behind a common start, such as a
+licence or a page's head, are spread over ranges by the hash. A text that makes up a share of
 1 / (4 x shuffle partitions) of all rows, found by a count of hashes beforehand, is salted into parts of about that
 size, so it lies in many ranges. Each part has one winner after the comparison; the winners of salted parts, whose number the
 share bounds, are sorted and compared in full once more.
@@ -44,18 +45,23 @@ def _neighbours(rows: DataFrame, keys: list[str], run: Column) -> DataFrame:
     return told.withColumn("run", F.last(F.when(F.col("first"), F.col("_name")), ignorenulls=True).over(before))
 
 
+def ranges(rows: DataFrame) -> DataFrame:
+    """Rows (head, hash, part) in ranges of these."""
+    return rows.repartitionByRange("head", "hash", "part")
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row; the longest original text stays, then the smallest id."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long"), F.char_length(text).alias("n"), normalized(F.col("text")).alias("norm"))
     hot = checkpoint(_hot(texts))
     parts = texts.withColumn("hash", F.xxhash64("norm")).join(F.broadcast(hot), "hash", "left")
-    keyed = parts.select("doc_id", "n", "norm", F.substring("norm", 1, HEAD).alias("head"), F.coalesce(F.pmod(F.xxhash64("doc_id", "n"), "parts"), F.lit(-1)).alias("part"))
-    sorted_ = _neighbours(keyed.repartitionByRange("head", "part"), ["head", "part"], F.monotonically_increasing_id())
+    keyed = parts.select("doc_id", "n", "norm", "hash", F.substring("norm", 1, HEAD).alias("head"), F.coalesce(F.pmod(F.xxhash64("doc_id", "n"), "parts"), F.lit(-1)).alias("part"))
+    sorted_ = _neighbours(ranges(keyed), ["head", "hash", "part"], F.monotonically_increasing_id())
     again = F.when(F.col("first") & (F.col("part") >= 0), F.col("norm"))
     slim = checkpoint(sorted_.select("doc_id", "n", F.sha2("norm", 256).alias("text_sha256"), "run", again.alias("norm")))
-    winners = slim.where("norm is not null").select("run", "norm", "n", "doc_id").withColumn("head", F.substring("norm", 1, HEAD))
-    merged = _neighbours(winners.repartitionByRange("head"), ["head"], F.col("run")).select(F.col("_name").alias("run"), F.col("run").alias("group"))
+    winners = slim.where("norm is not null").select("run", "norm", "n", "doc_id").withColumns({"head": F.substring("norm", 1, HEAD), "hash": F.xxhash64("norm"), "part": F.lit(0)})
+    merged = _neighbours(ranges(winners), ["head", "hash", "part"], F.col("run")).select(F.col("_name").alias("run"), F.col("run").alias("group"))
     rows = slim.drop("norm").join(F.broadcast(merged), "run", "left").withColumn("group", F.coalesce("group", "run"))
     rows = salted(rows, "doc_id")
     best = F.max(F.struct("n", F.bitwise_not("doc_id").alias("less"), "doc_id"))
