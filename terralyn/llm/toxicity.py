@@ -1,8 +1,8 @@
 """Operator 7: toxicity by cumulative-link ordinal regression.
 
 Severity grades are ordered: 0 for a document labelled as not toxic, 1 for a toxic one of good quality, 2 for a toxic
-one of bad quality. P(grade >= k) = sigmoid(w x - t_k), with one weight vector for all thresholds t_1 <= t_2. Features
-are the presence of hashed words. The fit reads at most FIT_ROWS labelled documents of each grade, chosen by a hash of
+one of bad quality. P(grade >= k) = sigmoid(w x - t_k), with one weight vector for all thresholds t_1 < t_2, fitted
+by the likelihood of the grades, P(grade >= k) - P(grade >= k + 1). Features are the presence of hashed words. The fit reads at most FIT_ROWS labelled documents of each grade, chosen by a hash of
 their ids, and each stands for its share of all labels of its grade, which are counted, so the bound does not move the
 probabilities; scoring covers every document. The score is the expected grade, the sum of P(grade >= k) over k. A
 document is toxic from a cut of P(grade >= 1) that is best on the parts of the sample that a fit has not seen.
@@ -86,6 +86,33 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray,
     return grade, weight, fold, [np.asarray(x.values) for x in features] if len(features) else []
 
 
+def ordered(free: np.ndarray) -> np.ndarray:
+    """Thresholds from the first one and the logarithms of the gaps above it."""
+    return np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
+
+
+def loss(x: np.ndarray, row: np.ndarray, column: np.ndarray, level: np.ndarray, part: np.ndarray, width: int) -> tuple[float, np.ndarray]:
+    """The negative log-likelihood of the grades, -log(P(y >= k) - P(y >= k + 1)) by part, with a ridge; and its gradient.
+
+    x: width weights, then thresholds as `ordered` takes them; (row, column) say which features a document has.
+    """
+    w, free = x[:width], x[width:]
+    t, docs = ordered(free), np.arange(len(level))
+    score = np.bincount(row, w[column], len(level))
+    # P(y >= k) for every k, from that of all (1) to that above the last grade (0)
+    reach = np.column_stack([np.ones(len(level)), 1 / (1 + np.exp(np.clip(t[None, :] - score[:, None], -40, 40))), np.zeros(len(level))])
+    a, b = reach[docs, level], reach[docs, level + 1]
+    p = np.maximum(a - b, 1e-300)
+    by_score = -(1 - a - b) * part  # the derivatives of log(a - b) by the score of all links together
+    by_t = np.zeros((len(level), len(t) + 2))
+    by_t[docs, level] += a * (1 - a) / p * part
+    by_t[docs, level + 1] -= b * (1 - b) / p * part
+    by_t = by_t[:, 1:-1].sum(axis=0)
+    by_free = np.cumsum(by_t[::-1])[::-1] * np.concatenate([[1.0], np.exp(free[1:])])
+    value = float(-(np.log(p) * part).sum() + PENALTY / 2 * (w @ w))
+    return value, np.concatenate([np.bincount(column, by_score[row], width) + PENALTY * w, by_free])
+
+
 def _fitted(grade: np.ndarray, weight: np.ndarray, features: list[np.ndarray]) -> Model:
     weights = np.zeros(1 << FEATURE_BITS, np.float32)
     grades = sorted({int(g) for g in grade})
@@ -107,19 +134,16 @@ def _fitted(grade: np.ndarray, weight: np.ndarray, features: list[np.ndarray]) -
     row, column = row[own], place[flat[own]]
     level = np.searchsorted(grades, grade)
     share = np.array([np.average(level >= k, weights=weight) for k in range(1, len(grades))])
-    above = (level[:, None] >= np.arange(1, len(grades))[None, :]).astype(float)
-    w, t = np.zeros(len(used)), -np.log(share / (1 - share))
-    m, v = np.zeros(len(used) + len(t)), np.zeros(len(used) + len(t))
-    part = (weight / weight.sum())[:, None]
+    first = -np.log(share / (1 - share))
+    # thresholds as the first one and the logarithms of the gaps above it, so that they stay in order
+    x = np.concatenate([np.zeros(len(used)), first[:1], np.log(np.maximum(np.diff(first), 0.05))])
+    m, v = np.zeros(len(x)), np.zeros(len(x))
+    part = weight / weight.sum()
     for n in range(1, ROUNDS + 1):
-        score = np.bincount(row, w[column], len(level))
-        reach = 1 / (1 + np.exp(np.clip(t[None, :] - score[:, None], -40, 40)))
-        # the sum of the links' logistic losses: convex, and the thresholds stay in order
-        error = (reach - above) * part
-        g = np.concatenate([np.bincount(column, error.sum(axis=1)[row], len(used)) + PENALTY * w, -error.sum(axis=0)])
+        _, g = loss(x, row, column, level, part, len(used))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = STEP * (m / (1 - 0.9**n)) / (np.sqrt(v / (1 - 0.999**n)) + 1e-8)
-        w, t = w - step[: len(used)], np.maximum.accumulate(t - step[len(used) :])
+        x = x - STEP * (m / (1 - 0.9**n)) / (np.sqrt(v / (1 - 0.999**n)) + 1e-8)
+    w, t = x[: len(used)], ordered(x[len(used) :])
     weights[used] = np.where(np.abs(w) > 0.02, w, 0)
     return Model(grades, t, weights)
 
