@@ -400,6 +400,37 @@ def test_exact_copies_of_hot_texts(spark):
     assert got == {k: (2, 300) for k in range(300)} | {1000 + k: (1000 + k % 3, 10) for k in range(30)} | {2000 + k: (2000 + k, 1) for k in range(50)}
 
 
+def test_texts_behind_one_start_are_spread(spark, monkeypatch):
+    """20,000 different texts behind a start of 480 characters and 20,000 others: no range holds over a quarter."""
+    monkeypatch.setattr(exact, "shuffle_parts", lambda spark: 8)
+    start, held = "licence " * 60, []
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") % 2 == 0, start).otherwise(""), F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    whole = exact.ranges
+
+    def counted(rows):
+        out = whole(rows)
+        held.append(sorted(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()))
+        return out
+
+    monkeypatch.setattr(exact, "ranges", counted)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert exact.exact_dedup(docs).where("kept and group_size = 1").count() == 40_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(held[0]) == 40_000 and held[0][-1] <= 10_000
+
+
+def test_exact_copies_of_hot_rows_without_or_with_equal_ids(spark):
+    rows = [(None if k % 3 == 0 else k % 5, "a hot text") for k in range(400)] + [(50 + k, f"own {k}") for k in range(20)]
+    got = exact.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    hot = [r for r in got if r.group_size == 400]
+    assert len(hot) == 400 and {r.keep_id for r in hot} == {0} and all(r.kept == (r.doc_id == 0) for r in hot) and len(got) == 420
+
+
 def test_exact_copies(odd):
     rows = exact.exact_dedup(clashing(odd)).collect()
     by_text = {}
@@ -455,6 +486,55 @@ def test_toxicity_fit_meets_its_conditions(monkeypatch):
     assert model.thresholds == pytest.approx([2, 4], abs=0.5) and np.abs(model.weights[3:]).max() == 0
 
 
+def test_toxicity_likelihood_has_its_gradient_and_its_optimum():
+    """Against finite differences, and against a slow descent that halves its step until the likelihood stops falling."""
+    rng = np.random.default_rng(4)
+    n, width = 400, 6
+    on = rng.random((n, width)) < 0.3
+    row, column = np.nonzero(on)
+    level = np.clip((on @ rng.normal(0, 2, width) + rng.logistic(size=n)).astype(int), 0, 2)
+    part = rng.random(n) / n
+    value = lambda x: toxicity.loss(x, row, column, level, part, width)
+    for _ in range(5):
+        x = rng.normal(0, 1, width + 2)
+        for k in range(width + 2):
+            step = np.zeros(width + 2)
+            step[k] = 1e-6
+            assert (value(x + step)[0] - value(x - step)[0]) / 2e-6 == pytest.approx(value(x)[1][k], abs=1e-7)
+    features = [np.flatnonzero(r) for r in on]
+    model = toxicity._fitted(level, part * n, features)
+    used = np.flatnonzero(model.weights)
+    place = {int(f): k for k, f in enumerate(used)}
+    own = [(i, place[int(f)]) for i, fs in enumerate(features) for f in fs if int(f) in place]
+    row, column, width = np.array([i for i, _ in own]), np.array([k for _, k in own]), len(used)
+    x, rate = np.zeros(width + 2), 1.0
+    weight = part / part.sum()
+    best, slope = toxicity.loss(x, row, column, level, weight, width)
+    while rate > 1e-9:
+        there = toxicity.loss(x - rate * slope, row, column, level, weight, width)
+        if there[0] < best:
+            x, (best, slope), rate = x - rate * slope, there, rate * 1.3
+        else:
+            rate /= 2
+    fitted = np.concatenate([model.weights[used], model.thresholds[:1], np.log(np.diff(model.thresholds))])
+    assert width >= 2 and toxicity.loss(fitted, row, column, level, weight, width)[0] <= best + 1e-4
+
+
+def test_toxicity_rows_equal_brute_force(spark, sf):
+    """Every row of the query by the model's own words, one by one."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for doc, text in texts_of(spark, sf).items():
+        words = {w.lower() for w in (text or "").encode().split()}
+        hashes = near.linking.word_hashes(np.frombuffer(b" ".join(sorted(words)), np.uint8), np.array([0, sum(map(len, words)) + max(0, len(words) - 1)]))[0]
+        total = sum(float(model.weights[f]) for f in {int(h) & ((1 << toxicity.FEATURE_BITS) - 1) for h in hashes.tolist()})
+        reach = [1 / (1 + np.exp(t - total)) for t in model.thresholds]
+        severity = sum(p * (b - a) for p, a, b in zip(reach, model.grades, model.grades[1:], strict=False))
+        assert got[doc].expected_severity == pytest.approx(severity, abs=1e-5)
+        assert got[doc].toxic == (reach[0] >= model.cut) and got[doc].grade == int(severity + 0.5)
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -638,6 +718,55 @@ def test_every_stage_on_odd_and_empty_documents(spark, odd, none, sf):
                 assert out.columns == docs.columns, name
 
 
+def test_pipeline_equals_brute_force(spark, sf, tmp_path):
+    """The packed pieces of a run are the ids of what brute force leaves of a small table, stage by stage.
+
+    Some documents stand in it a second time with their lines joined, so that only the near-dedup stage finds them.
+    """
+    import corpus_pipeline
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    joined = docs.where("length(text) - length(replace(text, '\n')) > 3").withColumns({"doc_id": F.col("doc_id") + 1_000_000, "text": F.translate("text", "\n", " ")})
+    sf = str(tmp_path)
+    docs.unionByName(joined).write.parquet(f"{sf}/documents.parquet")
+    labels.write.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = corpus_pipeline.run(spark, sf).collect()
+    toxic = {r.doc_id for r in toxicity.score(docs, toxicity.fit(docs, labels)).where("toxic").collect()}
+    texts = {k: v for k, v in texts_of(spark, sf).items() if k not in toxic}
+    seen, cut = [], {}
+    for doc in sorted(texts):
+        kept = []
+        for line in (texts[doc] or "").split("\n"):
+            words = set(line.encode().lower().split())
+            if not words or not any(9 * len(words & s) >= 4 * (len(words) + len(s)) for s in seen):
+                kept.append(line)
+            if words:
+                seen.append(words)
+        cut[doc] = "\n".join(kept)
+    left = {k: cut[k] for k, _, _, kept in brute_components(list(cut.items()), 5) if kept}
+    seen, want = set(), {}
+    for doc in sorted(left):
+        data, gone = left[doc].encode(), bytearray(len(left[doc].encode()))
+        for i in range(len(data) - repeats.LENGTH + 1):
+            if data[i : i + repeats.LENGTH] in seen:
+                gone[i : i + repeats.LENGTH] = b"\1" * repeats.LENGTH
+            seen.add(data[i : i + repeats.LENGTH])
+        want[doc] = bytes(b for b, g in zip(data, gone, strict=True) if not g).decode("utf-8", "ignore")
+    assert 0 < len(toxic) < len(want) < len(texts)
+    encode = packing._encoder(vocab.path("byte_bpe_50k.json"))
+    by_doc = {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+    assert by_doc.keys() == want.keys()
+    for doc, parts in by_doc.items():
+        ids, at = np.frombuffer(encode(want[doc]), "<u4").tolist() + [1], 0
+        for r in sorted(parts, key=lambda r: r.start):
+            assert r.start == at and r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+
+
 def test_pipeline_runs_whole(spark, sf, empty_tables):
     import corpus_pipeline
 
