@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import field_queries, overlay_queries, pixel_queries, profiles, ring_queries, season_queries, series_queries, stat_queries
+from . import field_queries, layer_queries, overlay_queries, pixel_queries, profiles, ring_queries, season_queries, series_queries, stat_queries
 
-_PLANS = [profiles, series_queries, field_queries, stat_queries, season_queries, ring_queries, pixel_queries, overlay_queries]
+_PLANS = [profiles, series_queries, field_queries, stat_queries, season_queries, ring_queries, pixel_queries, overlay_queries, layer_queries]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
