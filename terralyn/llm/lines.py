@@ -40,6 +40,8 @@ COUNTER_BITS = 23
 SLICE_BITS = 17
 #: Code of 2048 occurrences, from which a token counts as common.
 COMMON = 160
+#: Tokens from which a line with common ones sends keys of whole groups of tokens, in place of keys of pairs.
+LONG = 400
 #: Lines under one key from which a line looks at its FIRST nearest earlier candidates only, in the first round.
 CROWD, FIRST = 1024, 64
 #: Entries that a task holds before it sends packets.
@@ -136,6 +138,35 @@ def _prints(hashes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tuple(mix64(np.add.reduceat(mix64(hashes ^ U64(c)), cuts[:-1]) + n) for c in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D))
 
 
+def _signatures(hashes: np.ndarray, cuts: np.ndarray, use: np.ndarray):
+    """(keys, lines, least token of each) of the lines in use, each of LONG tokens at least: a few keys for ten tokens.
+
+    Lines are in bands by length, each 5/4 of the one before. Two similar lines whose shorter one is in a band differ in
+    under a quarter of the band's end, so when that band deals tokens to half as many groups again, a third of the groups
+    are the same in both. A group's tokens as a whole are a key. An eighth of the groups are empty and no key; that all
+    equal ones are empty has a chance under 1e-15 from LONG on. A line sends the keys of its own band and of the one before.
+    """
+    lines = np.flatnonzero(use)
+    if not len(lines):
+        return
+    n = np.diff(cuts)[lines]
+    band = np.floor(np.log(n / LONG) / np.log(1.25) + 1e-9).astype(np.int64)
+    token = np.concatenate([hashes[cuts[k] : cuts[k + 1]] for k in lines])
+    for level in (band, band - 1):
+        some = level >= 0
+        groups = np.floor(0.25 * LONG * 1.25 ** (level + 1.0)).astype(np.int64) + 1
+        groups += groups // 2
+        own, line, size, shelf = token[np.repeat(some, n)], np.repeat(lines[some], n[some]), np.repeat(groups[some], n[some]), np.repeat(level[some], n[some])
+        if not len(own):
+            continue
+        group = (mix64(own ^ U64(0x6C62272E07BB0142)) % size.astype(U64)).astype(np.int64)
+        order = np.lexsort((group, line))
+        own, line, group, shelf = own[order], line[order], group[order], shelf[order]
+        starts = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (group[1:] != group[:-1])]))
+        name = mix64(group[starts].astype(U64) * U64(0x9E3779B97F4A7C15) + shelf[starts].astype(U64) + U64(0x5A17))
+        yield mix64(np.add.reduceat(mix64(own ^ U64(0x3C6EF372FE94F82B)), starts) + name), line[starts], np.minimum.reduceat(own, starts)
+
+
 def _marks(hashes: np.ndarray, cuts: np.ndarray, codes: np.ndarray):
     """For some lines (cuts in hashes): parity bitmap, and keys with the line, position and first token of each."""
     n = np.diff(cuts)
@@ -150,7 +181,9 @@ def _marks(hashes: np.ndarray, cuts: np.ndarray, codes: np.ndarray):
     own = np.flatnonzero((pos < reach) & (code > 1) & (code < COMMON))
     keys, at, where, first = [token[own]], [line[own]], [pos[own]], [token[own]]
     common = (pos < reach) & (code >= COMMON)
-    live = np.flatnonzero(pos <= reach)
+    crowded = np.bincount(line[common], minlength=len(n)) > 0
+    short = 4 * n < 5 * LONG
+    live = np.flatnonzero((pos <= reach) & (short & crowded)[line])
     step = 1
     while len(live):
         live = live[live + step < len(token)]
@@ -162,6 +195,11 @@ def _marks(hashes: np.ndarray, cuts: np.ndarray, codes: np.ndarray):
         where.append(np.full(len(own), -1))
         first.append(token[own])
         step += 1
+    for key, own, least in _signatures(hashes, cuts, (n >= LONG) & crowded):
+        keys.append(key)
+        at.append(own)
+        where.append(np.full(len(own), -1))
+        first.append(least)
     return parity, *map(np.concatenate, (keys, at, where, first))
 
 

@@ -363,6 +363,43 @@ def test_rows_without_or_with_equal_ids_lose_their_own_lines(spark):
     assert all(text.count(x) == 1 for x in long)
 
 
+def test_keys_of_long_lines_of_common_words_grow_with_their_length():
+    """With all words common a line sends few keys, and similar lines of any length still share one."""
+    rng = np.random.default_rng(12)
+    codes = np.full(1 << lines.COUNTER_BITS, 255, np.uint8)
+
+    def sent(sets):
+        sets = [np.sort(s) for s in sets]
+        _, keys, at, _, first = lines._marks(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]), codes)
+        out = [set(keys[at == k].tolist()) for k in range(len(sets))]
+        assert all(f in sets[k] for k, f in zip(at.tolist(), first.tolist(), strict=True))
+        return out
+
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    for n in (20, 100, 399, 400, 499, 500, 1000, 5000):
+        assert len(sent([draw(n)])[0]) <= max(5300, n)
+    for n in (60, 380, 399, 400, 450, 499, 501, 800, 2000):
+        for other in (n, int(n * 1.1), int(n * 1.24)):
+            base = draw(n)
+            both = -(-4 * (n + other) // 9)  # the least that similar lines share
+            near = np.concatenate([rng.permutation(base)[:both], draw(other - both)])
+            a, b = sent([base, near])
+            assert a & b
+
+
+def test_long_lines_equal_brute_force(spark):
+    rng = random.Random(17)
+    words = [f"w{k}" for k in range(700)]
+    rows = []
+    for size in (350, 410, 480, 520, 600):
+        base = rng.sample(words, size)
+        for share in (0.0, 0.05, 0.1, 0.12, 0.2):
+            own = [w if rng.random() > share else f"x{rng.randint(0, 10**6)}" for w in base]
+            rows.append((len(rows), "short line here\n" + " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert line_rows(df) == brute_lines(rows)
+
+
 def test_short_lines_go_as_well(spark):
     rows = [(1, "Subscribe now\na b c d e\n\n"), (2, "SUBSCRIBE  now\na b c d\nx"), (3, "now subscribe\n\nx\na b c z")]
     got = {r.doc_id: r.text for r in lines.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
