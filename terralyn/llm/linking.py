@@ -34,7 +34,7 @@ CROWD, TIMES = 4096, 16
 #: Ids that are sent to every executor at most; more are joined by a shuffle.
 BROADCAST_IDS = 250_000
 #: Sets and shingles of a block at most, on average, and sets that one task holds against a block.
-BLOCK, BLOCK_SHINGLES, STRETCH = 1024, 1 << 20, 1 << 12
+BLOCK, BLOCK_SHINGLES, STRETCH = 1024, 1 << 19, 1 << 12
 #: Sets of each component of a cluster's block that meet those of other blocks.
 LEADERS = 4
 #: Bytes of bits that one step compares.
@@ -184,9 +184,11 @@ class Overlaps:
         flat = np.concatenate(sets) if sets else np.zeros(0, U64)
         owner = np.repeat(np.arange(len(sets)), self.n)
         order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
+        flat, owner = flat[order], owner.astype(np.int32)[order]
+        del order
         new = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, bool)
-        shared = np.zeros(len(flat), bool)
+        del flat
+        shared = np.zeros(len(new), bool)
         shared[1:] |= ~new[1:]
         shared[:-1] |= ~new[1:]
         place = np.cumsum(new & shared)[shared] - 1
@@ -220,7 +222,8 @@ class Block:
 def linked(block: Block, first: np.ndarray, second: np.ndarray, how: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Confirmed links among pairs of places that connect what all links among them connect; greater how come first."""
     order = np.argsort(-how, kind="stable")
-    first, second = first[order], second[order]
+    first, second = first.astype(np.int32)[order], second.astype(np.int32)[order]
+    del order
     _, root = np.unique(block.part, return_inverse=True)
     up = list(range(int(root.max()) + 1 if len(root) else 0))
 

@@ -275,7 +275,7 @@ def judge(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         other = np.arange(at, min(at + 64, len(sig)))
         agree = _agreement(sig[asking], sig[other])
         i, j = np.nonzero((agree >= AGREE) & (block.part[asking][:, None] != block.part[other][None, :]) & (~block.asks[other][None, :] | (asking[:, None] < other[None, :])))
-        out.append((asking[i], other[j], agree[i, j]))
+        out.append((asking[i].astype(np.int32), other[j].astype(np.int32), agree[i, j].astype(np.int16)))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 

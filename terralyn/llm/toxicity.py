@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, steps, utf8, word_hashes
+from .common import U64, freed, steps, utf8, word_hashes
 
 #: The bound of the fit: labelled documents of each grade.
 FIT_ROWS = 3000
@@ -201,7 +201,7 @@ def score(docs: DataFrame, model: Model, cut: float | None = None) -> DataFrame:
             severity, toxic = _judge(batch.column("text"), model)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(severity), pa.array(np.floor(severity + 0.5).astype(np.int32)), pa.array(toxic >= cut)], ["doc_id", "expected_severity", "grade", "toxic"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, expected_severity double, grade int, toxic boolean")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(freed(run), "doc_id long, expected_severity double, grade int, toxic boolean")
 
 
 def keep(docs: DataFrame, model: Model, cut: float | None = None) -> DataFrame:
@@ -212,7 +212,7 @@ def keep(docs: DataFrame, model: Model, cut: float | None = None) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_judge(batch.column("text").cast(pa.string()), model)[1] < cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freed(run), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
