@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralyn.operators import stats
+from terralyn.operators.matrix import minus
+from terralyn.operators.relational import numbered
 from terralyn.sources.scratch import cut
 
 #: Rows of a grid at most, and room under it.
@@ -105,6 +107,17 @@ def nearest_noise(pixels: DataFrame, reach: float) -> DataFrame:
     return met.groupBy("id").agg(F.min(F.struct(apart.alias("d"), F.col("_id").alias("nearest"))).alias("_b")).select("id", "_b.nearest", F.sqrt("_b.d").alias("distance"))
 
 
+def noise_differences(pixels: DataFrame, reach: float) -> DataFrame:
+    """v: each pixel (id, x, y, v) less its nearest one within the cells around it; where no pixel has one, less the pixel before it by id."""
+    own = pixels.select("id", "v")
+    near = cut(nearest_noise(pixels, reach).select("id", "nearest"))
+    if not near.limit(1).count():
+        ranks = numbered(pixels.select("id", "v"), "id", "_n")
+        near = ranks.select("id", F.col("_n").alias("_k")).join(ranks.select((F.col("_n") + 1).alias("_k"), F.col("id").alias("nearest")), "_k").select("id", "nearest")
+    other = own.select(F.col("id").alias("nearest"), F.col("v").alias("_v"))
+    return near.join(own, "id").join(other, "nearest").select(minus(F.col("v"), F.col("_v")).alias("v"))
+
+
 def mean_nearest(rows: DataFrame, reference: DataFrame, k: int = 4, most: int = 10_000) -> DataFrame:
     """id and the mean distance to the k nearest of at most so many reference vectors (one column, v), held in one row for all."""
     if reference.limit(most + 1).count() > most:

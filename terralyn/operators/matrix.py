@@ -46,18 +46,21 @@ def mix_residual(p: Column, a: Column, b: Column, f: Column) -> Column:
 
 
 def unmix(pixels: DataFrame, means: DataFrame, most: int = 10_000) -> DataFrame:
-    """id, class, partner, fraction, residual: each pixel as a mix of its own class and the best other one.
+    """id, class, partner, fraction, residual: each pixel as a mix of its own class and the best other one, the smaller on ties.
 
-    means has a row for each class (class, mean); more than most classes are refused, since each pixel meets them all.
+    means has a row for each class (class, mean); more than most classes are refused. They come as one row for all, so
+    pixels are not shuffled; pixels of an unknown class, or without another one, are left out.
     """
-    if means.limit(most + 1).count() > most:
-        raise ValueError("too many classes to meet every pixel")
-    own = pixels.join(F.broadcast(means.select("class", F.col("mean").alias("_own"))), "class")
-    other = own.join(F.broadcast(means.select(F.col("class").alias("partner"), F.col("mean").alias("_other"))), F.col("partner") != F.col("class"))
-    solved = other.withColumn("fraction", mix_fraction(F.col("v"), F.col("_own"), F.col("_other")))
-    solved = solved.withColumn("residual", mix_residual(F.col("v"), F.col("_own"), F.col("_other"), F.col("fraction")))
-    best = solved.groupBy("id", "class").agg(F.min(F.struct("residual", "partner", "fraction")).alias("_b"))
-    return best.select("id", "class", "_b.partner", "_b.fraction", "_b.residual")
+    own = pixels.select("id", "class", "v").crossJoin(F.broadcast(_held(means, most)))
+    own = own.withColumn("_own", F.get(F.filter("_means", lambda m: m["class"] == F.col("class")), F.lit(0))["mean"])
+    best = F.array_min(F.transform(F.filter("_means", lambda m: m["class"] != F.col("class")), lambda m: _mixed(F.col("v"), F.col("_own"), m)))
+    return own.where("_own is not null").withColumn("_b", best).where("_b is not null").select("id", "class", "_b.partner", "_b.fraction", "_b.residual")
+
+
+def _mixed(v: Column, own: Column, m: Column) -> Column:
+    """(residual, partner, fraction) of a pixel between its own mean and another class; the fraction is computed once."""
+    f = mix_fraction(v, own, m["mean"])
+    return F.transform(F.array(f), lambda f: F.struct(mix_residual(v, own, m["mean"], f).alias("residual"), m["class"].alias("partner"), f.alias("fraction")))[0]
 
 
 def nearest_means(pixels: DataFrame, means: DataFrame, most: int = 10_000) -> DataFrame:
@@ -90,12 +93,7 @@ def unmix_edges(pixels: DataFrame, least: int = 4, most: int = 10_000) -> DataFr
     edge = pixels.where("zone = 'edge_other'").join(fields, "field_key", "left").crossJoin(F.broadcast(_held(species, most))).crossJoin(F.broadcast(axis))
     own = F.get(F.filter("_means", lambda m: m["class"] == F.col("crp_lbl")), F.lit(0))["mean"]
     edge = edge.select("id", "crp_lbl", "v", "_a", "_means", F.coalesce("_field", own).alias("_own"))
-
-    def solved(m: Column) -> Column:
-        f = mix_fraction(F.col("v"), F.col("_own"), m["mean"])
-        return F.transform(F.array(f), lambda f: F.struct(mix_residual(F.col("v"), F.col("_own"), m["mean"], f).alias("residual"), m["class"].alias("partner"), f.alias("fraction")))[0]
-
-    best = F.array_min(F.transform(F.filter("_means", lambda m: m["class"] != F.col("crp_lbl")), solved))
+    best = F.array_min(F.transform(F.filter("_means", lambda m: m["class"] != F.col("crp_lbl")), lambda m: _mixed(F.col("v"), F.col("_own"), m)))
     edge = edge.select("id", "crp_lbl", "_a", F.when(F.col("v").isNotNull() & F.col("_own").isNotNull(), best).alias("_b"))
     share = F.when(F.col("crp_lbl") == F.col("_a"), F.col("_b.fraction")).when(F.col("_b.partner") == F.col("_a"), 1 - F.col("_b.fraction"))
     return edge.select("id", F.col("crp_lbl").alias("own"), "_b.partner", share.alias("fraction_a"), "_b.residual")

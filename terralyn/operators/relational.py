@@ -112,13 +112,20 @@ def clean_values(df: DataFrame) -> DataFrame:
 
 
 def run_script(spark, sql: str, views: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Runs the statements of a script in order and returns the last one's rows; an empty script is an error."""
+    """Runs the statements of a script in order and returns the last one's rows; an empty script is an error.
+
+    The views are there for the script alone.
+    """
     for name, df in (views or {}).items():
         df.createOrReplaceTempView(name)
     out = None
-    for statement in re.findall(r"(?:'(?:[^']|'')*'|[^;'])+", sql):
-        if statement.strip():
-            out = spark.sql(statement)
+    try:
+        for statement in re.findall(r"(?:'(?:[^']|'')*'|[^;'])+", sql):
+            if statement.strip():
+                out = spark.sql(statement)
+    finally:
+        for name in views or {}:
+            spark.catalog.dropTempView(name)
     if out is None:
         raise ValueError("the script has no statement")
     return out

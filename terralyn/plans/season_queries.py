@@ -81,6 +81,17 @@ def calendar_match(spark, sf_dir):
     return phenology.matches_calendar(windows, calendar).select("id", "crop_key", "overlap", "fits")
 
 
+def calendar_peaks(spark, sf_dir):
+    """Windows with a peak against calendars that say when a crop peaks."""
+    o = table(spark, sf_dir, "orders").where("o_orderkey is not null")
+    start = F.to_date("o_orderdate")
+    key = F.element_at(F.array(*map(F.lit, ("maize", "winter wheat", "grass", "unknown"))), (F.col("o_custkey") % 4 + 1).cast("int"))
+    peak = F.when(F.col("o_orderkey") % 5 != 0, F.date_add(start, (F.col("o_custkey") % 45).cast("int")))
+    windows = o.select(F.col("o_orderkey").alias("id"), key.alias("crop_key"), start.alias("start"), F.date_add(start, (F.col("o_custkey") % 90 + 20).cast("int")).alias("end"), peak.alias("peak"))
+    calendar = spark.createDataFrame([("maize", "04-15", "10-15", "07-10", "08-20"), ("winter wheat", "10-01", "07-31", "05-10", "06-15"), ("grass", "none", "none", None, None)], "calendar_key string, green_start string, green_end string, peak_start string, peak_end string")
+    return phenology.matches_calendar(windows, calendar).select("id", "crop_key", "overlap", "fits")
+
+
 def carried_marks(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("species"), F.col("c_custkey").alias("field_key"))
     before = c.withColumn("cluster", F.col("field_key") % 4)
@@ -142,7 +153,7 @@ def field_groups(spark, sf_dir):
     return labels.groupBy("component").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (season_fit, season_windows, growing_season, picked_seasons, period_fits, growth_signal, coarse_windows, hidden_transitions, calendar_match, carried_marks, kmeans_scenarios, density_clusters, pixel_zones, zone_counts, wkt_fields, cell_features, species_graph, field_groups)}
+QUERIES = {f.__name__: f for f in (season_fit, season_windows, growing_season, picked_seasons, period_fits, growth_signal, coarse_windows, hidden_transitions, calendar_match, calendar_peaks, carried_marks, kmeans_scenarios, density_clusters, pixel_zones, zone_counts, wkt_fields, cell_features, species_graph, field_groups)}
 
 _CURVES = f"""
 c0 AS (SELECT o_orderpriority AS species, o_custkey % 4 AS cluster, CAST(floor(dayofyear(o_orderdate) / 10.0) * 10 + 5 AS BIGINT) AS day, o_totalprice FROM orders),
@@ -210,6 +221,15 @@ y AS (SELECT *, year(s) + k AS y FROM w, (VALUES (-1), (0), (1)) t(k)),
 g AS (SELECT *, CASE crop_key WHEN 'maize' THEN make_date(y, 4, 15) WHEN 'winter wheat' THEN make_date(y, 10, 1) END AS a, CASE crop_key WHEN 'maize' THEN make_date(y, 10, 15) WHEN 'winter wheat' THEN make_date(y + 1, 7, 31) END AS b FROM y),
 o AS (SELECT id, crop_key, s, e, max(CASE WHEN a IS NOT NULL THEN greatest(0, date_diff('day', greatest(s, a), least(e, b)) + 1) END) AS overlap FROM g GROUP BY 1, 2, 3, 4)
 SELECT id, crop_key, CAST(overlap AS INTEGER) AS overlap, coalesce(overlap >= 0.5 * least(CASE crop_key WHEN 'maize' THEN 184 WHEN 'winter wheat' THEN 304 END, date_diff('day', s, e) + 1), true) AS fits FROM o
+""",
+    "calendar_peaks": """
+WITH w AS (SELECT o_orderkey AS id, ['maize', 'winter wheat', 'grass', 'unknown'][o_custkey % 4 + 1] AS crop_key, CAST(o_orderdate AS DATE) AS s, CAST(CAST(o_orderdate AS DATE) + CAST(o_custkey % 90 + 20 AS INTEGER) AS DATE) AS e,
+  CASE WHEN o_orderkey % 5 <> 0 THEN CAST(CAST(o_orderdate AS DATE) + CAST(o_custkey % 45 AS INTEGER) AS DATE) END AS p FROM orders),
+y AS (SELECT *, year(s) + k AS y FROM w, (VALUES (-1), (0), (1)) t(k)),
+g AS (SELECT *, CASE crop_key WHEN 'maize' THEN make_date(y, 4, 15) WHEN 'winter wheat' THEN make_date(y, 10, 1) END AS a, CASE crop_key WHEN 'maize' THEN make_date(y, 10, 15) WHEN 'winter wheat' THEN make_date(y + 1, 7, 31) END AS b,
+  CASE crop_key WHEN 'maize' THEN make_date(y, 7, 10) WHEN 'winter wheat' THEN make_date(y, 5, 10) END AS pa, CASE crop_key WHEN 'maize' THEN make_date(y, 8, 20) WHEN 'winter wheat' THEN make_date(y, 6, 15) END AS pb FROM y),
+o AS (SELECT id, crop_key, s, e, max(CASE WHEN a IS NOT NULL THEN greatest(0, date_diff('day', greatest(s, a), least(e, b)) + 1) END) AS overlap, bool_or(date_diff('day', pa, p) >= -21 AND date_diff('day', pb, p) <= 21) AS peaked FROM g GROUP BY 1, 2, 3, 4)
+SELECT id, crop_key, CAST(overlap AS INTEGER) AS overlap, coalesce(overlap >= 0.5 * least(CASE crop_key WHEN 'maize' THEN 184 WHEN 'winter wheat' THEN 304 END, date_diff('day', s, e) + 1), true) AND coalesce(peaked, true) AS fits FROM o
 """,
     "carried_marks": """
 WITH b AS (SELECT c_mktsegment AS species, c_custkey AS f, c_custkey % 4 AS old FROM customer),

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from terralyn.functions import curves, geometry, numeric, spectral
-from terralyn.operators import catalogue, matrix, stats
+from terralyn.operators import boundary, catalogue, matrix, stats
 from terralyn.plans.derive import OBS, POINTS, observations, points, season_sql
 from terralyn.sources.tables import table
 
@@ -102,8 +102,19 @@ def covariance_trace(spark, sf_dir):
 
 
 def explained_cumulative(spark, sf_dir):
+    """All components of the vectors: their share, and what only their own axes give: scores that share no variance.
+
+    variance is that of all scores, which equals the vectors' in an orthonormal basis; mixed is the greatest correlation
+    of a score with the one after it, 0 on principal axes alone; ordered tells that variances fall.
+    """
     rows = _vectors(spark, sf_dir)
-    return matrix.pca(rows, rows, 64)[1].agg(F.round(F.max("cumulative"), 8).alias("cumulative"), F.count("*").alias("n"))
+    scores, shares = matrix.pca(rows, rows, 64)
+    own = scores.agg(*[F.var_samp(F.col("scores")[i]).alias(f"v{i}") for i in range(64)], *[F.abs(F.covar_samp(F.col("scores")[i], F.col("scores")[i + 1])).alias(f"c{i}") for i in range(63)])
+    total = sum((F.col(f"v{i}") for i in range(1, 64)), F.col("v0"))
+    mixed = F.greatest(*[F.col(f"c{i}") / F.sqrt(F.col(f"v{i}") * F.col(f"v{i + 1}")) for i in range(63)])
+    falls = F.forall(F.array(*[F.col(f"v{i}") - F.col(f"v{i + 1}") for i in range(63)]), lambda d: d > -1e-9)
+    facts = own.select(F.round(total, 6).alias("variance"), F.round(mixed, 5).alias("mixed"), falls.alias("ordered"))
+    return shares.agg(F.round(F.max("cumulative"), 8).alias("cumulative"), F.count("*").alias("n")).crossJoin(facts)
 
 
 def pca_project(spark, sf_dir):
@@ -112,10 +123,11 @@ def pca_project(spark, sf_dir):
 
 
 def pca_whitened(spark, sf_dir):
-    """Variances of whitened scores over the rows that fitted them: 1 each."""
+    """Variances of whitened scores over the rows that fitted them, 1 each, and their covariances, 0 each."""
     rows = _vectors(spark, sf_dir)
     scores = matrix.pca(rows, rows, 3, whiten=True)[0]
-    return scores.agg(*[F.round(F.var_samp(F.col("scores")[i]), 6).alias(f"var{i + 1}") for i in range(3)])
+    pairs = [F.round(F.abs(F.covar_samp(F.col("scores")[i], F.col("scores")[j])), 6).alias(f"cov{i + 1}{j + 1}") for i, j in ((0, 1), (0, 2), (1, 2))]
+    return scores.agg(*[F.round(F.var_samp(F.col("scores")[i]), 6).alias(f"var{i + 1}") for i in range(3)], *pairs)
 
 
 def ica_axes(spark, sf_dir):
@@ -125,9 +137,10 @@ def ica_axes(spark, sf_dir):
 
 
 def mnf_axes(spark, sf_dir):
+    """Noise from each vector's nearest neighbour in a plane of places."""
     rows = _vectors(spark, sf_dir)
-    pair = rows.withColumn("_k", F.floor(F.col("id") / 2)).groupBy("_k").agg(F.min_by("v", "id").alias("a"), F.max_by("v", "id").alias("b"))
-    mean, axes = matrix.noise_fraction_axes(rows, pair.select(matrix.minus(F.col("a"), F.col("b")).alias("v")), 3)
+    placed = rows.withColumns({"x": (F.col("id") * 7919 % 1000).cast("double"), "y": (F.col("id") * 6101 % 997).cast("double")})
+    mean, axes = matrix.noise_fraction_axes(rows, boundary.noise_differences(placed, 60.0), 3)
     return matrix.project(rows, mean, axes).select("id", *[F.col("scores")[i].alias(f"mnf{i + 1}") for i in range(3)])
 
 
@@ -299,8 +312,11 @@ WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(em
 SELECT round((SELECT sum(s) FROM (SELECT var_samp(v) AS s FROM x GROUP BY i)), 6) AS trace,
        round((SELECT covar_samp(embedding[1]::DOUBLE, embedding[2]::DOUBLE) FROM embeddings), 8) AS c01
 """,
-    "explained_cumulative": "SELECT CAST(1.0 AS DOUBLE) AS cumulative, CAST(64 AS BIGINT) AS n",
-    "pca_whitened": "SELECT CAST(1.0 AS DOUBLE) AS var1, CAST(1.0 AS DOUBLE) AS var2, CAST(1.0 AS DOUBLE) AS var3",
+    "explained_cumulative": """
+WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS i FROM embeddings)
+SELECT CAST(1.0 AS DOUBLE) AS cumulative, CAST(64 AS BIGINT) AS n, round(sum(s), 6) AS variance, CAST(0.0 AS DOUBLE) AS mixed, true AS ordered FROM (SELECT i, var_samp(v) AS s FROM x GROUP BY 1)
+""",
+    "pca_whitened": "SELECT CAST(1.0 AS DOUBLE) AS var1, CAST(1.0 AS DOUBLE) AS var2, CAST(1.0 AS DOUBLE) AS var3, CAST(0.0 AS DOUBLE) AS cov12, CAST(0.0 AS DOUBLE) AS cov13, CAST(0.0 AS DOUBLE) AS cov23",
     "ring_facts": f"""
 WITH {POINTS}
 SELECT id, CAST(64.0 AS DOUBLE) AS area, x - 4 AS minx, y + 4 AS maxy, id % 7 < 4 AS inside, CAST(abs(4 - id % 7) AS DOUBLE) AS edge, 5 AS n_points FROM points

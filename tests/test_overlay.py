@@ -131,3 +131,46 @@ def test_grids_do_not_touch_and_truth_falls_back_to_outlines(spark):
     out = boundary.predictions(raster, cells, cells.where("false"), cells.where("row = 0")).collect()
     assert len(out) == 32 and {r.label for r in out if r.row == 0} == {1} and all(r.impurity is None and r.bridge is None for r in out)
     assert {(r.grid, r.row, r.col) for r in out if r.gradient is not None} == {(g, r, c) for g in range(2) for r in (1, 2) for c in (1, 2)}
+
+
+def test_noise_is_that_of_neighbours_in_space(spark):
+    from terralyn.operators import matrix
+
+    rng = np.random.default_rng(3)
+    rows = [(k, float(k % 20), float(k // 20), rng.normal(size=3).tolist()) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, v array<double>")
+    got = sorted(tuple(r.v) for r in boundary.noise_differences(df, 3.0).collect())
+    at = np.array([r[1:3] for r in rows])
+    apart = ((at[:, None] - at[None]) ** 2).sum(axis=2) + np.where(np.eye(len(at)) > 0, np.inf, 0)
+    want = sorted(tuple(np.array(rows[k][3]) - np.array(rows[int(n)][3])) for k, n in enumerate(apart.argmin(axis=1)))
+    assert np.allclose(got, want)
+    alone = spark.createDataFrame([(k, k * 1e6, 0.0, [float(k * k), 1.0]) for k in range(5)], "id long, x double, y double, v array<double>")
+    assert sorted(r.v[0] for r in boundary.noise_differences(alone, 3.0).collect()) == [1, 3, 5, 7]
+    mean, axes = matrix.noise_fraction_axes(df.select("v"), boundary.noise_differences(df, 3.0), 2)
+    assert axes.shape == (2, 3) and np.isfinite(axes).all()
+
+
+def test_principal_axes_equal_a_decomposition(spark):
+    from terralyn.operators import matrix
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 4)) @ rng.normal(size=(4, 4)) + 5
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    mean, axes, variance = matrix.principal_axes(df, 3)
+    _, s, vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose(mean, x.mean(axis=0)) and np.allclose(variance, s**2 / 299)
+    assert np.allclose(np.abs((axes * vt[:3]).sum(axis=1)), 1)
+    scores, shares = matrix.pca(df, df, 3)
+    assert np.allclose([r.explained for r in shares.orderBy("component").collect()], (s**2 / (s**2).sum())[:3])
+    white = np.array([r.scores for r in matrix.pca(df, df, 3, whiten=True)[0].orderBy("id").collect()])
+    assert np.allclose(np.cov(white.T), np.eye(3), atol=1e-6)
+
+
+def test_season_fits_meet_their_calendar(spark):
+    from terralyn.operators import phenology
+
+    calendar = spark.createDataFrame([("maize", "04-15", "10-15", "07-10", "08-20")], "calendar_key string, green_start string, green_end string, peak_start string, peak_end string")
+    rows = [("Maize", 0, 120.0, 280.0, 205.0), ("Maize", 1, 120.0, 280.0, 150.0), ("Maize", 2, 330.0, 430.0, 380.0), ("other", 0, 1.0, 50.0, 20.0), ("Maize", 3, None, None, None)]
+    fits = spark.createDataFrame(rows, "species string, cluster int, sos double, eos double, between double")
+    got = {(r.species, r.cluster): r.in_calendar for r in phenology.calendar_fits(fits, calendar, 2023).collect()}
+    assert got == {("Maize", 0): True, ("Maize", 1): False, ("Maize", 2): False, ("other", 0): True, ("Maize", 3): None}
