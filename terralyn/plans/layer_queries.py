@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terralyn.functions import labels
-from terralyn.operators import layers, phenology, replay
+from terralyn.operators import components, layers, phenology, replay
 from terralyn.plans.derive import OBS, POINTS, observations, points
 from terralyn.plans.season_queries import _curves
+from terralyn.sources import polygons
 from terralyn.sources.scratch import shared_folder
 from terralyn.sources.tables import table
 
@@ -92,7 +93,28 @@ def fitted_rows(spark, sf_dir):
     return out.select("species", "cluster", "day", F.round("observed", 6).alias("observed"), F.round("fitted", 2).alias("fitted"))
 
 
-QUERIES = {f.__name__: f for f in (layer_statuses, layer_facts, plan_signatures, feature_grids, number_texts, variety_labels, late_dates, fitted_rows)}
+def loaded_polygons(spark, sf_dir):
+    """Fields in long form, one row a pair, with WKT, GeoJSON or nothing as geometry, as distinct numbered polygons."""
+    x, y, k = F.col("x").cast("string"), F.col("y").cast("string"), F.col("id")
+    far = (F.col("x") + 5).cast("string")
+    wkt = F.concat(F.when(k % 2 == 0, "SRID=4326;").otherwise(" "), F.lit("POLYGON (("), x, F.lit(" "), y, F.lit(", "), far, F.lit(" "), y, F.lit(", "), far, F.lit(" 999, "), x, F.lit(" "), y, F.lit("))"))
+    json = F.concat(F.lit('{"type":"Polygon","coordinates":[[['), x, F.lit(","), y, F.lit("],["), far, F.lit(","), y, F.lit("],["), far, F.lit(",999],["), x, F.lit(","), y, F.lit("]]]}"))
+    shape = F.when(k % 7 == 6, F.concat(F.lit("POINT ("), x, F.lit(" "), y, F.lit(")"))).when(k % 7 == 5, json).otherwise(wkt)
+    rows = points(spark, sf_dir).where("id is not null").select(F.explode(F.sequence(F.lit(0), k % 3)).alias("pair"), F.when(k % 4 != 0, F.floor(k / 2)).alias("NewID"), "crp_lbl", F.col("id").alias("field"), shape.alias("geometry_wkt"))
+    found = polygons.load_polygons(rows.coalesce(1).sortWithinPartitions("field", "pair"))
+    return found.fields.select("pid", "NewID", "crp_lbl", "field", F.size(F.col("rings")[0]).alias("corners"), F.col("rings")[0][1]["x"].alias("x"), F.lit(found.skipped).cast("long").alias("skipped"))
+
+
+def pixel_components(spark, sf_dir):
+    """What a fit on interior pixels says of itself, users as pixels."""
+    own = observations(spark, sf_dir)
+    pixels = own.groupBy(F.col("field_key").alias("pixel_id"), "date").agg(F.avg("value").alias("value")).withColumn("zone", F.when(F.col("pixel_id") % 3 == 0, "edge_other").otherwise("interior"))
+    out = components.pixel_components(pixels, ["interior"], ["interior", "edge_other"])
+    facts = out.scores.agg(F.count("*").alias("placed"), F.countDistinct("zone").alias("zones"))
+    return facts.select("placed", "zones", *[F.lit(v).alias(n) for n, v in (("fitted", out.fitted), ("dropped", out.dropped), ("dates", out.dates), ("filled", round(out.filled, 6)))])
+
+
+QUERIES = {f.__name__: f for f in (layer_statuses, layer_facts, plan_signatures, feature_grids, number_texts, variety_labels, late_dates, fitted_rows, loaded_polygons, pixel_components)}
 
 _LAYER = f"""
 {POINTS},
@@ -131,6 +153,19 @@ SELECT * FROM t
 SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN replace(replace(p_brand, '#', ' '), '_', ' ') WHEN 1 THEN 'SY Brand ' || split_part(p_brand, '#', 2) || ' ' || p_partkey
   WHEN 2 THEN trim(regexp_replace(replace(p_name, '_', ' '), '\\s+', ' ', 'g')) || ' x' WHEN 3 THEN '(no variety)' ELSE 'Café ' || p_partkey END AS label,
   CASE WHEN list_contains(string_split(lower(p_type), ' '), 'brass') THEN 0 ELSE 1 END AS rank FROM part
+""",
+    "loaded_polygons": f"""
+WITH {POINTS}, r AS (SELECT CASE WHEN id % 4 <> 0 THEN id // 2 END AS "NewID", crp_lbl, id AS field, x, unnest(range(0, id % 3 + 1)) AS pair, id % 7 = 6 AS bare FROM points),
+n AS (SELECT *, row_number() OVER (PARTITION BY "NewID" ORDER BY field, pair) AS k FROM r WHERE NOT bare)
+SELECT row_number() OVER (ORDER BY field, pair) - 1 AS pid, "NewID", crp_lbl, field, CAST(4 AS INTEGER) AS corners, CAST(x + 5 AS DOUBLE) AS x, (SELECT count(*) FROM r WHERE bare) AS skipped FROM n WHERE "NewID" IS NULL OR k = 1
+""",
+    "pixel_components": f"""
+WITH {OBS}, c AS (SELECT field_key, date, avg(value) AS value FROM obs WHERE value IS NOT NULL GROUP BY 1, 2),
+axis AS (SELECT date FROM c GROUP BY 1 HAVING count(*) >= greatest(5, 0.02 * (SELECT count(DISTINCT field_key) FROM c))),
+s AS (SELECT c.* FROM c JOIN axis USING (date)),
+good AS (SELECT field_key, count(*) AS n FROM s GROUP BY 1 HAVING count(*) >= 3 AND date_diff('day', min(date), max(date)) >= 0.5 * (SELECT date_diff('day', min(date), max(date)) FROM axis))
+SELECT count(*) AS placed, count(DISTINCT field_key % 3 = 0) AS zones, CAST(count(*) FILTER (field_key % 3 <> 0) AS INTEGER) AS fitted, CAST((SELECT count(DISTINCT field_key) FROM c) - count(*) AS INTEGER) AS dropped,
+  CAST((SELECT count(*) FROM axis) AS INTEGER) AS dates, round(1 - sum(n) / (count(*) * (SELECT count(*) FROM axis))::DOUBLE, 6) AS filled FROM good
 """,
     "late_dates": f"""
 WITH {OBS}, o AS (SELECT field_key, 's' || field_key % 3 AS species, date, zone, CASE WHEN day(date) % 5 = 0 AND day(date) % 10 <> 0 THEN value * 2 ELSE value END AS value FROM obs WHERE day(date) <> 7)

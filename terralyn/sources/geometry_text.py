@@ -35,12 +35,13 @@ def rings(text: Column) -> Column:
 
 
 def geometry_column(df: DataFrame) -> str | None:
-    """The column of a known name that reads as geometry in the first row, else the first column that does."""
+    """The column of a known name that reads as geometry, of any type, in the first row, else the first column that does."""
     names = {c.lower(): c for c in df.columns}
     texts = [c for c, kind in df.dtypes if kind == "string"]
     order = [names[n] for n in GEOMETRY_NAMES if n in names and names[n] in texts]
     order += [c for c in texts if c not in order]
-    first = df.select(*[rings(F.col(f"`{c}`")).isNotNull().alias(f"_{k}") for k, c in enumerate(order)]).limit(1).collect()
+    json = lambda c: F.get_json_object(c, "$.type").isNotNull() & F.get_json_object(c, "$.coordinates").isNotNull()
+    first = df.select(*[(rings(F.col(f"`{c}`")).isNotNull() | json(F.col(f"`{c}`"))).alias(f"_{k}") for k, c in enumerate(order)]).limit(1).collect()
     return next((c for k, c in enumerate(order) if first and first[0][k]), None)
 
 
