@@ -75,4 +75,4 @@ def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_suffix_array_dedup, op3_minhash_near_dedup, op4_exact_dedup, op5_line_dedup, op6_token_counts, op7_toxicity, op8_packing, op9_warc, op10_quality, op11_conversation_repair, op12_source_divergence, op13_ngram_join)}
 
-ORACLE_SQL: dict[str, str] = {"op3_minhash_near_dedup": near.SQL, "op4_exact_dedup": exact.SQL, "op5_line_dedup": lines.SQL, "op9_warc": warc.SQL, "op12_source_divergence": divergence.SQL, "op13_ngram_join": ngram.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_minhash_near_dedup": near.SQL, "op4_exact_dedup": exact.SQL, "op5_line_dedup": lines.SQL, "op9_warc": warc.SQL, "op11_conversation_repair": repair.SQL, "op12_source_divergence": divergence.SQL, "op13_ngram_join": ngram.SQL}

@@ -345,3 +345,66 @@ def digests(conversations: DataFrame) -> DataFrame:
     none = {"audit": F.lit(""), "repaired_sha256": F.lit(hashlib.sha256().hexdigest())}
     out = ids.join(found, F.col("_id").eqNullSafe(F.col("conv_id")), "left")
     return out.select(F.col("_id").alias("conv_id"), *[F.coalesce(F.col(c), none.get(c, F.lit(0).cast("long"))).alias(c) for c, _ in _DIGEST])
+
+
+def _least(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def _edit(state: str, cost: str, letter: str, said: str = "''") -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 's': {state}.s || {said}}}"
+
+
+def _closed(names: tuple[str, str, str, str]) -> tuple[str, str]:
+    """The states after user and after assistant, rows inserted before them included: the rest do not change."""
+    none, system, user, assistant = names
+    add = lambda state, role: _edit(state, str(INSERT), "I", f"chr(10) || '{role}:'")
+    once = _least(user, add(none, "user"), add(system, "user"), add(assistant, "user"))
+    return once, _least(assistant, add(user, "assistant"), f"{{'c': {INSERT} + ({once}).c, 'a': ({once}).a || 'I', 's': ({once}).s || chr(10) || 'assistant:'}}")
+
+
+def _sql() -> str:
+    """The same by a recursion over rows: of every state of the grammar the cheapest edits so far, with their audit and text."""
+    never = "{'c': 1000000000000, 'a': '', 's': ''}"
+    stays = "CASE r.fault WHEN '-' THEN 0 WHEN 't' THEN 5 ELSE 1000000000000 END"
+    keep = lambda state, kind: f"CASE WHEN r.kind = '{kind}' THEN {_edit(state, stays, 'K', 'chr(10) || r.role || chr(58) || r.text')} ELSE {never} END"
+    turn = lambda state, role: _edit(state, f"1 + {stays}", "R", f"chr(10) || '{role}:' || r.text")
+    gone = lambda state: _edit(state, "2", "D")
+    user = _least(gone("t.q2"), *[turn(f"t.q{k}", "user") for k in (0, 1, 3)], *[keep(f"t.q{k}", "u") for k in (0, 1, 3)])
+    rows = f"SELECT t.conv_id, t.n + 1 AS n, {gone('t.q0')} AS q0, {_least(gone('t.q1'), keep('t.q0', 's'))} AS q1, {user} AS p2, {_least(gone('t.q3'), turn('t.q2', 'assistant'), keep('t.q2', 'a'))} AS p3 FROM t JOIN r ON r.conv_id IS NOT DISTINCT FROM t.conv_id AND r.n = t.n + 1"
+    q2, q3 = _closed(("q0", "q1", "p2", "p3"))
+    first = "{'c': 0, 'a': '', 's': ''}"
+    start2, start3 = _closed((first, never, never, never))
+    return f"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), h AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(key, ''), lambda c: ord(c)::BIGINT)),
+    lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS kind FROM k
+), d AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE kind <> 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM d
+), e AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS again, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid FROM o
+), r AS (
+  SELECT *, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE '-' END AS kind,
+    CASE WHEN solid = '' THEN 'b' WHEN again > 1 THEN 'd' WHEN solid[-1] NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY n) || role[1] AS pair, lag(n) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM e
+), t AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS n, {first} AS q0, {never} AS q1, {start2} AS q2, {start3} AS q3 FROM r
+  UNION ALL SELECT conv_id, n, q0, q1, {q2} AS q2, {q3} AS q3 FROM ({rows})
+), last AS (
+  SELECT conv_id, count(*) AS n, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY 1
+), b AS (
+  SELECT last.*, {_least('t.q0', 't.q3')} AS q FROM last JOIN t ON t.conv_id IS NOT DISTINCT FROM last.conv_id AND t.n = last.n
+)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(q.c, 0) AS BIGINT) AS cost, coalesce(q.a, '') AS audit, sha256(coalesce(q.s[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
+SQL = _sql()
