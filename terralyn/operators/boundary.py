@@ -5,16 +5,20 @@ A raster has rows (row, col, date, value); a cell is usable when it has a value
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralyn.operators import stats
+from terralyn.operators import blocks, stats
 from terralyn.operators.matrix import minus
 from terralyn.operators.relational import numbered
 from terralyn.sources.scratch import cut
 
 #: Rows of a grid at most, and room under it.
 STRIDE = 1 << 20
+#: Rows that meet a slice of reference vectors at a time; bounds a Python worker's memory.
+ROWS = 256
 #: Sobel's weights across and down by offset.
 ACROSS = {(dy, dx): dx * (2 if dy == 0 else 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1)}
 DOWN = {(dy, dx): dy * (2 if dx == 0 else 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1)}
@@ -118,11 +122,46 @@ def noise_differences(pixels: DataFrame, reach: float) -> DataFrame:
     return near.join(own, "id").join(other, "nearest").select(minus(F.col("v"), F.col("_v")).alias("v"))
 
 
-def mean_nearest(rows: DataFrame, reference: DataFrame, k: int = 4, most: int = 10_000) -> DataFrame:
-    """id and the mean distance to the k nearest of at most so many reference vectors (one column, v), held in one row for all."""
-    if reference.limit(most + 1).count() > most:
-        raise ValueError("too many reference rows to meet every row")
-    held = reference.agg(F.collect_list("v").alias("_ref"))
-    apart = lambda m: F.sqrt(F.aggregate(F.zip_with("v", m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    near = rows.select("id", "v").crossJoin(F.broadcast(held)).select("id", F.slice(F.array_sort(F.transform("_ref", apart)), 1, k).alias("_d"))
-    return near.select("id", (F.aggregate("_d", F.lit(0.0), lambda s, x: s + x) / F.when(F.size("_d") > 0, F.size("_d"))).alias("distance"))
+def mean_nearest(rows: DataFrame, reference: DataFrame, k: int = 4) -> DataFrame:
+    """id and the mean distance to the k nearest of the reference vectors (one column, v); null without vectors of that length.
+
+    Slices of the reference, equal vectors counted, meet all rows by matrix products; each passes on a row's k nearest. What
+    a product cannot tell apart is measured by differences.
+    """
+    whole = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())
+    asked = rows.select("id", F.col("v").cast("array<double>").alias("v"))
+    held = reference.select(F.col("v").cast("array<double>").alias("v")).where(whole).groupBy("v").agg(F.count("*").alias("n"))
+    held = held.select(F.size("v").alias("_width"), "v", "n").where("_width > 0")
+    own = asked.where(whole).distinct().select(F.size("v").alias("_width"), F.col("id"), F.xxhash64("v").alias("h"), "v")
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def near(a, b):
+        ref, n = blocks.matrix_of(a.field("v")), a.field("n").to_numpy()
+        for at in range(0, len(b), ROWS):
+            part = b.slice(at, ROWS)
+            x = blocks.matrix_of(part.field("v"))
+            middle = ref.mean(axis=0)  # about the middle, so that large coordinates cancel
+            y, z = x - middle, ref - middle
+            xx, zz = (y * y).sum(axis=1), (z * z).sum(axis=1)
+            far = xx[:, None] - 2 * y @ z.T + zz[None, :]
+            far = np.where(np.isnan(far), np.inf, far)
+            most = min(k, len(ref))
+            least = np.partition(far, most - 1, axis=1)[:, most - 1] + 1e-12 * (xx + zz.max())
+            row, col = np.nonzero((far <= least[:, None]) | ~np.isfinite(least)[:, None])
+            exact = np.empty(len(row))
+            for j in range(0, len(row), 1 << 16):
+                way = x[row[j : j + (1 << 16)]] - ref[col[j : j + (1 << 16)]]
+                exact[j : j + (1 << 16)] = np.sqrt((way * way).sum(axis=1))
+            order = np.lexsort((exact, row))
+            row, col, exact = row[order], col[order], exact[order]
+            starts = np.searchsorted(row, np.arange(len(x)))
+            use = np.arange(len(row)) - starts[row] < k
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[use], minlength=len(x)))]).astype(np.int32)
+            found = pa.StructArray.from_arrays([pa.array(exact[use]), pa.array(n[col[use]])], ["d", "n"])
+            yield pa.RecordBatch.from_arrays([part.field("id"), part.field("h"), pa.ListArray.from_arrays(pa.array(ends), found)], ["id", "h", "near"])
+
+    found = blocks.met(held, own, ["_width"], near, f"id {kind}, h long, near array<struct<d: double, n: long>>")
+    best = found.groupBy("id", "h").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("_d"))
+    copies = F.flatten(F.transform("_d", lambda s: F.array_repeat(s["d"], F.least(s["n"], F.lit(k)).cast("int"))))
+    mean = F.transform(F.array(F.slice(copies, 1, k)), lambda d: F.aggregate(d, F.lit(0.0), lambda s, x: s + x) / F.size(d))[0]
+    return asked.select("id", F.xxhash64("v").alias("h")).join(best.select("id", "h", mean.alias("distance")), ["id", "h"], "left").select("id", "distance")
