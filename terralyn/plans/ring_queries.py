@@ -26,7 +26,7 @@ def _pixels(spark, sf_dir):
 
 
 def ring_pairs(spark, sf_dir):
-    out = rings.neighbour_rings(_fields(spark, sf_dir), REACH, SIZE)
+    out = rings.neighbour_rings(_fields(spark, sf_dir), REACH, SIZE, keep=["id", "crp_lbl"])
     return out.select("a_id", "b_id", "a_crp_lbl", "b_crp_lbl", F.round("distance", 8).alias("distance"))
 
 
@@ -36,7 +36,7 @@ def ring_neighbours(spark, sf_dir):
 
 
 def ring_components(spark, sf_dir):
-    pairs = rings.neighbour_rings(_fields(spark, sf_dir), REACH, SIZE)
+    pairs = rings.neighbour_rings(_fields(spark, sf_dir), REACH, SIZE, keep=["id"])
     return graph.components(pairs.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")))
 
 
