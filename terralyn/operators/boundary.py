@@ -102,13 +102,23 @@ def predictions(raster: DataFrame, inside: DataFrame, edges: DataFrame, outlines
 
 
 def nearest_noise(pixels: DataFrame, reach: float) -> DataFrame:
-    """id and nearest: each pixel's nearest other pixel (id, x, y) in the cells around it; the smaller id on ties."""
-    own = pixels.select("id", "x", "y").withColumns({"_gx": F.floor(F.col("x") / reach), "_gy": F.floor(F.col("y") / reach)})
+    """id and nearest: each pixel's nearest other pixel (id, x, y) in the cells around it; the smaller id on ties.
+
+    Pixels at one place are one place; a search is needed only for places of a single pixel.
+    """
+    own = pixels.select("id", "x", "y").where("x is not null and y is not null")
+    places = own.groupBy("x", "y").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    shared = own.join(places.where("lo <> hi"), ["x", "y"])
+    second = shared.where("id <> lo").groupBy("x", "y").agg(F.min("id").alias("next"))
+    together = shared.where("id <> lo").select("id", F.col("lo").alias("nearest"))
+    together = together.unionByName(places.join(second, ["x", "y"]).select(F.col("lo").alias("id"), F.col("next").alias("nearest"))).withColumn("distance", F.lit(0.0))
+    held = places.withColumns({"_gx": F.floor(F.col("x") / reach), "_gy": F.floor(F.col("y") / reach)})
     near = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
-    asked = own.select("id", "x", "y", near("_gx").alias("_gx"), "_gy").select("id", "x", "y", "_gx", near("_gy").alias("_gy"))
-    met = asked.join(own.select(F.col("id").alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y"), "_gx", "_gy"), ["_gx", "_gy"]).where("id <> _id")
+    asked = held.where("lo = hi").select(F.col("lo").alias("id"), "x", "y", near("_gx").alias("_gx"), "_gy").select("id", "x", "y", "_gx", near("_gy").alias("_gy"))
+    met = asked.join(held.select(F.col("lo").alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y"), "_gx", "_gy"), ["_gx", "_gy"]).where("id <> _id")
     apart = (F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2
-    return met.groupBy("id").agg(F.min(F.struct(apart.alias("d"), F.col("_id").alias("nearest"))).alias("_b")).select("id", "_b.nearest", F.sqrt("_b.d").alias("distance"))
+    found = met.groupBy("id").agg(F.min(F.struct(apart.alias("d"), F.col("_id").alias("nearest"))).alias("_b"))
+    return found.select("id", "_b.nearest", F.sqrt("_b.d").alias("distance")).unionByName(together)
 
 
 def noise_differences(pixels: DataFrame, reach: float) -> DataFrame:

@@ -232,16 +232,18 @@ def dbscan(points: DataFrame, eps: float | None = None, least: int = 4) -> DataF
     """id, cluster (the smallest core id of its cluster, -1 for noise) of points (id, x, y); without eps that of density_reach.
 
     A point with least points within eps, itself included, is a core; cores within eps are one cluster, and another
-    point joins the cluster of its smallest core neighbour.
+    point joins the cluster of its smallest core neighbour. Points at one place share all that, so a place with a count
+    stands for them.
     """
     from terralyn.operators.spatial import near_pairs
 
     if eps is None:
         eps = (density_reach(points, least).first() or [1.0])[0]
-    near = cut(near_pairs(points.select("id", "x", "y"), points.select("id", "x", "y"), eps).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
-    cores = near.groupBy("a").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(F.col("a").alias("id"))
+    places = cut(points.where("x is not null and y is not null").groupBy("x", "y").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    near = cut(near_pairs(places.select("id", "x", "y"), places, eps).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "b_n"))
+    cores = near.groupBy("a").agg(F.sum("b_n").alias("_n")).where(F.col("_n") >= least).select(F.col("a").alias("id"))
     inner = near.join(cores.select(F.col("id").alias("a")), "a", "left_semi").join(cores.select(F.col("id").alias("b")), "b", "left_semi")
     labels = cores.join(components(inner.where("a < b").select(F.col("a").alias("src"), F.col("b").alias("dst"))), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
     border = near.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min(F.struct("b", "cluster")).alias("_b"))
-    out = points.select("id").join(labels, "id", "left").join(border, "id", "left")
-    return out.select("id", F.coalesce("cluster", F.col("_b.cluster"), F.lit(-1)).alias("cluster"))
+    known = places.select("id", "x", "y").join(labels, "id", "left").join(border, "id", "left").select("x", "y", F.coalesce("cluster", F.col("_b.cluster")).alias("cluster"))
+    return points.select("id", "x", "y").join(known, ["x", "y"], "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))

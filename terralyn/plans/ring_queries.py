@@ -41,7 +41,7 @@ def ring_components(spark, sf_dir):
 
 
 def pixels_in_rings(spark, sf_dir):
-    out = rings.points_in_rings(_pixels(spark, sf_dir), _fields(spark, sf_dir), SIZE)
+    out = rings.points_in_rings(_pixels(spark, sf_dir), _fields(spark, sf_dir), SIZE, keep=["id", "crp_lbl"])
     return rings.first_field(out).select("pixel_id", "id", "crp_lbl", F.round("edge_dist", 8).alias("edge_dist"))
 
 

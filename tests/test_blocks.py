@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terralyn.operators import blocks, boundary, rings
+from terralyn.operators import blocks, boundary, cluster, rings
 
 
 def test_mean_nearest_takes_any_number_of_references(spark):
@@ -37,3 +37,25 @@ def test_ring_pairs_judge_a_crowd_in_bulk(spark):
     got = rings.neighbour_rings(df, 1.0, 4.0, keep=["id"]).agg(F.count("*").alias("n"), F.max("distance").alias("d"), F.min(F.col("b_id") - F.col("a_id")).alias("least")).first()
     assert tuple(got) == (1_000_000, 0.0, 1)
     assert rings.overlapping_rings(df.limit(200), df.limit(200), 4.0, ordered=True).count() == 199 * 100
+
+
+def test_a_crowd_at_one_place_is_one_place(spark):
+    """20,000 points at one place were 400 million pairs."""
+    far = spark.createDataFrame([(90_000, 5.0, 5.0), (90_001, 5.5, 5.0), (90_002, 90.0, 90.0)], "id long, x double, y double")
+    df = spark.range(20_000).select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")).unionByName(far)
+    near = {r.id: (r.nearest, r.distance) for r in boundary.nearest_noise(df, 10.0).where("id < 3 or id > 19998").collect()}
+    assert near == {0: (1, 0.0), 1: (0, 0.0), 2: (0, 0.0), 19_999: (0, 0.0), 90_000: (90_001, 0.5), 90_001: (90_000, 0.5)}
+    got = {r.cluster: r.n for r in cluster.dbscan(df, 1.0, 4).groupBy("cluster").agg(F.count("*").alias("n")).collect()}
+    assert got == {0: 20_000, -1: 3}
+
+
+def test_pixels_of_a_crowd_of_fields(spark):
+    """3,000 pixels in 300 equal fields: each pair once, the smallest id first, and each pixel once."""
+    ring = [{"x": x, "y": y} for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0))]
+    fields = spark.createDataFrame([(k, "a", ring) for k in range(300)], "id long, crp_lbl string, ring array<struct<x: double, y: double>>")
+    pixels = spark.range(3000).select(F.col("id").alias("pixel_id"), (F.col("id") % 7 + 0.5).alias("px"), F.lit(1.25).alias("py"))
+    placed = rings.points_in_rings(pixels, fields, 2.0, keep=["id", "crp_lbl"])
+    n = sum(k % 7 < 4 for k in range(3000))
+    assert tuple(placed.agg(F.count("*"), F.countDistinct("pixel_id", "id"), F.min("edge_dist"), F.max("edge_dist")).first()) == (300 * n, 300 * n, 0.5, 1.25)
+    assert tuple(rings.first_field(placed).agg(F.count("*"), F.max("id")).first()) == (n, 0)
+    assert rings.inside_any(pixels, fields, 2.0).count() == n
