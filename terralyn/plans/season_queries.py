@@ -123,7 +123,7 @@ def pixel_zones(spark, sf_dir):
 
 
 def zone_counts(spark, sf_dir):
-    return zones.zone_counts(zones.classify(_pixels(spark, sf_dir), _boxes(spark, sf_dir), 5.0, 6.0, 20.0))
+    return zones.count_zones(_pixels(spark, sf_dir), _boxes(spark, sf_dir), 5.0, 6.0, 20.0)
 
 
 def wkt_fields(spark, sf_dir):
