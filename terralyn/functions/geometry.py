@@ -76,9 +76,11 @@ def turned(ring: Column, degrees: Column, dx: Column | float = 0.0, dy: Column |
 
 def clean_ring(ring: Column) -> Column:
     """A ring without repeated neighbours, closed; null with fewer than three points or no area."""
-    kept = F.filter(ring, lambda p, i: (i == 0) | (p != F.get(ring, i - 1)))
-    open_ = F.when((F.size(kept) > 1) & (F.get(kept, F.lit(0)) == F.get(kept, F.size(kept) - 1)), F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
-    return F.when((F.size(F.array_distinct(open_)) >= 3) & (F.abs(signed_area(open_)) > 1e-12), F.concat(open_, F.slice(open_, 1, 1)))
+    once = lambda value, then: F.transform(F.array(value), then)[0]  # noqa: E731  # a bound variable: each step is evaluated once
+    kept = lambda r: F.filter(r, lambda p, i: (i == 0) | (p != F.get(r, i - 1)))
+    open_ = lambda k: F.when((F.size(k) > 1) & (F.get(k, F.lit(0)) == F.get(k, F.size(k) - 1)), F.slice(k, 1, F.size(k) - 1)).otherwise(k)
+    closed = lambda o: F.when((F.size(F.array_distinct(o)) >= 3) & (F.abs(signed_area(o)) > 1e-12), F.concat(o, F.slice(o, 1, 1)))
+    return once(ring, lambda r: once(kept(r), lambda k: once(open_(k), closed)))
 
 
 def field_gap(a: Column, b: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terralyn.functions import geometry, labels
 from terralyn.operators import stats
 from terralyn.operators.spatial import cells
+from terralyn.sources.scratch import cut
 
 #: Plots of a layer at most, size of a plot that tells degrees from metres, span of an assumed layer of degrees.
 MOST_PLOTS, SPLIT, MOST_SPAN = 5000, 0.1, 60.0
@@ -44,9 +45,9 @@ def layer_facts(checked: DataFrame) -> DataFrame:
     The unit is degrees where all clean coordinates lie on the globe, within a span of MOST_SPAN, and the median plot is
     at most SPLIT wide, else metres; null without a plot.
     """
-    boxes = checked.withColumn("_b", F.when(F.col("status") == "ok", geometry.envelope(F.flatten("rings"))))
+    boxes = cut(checked.select("status", "dropped", "diagonal", F.when(F.col("status") == "ok", geometry.envelope(F.flatten("rings"))).alias("_b")))
     own = boxes.agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES], F.sum("dropped").alias("dropped"), F.min("_b.minx").alias("x0"), F.max("_b.maxx").alias("x1"), F.min("_b.miny").alias("y0"), F.max("_b.maxy").alias("y1"))
-    middle = stats.floor_percentile(checked.withColumn("_all", F.lit(1)), ["_all"], "diagonal", 0.5).agg(F.max("percentile").alias("median"))
+    middle = stats.floor_percentile(boxes.withColumn("_all", F.lit(1)), ["_all"], "diagonal", 0.5).agg(F.max("percentile").alias("median"))
     globe = (F.col("x0") >= -180) & (F.col("x1") <= 180) & (F.col("y0") >= -90) & (F.col("y1") <= 90) & (F.col("x1") - F.col("x0") <= MOST_SPAN) & (F.col("y1") - F.col("y0") <= MOST_SPAN)
     unit = F.when(F.col("ok") > 0, F.when(globe & (F.col("median") <= SPLIT), "degrees").otherwise("metres"))
     return own.crossJoin(F.broadcast(middle)).select(*STATUSES, "dropped", "median", unit.alias("unit"))
@@ -81,16 +82,19 @@ def grids_for(features: DataFrame, grids: DataFrame, size: float, most: int = 10
 
     grids: (layer, grid, preview, minx, miny, maxx, maxy). Boxes meet over cells of a size; a feature that no analysis grid of
     a layer meets takes the preview, which comes from one checked row with the layers. A layer without either gives no row.
+    Grids of one layer and box are met as one and told apart last; a grid has one box.
     """
     layers = grids.groupBy("layer").agg(F.min(F.when(F.col("preview"), F.col("grid"))).alias("grid"))
     if layers.limit(most + 1).count() > most:
         raise ValueError("too many layers to meet every feature")
     over = lambda df: df.withColumn("_gx", F.explode(cells(F.col("minx"), F.col("maxx"), size))).withColumn("_gy", F.explode(cells(F.col("miny"), F.col("maxy"), size)))
     box = ["minx", "miny", "maxx", "maxy"]
+    kind = F.struct("layer", *box).alias("_kind")
     asked = over(features.select("id", *box)).select("id", "_gx", "_gy", F.struct(*box).alias("a"))
-    held = over(grids.where("not preview")).select("layer", "grid", "_gx", "_gy", F.struct(*box).alias("b"))
+    held = over(grids.where("not preview").select("layer", *box).distinct()).select(kind, "_gx", "_gy", F.struct(*box).alias("b"))
     meet = (F.col("a.minx") <= F.col("b.maxx")) & (F.col("b.minx") <= F.col("a.maxx")) & (F.col("a.miny") <= F.col("b.maxy")) & (F.col("b.miny") <= F.col("a.maxy"))
-    hits = asked.join(held, ["_gx", "_gy"]).where(meet).select("id", "layer", "grid").distinct()
+    hits = asked.join(held, ["_gx", "_gy"]).where(meet).select("id", F.col("_kind.layer").alias("layer"), "_kind").distinct()
     every = features.select("id").crossJoin(F.broadcast(layers.agg(F.collect_list(F.struct("layer", "grid")).alias("_l")))).select("id", F.explode("_l").alias("_l")).select("id", "_l.layer", F.col("_l.grid").alias("_preview"))
-    out = every.join(hits, ["id", "layer"], "left").select("id", "layer", F.coalesce("grid", "_preview").alias("grid"))
-    return out.where("grid is not null")
+    placed = cut(every.join(hits, ["id", "layer"], "left"))
+    held = placed.where("_kind is not null").join(grids.where("not preview").select(kind, "grid").distinct(), "_kind").select("id", "layer", F.coalesce("grid", "_preview").alias("grid"))
+    return held.unionByName(placed.where("_kind is null").select("id", "layer", F.col("_preview").alias("grid"))).where("grid is not null")
