@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terralyn.operators.spatial import kinds, near_pairs, neighbour_pairs
 from terralyn.sources.scratch import cut, drop
 
 #: Links that a task joins at a time; bounds a Python worker's memory.
@@ -80,9 +81,31 @@ def _labels(links: DataFrame, alone: DataFrame) -> DataFrame:
     return known.unionByName(alone.join(known, "id", "left_anti").withColumn("component", F.col("id")))
 
 
+def near_groups(fields: DataFrame, reach: float) -> DataFrame:
+    """component and n of the groups of at least two fields (id, x, y) that links of at most reach join; a place stands for its fields."""
+    places = cut(fields.where("id is not null").groupBy("x", "y").agg(F.min("id").alias("id"), F.countDistinct("id").alias("n")))
+    near = near_pairs(places.select("id", "x", "y"), places.select("id", "x", "y"), reach, F.col("a_id") < F.col("b_id"))
+    crowds = places.where("n > 1 and x is not null and y is not null").select(F.col("id").alias("src"), F.col("id").alias("dst"))
+    labels = components(near.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")).unionByName(crowds))
+    return labels.join(places.select("id", "n"), "id").groupBy("component").agg(F.sum("n").alias("n"))
+
+
+def neighbour_components(fields: DataFrame, reach: float) -> DataFrame:
+    """components of neighbour_pairs: fields of one place and species share their neighbours, so one stands for them."""
+    own = cut(kinds(fields))
+    labels = components(neighbour_pairs(own, reach).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")))
+    found = own.join(labels, "id").select("x", "y", "crp_lbl", "component")
+    return fields.select("id", "x", "y", "crp_lbl").join(found, ["x", "y", "crp_lbl"]).groupBy("id").agg(F.min("component").alias("component"))
+
+
 def spanning(fields: DataFrame, edges: DataFrame, species: list[str]) -> DataFrame:
     """Fields (id, crp_lbl) of components that hold every one of some species; all linked fields for two or fewer."""
-    labels = components(edges).join(fields.select("id", "crp_lbl"), "id")
+    return labelled_spanning(fields, components(edges), species)
+
+
+def labelled_spanning(fields: DataFrame, labels: DataFrame, species: list[str]) -> DataFrame:
+    """spanning for known components (id, component): fields of those that hold every one of some species."""
+    labels = labels.join(fields.select("id", "crp_lbl"), "id")
     if len(species) <= 2:
         return labels.select("id", "crp_lbl", "component")
     held = labels.where(F.col("crp_lbl").isin(species)).groupBy("component").agg(F.countDistinct("crp_lbl").alias("_n"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terralyn.operators import graph, relational, spatial
 from terralyn.plans.derive import PAIRS, POINTS, REACH, points
+from terralyn.sources.scratch import cut
 from terralyn.sources.tables import table
 
 
@@ -112,24 +113,27 @@ def points_in_fields(spark, sf_dir):
     return spatial.points_in_squares(pixels, squares, 8.0).select("pixel_id", "id", "edge_dist")
 
 
-def _edges(spark, sf_dir):
-    return spatial.neighbour_pairs(points(spark, sf_dir), REACH).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))
+def _kinds(spark, sf_dir):
+    """One field for each place and species, and the links of these: what they span, all fields span."""
+    own = cut(spatial.kinds(points(spark, sf_dir)))
+    return own, spatial.neighbour_pairs(own, REACH).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))
 
 
 def adjacency_components(spark, sf_dir):
-    return graph.components(_edges(spark, sf_dir))
+    return graph.neighbour_components(points(spark, sf_dir), REACH)
 
 
 def spanning_components(spark, sf_dir):
-    return graph.spanning(points(spark, sf_dir), _edges(spark, sf_dir), ["BUILDING", "MACHINERY", "FURNITURE"])
+    fields = points(spark, sf_dir)
+    return graph.labelled_spanning(fields, graph.neighbour_components(fields, REACH), ["BUILDING", "MACHINERY", "FURNITURE"])
 
 
 def set_spans(spark, sf_dir):
-    return graph.spans(points(spark, sf_dir), _edges(spark, sf_dir), ["BUILDING", "MACHINERY", "FURNITURE"])
+    return graph.spans(*_kinds(spark, sf_dir), ["BUILDING", "MACHINERY", "FURNITURE"])
 
 
 def valid_additions(spark, sf_dir):
-    return graph.valid_additions(points(spark, sf_dir), _edges(spark, sf_dir), ["BUILDING", "MACHINERY"])
+    return graph.valid_additions(*_kinds(spark, sf_dir), ["BUILDING", "MACHINERY"])
 
 
 QUERIES = {f.__name__: f for f in (species_list, field_dedup, numbered_fields, merge_new, not_in_series, species_of_attributes, polygon_labels, evenly_spaced, evenly_indexed, hash_keep, ranked_clusters, clean_values, sql_script, neighbour_pairs, nearest_pairs, neighbour_fields, pairs_long, overlapping_boxes, points_in_fields, adjacency_components, spanning_components, set_spans, valid_additions)}

@@ -147,10 +147,7 @@ def species_graph(spark, sf_dir):
 
 def field_groups(spark, sf_dir):
     """Components of at least two fields, whatever their species, with their size."""
-    fields = points(spark, sf_dir)
-    near = spatial.near_pairs(fields, fields, REACH, F.col("a_id") < F.col("b_id"))
-    labels = graph.components(near.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")))
-    return labels.groupBy("component").agg(F.count("*").alias("n"))
+    return graph.near_groups(points(spark, sf_dir), REACH)
 
 
 QUERIES = {f.__name__: f for f in (season_fit, season_windows, growing_season, picked_seasons, period_fits, growth_signal, coarse_windows, hidden_transitions, calendar_match, calendar_peaks, carried_marks, kmeans_scenarios, density_clusters, pixel_zones, zone_counts, wkt_fields, cell_features, species_graph, field_groups)}
