@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from terralyn.sources.scratch import cut
 STRIDE = 1 << 20
 #: Rows that meet a slice of reference vectors at a time; bounds a Python worker's memory.
 ROWS = 256
+#: Pairs of pixels that one step compares.
+PAIRS = 1 << 20
 #: Sobel's weights across and down by offset.
 ACROSS = {(dy, dx): dx * (2 if dy == 0 else 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1)}
 DOWN = {(dy, dx): dy * (2 if dx == 0 else 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1)}
@@ -115,9 +118,24 @@ def nearest_noise(pixels: DataFrame, reach: float) -> DataFrame:
     held = places.withColumns({"_gx": F.floor(F.col("x") / reach), "_gy": F.floor(F.col("y") / reach)})
     near = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
     asked = held.where("lo = hi").select(F.col("lo").alias("id"), "x", "y", near("_gx").alias("_gx"), "_gy").select("id", "x", "y", "_gx", near("_gy").alias("_gy"))
-    met = asked.join(held.select(F.col("lo").alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y"), "_gx", "_gy"), ["_gx", "_gy"]).where("id <> _id")
-    apart = (F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2
-    found = met.groupBy("id").agg(F.min(F.struct(apart.alias("d"), F.col("_id").alias("nearest"))).alias("_b"))
+
+    def judge(others, own):
+        others = others.take(pc.sort_indices(others.field("id")))  # of equal distances the first is taken
+        values = lambda rows: [rows.field(c).to_numpy(zero_copy_only=False) for c in ("id", "x", "y")]
+        (a, ax, ay), (b, bx, by) = values(others), values(own)
+        step = max(1, PAIRS // max(1, len(a)))
+        for at in range(0, len(b), step):
+            to = slice(at, at + step)
+            squared = np.where(a[None] != b[to, None], (bx[to, None] - ax[None]) ** 2 + (by[to, None] - ay[None]) ** 2, np.inf)
+            squared[np.isnan(squared)] = np.inf
+            k = squared.argmin(axis=1)
+            d = squared[np.arange(len(k)), k]
+            use = np.isfinite(d)
+            yield pa.RecordBatch.from_arrays([own.field("id").slice(at, len(k)).filter(pa.array(use)), pa.array(d[use]), others.field("id").take(pa.array(k[use]))], ["id", "d", "nearest"])
+
+    kind = pixels.schema["id"].dataType.simpleString()
+    met = blocks.met(held.select(F.col("lo").alias("id"), "x", "y", "_gx", "_gy"), asked, ["_gx", "_gy"], judge, f"id {kind}, d double, nearest {kind}")
+    found = met.groupBy("id").agg(F.min(F.struct("d", "nearest")).alias("_b"))
     return found.select("id", "_b.nearest", F.sqrt("_b.d").alias("distance")).unionByName(together)
 
 

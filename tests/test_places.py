@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from terralyn.functions import geometry
-from terralyn.operators import graph, layers, spatial
+from terralyn.operators import boundary, graph, layers, phenology, spatial
 
 
 def _crowd(spark, n):
@@ -57,3 +57,20 @@ def test_clean_rings_bind_their_steps(spark):
     clean = rings.select(geometry.clean_ring(F.col("ring")).alias("ring"))
     assert [(p.x, p.y) for p in clean.first().ring] == [(0, 0), (2, 0), (2, 2), (0, 0)]
     assert clean._jdf.queryExecution().optimizedPlan().toString().count("filter(") == 1
+
+
+def test_calendars_meet_windows_without_a_row_for_each_year(spark):
+    windows = spark.createDataFrame([(1, "maize", "2020-05-01", "2020-06-01"), (1, "maize", "2020-05-01", "2020-06-01"), (2, "rye", "2020-01-01", "2020-02-01")], "id long, crop_key string, s string, e string")
+    windows = windows.select("id", "crop_key", F.to_date("s").alias("start"), F.to_date("e").alias("end"))
+    calendar = spark.createDataFrame([("maize", "04-15", "10-15")], "calendar_key string, green_start string, green_end string")
+    got = phenology.matches_calendar(windows, calendar)
+    assert sorted((r.id, r.overlap, r.fits) for r in got.collect()) == [(1, 32, True), (2, None, True)]
+    assert "Generate" not in _plan(got)
+
+
+def test_nearest_noise_sorts_no_pairs(spark):
+    """Pairs of pixels went through a sort for the aggregate, and were spilled."""
+    df = spark.range(3000).select("id", (F.col("id") % 60).cast("double").alias("x"), F.floor(F.col("id") / 60).cast("double").alias("y"))
+    got = boundary.nearest_noise(df, 60.0)
+    assert "MapInArrow" in _plan(got)
+    assert {r.id: (r.nearest, r.distance) for r in got.where("id in (0, 61, 2999)").collect()} == {0: (1, 1.0), 61: (1, 1.0), 2999: (2939, 1.0)}
