@@ -66,12 +66,12 @@ def outline_cells(spark, sf_dir):
 
 
 def cell_overlaps(spark, sf_dir):
-    """The area that each field shares with the unit cells of its middle row."""
+    """The area that each field shares with the unit cells of its middle row; equal fields are measured once."""
     own = points(spark, sf_dir).select("id", "x", "y").join(_fields(spark, sf_dir).select("id", "ring"), "id")
     k = F.explode(F.sequence(F.lit(-5), F.lit(4))).alias("k")
-    cells = own.select("id", k, "x", "y", "ring")
+    cells = own.select("x", "y", "ring").distinct().select(k, "x", "y", "ring")
     area = geometry.overlap_area(F.col("ring"), F.col("x") + F.col("k"), F.col("y"), F.col("x") + F.col("k") + 1, F.col("y") + 1)
-    return cells.select("id", "k", F.round(area, 8).alias("area"))
+    return own.join(cells.select("x", "y", "ring", "k", F.round(area, 8).alias("area")), ["x", "y", "ring"]).select("id", "k", "area")
 
 
 def trial_angle(spark, sf_dir):
