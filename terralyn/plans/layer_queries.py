@@ -101,7 +101,7 @@ def loaded_polygons(spark, sf_dir):
     json = F.concat(F.lit('{"type":"Polygon","coordinates":[[['), x, F.lit(","), y, F.lit("],["), far, F.lit(","), y, F.lit("],["), far, F.lit(",999],["), x, F.lit(","), y, F.lit("]]]}"))
     shape = F.when(k % 7 == 6, F.concat(F.lit("POINT ("), x, F.lit(" "), y, F.lit(")"))).when(k % 7 == 5, json).otherwise(wkt)
     rows = points(spark, sf_dir).where("id is not null").select(F.explode(F.sequence(F.lit(0), k % 3)).alias("pair"), F.when(k % 4 != 0, F.floor(k / 2)).alias("NewID"), "crp_lbl", F.col("id").alias("field"), shape.alias("geometry_wkt"))
-    found = polygons.load_polygons(rows.coalesce(1).sortWithinPartitions("field", "pair"))
+    found = polygons.load_polygons(rows.orderBy("field", "pair"))
     return found.fields.select("pid", "NewID", "crp_lbl", "field", F.size(F.col("rings")[0]).alias("corners"), F.col("rings")[0][1]["x"].alias("x"), F.lit(found.skipped).cast("long").alias("skipped"))
 
 

@@ -16,9 +16,9 @@ def rings_of_wkt(text: Column) -> Column:
     parts = F.regexp_extract_all(plain, F.lit(r"\(([^()]+)\)"), F.lit(1))
     point = lambda p: F.filter(F.split(F.trim(p), r"\s+"), lambda w: w != "")
     ring = lambda r: F.transform(F.split(r, ","), lambda p: F.struct(F.get(point(p), F.lit(0)).try_cast("double").alias("x"), F.get(point(p), F.lit(1)).try_cast("double").alias("y")))
-    rings = F.transform(parts, ring)
-    whole = ~F.exists(rings, lambda r: F.exists(r, lambda p: p["x"].isNull() | p["y"].isNull()))
-    return F.when(plain.rlike(r"(?i)^(MULTI)?POLYGON\s*\(") & (F.size(rings) > 0) & whole, rings)
+    whole = lambda rings: ~F.exists(rings, lambda r: F.exists(r, lambda p: p["x"].isNull() | p["y"].isNull()))
+    found = F.transform(F.array(F.transform(parts, ring)), lambda rings: F.when((F.size(rings) > 0) & whole(rings), rings))[0]  # bound, so evaluated once
+    return F.when(plain.rlike(r"(?i)^(MULTI)?POLYGON\s*\("), found)
 
 
 def rings_of_geojson(text: Column) -> Column:

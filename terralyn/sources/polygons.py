@@ -38,7 +38,7 @@ def load_polygons(rows: DataFrame, keep: Callable[[DataFrame], DataFrame] | None
     if column is None:
         raise ValueError("no geometry column found: return a WKT column, such as ST_AsText(geometry) AS geometry_wkt")
     attributes = [c for c in own.columns if c not in (column, "_at")]
-    read = own.withColumn("_rings", rings(F.col(f"`{column}`")))
+    read = cut(own.withColumn("_rings", rings(F.col(f"`{column}`"))))
     skipped = read.where("_rings is null").count()
     polygons = read.where("_rings is not null").select("_at", F.col("_rings").alias("rings"), *[F.col(f"`{c}`") for c in attributes])
     if not polygons.limit(1).count():

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from terralyn.functions import geometry
 from terralyn.operators import boundary, graph, layers, phenology, spatial
+from terralyn.plans import layer_queries
+from terralyn.sources import polygons
 
 
 def _crowd(spark, n):
@@ -74,3 +76,10 @@ def test_nearest_noise_sorts_no_pairs(spark):
     got = boundary.nearest_noise(df, 60.0)
     assert "MapInArrow" in _plan(got)
     assert {r.id: (r.nearest, r.distance) for r in got.where("id in (0, 61, 2999)").collect()} == {0: (1, 1.0), 61: (1, 1.0), 2999: (2939, 1.0)}
+
+
+def test_polygons_are_not_read_by_one_task(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(layer_queries.polygons, "load_polygons", lambda rows: seen.append(_plan(rows)) or polygons.Polygons(rows.selectExpr("1L pid", "NewID", "crp_lbl", "field", "array(array(named_struct('x', 1D))) rings"), [], 0))
+    layer_queries.loaded_polygons(spark, sf)
+    assert "Coalesce" not in seen[0] and "rangepartitioning(field" in seen[0]
