@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from terralyn.operators.blocks import met
 from terralyn.operators.graph import components
 from terralyn.operators.stats import floor_percentile
 from terralyn.sources.scratch import cut
@@ -186,41 +188,75 @@ def kmeans(rows: DataFrame, group: str, k: int, rounds: int = 100, restarts: int
     return placed.join(F.broadcast(rank), [group, "cluster"]).select(group, "id", F.col("_rank").cast("int").alias("cluster"))
 
 
-def nearest_distance(points: DataFrame, k: int = 4, crowd: int = 64) -> DataFrame:
+def _nearest_of(want: int, size: float):
+    """A body for blocks.met: of each place (x, y) its nearest of the places (x, y, n) within size, the (d, m) of want points at least.
+
+    Its own place is one of them, with a point fewer; matrices stay at about a million numbers.
+    """
+
+    def near(a: pa.StructArray, b: pa.StructArray):
+        (x, y), (u, v, n) = ([s.field(c).to_numpy(zero_copy_only=False) for c in names] for s, names in ((a, "xy"), (b, "xyn")))
+        step = max(1, (1 << 20) // len(b))
+        for lo in range(0, len(x), step):
+            px, py = x[lo : lo + step, None], y[lo : lo + step, None]
+            far = (px - u) ** 2 + (py - v) ** 2
+            best = np.argpartition(far, want, axis=1)[:, : want + 1] if len(b) > want + 1 else np.broadcast_to(np.arange(len(b)), far.shape)
+            d = np.sqrt(np.take_along_axis(far, best, axis=1))
+            m = n[best] - ((u[best] == px) & (v[best] == py))
+            kept = (d <= size) & (m > 0)
+            ends = np.concatenate([[0], kept.sum(axis=1).cumsum()]).astype(np.int32)
+            by = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(d[kept]), pa.array(m[kept])], ["d", "m"]))
+            yield pa.RecordBatch.from_arrays([pa.array(px[:, 0]), pa.array(py[:, 0]), by], ["x", "y", "by"])
+
+    return near
+
+
+def nearest_distance(points: DataFrame, k: int = 4, crowd: int = 16) -> DataFrame:
     """id and the exact distance of each point (id, x, y) to its kth nearest other one, or to the farthest where there are fewer.
 
-    Points at one place are one place with a count. Cells start so small that no cell holds over crowd * k places; a place
-    is settled when k others lie within one cell's size, else it asks again at twice the size, so a crowd is settled
-    while cells are small and only lone places go on to large ones. Null where a point has no other.
+    Points at one place are one place with a count; a place of over k points is settled by that. Cells start so small that
+    no cell holds over crowd * k places; a place is settled when k others lie within one cell's size, else it asks again
+    at twice the size, so a crowd is settled while cells are small and only lone places go on to large ones. Null where a
+    point has no other. What is not finite is told by counts: NaN, which comes after all else, or infinite.
     """
     places = cut(points.groupBy("x", "y").agg(F.count("*").alias("n")).where("x is not null and y is not null"))
-    box = places.agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))], F.sum("n").alias("n"), F.count("*").alias("places")).first()
-    if not box["n"]:
-        return points.select("id", F.lit(None).cast("double").alias("distance")).limit(0)
-    span = max(box["hix"] - box["lox"], box["hiy"] - box["loy"]) or 1.0
-    want = min(k, box["n"] - 1)
-    cell = lambda c, size: F.floor(F.col(c) / size)
-    size = span
-    while places.groupBy(cell("x", size), cell("y", size)).count().where(F.col("count") > crowd * k).limit(1).count() and size > span * 2.0**-50:
-        size /= 2
-    done, open_ = None, places
-    while True:
-        around = [F.explode(F.sequence(cell(c, size) - 1, cell(c, size) + 1)).alias(f"_g{c}") for c in "xy"]
-        asked = open_.select("x", "y", "n", around[0]).select("x", "y", "n", "_gx", around[1])
-        held = places.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("n").alias("_n"), cell("x", size).alias("_gx"), cell("y", size).alias("_gy"))
-        apart = F.sqrt((F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2)
-        near = asked.join(held, ["_gx", "_gy"]).withColumn("d", apart).where(F.col("d") <= size)
-        others = F.col("_n") - F.when(F.col("d") == 0, 1).otherwise(0)
-        found = near.groupBy("x", "y", "n").agg(F.sum(others).alias("_seen"), F.array_sort(F.collect_list(F.struct("d", others.alias("m")))).alias("_by"))
-        run = F.aggregate("_by", F.struct(F.lit(0).cast("long").alias("t"), F.lit(None).cast("double").alias("d")), lambda s, v: F.struct((s["t"] + v["m"]).alias("t"), F.when(s["t"] >= want, s["d"]).otherwise(v["d"]).alias("d")))
-        found = cut(found.select("x", "y", "n", F.when(F.col("_seen") >= want, run["d"]).alias("d")))
-        settled = found.where("d is not null").select("x", "y", "d")
-        done = settled if done is None else done.unionByName(settled)
-        open_ = found.where("d is null").select("x", "y", "n")
-        if want == 0 or size > 2 * span or not open_.limit(1).count():
-            break
-        size *= 2
-    return points.join(done, ["x", "y"], "left").select("id", F.when(F.lit(want > 0), F.col("d")).alias("distance"))
+    side = lambda c: F.when(~F.isnan(c), F.when(F.abs(c) == math.inf, F.signum(c)).otherwise(0.0))
+    sides = {(r.x, r.y): r.n for r in places.groupBy(side("x").alias("x"), side("y").alias("y")).agg(F.sum("n").alias("n")).collect()}  # 16 at most
+    if not sides:
+        return points.select("id", F.lit(None).cast("double").alias("distance"))
+    want = min(k, sum(sides.values()) - 1)
+    places = places.where((side("x") == 0) & (side("y") == 0))
+    box = places.agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))], F.count("*").alias("places")).first()
+    done, open_ = places.where(F.col("n") > want).select("x", "y", F.lit(0.0).alias("d")), places.where(F.col("n") <= want)
+    if sides.get((0, 0), 0) > want:
+        span = max(box["hix"] - box["lox"], box["hiy"] - box["loy"]) or 1.0
+        cell = lambda c, size: F.floor(F.col(c) / size)
+        size = span * 2.0 ** -max(0, math.floor(math.log2(box["places"] / (crowd * k)) / 2))  # larger ones hold more on average
+        while places.groupBy(cell("x", size), cell("y", size)).count().where(F.col("count") > crowd * k).limit(1).count() and size > span * 2.0**-50:
+            size /= 2
+        while open_.limit(1).count():
+            own = [cell(c, size).alias(f"_g{c}") for c in "xy"]
+            asked = open_.select(*own, "x", "y")
+            beside = [F.explode(F.sequence(F.col(f"_g{c}") - 1, F.col(f"_g{c}") + 1)).alias(f"_h{c}") for c in "xy"]
+            cells = asked.select("_gx", "_gy").distinct().select("*", beside[0]).select("*", beside[1])
+            held = places.select(*[cell(c, size).alias(f"_h{c}") for c in "xy"], "x", "y", "n").join(cells, ["_hx", "_hy"]).select("_gx", "_gy", "x", "y", "n")
+            near = met(asked, held, ["_gx", "_gy"], _nearest_of(want, size), "x double, y double, by array<struct<d: double, m: long>>")
+            found = near.groupBy("x", "y").agg(F.array_sort(F.flatten(F.collect_list("by"))).alias("by"))
+            run = F.aggregate("by", F.struct(F.lit(0).cast("long").alias("t"), F.lit(None).cast("double").alias("d")), lambda s, v: F.struct((s["t"] + v["m"]).alias("t"), F.when(s["t"] >= want, s["d"]).otherwise(v["d"]).alias("d")))
+            found = cut(found.select("x", "y", run.alias("run")).select("x", "y", F.when(F.col("run.t") >= want, F.col("run.d")).alias("d")))
+            done = done.unionByName(found.where("d is not null"))
+            open_ = found.where("d is null").select("x", "y")
+            if size > 2 * span:
+                break
+            size *= 2
+    sx, sy = side("x"), side("y")
+    unknown = F.lit(0)  # points at no known distance of an infinite one, itself included
+    known = {own: n for own, n in sides.items() if None not in own}
+    for (x, y), n in known.items():
+        unknown += F.when((sx != 0) & (sx == x) | (sy != 0) & (sy == y), n).otherwise(0)
+    there = F.when(sx.isNotNull() & sy.isNotNull(), sum(known.values()) - F.when((sx == 0) & (sy == 0), 1).otherwise(unknown))
+    far = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.when(there >= want, math.inf).otherwise(math.nan))
+    return points.join(done, ["x", "y"], "left").select("id", F.when(F.lit(want > 0), F.coalesce("d", far)).alias("distance"))
 
 
 def density_reach(points: DataFrame, k: int = 4, share: float = 0.75) -> DataFrame:

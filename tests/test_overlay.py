@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terralyn.functions import geometry
-from terralyn.operators import blobs, boundary, cluster, hulls, rings
+from terralyn.operators import blobs, blocks, boundary, cluster, hulls, rings
 
 
 def test_hulls_leave_out_collinear_and_repeated_points(spark):
@@ -94,6 +94,41 @@ def test_nearest_distances_of_few_points(spark):
     assert cluster.density_reach(spark.createDataFrame([(1, 2.0, 3.0), (2, 2.0, 3.0)], "id long, x double, y double")).first().eps == 1.0
 
 
+def test_nearest_distances_settle_full_places_unasked(spark, monkeypatch):
+    """Each place holds over k points, which says 0; these asked nine cells of places as pairs before."""
+    monkeypatch.setattr(cluster, "met", None)
+    df = spark.range(20_000).select("id", (F.col("id") % 1000).cast("double").alias("x"), (F.col("id") % 500).cast("double").alias("y"))
+    assert tuple(cluster.nearest_distance(df, 4).agg(F.count("distance"), F.max("distance")).first()) == (20_000, 0.0)
+    assert cluster.density_reach(df).first().eps == 1.0
+
+
+def test_nearest_distances_judge_a_cell_in_bulk(spark, monkeypatch):
+    """All places in one cell, in slices and in batches whose nearest are put together; met did not take part before."""
+    calls, own = [], cluster.met
+    monkeypatch.setattr(cluster, "met", lambda *args: calls.append(1) or own(*args))
+    monkeypatch.setattr(blocks, "CROWD", 500)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        points = np.random.default_rng(3).integers(0, 60, (2500, 2)).astype(float)
+        df = spark.createDataFrame([(i, *p) for i, p in enumerate(points.tolist())], "id long, x double, y double")
+        got = {r.id: r.distance for r in cluster.nearest_distance(df, 4, crowd=10_000).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    apart = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(apart, np.inf)
+    assert [got[i] for i in range(2500)] == np.sort(apart, axis=1)[:, 3].tolist() and len(calls) == 1
+
+
+def test_nearest_distances_of_odd_coordinates(spark):
+    """As SQL orders them, infinite ones before NaN; rows without coordinates were lost where none had any."""
+    frame = lambda *rows: spark.createDataFrame(list(enumerate(rows)), "id long, p struct<x: double, y: double>").select("id", "p.x", "p.y")
+    near = lambda df, k: [repr(r.distance) for r in cluster.nearest_distance(df, k).orderBy("id").collect()]
+    assert near(frame((None, 1.0), (2.0, None)), 4) == ["None", "None"]
+    odd = frame((0.0, 0.0), (3.0, 4.0), (0.0, 1.0), (math.nan, 0.0), (math.inf, 0.0), (None, 0.0), (math.inf, 1.0), (0.0, -math.inf))
+    assert near(odd, 2) == ["5.0", "5.0", repr(math.sqrt(18)), "nan", "inf", "None", "inf", "inf"]
+    assert near(odd, 5) == ["inf", "inf", "inf", "nan", "nan", "None", "nan", "inf"]
+
+
 def test_blobs_of_few_members_and_of_noise(spark):
     rows = [(k, 0.0 + k % 3, 1.0 * (k % 2), 0) for k in range(12)] + [(20 + k, 50.0 + k, 50.0, 1) for k in range(3)] + [(30, 9.0, 9.0, -1)]
     df = spark.createDataFrame(rows, "id long, x double, y double, cluster int")
