@@ -36,8 +36,7 @@ def ring_neighbours(spark, sf_dir):
 
 
 def ring_components(spark, sf_dir):
-    pairs = rings.neighbour_rings(_fields(spark, sf_dir), REACH, SIZE, keep=["id"])
-    return graph.components(pairs.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")))
+    return graph.components(rings.linked_rings(_fields(spark, sf_dir), REACH, SIZE, mixed=True))
 
 
 def pixels_in_rings(spark, sf_dir):
