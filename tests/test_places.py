@@ -1,5 +1,7 @@
 """Crowds of fields at one place are met as one: pairs, groups, grids and areas."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from terralyn.functions import geometry
@@ -83,3 +85,15 @@ def test_polygons_are_not_read_by_one_task(spark, sf, monkeypatch):
     monkeypatch.setattr(layer_queries.polygons, "load_polygons", lambda rows: seen.append(_plan(rows)) or polygons.Polygons(rows.selectExpr("1L pid", "NewID", "crp_lbl", "field", "array(array(named_struct('x', 1D))) rings"), [], 0))
     layer_queries.loaded_polygons(spark, sf)
     assert "Coalesce" not in seen[0] and "rangepartitioning(field" in seen[0]
+
+
+def test_pairs_of_fields_are_never_shuffled(spark, monkeypatch):
+    """Pairs of places and fields were, some 130 million rows at 6 GB; places of any number of fields meet in lists of a bounded size."""
+    monkeypatch.setattr(spatial, "MEMBERS", 5)
+    rng = random.Random(8)
+    rows = [(k, None if k % 19 == 18 else rng.choice("abc"), float(rng.randrange(6)), float(rng.randrange(6))) for k in range(300)]
+    pairs = spatial.neighbour_pairs(spark.createDataFrame(rows, "id long, crp_lbl string, x double, y double"), 1.5, digits=3)
+    top = pairs._jdf.queryExecution().executedPlan().toString().split("Join")[0]
+    assert top.count("Generate explode") == 2 and "Exchange" not in top
+    want = [(a, b, p, q, round(((x - u) ** 2 + (y - v) ** 2) ** 0.5, 3)) for a, p, x, y in rows for b, q, u, v in rows if a < b and p and q and p != q and (x - u) ** 2 + (y - v) ** 2 <= 2.25]
+    assert sorted((r.a_id, r.b_id, r.a_crp_lbl, r.b_crp_lbl, r.distance) for r in pairs.collect()) == sorted(want)
