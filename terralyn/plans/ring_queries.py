@@ -26,8 +26,8 @@ def _pixels(spark, sf_dir):
 
 
 def ring_pairs(spark, sf_dir):
-    out = rings.neighbour_rings(_fields(spark, sf_dir), REACH, SIZE, keep=["id", "crp_lbl"])
-    return out.select("a_id", "b_id", "a_crp_lbl", "b_crp_lbl", F.round("distance", 8).alias("distance"))
+    out = rings.neighbours_of_alike(_fields(spark, sf_dir), REACH, SIZE, 8)
+    return out.select("a_id", "b_id", "a_crp_lbl", "b_crp_lbl", "distance")
 
 
 def ring_neighbours(spark, sf_dir):

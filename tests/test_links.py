@@ -77,3 +77,16 @@ def test_sides_on_one_line_far_apart_do_not_cross():
     for a, b, apart in ((5284, 244_450, 0.84824083), (70_089, 275_471, 1.4950446)):  # as by their SQL
         assert np.sqrt(outlines.squared_apart(sides(a, 1.0), sides(b, 1.0), at, at)) == pytest.approx(apart, abs=1e-8)
     assert outlines.squared_apart(sides(17_412, DEGREES), sides(125_150, DEGREES), at, at, 111_320 * 0.97, 110_540.0) > 90.0**2
+
+
+def test_equal_rings_are_measured_once(spark, monkeypatch):
+    """Each pair of fields was measured, 900 x 900 of 30 rings here, and came through Python row by row."""
+    monkeypatch.setattr(rings, "ALIKE", 7)
+    shapes = _fields(30, 6.0)
+    df = spark.createDataFrame([(None if k % 50 == 49 else k, None if k % 31 == 30 else "abc"[k % 7 % 3], shapes[k % 30][2]) for k in range(900)], SCHEMA)
+    want = rings.neighbour_rings(df, 0.7, 4.0, keep=["id", "crp_lbl"]).select("a_id", "b_id", "a_crp_lbl", "b_crp_lbl", F.round("distance", 6).alias("distance"))
+    got = rings.neighbours_of_alike(df, 0.7, 4.0, 6).select(want.columns)
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, want.collect())) and len(rows) > 10_000
+    top = got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert top.count("Generate explode") == 2
